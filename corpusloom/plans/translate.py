@@ -172,15 +172,15 @@ def text_leaves(df: DataFrame, keys: list[str], texts: list[str], lists: list[st
     singles = [
         F.struct(F.lit(c).alias("field"), F.lit(-1).alias("at"), quoted(c).alias("value")) for c in texts
     ]
-    items = [
-        F.coalesce(
-            F.transform(
-                quoted(c), lambda x, i, c=c: F.struct(F.lit(c).alias("field"), i.cast("int").alias("at"), x.alias("value"))
-            ),
-            F.from_json(F.lit("[]"), "array<struct<field:string,at:int,value:string>>"),
-        )
-        for c in lists
-    ]
+    none = F.from_json(F.lit("[]"), "array<struct<field:string,at:int,value:string>>")
+
+    def items_of(name: str) -> Column:
+        def leaf(x: Column, i: Column) -> Column:
+            return F.struct(F.lit(name).alias("field"), i.cast("int").alias("at"), x.alias("value"))
+
+        return F.coalesce(F.transform(quoted(name), leaf), none)
+
+    items = [items_of(c) for c in lists]
     leaves = F.concat(F.array(*singles), *items)
     return df.select(*keys, F.explode(leaves).alias("leaf")).select(*keys, "leaf.field", "leaf.at", "leaf.value")
 
