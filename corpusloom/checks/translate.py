@@ -45,9 +45,10 @@ def translate_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responder() -> Column:
-    """Upper case in brackets; the third batch of a column fails, lists lose their first text."""
+    """A mark before the text; the third batch of a column fails, lists lose their first text."""
+
     def said(x: Column) -> Column:
-        return F.concat(F.lit("["), F.upper(x), F.lit("]"))
+        return F.concat(F.lit("[en] "), x)
 
     listed = F.map_from_entries(F.transform(F.slice("texts", F.lit(2), F.size("texts")), lambda x: F.struct(x, said(x))))
     return F.when(
@@ -125,7 +126,7 @@ BATCHES = f"""WITH {TEXTS}, {SIZES}, packed AS (
   SELECT col, text, pos, batch_size, (pos - 1) // batch_size AS batch, (pos - 1) % batch_size AS slot
   FROM placed JOIN sizes USING (col))"""
 
-SAID = f"""{BATCHES}, said AS (SELECT col, text, '[' || upper(text) || ']' AS translated FROM packed
+SAID = f"""{BATCHES}, said AS (SELECT col, text, '[en] ' || text AS translated FROM packed
   WHERE batch <> 2 AND (batch_size = 1 OR slot > 0))"""
 
 APPLIED = f"""{SAID} SELECT p.paper_id, coalesce(a.translated, p.title) AS title, md5(coalesce(b.translated, p.abstract)) AS abstract,
