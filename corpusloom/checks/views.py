@@ -61,6 +61,7 @@ TEXT = f"""('Title: ' || trim(title, {BLANKS}) || chr(10) || 'Abstract: ' || tri
 
 
 def met_terms() -> Column:
+    """Terms met as whole lower-case words, in alphabetical order."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("abstract"), F.lit("[a-z]+"), F.lit(0)))
     return F.array_sort(F.array_intersect(words, F.array(*[F.lit(t) for t in TERMS])))
 

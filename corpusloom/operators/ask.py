@@ -27,6 +27,16 @@ RESULT = "response string, attempts int, error string"
 MAX_COMMITS = 1000
 
 
+def once(responder: Column) -> Column:
+    """The responder, computed once per row.
+
+    The second value is always null, but being non-deterministic it keeps the
+    optimizer from copying the expression into filters and projections above it.
+    """
+    never = F.when(F.monotonically_increasing_id() < 0, F.lit(""))
+    return F.coalesce(responder, never)
+
+
 def call_model(
     df: DataFrame,
     prompt: str,
@@ -129,7 +139,7 @@ def semantic_map(
     """
     if isinstance(responder, Column):
         return df.withColumns(
-            {"response": responder, "attempts": F.lit(1), "error": F.lit(None).cast("string")}
+            {"response": once(responder), "attempts": F.lit(1), "error": F.lit(None).cast("string")}
         ).drop(prompt)
     spark = df.sparkSession
     path = cache_path or new_path(spark, "answers")
@@ -175,7 +185,7 @@ def ask(
     the key columns only; its answers are joined back on the keys.
     """
     if isinstance(responder, Column):
-        return df.withColumn("prompt", prompt).withColumn("response", responder).drop("prompt")
+        return df.withColumn("prompt", prompt).withColumn("response", once(responder)).drop("prompt")
     narrow = df.select(*keys, prompt.alias("prompt"))
     answers = semantic_map(narrow, "prompt", responder, parse=parse, **options)
     return df.join(answers.drop("attempts", "error"), keys, "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import CATEGORY_TYPE, is_answer, label_mapping, parsed, refined_categories
 from corpusloom.functions.text import clean_text, quoted, split_argument
-from corpusloom.operators.ask import Responder, call_model
+from corpusloom.operators.ask import Responder, call_model, once
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import new_path, settle
@@ -91,52 +91,48 @@ def converge_rounds(
     """
     spark = chunks.sparkSession
     path = new_path(spark, "rounds")
-    # in round order, so that a round reads its own row groups only
-    queue = settle(chunks.repartitionByRange("round").sortWithinPartitions("round", "dim"), "chunks")
-    last = queue.agg(F.max("round")).head()[0]
+    # one folder per round: a round reads its own chunks, and no literal changes
+    # from round to round, so the generated code of the first one serves them all
+    queue = new_path(spark, "chunks")
+    chunks.withColumn("_of", F.col("round")).repartition("_of").write.partitionBy("_of").parquet(queue)
+    last = spark.read.parquet(queue).agg(F.max("_of")).head()[0]
     schema = f"dim string, response_ok boolean, categories array<{CATEGORY_TYPE}>, mapping map<string,string>"
     if last is None:
         return spark.createDataFrame([], schema + ", round bigint")
     none = F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>")
+    existing = F.when(F.size("categories") > 0, F.to_json("categories")).otherwise(F.lit("None"))
+    prompt = prompts.render(
+        template,
+        dim_name=F.col("dim"),
+        new_labels=F.col("new_labels"),
+        existing_taxonomy=existing,
+        limit_cats=limit_cats,
+        researcher_guide=guide or prompts.NO_GUIDE,
+        output_lang=output_lang,
+    )
+    v = F.col("_answer")
+    ok = F.col("response_ok")
+    result = [
+        F.col("dim"),
+        ok,
+        # a failed call keeps the list; an answer replaces it, even by an empty one
+        F.when(ok, refined_categories(v)).otherwise(F.col("categories")).alias("categories"),
+        F.when(ok, label_mapping(v)).alias("mapping"),
+    ]
+    answer = parsed(once(responder)) if isinstance(responder, Column) else parsed(F.col("response"))
     for r in range(last + 1):
-        now = queue.where(F.col("round") == r)
+        now = spark.read.schema(chunks.schema).parquet(f"{queue}/_of={r}")
         if r:
             before = spark.read.schema(schema).parquet(f"{path}/round={r - 1}")
             now = now.join(before.select("dim", "categories"), "dim", "left")
         else:
             now = now.withColumn("categories", none)
-        existing = F.when(F.size("categories") > 0, F.to_json("categories")).otherwise(F.lit("None"))
-        asked = now.withColumn(
-            "prompt",
-            prompts.render(
-                template,
-                dim_name=F.col("dim"),
-                new_labels=F.col("new_labels"),
-                existing_taxonomy=existing,
-                limit_cats=limit_cats,
-                researcher_guide=guide or prompts.NO_GUIDE,
-                output_lang=output_lang,
-            ),
-        )
-        if isinstance(responder, Column):
-            answered = asked.withColumn("response", responder)
-        else:
+        asked = now.withColumn("prompt", prompt)
+        if not isinstance(responder, Column):
             replies = call_model(asked.select("dim", "prompt"), "prompt", responder, **options)
-            answered = replies.join(now.select("dim", "categories"), "dim")
-        v = F.col("_answer")
-        ok = F.col("response_ok")
-        (
-            answered.withColumn("_answer", parsed(F.col("response")))
-            .withColumn("response_ok", is_answer(v))
-            .select(
-                "dim",
-                "response_ok",
-                # a failed call keeps the list; an answer replaces it, even by an empty one
-                F.when(ok, refined_categories(v)).otherwise(F.col("categories")).alias("categories"),
-                F.when(ok, label_mapping(v)).alias("mapping"),
-            )
-            .write.parquet(f"{path}/round={r}")
-        )
+            asked = replies.join(now.select("dim", "categories"), "dim")
+        read = asked.withColumn("_answer", answer).withColumn("response_ok", is_answer(v))
+        read.select(*result).write.parquet(f"{path}/round={r}")
     return spark.read.schema(schema + ", round bigint").parquet(path)
 
 

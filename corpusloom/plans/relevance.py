@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import with_score
-from corpusloom.operators.ask import Responder, ask, call_model
+from corpusloom.operators.ask import Responder, ask, call_model, once
 from corpusloom.plans.common import drop_results, refuse_clashes
 
 # Fixed values of the flow.
@@ -87,7 +87,7 @@ def discover_criteria(df: DataFrame, topic: str, text: Column, responder: Respon
     wording = {k: options.pop(k) for k in ("template", "output_lang", "n", "seed") if k in options}
     one = criteria_prompt(df, topic, text, **wording)
     if isinstance(responder, Column):
-        answered = one.withColumn("response", responder)
+        answered = one.withColumn("response", once(responder))
     else:
         options = {k: v for k, v in options.items() if k in ("max_attempts", "backoff_s")}
         answered = call_model(one.select("prompt"), "prompt", responder, concurrency=1, qps=0, **options)

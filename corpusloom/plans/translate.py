@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.text import quoted, split_argument
-from corpusloom.operators.ask import Responder, semantic_map
+from corpusloom.operators.ask import Responder, once, semantic_map
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import settle
@@ -97,8 +97,8 @@ def translate_map(
     single, listed = asked.where("batch_size = 1"), asked.where("batch_size > 1")
     narrow = ["col", "batch", "prompt"]
     if isinstance(responder, Column):
-        said_one = single.withColumn("response", responder)
-        said_many = listed.withColumn("response", responder)
+        said_one = single.withColumn("response", once(responder))
+        said_many = listed.withColumn("response", once(responder))
     else:
         # the lone text itself is needed beside its answer; only its key is carried
         said_one = semantic_map(
@@ -206,7 +206,7 @@ def translate_leaves(
     counts = settle(worth, "leaf_texts")
     asked = counts.select("_key", "value", prompts.render(template, target_lang=target_lang, text=F.col("value")).alias("prompt"))
     if isinstance(responder, Column):
-        said = asked.withColumn("response", responder)
+        said = asked.withColumn("response", once(responder))
     else:
         said = semantic_map(asked.select("_key", "prompt"), "prompt", responder, parse="text", **options)
     table = settle(said.where("response <> ''").select("_key", F.col("response").alias("translated")), "leaf_answers")
