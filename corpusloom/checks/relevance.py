@@ -21,7 +21,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 def assign_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "documents").select("doc_id", "source", "lang")
-    return assign_paper_ids(docs, [F.col("doc_id")])
+    return assign_paper_ids(docs, ["doc_id"])
 
 
 PAD_LEFT, PAD_RIGHT = "\t 　", " \r\n  "

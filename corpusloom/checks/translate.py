@@ -123,8 +123,8 @@ sizes AS (SELECT col, mean_length, CASE WHEN mean_length > 500 THEN 1 WHEN mean_
   FROM means)"""
 
 BATCHES = f"""WITH {TEXTS}, {SIZES}, packed AS (
-  SELECT col, text, pos, batch_size, (pos - 1) // batch_size AS batch, (pos - 1) % batch_size AS slot
-  FROM placed JOIN sizes USING (col))"""
+  SELECT col, text, pos, batch_size, CASE batch_size WHEN 1 THEN first_id ELSE (pos - 1) // batch_size END AS batch,
+    (pos - 1) % batch_size AS slot FROM placed JOIN sizes USING (col))"""
 
 SAID = f"""{BATCHES}, said AS (SELECT col, text, '[en] ' || text AS translated FROM packed
   WHERE batch <> 2 AND (batch_size = 1 OR slot > 0))"""
@@ -149,8 +149,8 @@ ORACLES = {
       texts AS (SELECT col, text, min(id) AS first_id FROM cells GROUP BY 1, 2), {SIZES} SELECT * FROM sizes""",
     "translate_batches": f"""{BATCHES} SELECT col, batch, batch_size, count(*) AS texts,
       md5(string_agg(text, '|' ORDER BY pos)) AS digest FROM packed GROUP BY 1, 2, 3""",
-    "translate_prompts": f"""{_P}, packed AS (SELECT col, text, pos, batch_size, (pos - 1) // batch_size AS batch
-        FROM placed JOIN sizes USING (col)),
+    "translate_prompts": f"""{_P}, packed AS (SELECT col, text, pos, batch_size,
+          CASE batch_size WHEN 1 THEN first_id ELSE (pos - 1) // batch_size END AS batch FROM placed JOIN sizes USING (col)),
       listed AS (SELECT col, batch, batch_size, min(text) AS one, '["' || string_agg(text, '","' ORDER BY pos) || '"]' AS many
         FROM packed GROUP BY 1, 2, 3),
       asked AS (SELECT col, batch, CASE batch_size WHEN 1

@@ -149,9 +149,10 @@ def semantic_map(
     requests = settle(
         keyed.groupBy("request_hash", F.col(prompt).alias("_prompt"))
         .agg(F.count("*").alias("n"))
-        .withColumn("_commit", F.pmod(F.xxhash64("request_hash"), F.lit(commits)).cast("int")),
+        .withColumn("_commit", F.pmod(F.xxhash64("request_hash"), F.lit(commits)).cast("int"))
+        # a commit then reads its own row groups; folders per commit would mean tiny files
+        .sortWithinPartitions("_commit"),
         "requests",
-        partition_by="_commit",
     )
     known = _answered(spark, path)
     pending = requests

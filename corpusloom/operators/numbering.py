@@ -62,6 +62,14 @@ def number_rows(
     return ordered.join(firsts, same).select(*[quoted(c) for c in df.columns], number.alias(name))
 
 
-def assign_paper_ids(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """1-based ``paper_id`` in the given order, to be written with the papers."""
-    return number_rows(df, order, name="paper_id")
+def assign_paper_ids(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """1-based ``paper_id`` in the order of the named columns, to be written with the papers.
+
+    Only the order columns, unique together, are sorted; the texts are read and
+    moved once, when the numbers are joined back.
+    """
+    keys = [F.col(f"_k{i}") for i in range(len(order))]
+    narrow = df.select(*[quoted(c).alias(f"_k{i}") for i, c in enumerate(order)])
+    numbers = number_rows(narrow, keys, name="paper_id")
+    same = reduce(lambda a, b: a & b, [quoted(c).eqNullSafe(k) for c, k in zip(order, keys, strict=True)])
+    return df.join(numbers, same).drop(*[f"_k{i}" for i in range(len(order))])

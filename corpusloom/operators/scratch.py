@@ -29,9 +29,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_folder(spark).rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     path = new_path(df.sparkSession, label)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

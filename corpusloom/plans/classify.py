@@ -64,12 +64,10 @@ def category_distribution(df: DataFrame, column: str = "classify_category", sep:
 
 
 def flag_categories(df: DataFrame, categories: DataFrame, column: str = "classify_category") -> DataFrame:
-    """(paper_id, category, in_schema): was each assigned category among those given?
-
-    Distinct categories are checked, then the answer goes back to the rows.
-    """
+    """(paper_id, category, in_schema): was each assigned category among those given?"""
     rows = assigned(df.select("paper_id", column), column).select("paper_id", "category")
     given = categories.select(F.col("name").alias("category"), F.lit(True).alias("known")).distinct()
-    return rows.join(given, "category", "left").select(
+    # the whole list stood in one prompt, which bounds its size
+    return rows.join(F.broadcast(given), "category", "left").select(
         "paper_id", "category", F.coalesce("known", F.lit(False)).alias("in_schema")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import CATEGORY_TYPE, is_answer, label_mapping, parsed, refined_categories
@@ -95,7 +96,8 @@ def converge_rounds(
     # from round to round, so the generated code of the first one serves them all
     queue = new_path(spark, "chunks")
     chunks.withColumn("_of", F.col("round")).repartition("_of").write.partitionBy("_of").parquet(queue)
-    last = spark.read.parquet(queue).agg(F.max("_of")).head()[0]
+    queued = StructType([*chunks.schema.fields, StructField("_of", LongType())])
+    last = spark.read.schema(queued).parquet(queue).agg(F.max("_of")).head()[0]
     schema = f"dim string, response_ok boolean, categories array<{CATEGORY_TYPE}>, mapping map<string,string>"
     if last is None:
         return spark.createDataFrame([], schema + ", round bigint")
@@ -385,8 +387,8 @@ def converge(
     chunks = chunk_text(label_chunks(label_rank(counts), chunk_size))
     rounds = converge_rounds(chunks, responder, limit_cats, **options)
     mapping = settle(mapping_of(rounds), "mapping")
-    taxonomy = taxonomy_rows(rounds, limit_cats)
+    taxonomy = settle(taxonomy_rows(rounds, limit_cats), "taxonomy")
     if papers is not None:
         cases = typical_cases(chosen, mapping, taxonomy, papers, title if title is not None else F.col("title"))
-        taxonomy = with_cases(taxonomy, cases)
-    return settle(taxonomy, "taxonomy"), mapping
+        taxonomy = settle(with_cases(taxonomy, cases), "taxonomy")
+    return taxonomy, mapping

@@ -1,15 +1,18 @@
 """The five flows from files to files.
 
-Paper inputs are exports (.csv, .tsv, .txt) or folders of them; every flow takes
-``source_type`` and writes parquet, or CSV where ``as_csv`` is set.
+Papers are given as exports (.csv, .tsv, .txt), folders of them, or a DataFrame as
+``load_papers`` returns it.  Output is parquet, or CSV where ``as_csv`` is set.
+``prompt_dir`` holds templates of the user's own, named as in TEMPLATES.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom.functions import prompts
 from corpusloom.functions.text import keyword_fallback, paper_text, split_argument
 from corpusloom.operators.ask import Responder
 from corpusloom.operators.scratch import settle
@@ -20,11 +23,23 @@ from corpusloom.plans import relevance, translate
 from corpusloom.sources import documents, sinks
 from corpusloom.sources.exports import load_papers
 
+Papers = str | list[str] | DataFrame
+
+TEMPLATES = {
+    "filter_criteria": prompts.CRITERIA,
+    "filter_score": prompts.SCORE,
+    "explore": prompts.EXPLORE,
+    "converge": prompts.CONVERGE,
+    "classify": prompts.CLASSIFY,
+}
+
+
+def _template(spark: SparkSession, name: str, prompt_dir: str | None) -> str:
+    return prompts.read_template(spark, f"{prompt_dir.rstrip('/')}/{name}.md") if prompt_dir else TEMPLATES[name]
 
-def text_of(papers: DataFrame) -> Column:
-    """Text of papers loaded by load_papers, with the keyword fallback."""
-    keywords = keyword_fallback(F.col("paper_keywords"), papers.columns)
-    return paper_text(F.col("paper_title"), F.col("paper_abstract"), keywords)
+
+def _papers(spark: SparkSession, papers: Papers, source_type: str) -> DataFrame:
+    return papers if isinstance(papers, DataFrame) else load_papers(spark, papers, source_type)
 
 
 def _write(df: DataFrame, path: str, as_csv: bool) -> None:
@@ -34,9 +49,15 @@ def _write(df: DataFrame, path: str, as_csv: bool) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def text_of(papers: DataFrame) -> Column:
+    """Text of papers loaded by load_papers, with the keyword fallback."""
+    keywords = keyword_fallback(F.col("paper_keywords"), papers.columns)
+    return paper_text(F.col("paper_title"), F.col("paper_abstract"), keywords)
+
+
 def filter_papers(
     spark: SparkSession,
-    paths: str | list[str],
+    papers: Papers,
     output: str | None,
     topic: str,
     responder: Responder,
@@ -44,23 +65,39 @@ def filter_papers(
     min_score: float = relevance.MIN_SCORE,
     source_type: str = "auto",
     output_lang: str = "English",
+    prompt_dir: str | None = None,
     as_csv: bool = False,
     **options: object,
 ) -> DataFrame:
     """All papers with their scores; ``output`` gets those that passed, ``output``_all every one."""
-    papers = settle(load_papers(spark, paths, source_type), "papers")
+    papers = _papers(spark, papers, source_type)
     text = text_of(papers)
-    asked = criteria_responder if criteria_responder is not None else responder
-    criteria = relevance.discover_criteria(papers, topic, text, asked, output_lang=output_lang, **options)
+    criteria = relevance.discover_criteria(
+        papers,
+        topic,
+        text,
+        responder if criteria_responder is None else criteria_responder,
+        template=_template(spark, "filter_criteria", prompt_dir),
+        output_lang=output_lang,
+        **options,
+    )
     scored = relevance.score_papers(
-        papers, topic, criteria, text, responder, min_score, output_lang=output_lang, **options
+        papers,
+        topic,
+        criteria,
+        text,
+        responder,
+        min_score,
+        template=_template(spark, "filter_score", prompt_dir),
+        output_lang=output_lang,
+        **options,
     )
     return sinks.write_scored(scored, output, as_csv) if output else settle(scored, "scored")
 
 
 def explore(
     spark: SparkSession,
-    paths: str | list[str],
+    papers: Papers,
     output: str,
     responder: Responder,
     dims: str | Iterable[str] | None = None,
@@ -68,57 +105,78 @@ def explore(
     max_papers: int | None = None,
     source_type: str = "auto",
     output_lang: str = "English",
+    prompt_dir: str | None = None,
     **options: object,
 ) -> DataFrame:
-    """Draft labels, written as JSON lines per dimension."""
-    papers = settle(load_papers(spark, paths, source_type), "papers")
-    labels = settle(
-        expl.explore_labels(
-            papers, text_of(papers), responder, dims=dims, guide=guide, max_papers=max_papers, output_lang=output_lang, **options
-        ),
-        "labels",
+    """Draft labels, also written as JSON lines per dimension."""
+    papers = _papers(spark, papers, source_type)
+    labels = expl.explore_labels(
+        papers,
+        text_of(papers),
+        responder,
+        dims=dims,
+        guide=guide,
+        max_papers=max_papers,
+        template=_template(spark, "explore", prompt_dir),
+        output_lang=output_lang,
+        **options,
     )
+    labels = settle(labels, "labels")
     documents.write_draft(labels, output)
     return labels
 
 
 def converge(
     spark: SparkSession,
-    labels: DataFrame,
+    draft: str | DataFrame,
     output_taxonomy: str,
     responder: Responder,
     limit_cats: int = conv.LIMIT_CATS,
     dims: str | Iterable[str] | None = None,
     guide: str | None = None,
-    papers: DataFrame | None = None,
+    papers: Papers | None = None,
     output_papers: str | None = None,
+    source_type: str = "auto",
     output_lang: str = "English",
+    prompt_dir: str | None = None,
     **options: object,
 ) -> DataFrame:
     """The updated taxonomy; other dimensions of ``output_taxonomy`` stay as they are.
 
     ``output_papers`` is a parquet table with ``paper_id``: when it exists its label
-    columns are updated, otherwise it starts from ``papers``.
+    columns are updated, otherwise it starts from ``papers``.  Without either of
+    them no papers are written.
     """
+    labels = documents.read_draft(spark, draft) if isinstance(draft, str) else draft
     present = [r.dim for r in labels.select("dim").distinct().collect()]  # names of dimensions
     wanted = split_argument(dims)
     processed = [d for d in wanted if d in present] if wanted else sorted(present)
-    old = documents.read_table_or_empty(spark, output_taxonomy, documents.TAXONOMY)
     if not processed:
         return documents.empty(spark, documents.TAXONOMY)
-    title = F.col("paper_title") if papers is not None and "paper_title" in papers.columns else F.lit(None).cast("string")
+    if papers is not None:
+        papers = _papers(spark, papers, source_type)
     taxonomy, mapping = conv.converge(
-        labels, responder, limit_cats, processed, papers, title, guide=guide, output_lang=output_lang, **options
+        labels,
+        responder,
+        limit_cats,
+        processed,
+        papers,
+        F.col("paper_title"),
+        guide=guide,
+        template=_template(spark, "converge", prompt_dir),
+        output_lang=output_lang,
+        **options,
     )
+    old = documents.read_table_or_empty(spark, output_taxonomy, documents.TAXONOMY)
     done = spark.createDataFrame([(d,) for d in processed], "dim string")
     updated = sinks.replace_table(conv.taxonomy_upsert(old, taxonomy, done), output_taxonomy)
     if output_papers:
-        base = papers
         try:
             base = spark.read.parquet(output_papers)
-        except Exception as e:
-            if getattr(e, "getCondition", lambda: None)() != "PATH_NOT_FOUND":
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+            base = papers
         if base is not None:
             chosen = conv.select_dims(labels, processed)
             counts = settle(conv.label_counts(chosen), "label_counts")
@@ -127,23 +185,36 @@ def converge(
     return updated
 
 
-def translate_papers(
-    papers: DataFrame,
+def translate_file(
+    spark: SparkSession,
+    papers: Papers,
     output: str,
     responder: Responder,
-    columns: str | Iterable[str],
+    columns: str | Iterable[str] | None = None,
     target_lang: str = "English",
-    as_csv: bool = False,
+    as_csv: bool = True,
     **options: object,
 ) -> DataFrame:
-    done = settle(translate.translate_columns(papers, columns, responder, target_lang, **options), "translated")
+    """Translated columns of an export, or all texts of a taxonomy file (.json).
+
+    Any other file type is refused.
+    """
+    if isinstance(papers, str) and papers.lower().endswith(".json"):
+        taxonomy = documents.read_taxonomy_json(spark, papers)
+        done = settle(translate.translate_taxonomy(taxonomy, responder, target_lang=target_lang, **options), "translated")
+        documents.taxonomy_documents(done).select("document").write.mode("overwrite").text(output)
+        return done
+    if not split_argument(columns):
+        raise ValueError("name the columns to translate")
+    loaded = _papers(spark, papers, "auto")
+    done = settle(translate.translate_columns(loaded, columns, responder, target_lang, **options), "translated")
     _write(done, output, as_csv)
     return done
 
 
 def classify(
     spark: SparkSession,
-    paths: str | list[str],
+    papers: Papers,
     output: str,
     schema: str,
     responder: Responder,
@@ -151,14 +222,26 @@ def classify(
     guide: str | None = None,
     source_type: str = "auto",
     output_lang: str = "English",
+    prompt_dir: str | None = None,
     as_csv: bool = False,
     **options: object,
 ) -> DataFrame:
-    papers = settle(load_papers(spark, paths, source_type), "papers")
-    categories = documents.read_categories(spark, schema)
-    done = settle(
-        classes.classify(papers, categories, text_of(papers), responder, mode, guide, output_lang=output_lang, **options),
-        "classified",
+    """Papers with the categories of ``schema``: a file (JSON or one per line) or a comma list."""
+    papers = _papers(spark, papers, source_type)
+    done = classes.classify(
+        papers,
+        documents.read_categories(spark, schema),
+        text_of(papers),
+        responder,
+        mode,
+        guide,
+        template=_template(spark, "classify", prompt_dir),
+        output_lang=output_lang,
+        **options,
     )
-    _write(done, output, as_csv)
-    return done
+    if as_csv:
+        done = settle(done, "classified")
+        sinks.write_csv(done, output)
+        return done
+    done.write.mode("overwrite").parquet(output)
+    return spark.read.schema(done.schema).parquet(output)

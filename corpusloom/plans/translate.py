@@ -64,15 +64,25 @@ def batch_size(texts: DataFrame) -> DataFrame:
 
 
 def translate_batches(texts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(col, batch, batch_size, texts): texts packed in first-seen order, at most 20 each."""
-    numbered = number_rows(texts.select("col", "text", "first_id"), [F.col("first_id"), F.col("text")], within=["col"])
-    packed = numbered.join(F.broadcast(sizes.select("col", "batch_size")), "col")  # one row per column asked for
-    return (
-        packed.withColumn("batch", F.floor((F.col("pos") - 1) / F.col("batch_size")).cast("long"))
+    """(col, batch, batch_size, texts): texts packed in first-seen order, at most 20 each.
+
+    ``batch`` counts the batches of a column.  Long texts, one to a batch, are not
+    moved at all: their ``batch`` is the id of the row that has them first.
+    """
+    sized = texts.join(F.broadcast(sizes.select("col", "batch_size")), "col")  # one row per column asked for
+    shape = ["col", "batch", "batch_size", "texts"]
+    alone = sized.where("batch_size = 1").select(
+        "col", F.col("first_id").cast("long").alias("batch"), "batch_size", F.array("text").alias("texts")
+    )
+    short = sized.where("batch_size > 1").select("col", "first_id", "text", "batch_size")
+    packed = (
+        number_rows(short, [F.col("first_id"), F.col("text")], within=["col"])
+        .withColumn("batch", F.floor((F.col("pos") - 1) / F.col("batch_size")).cast("long"))
         .groupBy("col", "batch", "batch_size")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("o"))
-        .select("col", "batch", "batch_size", F.transform("o", lambda x: x["text"]).alias("texts"))
+        .withColumn("texts", F.transform("o", lambda x: x["text"]))
     )
+    return alone.select(*shape).unionByName(packed.select(*shape))
 
 
 def batch_prompt(

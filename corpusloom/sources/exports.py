@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import quoted
+from corpusloom.operators.lookup import lookup
 from corpusloom.operators.scratch import settle
 
 # Per dialect and role the column names looked for, in order.
@@ -188,7 +189,7 @@ def scan_delimited(spark: SparkSession, files: list[str], names: list[str], sep:
         .option("encoding", "UTF-8")
         .csv(files)
     )
-    cells = [F.when(~quoted(n).isin(MISSING), quoted(n)).alias(n) for n in names]
+    cells = [F.when(~quoted(n).isin(MISSING), quoted(n)).alias(n) for n in names if n != "source_file"]
     return raw.select(
         *cells,
         F.col("_metadata.file_path").alias("source_file"),
@@ -201,7 +202,8 @@ def load_papers(spark: SparkSession, paths: str | list[str], source_type: str =
 
     Keeps every original column and adds ``paper_title``, ``paper_abstract``,
     ``paper_keywords`` (null when unmapped), ``source_file`` and ``paper_id``:
-    files in path order, rows in file order, counted from 1.
+    files in path order, rows in file order, counted from 1.  Exports of an earlier
+    result keep the ``paper_id`` they hold.
     """
     files = list_files(spark, paths)
     headers = read_headers(files).withColumn("names", dedup_names(F.col("names")))
@@ -217,12 +219,14 @@ def load_papers(spark: SparkSession, paths: str | list[str], source_type: str =
     for layout in per_layout:
         mapped = {r.role: r.column for r in layout.roles}
         frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]))
-        for role in ROLES:
-            source = quoted(mapped[role]) if mapped[role] else F.lit(None).cast("string")
-            frame = frame.withColumn(f"paper_{role}", source)
-        tables.append(frame)
+        roles = {
+            f"paper_{role}": quoted(mapped[role]) if mapped[role] else F.lit(None).cast("string") for role in ROLES
+        }
+        tables.append(frame.select(*[quoted(c) for c in frame.columns if c not in roles], *[c.alias(n) for n, c in roles.items()]))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    return number_by_file(settle(union, "papers"))
+    if all("paper_id" in layout.names for layout in per_layout):
+        return settle(union.withColumn("paper_id", F.col("paper_id").cast("long")).drop("_row"), "papers")
+    return number_by_file(settle(union.drop("paper_id"), "papers"))
 
 
 def number_by_file(df: DataFrame) -> DataFrame:
@@ -234,13 +238,12 @@ def number_by_file(df: DataFrame) -> DataFrame:
     before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
     firsts = settle(
         df.groupBy("source_file")
-        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")))
-        .drop("_n"),
+        .agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+        .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))),
         "firsts",
     )
     return (
-        df.join(firsts, "source_file")
+        lookup(df, firsts.drop("n"), ["source_file"], firsts.select("source_file", "n"))
         .withColumn("paper_id", F.col("_before") + F.col("_row") - F.col("_first") + 1)
         .drop("_row", "_first", "_before")
     )

@@ -27,13 +27,19 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_scored(scored: DataFrame, path: str, as_csv: bool = False) -> DataFrame:
-    """Two sinks, the papers that passed and all of them, from one computation."""
-    once = settle(scored, "scored")
-    for rows, target in ((once.where("passed"), path), (once, path.rstrip("/") + "_all")):
-        if as_csv:
-            write_csv(rows, target)
-        else:
-            rows.write.mode("overwrite").parquet(target)
+    """Two sinks, the papers that passed and all of them, from one computation.
+
+    The parquet sink of all papers is itself the table the other one reads.
+    """
+    everything = path.rstrip("/") + "_all"
+    if as_csv:
+        once = settle(scored, "scored")
+        write_csv(once, everything)
+        write_csv(once.where("passed"), path)
+        return once
+    scored.write.mode("overwrite").parquet(everything)
+    once = scored.sparkSession.read.schema(scored.schema).parquet(everything)
+    once.where("passed").write.mode("overwrite").parquet(path)
     return once
 
 

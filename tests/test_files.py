@@ -236,3 +236,45 @@ def test_translate_keeps_structure(spark):
         ("D", "Default", 0, "NAME", "DEFINITION", None, ["K1", "x"], ["C1", "c2"]),
         ("D", "Default", 1, "n", "DEFINITION", "j", None, []),
     ]
+
+
+def test_results_go_through_csv_with_their_ids(spark, tmp_path):
+    file = put(tmp_path, "in.csv", "Title,Abstract,Keywords\nx1,a,k\ny,b,\nx2,c,NA\n")
+    out = str(tmp_path / "kept")
+    flows.filter_papers(spark, file, out, "x", scores(), criteria_responder=F.lit("{}"), as_csv=True)
+    again = exports.load_papers(spark, out)
+    assert sorted((r.paper_id, r.paper_title, r.score) for r in again.collect()) == [(1, "x1", "5.0"), (3, "x2", "5.0")]
+    scored = flows.filter_papers(spark, again, None, "x", scores(), criteria_responder=F.lit("{}"))
+    assert dict(scored.dtypes)["score"] == "double" and scored.columns.count("score") == 1
+
+
+def test_templates_of_the_users_own(spark, tmp_path):
+    file = put(tmp_path, "in.csv", "Title,Abstract,Keywords\nt,a,k\n")
+    put(tmp_path, "classify.md", "{{paper_id}}|{{classify_mode}}|{{schema_text}}|{{output_lang}}")
+    reply = F.to_json(F.struct(F.col("prompt").alias("reason")))
+    done = flows.classify(spark, file, str(tmp_path / "out"), "A,B", reply, prompt_dir=str(tmp_path), output_lang="French")
+    assert done.head().classify_reason == "1|single|- A\n- B|French"
+
+
+def test_translate_flow_on_files(spark, tmp_path):
+    file = put(tmp_path, "in.csv", "Title,Abstract,Keywords\nred,a,k\nblue,b,k\nred,c,\n")
+    texts = F.to_json(F.map_from_entries(F.transform("texts", lambda x: F.struct(x, F.upper(x)))))
+    done = flows.translate_file(spark, file, str(tmp_path / "out"), texts, "Title,Nope")
+    assert [(r.Title, r.Abstract) for r in done.orderBy("paper_id").collect()] == [("RED", "a"), ("BLUE", "b"), ("RED", "c")]
+    tax = put(tmp_path, "t.json", json.dumps({"D": {"Default": [{"name": "ab", "keywords": ["cd", "e"]}]}}))
+    flows.translate_file(spark, tax, str(tmp_path / "tax"), F.upper("value"))
+    back = documents.read_taxonomy_json(spark, str(tmp_path / "tax")).head()
+    assert (back.dim, back.name, back.keywords) == ("D", "AB", ["CD", "e"])
+    with pytest.raises(ValueError, match="unsupported"):
+        flows.translate_file(spark, put(tmp_path, "x.doc", "a"), str(tmp_path / "no"), texts, "Title")
+    with pytest.raises(ValueError, match="columns"):
+        flows.translate_file(spark, file, str(tmp_path / "no"), texts)
+
+
+def test_converge_flow_reads_a_written_draft(spark, tmp_path):
+    labels = spark.createDataFrame([("D", 1, 1, "a", "r")], documents.LABELS)
+    documents.write_draft(labels, str(tmp_path / "draft"))
+    reply = F.lit(json.dumps({"refined_categories": [{"name": "A"}], "mapping": {"a": "A"}}))
+    got = flows.converge(spark, str(tmp_path / "draft"), str(tmp_path / "tax"), reply)
+    assert [(r.dim, r.name, r.typical_cases) for r in got.collect()] == [("D", "A", None)]
+    assert flows.converge(spark, labels, str(tmp_path / "tax"), reply, dims="X").isEmpty()
