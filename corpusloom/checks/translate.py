@@ -38,7 +38,7 @@ def batch_size_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translate_batches(spark: SparkSession, d: str) -> DataFrame:
-    texts = settle(_texts(spark, d), "texts")
+    texts = settle(_texts(spark, d), "texts", by="col")
     return t.translate_batches(texts, t.batch_size(texts)).select(
         "col", "batch", "batch_size", F.size("texts").cast("long").alias("texts"), F.md5(F.array_join("texts", "|")).alias("digest")
     )
@@ -58,13 +58,13 @@ def _responder() -> Column:
 
 
 def translate_map(spark: SparkSession, d: str) -> DataFrame:
-    texts = settle(_texts(spark, d), "texts")
+    texts = settle(_texts(spark, d), "texts", by="col")
     batches = t.translate_batches(texts, t.batch_size(texts))
     return t.translate_map(batches, _responder()).select("col", "key", _digest("translated"))
 
 
 def translate_prompts(spark: SparkSession, d: str) -> DataFrame:
-    texts = settle(t.distinct_texts(v.papers(spark, d), "abstract,source"), "texts")
+    texts = settle(t.distinct_texts(v.papers(spark, d), "abstract,source"), "texts", by="col")
     batches = t.translate_batches(texts, t.batch_size(texts))
     prompt = t.batch_prompt("French")
     return batches.select("col", "batch", F.length(prompt).cast("long").alias("chars"), F.md5(prompt).alias("digest"))
@@ -78,7 +78,7 @@ def translate_apply(spark: SparkSession, d: str) -> DataFrame:
 def translate_apply_spread(spark: SparkSession, d: str) -> DataFrame:
     """The same with every text met 20 times or more spread over several tasks."""
     p = v.papers(spark, d)
-    texts = settle(_texts(spark, d), "texts")
+    texts = settle(_texts(spark, d), "texts", by="col")
     said = settle(t.translate_map(t.translate_batches(texts, t.batch_size(texts)), _responder()), "translations")
     done = t.translate_apply(p, COLUMNS, said, texts, hot_rows=20)
     return done.select("paper_id", "title", F.md5("abstract").alias("abstract"), "lang", "source")

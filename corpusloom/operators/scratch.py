@@ -29,8 +29,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_folder(spark).rstrip('/')}/corpusloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and go on from the written table."""
+def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and go on from the written table.
+
+    ``by`` names a column of few values to make folders of, for partition pruning.
+    """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,7 +51,7 @@ def label_rank(counts: DataFrame) -> DataFrame:
 
 def label_chunks(ranked: DataFrame, size: int = CHUNK) -> DataFrame:
     """Add ``round``: chunks of ``size`` labels in order of popularity."""
-    return ranked.withColumn("round", F.floor((F.col("rank") - 1) / size).cast("long"))
+    return ranked.withColumn("round", F.call_function("div", F.col("rank") - 1, F.lit(size)))
 
 
 def chunk_text(chunked: DataFrame) -> DataFrame:
@@ -285,7 +285,8 @@ def typical_cases(
     """(dim, pos, name, rank, case): the first ``k`` papers of each category.
 
     First the k earliest papers of each raw label, then of each category: what
-    is shuffled, joined and given a title is a handful of rows per label.
+    is shuffled and joined is a handful of rows per label.  Only the papers
+    chosen in the end, k per category, are looked up for their title.
     """
     per_label = Window.partitionBy("dim", "category").orderBy("pos", "paper_id")
     early = labels.withColumn("_r", F.row_number().over(per_label)).where(F.col("_r") <= k).drop("_r")
@@ -293,14 +294,16 @@ def typical_cases(
     named = taxonomy.select("dim", F.col("pos").alias("category_pos"), F.col("name").alias("final"))
     # by position: two categories may share a name
     per_category = Window.partitionBy("dim", "category_pos").orderBy("pos", "paper_id")
-    first = (
+    chosen = (
         early.join(table, ["dim", "category"])
         .join(named, ["dim", "final"])
         .withColumn("rank", F.row_number().over(per_category).cast("long"))
         .where(F.col("rank") <= k)
     )
+    first = settle(chosen, "cases")
+    cited = papers.join(first.select("paper_id").distinct(), "paper_id", "left_semi")
     case = F.concat(F.lit("《"), F.col("title"), F.lit("》: "), F.col("reason"))
-    return title_backfill(first, papers, title).select(
+    return title_backfill(first, cited, title).select(
         "dim", F.col("category_pos").alias("pos"), F.col("final").alias("name"), "rank", case.alias("case")
     )
 

@@ -26,7 +26,8 @@ def text_key(text: Column) -> Column:
 def distinct_texts(df: DataFrame, columns: str | Iterable[str], row_id: str = "paper_id") -> DataFrame:
     """texts(col, text, first_id, n): distinct non-null texts of the columns that exist.
 
-    One pass for all columns; copies are combined on the map side.
+    One pass for all columns; copies are combined on the map side.  ``row_id`` is
+    unique, so ``first_id`` orders the texts of a column as they are first seen.
     """
     present = [c for c in split_argument(columns) if c in df.columns]
     cells = F.array(
@@ -46,15 +47,16 @@ def distinct_texts(df: DataFrame, columns: str | Iterable[str], row_id: str = "p
 def batch_size(texts: DataFrame) -> DataFrame:
     """(col, mean_length, batch_size) from the first ten distinct texts of a column.
 
-    The sum of lengths is always divided by ten, also for fewer texts.
+    The sum of lengths is always divided by ten, also for fewer texts.  Lengths,
+    not texts, are sorted, and each task passes on ten rows per column.
     """
-    first = Window.partitionBy("col").orderBy("first_id", "text")
+    first = Window.partitionBy("col").orderBy("first_id")
     probe = (
-        texts.select("col", "first_id", "text")
+        texts.select("col", "first_id", F.length("text").alias("chars"))
         .withColumn("_r", F.row_number().over(first))
         .where(F.col("_r") <= PROBE)
     )
-    mean = F.sum(F.length("text")).cast("double") / PROBE
+    mean = F.sum("chars").cast("double") / PROBE
     size = (
         F.when(F.col("mean_length") > LONG, SIZES["long"])
         .when(F.col("mean_length") > MEDIUM, SIZES["medium"])
@@ -69,20 +71,31 @@ def translate_batches(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     ``batch`` counts the batches of a column.  Long texts, one to a batch, are not
     moved at all: their ``batch`` is the id of the row that has them first.
     """
-    sized = texts.join(F.broadcast(sizes.select("col", "batch_size")), "col")  # one row per column asked for
+    size_of = {r.col: r.batch_size for r in sizes.select("col", "batch_size").collect()}  # one row per column
+    long = [c for c, size in size_of.items() if size == 1]
+    short = [c for c, size in size_of.items() if size > 1]
     shape = ["col", "batch", "batch_size", "texts"]
-    alone = sized.where("batch_size = 1").select(
-        "col", F.col("first_id").cast("long").alias("batch"), "batch_size", F.array("text").alias("texts")
+    batches = texts.where(F.col("col").isin(long)).select(
+        "col",
+        F.col("first_id").cast("long").alias("batch"),
+        F.lit(1).cast("long").alias("batch_size"),
+        F.array("text").alias("texts"),
+    )
+    if not short:
+        return batches
+    size = F.coalesce(*[F.when(F.col("col") == c, F.lit(size_of[c]).cast("long")) for c in short])
+    numbered = number_rows(
+        texts.where(F.col("col").isin(short)).select("col", "first_id", "text"), [F.col("first_id")], within=["col"]
     )
-    short = sized.where("batch_size > 1").select("col", "first_id", "text", "batch_size")
     packed = (
-        number_rows(short, [F.col("first_id"), F.col("text")], within=["col"])
-        .withColumn("batch", F.floor((F.col("pos") - 1) / F.col("batch_size")).cast("long"))
+        numbered.withColumn("batch_size", size)
+        .withColumn("batch", F.call_function("div", F.col("pos") - 1, F.col("batch_size")))
         .groupBy("col", "batch", "batch_size")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("o"))
         .withColumn("texts", F.transform("o", lambda x: x["text"]))
+        .select(*shape)
     )
-    return alone.select(*shape).unionByName(packed.select(*shape))
+    return batches.unionByName(packed) if long else packed
 
 
 def batch_prompt(
@@ -166,11 +179,11 @@ def translate_columns(
     """``df`` with the given columns translated; missing columns are skipped."""
     if not [c for c in split_argument(columns) if c in df.columns]:
         return df
-    texts = settle(distinct_texts(df, columns, row_id), "texts")
+    texts = settle(distinct_texts(df, columns, row_id), "texts", by="col")
     batches = translate_batches(texts, batch_size(texts))
     if not isinstance(responder, Column):
         batches = settle(batches, "batches")
-    translations = settle(translate_map(batches, responder, target_lang, **options), "translations")
+    translations = settle(translate_map(batches, responder, target_lang, **options), "translations", by="col")
     return translate_apply(df, columns, translations, texts)
 
 

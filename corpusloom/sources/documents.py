@@ -31,7 +31,7 @@ def draft_documents(labels: DataFrame, block: int = BLOCK) -> DataFrame:
         items, lambda i: F.struct(i["paper_id"].alias("paper_id"), i["category"].alias("category"), i["reason"].alias("reason"))
     )
     return (
-        labels.groupBy("dim", F.floor(F.col("pos") / block).alias("block"))
+        labels.groupBy("dim", F.call_function("div", F.col("pos"), F.lit(block)).alias("block"))
         .agg(plain.alias("items"))
         .select("dim", "block", F.to_json(F.create_map("dim", "items")).alias("document"))
     )
