@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from corpusloom.checks import views as v
 from corpusloom.functions import prompts
 from corpusloom.operators.ask import call_stats
+from corpusloom.operators.scratch import new_path
 from corpusloom.plans import classify as c
-from corpusloom.sources import documents
+from corpusloom.sources import documents, exports, sinks
 
 
 def _categories(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +74,15 @@ def category_distribution(spark: SparkSession, d: str) -> DataFrame:
     return c.category_distribution(_classified(spark, d, "multi"))
 
 
+def classified_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Classified papers written as CSV and read back; empty cells read as missing."""
+    path = new_path(spark, "classified")
+    done = _classified(spark, d, "multi")
+    sinks.write_csv(done.select("paper_id", "title", "classify_category", "classify_reason", "classify_keywords"), path)
+    back = exports.load_papers(spark, path)
+    return back.select("paper_id", "classify_category", "classify_reason", "classify_keywords", F.md5("paper_title").alias("title"))
+
+
 def call_statistics(spark: SparkSession, d: str) -> DataFrame:
     p = v.papers(spark, d)
     return call_stats(p.withColumn("prompt", v.text_column(p)).select("paper_id", v.class_responder("single").alias("response")))
@@ -88,6 +98,7 @@ QUERIES = {
     "classify_failures": classify_failures,
     "classify_valid": classify_valid,
     "category_distribution": category_distribution,
+    "classified_csv": classified_csv,
     "call_stats": call_statistics,
 }
 
@@ -136,5 +147,7 @@ ORACLES = {
       SELECT paper_id, category, category IN (SELECT name FROM categories) AS in_schema FROM parts WHERE category <> ''""",
     "category_distribution": f"""{_answers('multi')}, {_SPLIT}
       SELECT category, count(*) AS n FROM parts WHERE category <> '' GROUP BY category ORDER BY n DESC, category""",
+    "classified_csv": f"""{_answers('multi')} SELECT paper_id, nullif(classify_category, '') AS classify_category,
+      nullif(classify_reason, '') AS classify_reason, nullif(classify_keywords, '') AS classify_keywords, md5(title) AS title FROM answers""",
     "call_stats": f"{_answers('single')} SELECT count(*) FILTER (response_ok) AS succeeded, count(*) AS total FROM answers",
 }

@@ -10,7 +10,7 @@ from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import converge as c
 from corpusloom.plans import explore as x
 from corpusloom.plans import quality
-from corpusloom.sources import documents, sinks
+from corpusloom.sources import documents, exports, sinks
 
 # ---- explore ---------------------------------------------------------------
 
@@ -168,6 +168,17 @@ def label_merge(spark: SparkSession, d: str) -> DataFrame:
     return c.label_merge(base, wide, ["Source", "Lead"])
 
 
+def labelled_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled papers written as CSV, read back as the base of a second run with another dimension."""
+    _, _, mapping, _ = _flat(spark, d)
+    final = c.final_labels(_explored(spark, d), mapping)
+    path = new_path(spark, "labelled")
+    first = c.label_papers(v.papers(spark, d).select("paper_id"), c.label_pivot(final, ["Source"]))
+    sinks.write_csv(first, path)
+    base = exports.read_table(spark, f"{path}/*.csv").withColumn("paper_id", F.col("paper_id").cast("long"))
+    return c.label_merge(base, c.label_pivot(final, ["Lead"]), ["Lead"])
+
+
 def taxonomy_upsert(spark: SparkSession, d: str) -> DataFrame:
     """New categories for two dimensions, one of them without any; the third stays."""
     _, counts, mapping, old = _flat(spark, d)
@@ -258,7 +269,7 @@ QUERIES = {
         explore_labels, explore_dims, max_papers, draft_export, draft_scan, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
         taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers,
-        label_merge, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
+        label_merge, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
         taxonomy_rows, contract_mapping, contract_cap, contract_names, contract_unique,
     )
 }
@@ -333,6 +344,10 @@ ORACLES = {
     "label_merge": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source', 'Lead'])})
       SELECT p.paper_id, {_merged('Source')}, {_merged('Lead')} FROM papers p
       LEFT JOIN wide USING (paper_id) LEFT JOIN labels g ON g.doc_id + 1 = p.paper_id""",
+    # an empty cell reads as missing
+    "labelled_csv": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source', 'Lead'])})
+      SELECT p.paper_id, nullif(Source_raw_category, '') AS Source_raw_category, nullif(Source_category, '') AS Source_category,
+        Source_reason, {_merged('Lead')} FROM papers p LEFT JOIN wide USING (paper_id)""",
     "taxonomy_upsert": f"""WITH {v.FLAT} SELECT dim, pos, name, CASE dim WHEN 'Lead' THEN 'new' ELSE definition END AS definition
       FROM taxonomy WHERE dim <> 'Source'""",
     "taxonomy_partitions": f"""WITH {v.FLAT} SELECT dim, pos, name, CASE dim WHEN 'Lead' THEN definition ELSE 'new' END AS definition

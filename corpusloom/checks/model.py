@@ -10,7 +10,7 @@ from corpusloom.checks import views as v
 from corpusloom.functions import prompts
 from corpusloom.operators.ask import semantic_map
 from corpusloom.operators.scratch import new_path, settle
-from corpusloom.plans import relevance
+from corpusloom.plans import classify, explore, relevance, translate
 
 FAST = {"qps": 0, "backoff_s": 0.0, "batch": 64, "concurrency": 4}
 
@@ -74,7 +74,60 @@ def score_calls(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("paper_id", "lang", "score", "reason", "match_keywords", "passed", "response_ok")
 
 
+def field_responder(make: Callable[[str, str], object]) -> Callable[[list[str]], list[str | None]]:
+    """Answers made from title and keywords, read back out of the prompt; a title ending in "e." fails."""
+
+    def answer(asked: list[str]) -> list[str | None]:
+        import json
+
+        said = []
+        for prompt in asked:
+            title = prompt.split("Title: ", 1)[1].split("\nAbstract: ", 1)[0]
+            keywords = prompt.rsplit("\nKeywords: ", 1)[1].split("\n", 1)[0]
+            said.append(None if title.endswith("e.") else json.dumps(make(title, keywords), ensure_ascii=False))
+        return said
+
+    return answer
+
+
+def explore_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Labels named by a Python responder."""
+    p = v.papers(spark, d)
+    named = field_responder(lambda t, k: {"Keyword": {"category": k, "reason": t}, "Initial": {"category": t[:1]}, "Note": k})
+    return explore.explore_labels(p, v.text_column(p), named, dims="Keyword,Initial", **FAST)
+
+
+def classify_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Classes named by a Python responder, as a list."""
+    p = v.papers(spark, d)
+    given = p.select(F.col("source").alias("name")).distinct().select(
+        F.lit(0).cast("long").alias("pos"), "name", F.lit(None).cast("string").alias("definition")
+    )
+    named = field_responder(lambda t, k: {"category": [k, t[:1]], "reason": t, "keywords": k})
+    done = classify.classify(p, given, v.text_column(p), named, "multi", **FAST)
+    return done.select("paper_id", "source", "classify_category", "classify_reason", "classify_keywords", "response_ok")
+
+
+def translate_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Long texts asked for one by one, short ones in lists, by a Python responder."""
+
+    def answer(asked: list[str]) -> list[str | None]:
+        import json
+
+        bodies = [p.split("\n\n", 1)[1] for p in asked]
+        return [
+            json.dumps({t: "[en] " + t for t in json.loads(b)}) if b.startswith('["') else None if len(b) % 7 == 0 else "[en] " + b
+            for b in bodies
+        ]
+
+    done = translate.translate_columns(v.papers(spark, d), "abstract,lang,source", answer, **FAST)
+    return done.select("paper_id", F.md5("abstract").alias("abstract"), "lang", "source")
+
+
 QUERIES = {
+    "explore_calls": explore_calls,
+    "classify_calls": classify_calls,
+    "translate_calls": translate_calls,
     "semantic_map": semantic_calls,
     "semantic_map_spread": semantic_calls_spread,
     "response_cache": response_cache,
@@ -86,7 +139,20 @@ _CALLS = f"""WITH {v.PAPERS} SELECT paper_id, CASE WHEN length(abstract) % 7 <>
 
 _SHORT = prompts.SCORE.replace("{{topic}}", v.TOPIC).replace("{{criteria}}", "{}").replace("{{output_lang}}", "English")
 
+_FIELDS = f"""WITH {v.PAPERS}, f AS (SELECT paper_id, source, trim(title, {v.BLANKS}) AS t,
+    coalesce(keywords, author_keywords) AS k FROM papers)"""
+
 ORACLES = {
+    "explore_calls": f"""{_FIELDS}
+      SELECT 'Keyword' AS dim, paper_id AS pos, paper_id, k AS category, t AS reason FROM f WHERE NOT ends_with(t, 'e.')
+      UNION ALL SELECT 'Initial', paper_id, paper_id, substr(t, 1, 1), '' FROM f WHERE NOT ends_with(t, 'e.')""",
+    "classify_calls": f"""{_FIELDS}, o AS (SELECT *, NOT ends_with(t, 'e.') AS response_ok FROM f)
+      SELECT paper_id, source, CASE WHEN response_ok THEN k || '; ' || substr(t, 1, 1) ELSE '' END AS classify_category,
+        CASE WHEN response_ok THEN t ELSE '' END AS classify_reason, CASE WHEN response_ok THEN k ELSE '' END AS classify_keywords,
+        response_ok FROM o""",
+    "translate_calls": f"""WITH {v.PAPERS} SELECT paper_id,
+      md5(CASE WHEN length(abstract) % 7 = 0 THEN abstract ELSE '[en] ' || abstract END) AS abstract,
+      '[en] ' || lang AS lang, '[en] ' || source AS source FROM papers""",
     "semantic_map": _CALLS,
     "semantic_map_spread": _CALLS,
     "response_cache": f"""WITH t AS (SELECT DISTINCT text FROM documents),

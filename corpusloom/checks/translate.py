@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.checks import views as v
 from corpusloom.functions import prompts
-from corpusloom.operators.scratch import settle
+from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import translate as t
+from corpusloom.sources import exports, sinks
 
 COLUMNS = "title, abstract, lang, missing"
 
@@ -84,6 +85,17 @@ def translate_apply_spread(spark: SparkSession, d: str) -> DataFrame:
     return done.select("paper_id", "title", F.md5("abstract").alias("abstract"), "lang", "source")
 
 
+def translated_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Translated conversations written as CSV and read back."""
+    turns = v.table(spark, d, "conversations").withColumn("paper_id", F.col("conv_id") * 1000 + F.col("turn"))
+    said = F.when(
+        F.col("batch_size") == 1, F.concat(F.lit("[en] "), F.get("texts", F.lit(0)))
+    ).otherwise(F.to_json(F.map_from_entries(F.transform("texts", lambda x: F.struct(x, F.concat(F.lit("[en] "), x))))))
+    path = new_path(spark, "translated")
+    sinks.write_csv(t.translate_columns(turns, "role,text", said).drop("paper_id"), path)
+    return exports.read_table(spark, f"{path}/*.csv").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
 def _leaf_responder() -> Column:
     return F.when(~F.col("value").startswith("h"), F.concat(F.lit("fr:"), "value"))
 
@@ -108,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         distinct_texts, batch_size, batch_size_tables, translate_batches, translate_prompts, translate_map,
-        translate_apply, translate_apply_spread, translate_taxonomy, translate_draft,
+        translate_apply, translate_apply_spread, translated_csv, translate_taxonomy, translate_draft,
     )
 }
 
@@ -160,6 +172,8 @@ ORACLES = {
     "translate_map": f"{SAID} SELECT col, sha256(text) AS key, md5(translated) AS digest FROM said",
     "translate_apply": APPLIED,
     "translate_apply_spread": APPLIED,
+    "translated_csv": """SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, '[en] ' || role AS role,
+      md5('[en] ' || text) AS digest FROM conversations""",
     "translate_taxonomy": f"""WITH {v.FLAT} SELECT dim, grp, pos, {_LEAF.format('name')} AS name, {_LEAF.format('definition')} AS definition,
       'fr:same first letter' AS judgment_suggestions, {_LEAF.format('name')} || '; fr:initial' AS keywords FROM taxonomy""",
     "translate_draft": f"WITH {v.LABELS} SELECT dim, paper_id, {_LEAF.format('category')} AS category, {_LEAF.format('reason')} AS reason FROM labelled",
