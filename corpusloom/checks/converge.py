@@ -157,6 +157,16 @@ def label_papers(spark: SparkSession, d: str) -> DataFrame:
     return c.label_papers(v.papers(spark, d).select("paper_id", "title"), wide)
 
 
+def label_papers_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The same against papers kept in buckets by id: only the labels are shuffled."""
+    _, _, mapping, _ = _flat(spark, d)
+    wide = c.label_pivot(c.final_labels(_explored(spark, d), mapping), ["Source"])
+    path = new_path(spark, "bucketed")
+    rows = v.papers(spark, d).select("paper_id", "title")
+    papers = sinks.bucket_papers(rows, "papers_" + path[-32:], path, buckets=8)
+    return c.label_papers(papers, wide)
+
+
 def label_merge(spark: SparkSession, d: str) -> DataFrame:
     """Papers of an earlier run (the graded documents) get new labels; failed papers keep theirs."""
     _, _, mapping, _ = _flat(spark, d)
@@ -268,7 +278,7 @@ QUERIES = {
     for f in (
         explore_labels, explore_dims, max_papers, draft_export, draft_scan, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
-        taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers,
+        taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers, label_papers_bucketed,
         label_merge, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
         taxonomy_rows, contract_mapping, contract_cap, contract_names, contract_unique,
     )
@@ -341,6 +351,8 @@ ORACLES = {
     "label_pivot": f"{FINALS} {_pivot(v.DIMS)}",
     "label_papers": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source'])})
       SELECT paper_id, title, Source_raw_category, Source_category, Source_reason FROM papers LEFT JOIN wide USING (paper_id)""",
+    "label_papers_bucketed": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source'])})
+      SELECT paper_id, title, Source_raw_category, Source_category, Source_reason FROM papers LEFT JOIN wide USING (paper_id)""",
     "label_merge": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source', 'Lead'])})
       SELECT p.paper_id, {_merged('Source')}, {_merged('Lead')} FROM papers p
       LEFT JOIN wide USING (paper_id) LEFT JOIN labels g ON g.doc_id + 1 = p.paper_id""",

@@ -279,32 +279,36 @@ def title_backfill(labels: DataFrame, papers: DataFrame, title: Column) -> DataF
     return known.withColumn("title", F.coalesce("title", F.concat(F.lit("ID:"), F.col("paper_id").cast("string"))))
 
 
-def typical_cases(
-    labels: DataFrame, mapping: DataFrame, taxonomy: DataFrame, papers: DataFrame, title: Column, k: int = CASES
-) -> DataFrame:
-    """(dim, pos, name, rank, case): the first ``k`` papers of each category.
+def first_papers(labels: DataFrame, mapping: DataFrame, taxonomy: DataFrame, k: int = CASES) -> DataFrame:
+    """(dim, category_pos, name, rank, paper_id, reason): the first ``k`` papers of each category.
 
     First the k earliest papers of each raw label, then of each category: what
-    is shuffled and joined is a handful of rows per label.  Only the papers
-    chosen in the end, k per category, are looked up for their title.
+    is shuffled and joined is a handful of rows per label.
     """
     per_label = Window.partitionBy("dim", "category").orderBy("pos", "paper_id")
     early = labels.withColumn("_r", F.row_number().over(per_label)).where(F.col("_r") <= k).drop("_r")
-    table = mapping.select("dim", F.col("label").alias("category"), "final")
-    named = taxonomy.select("dim", F.col("pos").alias("category_pos"), F.col("name").alias("final"))
+    table = mapping.select("dim", F.col("label").alias("category"), F.col("final").alias("name"))
+    named = taxonomy.select("dim", F.col("pos").alias("category_pos"), "name")
     # by position: two categories may share a name
     per_category = Window.partitionBy("dim", "category_pos").orderBy("pos", "paper_id")
-    chosen = (
+    return (
         early.join(table, ["dim", "category"])
-        .join(named, ["dim", "final"])
+        .join(named, ["dim", "name"])
         .withColumn("rank", F.row_number().over(per_category).cast("long"))
         .where(F.col("rank") <= k)
+        .select("dim", "category_pos", "name", "rank", "paper_id", "reason")
     )
-    first = settle(chosen, "cases")
+
+
+def typical_cases(
+    labels: DataFrame, mapping: DataFrame, taxonomy: DataFrame, papers: DataFrame, title: Column, k: int = CASES
+) -> DataFrame:
+    """(dim, pos, name, rank, case); only the papers chosen are looked up for their title."""
+    first = settle(first_papers(labels, mapping, taxonomy, k), "cases")
     cited = papers.join(first.select("paper_id").distinct(), "paper_id", "left_semi")
     case = F.concat(F.lit("《"), F.col("title"), F.lit("》: "), F.col("reason"))
     return title_backfill(first, cited, title).select(
-        "dim", F.col("category_pos").alias("pos"), F.col("final").alias("name"), "rank", case.alias("case")
+        "dim", F.col("category_pos").alias("pos"), "name", "rank", case.alias("case")
     )
 
 

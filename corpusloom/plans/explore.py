@@ -11,11 +11,7 @@ from corpusloom.functions.responses import dimension_values, label_fields
 from corpusloom.functions.text import split_argument
 from corpusloom.operators.ask import Responder, ask
 from corpusloom.operators.scratch import settle
-
-
-def cap_papers(df: DataFrame, max_papers: int | None = None) -> DataFrame:
-    """The first ``max_papers`` papers (None or 0: all), filtered before any call."""
-    return df.where(F.col("paper_id") <= max_papers) if max_papers else df
+from corpusloom.plans.common import cap_papers
 
 
 def ask_labels(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import with_score
 from corpusloom.operators.ask import Responder, ask, call_model, once
-from corpusloom.plans.common import drop_results, refuse_clashes
+from corpusloom.plans.common import cap_papers, drop_results, refuse_clashes
 
 # Fixed values of the flow.
 SAMPLE_SIZE = 15
@@ -135,7 +135,7 @@ def spot_check(df: DataFrame, title: Column, n: int = SPOT_CHECK, seed: int = SE
 
 def data_peek(df: DataFrame, title: Column, abstract: Column, keywords: Column, n: int = SPOT_CHECK) -> DataFrame:
     """The first papers, shortened, to see whether the columns were read right."""
-    return df.where(F.col("paper_id") <= n).select(
+    return cap_papers(df, n).select(
         "paper_id",
         F.substring(title, 1, 80).alias("title"),
         F.substring(abstract, 1, 100).alias("abstract"),

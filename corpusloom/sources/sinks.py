@@ -43,6 +43,23 @@ def write_scored(scored: DataFrame, path: str, as_csv: bool = False) -> DataFram
     return once
 
 
+def bucket_papers(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Papers as a table bucketed by id, one file per bucket.
+
+    Answers and labels are joined on the id; against this table only their own,
+    narrow rows are shuffled and the texts stay where they are.
+    """
+    (
+        df.repartition(buckets, "paper_id")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "paper_id")
+        .sortBy("paper_id")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def replace_table(df: DataFrame, path: str) -> DataFrame:
     """Overwrite a table that ``df`` may have been read from.
 

@@ -13,6 +13,8 @@ from corpusloom.functions import text
 from corpusloom.operators.ask import call_model
 from corpusloom.operators.scratch import settle
 from corpusloom.plans import converge, relevance
+from corpusloom.plans.common import cap_papers
+from corpusloom.sources import sinks
 from tests.conftest import DATA
 
 
@@ -38,8 +40,8 @@ def test_sample_reads_ids_first_and_pushes_them_down(spark):
 
 def test_typical_cases_cut_before_the_shuffle(spark):
     labels, _, mapping, taxonomy = queries._flat(spark, DATA)
-    shown = plan(converge.typical_cases(labels, mapping, taxonomy, v.papers(spark, DATA), F.col("title")))
-    assert "WindowGroupLimit" in shown
+    shown = plan(converge.first_papers(labels, mapping, taxonomy))
+    assert shown.count("WindowGroupLimit") >= 4  # partial and final, per label and per category
 
 
 def test_small_mapping_is_broadcast_by_its_measured_size(spark):
@@ -61,3 +63,23 @@ def test_dimension_choice_prunes_partitions(spark, tmp_path):
     v.labels(spark, DATA).write.partitionBy("dim").parquet(path)
     shown = plan(converge.select_dims(spark.read.parquet(path), "Lead"))
     assert "PartitionFilters: [isnotnull(dim" in shown and "= Lead" in shown
+
+
+def test_bucketed_papers_stay_in_place(spark, tmp_path):
+    papers = sinks.bucket_papers(v.papers(spark, DATA), "papers_in_buckets", str(tmp_path / "papers"), 4)
+    answers = settle(v.papers(spark, DATA).select("paper_id", "lang"), "answers")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shown = plan(papers.drop("lang").join(answers, "paper_id", "left"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in shown and shown.count("Exchange (") <= 2  # one exchange, named twice
+    assert "SelectedBucketsCount: 4 out of 4" in shown
+
+
+def test_cap_is_a_filter_on_the_scan(spark):
+    p = settle(v.papers(spark, DATA), "papers")
+    assert "LessThanOrEqual(paper_id,20)" in plan(cap_papers(p, 20))
+    gaps = settle(p.where("paper_id % 3 = 0"), "papers")
+    assert sorted(r.paper_id for r in cap_papers(gaps, 4).collect()) == [3, 6, 9, 12]
+    assert cap_papers(gaps, 10_000).count() == gaps.count() and cap_papers(gaps, 0) is gaps
