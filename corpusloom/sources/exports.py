@@ -7,6 +7,7 @@ rows only, one array of names per file, with array expressions and no shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
@@ -45,7 +46,9 @@ MISSING = [
 SEPARATORS = {".csv": ",", ".txt": "\t", ".tsv": "\t"}
 
 ROLES = ["title", "abstract", "keywords"]
-HEADER_BYTES = 64 * 1024
+HEADERS = "file string, names array<string>, line_end string"
+HEADER_BYTES, HEADER_LIMIT = 64 * 1024, 1024 * 1024
+ARROW_STORES = {"file", "s3", "s3a", "s3n", "gs", "hdfs", "abfs", "abfss"}
 
 
 # ---- layouts ---------------------------------------------------------------
@@ -131,39 +134,63 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"))
 
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """(file, names): first record of each file, read on the executors.
+def read_headers(files: DataFrame, through: str = "auto") -> DataFrame:
+    """(file, names, line_end): the header record of each file; only its first blocks are read.
 
-    Only the first blocks of a file are read, up to the end of its header record.
+    ``through="arrow"`` opens the files on the executors with Arrow's file systems,
+    ``"spark"`` lets Spark read one record per file, for stores or credentials only
+    Spark knows.  ``"auto"`` takes Arrow wherever it knows the store.
     """
+    if through == "auto":
+        schemes = [r[0] for r in files.select(F.substring_index("file", ":", 1)).distinct().collect()]
+        through = "arrow" if set(schemes) <= ARROW_STORES else "spark"
+    return headers_by_arrow(files) if through == "arrow" else headers_by_spark(files)
 
+
+def headers_by_spark(files: DataFrame) -> DataFrame:
+    """One tiny job per file, several at a time; header names come to the driver."""
+    spark = files.sparkSession
+
+    def header(file: str) -> tuple[str, list[str], str]:
+        reader = spark.read.options(header=False, multiLine=True, quote='"', escape='"', lineSep="\n", sep=_separator(file))
+        row = reader.csv(file).head()
+        names = [c or "" for c in row] if row else []
+        if names and names[-1].endswith("\r"):
+            return file, [*names[:-1], names[-1][:-1]], "\r\n"
+        return file, names, "\n"
+
+    with ThreadPoolExecutor(16) as pool:
+        rows = list(pool.map(header, [r.file for r in files.collect()]))
+    return spark.createDataFrame(rows, HEADERS)
+
+
+def headers_by_arrow(files: DataFrame) -> DataFrame:
     def first_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
         import io
+        import re
 
         from pyarrow import fs
 
+        # a record ends at the first line end outside quotes
+        whole = re.compile(rb'((?:[^"\r\n]|"[^"]*")*)(\r\n|\n|\r(?=.))', re.DOTALL)
         for frame in frames:
-            names = []
+            names, ends = [], []
             for file in frame["file"]:
-                store, path = fs.FileSystem.from_uri(file)
-                text = b""
+                store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
+                text, record = b"", None
                 with store.open_input_stream(path) as stream:
-                    # an even number of quotes before a line end closes the record
-                    while True:
-                        block = stream.read(HEADER_BYTES)
+                    while record is None and len(text) < HEADER_LIMIT and (block := stream.read(HEADER_BYTES)):
                         text += block
-                        end = text.find(b"\n")
-                        while end >= 0 and text.count(b'"', 0, end) % 2:
-                            end = text.find(b"\n", end + 1)
-                        if end >= 0 or not block:
-                            break
-                line = (text[:end] if end >= 0 else text).decode("utf-8-sig").rstrip("\r")
+                        record = whole.match(text)
+                # no such end: the file is its header, or a lone quote keeps it open
+                head, end = record.groups() if record else (text.split(b"\n", 1)[0].rstrip(b"\r"), b"\n")
                 sep = "," if file.lower().endswith(".csv") else "\t"
-                names.append(next(csv.reader(io.StringIO(line, newline=""), delimiter=sep), []))
-            yield pd.DataFrame({"file": frame["file"], "names": names})
+                names.append(next(csv.reader(io.StringIO(head.decode("utf-8-sig"), newline=""), delimiter=sep), []))
+                ends.append(end.decode())
+            yield pd.DataFrame({"file": frame["file"], "names": names, "line_end": ends})
 
-    return files.mapInPandas(first_records, "file string, names array<string>")
+    return files.mapInPandas(first_records, HEADERS)
 
 
 def check_names(names: Iterable[str]) -> None:
@@ -175,12 +202,19 @@ def check_names(names: Iterable[str]) -> None:
             raise ValueError(f"columns {other!r} and {name!r} differ in case only; rename one of them")
 
 
-def scan_delimited(spark: SparkSession, files: list[str], names: list[str], sep: str) -> DataFrame:
-    """Files of one layout as text columns, missing markers as null, plus file and row order."""
+def scan_delimited(
+    spark: SparkSession, files: list[str], names: list[str], sep: str, line_end: str | None = None
+) -> DataFrame:
+    """Files of one layout as text columns, missing markers as null, plus file and row order.
+
+    ``line_end`` is the one after the header; left to itself Spark takes the first
+    line end it meets, which may stand inside a quoted cell.
+    """
     check_names(names)
     schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    reader = spark.read.option("lineSep", line_end) if line_end else spark.read
     raw = (
-        spark.read.schema(schema)
+        reader.schema(schema)
         .option("header", True)
         .option("multiLine", True)  # quoted fields hold line ends; one task per file
         .option("sep", sep)
@@ -197,7 +231,9 @@ def scan_delimited(spark: SparkSession, files: list[str], names: list[str], sep:
     )
 
 
-def load_papers(spark: SparkSession, paths: str | list[str], source_type: str = "auto") -> DataFrame:
+def load_papers(
+    spark: SparkSession, paths: str | list[str], source_type: str = "auto", headers_through: str = "auto"
+) -> DataFrame:
     """One paper table from exports of differing layout.
 
     Keeps every original column and adds ``paper_title``, ``paper_abstract``,
@@ -206,19 +242,20 @@ def load_papers(spark: SparkSession, paths: str | list[str], source_type: str =
     result keep the ``paper_id`` they hold.
     """
     files = list_files(spark, paths)
-    headers = read_headers(files).withColumn("names", dedup_names(F.col("names")))
+    headers = read_headers(files, headers_through).withColumn("names", dedup_names(F.col("names")))
+    headers = settle(headers, "headers")
     # one small row per distinct layout and role, whatever the number of files
     layouts = headers.join(map_columns(headers, source_type), "file")
     per_layout = (
         layouts.withColumn("suffix", F.lower(F.substring_index("file", ".", -1)))
-        .groupBy("names", "suffix")
+        .groupBy("names", "suffix", "line_end")
         .agg(F.collect_set("file").alias("files"), F.collect_set(F.struct("role", "column")).alias("roles"))
         .collect()
     )
     tables = []
     for layout in per_layout:
         mapped = {r.role: r.column for r in layout.roles}
-        frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]))
+        frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]), layout.line_end)
         roles = {
             f"paper_{role}": quoted(mapped[role]) if mapped[role] else F.lit(None).cast("string") for role in ROLES
         }
@@ -252,6 +289,6 @@ def number_by_file(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """One already labelled export (one layout), as text columns in file order."""
     headers = read_headers(list_files(spark, path)).withColumn("names", dedup_names(F.col("names")))
-    layouts = headers.groupBy("names").agg(F.collect_set("file").alias("files")).collect()
-    frames = [scan_delimited(spark, sorted(x.files), x.names, sep) for x in layouts]
+    layouts = headers.groupBy("names", "line_end").agg(F.collect_set("file").alias("files")).collect()
+    frames = [scan_delimited(spark, sorted(x.files), x.names, sep, x.line_end) for x in layouts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("source_file", "_row")

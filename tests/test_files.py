@@ -70,9 +70,38 @@ def test_repeated_header_names_read_like_pandas(spark, tmp_path):
     assert (row["Title"], row["Title.1"], row["Title.2"], row.paper_title) == ("x", "longer", "z", "x")
 
 
-def test_header_with_a_quoted_line_end(spark, tmp_path):
-    file = put(tmp_path, "odd.csv", '"Ti\ntle",Abstract\r\na,b\r\n')
-    assert exports.read_headers(exports.list_files(spark, file)).head().names == ["Ti\ntle", "Abstract"]
+LINE_ENDS = [
+    'Title,Abstract\r\n"x","line1\nline2"\r\n"y","z"\r\n',
+    '"Ti\ntle",Abstract\r\n"x","q\r\nw"\r\ny,z\r\n"y","z"\r\n',
+    'Title,Abstract\n"x\r\ny",z\n"q","r\r"\n',
+    '"T\r\nx",Abstract\n"q","z"\na,b\n',
+    'Title,"Abs ""ract"""\na,b',
+]
+
+
+@pytest.mark.parametrize("content", LINE_ENDS)
+def test_line_ends_read_like_pandas(spark, tmp_path, content):
+    file = put(tmp_path, "odd.csv", content, bom=True)
+    frame = pd.read_csv(file, encoding="utf-8-sig")
+    for through in ("arrow", "spark"):
+        assert exports.read_headers(exports.list_files(spark, file), through).head().names == list(frame.columns)
+    got = exports.load_papers(spark, file).orderBy("paper_id").select(*["`" + c + "`" for c in frame.columns]).collect()
+    assert [list(r) for r in got] == frame.values.tolist()
+
+
+def test_header_only_files(spark, tmp_path):
+    put(tmp_path, "a.csv", "Title,Abstract")
+    put(tmp_path, "b.csv", 'Title,5" disk\nx,y\n')
+    got = {r.file[-5:]: r.names for r in exports.read_headers(exports.list_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.csv": ["Title", "Abstract"], "b.csv": ["Title", '5" disk']}
+
+
+def test_headers_are_the_same_both_ways(spark, tmp_path):
+    for name, header, _, _ in HEADERS:
+        put(tmp_path, name, header + "\n1,2\n", bom=True)
+    files = exports.list_files(spark, str(tmp_path))
+    arrow, by_spark = (sorted((r.file, r.names) for r in exports.read_headers(files, way).collect()) for way in ("arrow", "spark"))
+    assert arrow == by_spark and len(arrow) == len(HEADERS)
 
 
 def test_names_that_differ_in_case_are_refused(spark, tmp_path):
