@@ -6,7 +6,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.plans import converge as conv
 from corpusloom.plans import flows, translate
 from corpusloom.plans.common import refuse_clashes
 from corpusloom.sources import documents, exports, sinks
