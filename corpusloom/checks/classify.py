@@ -137,7 +137,8 @@ ORACLES = {
       SELECT paper_id, unnest(range(len(items))) AS pos, unnest(items) AS name FROM l""",
     "schema_text": f"WITH {CATEGORIES} SELECT string_agg('- ' || name, chr(10) ORDER BY pos) AS schema_text FROM categories",
     "schema_defined": """WITH s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
-      SELECT '{' || string_agg('"' || lang || '":"' || n || ' papers"', ',' ORDER BY lang) || '}' AS schema_text FROM s""",
+      SELECT '{' || chr(10) || string_agg('  "' || lang || '" : "' || n || ' papers"', ',' || chr(10) ORDER BY lang)
+        || chr(10) || '}' AS schema_text FROM s""",
     "classify_single": f"{_answers('single')} SELECT paper_id, classify_category, classify_reason, shape_ok FROM answers",
     "classify_multi": f"{_answers('multi')} SELECT paper_id, classify_category, shape_ok FROM answers",
     "classify_keywords": f"{_answers('multi')} SELECT paper_id, classify_keywords FROM answers",

@@ -2,6 +2,8 @@
 
 A response counts as an answer when it is a non-empty JSON object.  Values are
 read through VARIANT because models return numbers as text and lists as text.
+Spark's parser overlooks text after the object; a Python responder's answers
+have been checked whole before (operators/ask.py).
 """
 
 from __future__ import annotations

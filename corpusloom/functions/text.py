@@ -22,6 +22,15 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def check_names(names: Iterable[str]) -> None:
+    """Refuse names that differ in case only: Spark columns are case-insensitive."""
+    seen: dict[str, str] = {}
+    for name in names:
+        other = seen.setdefault(name.lower(), name)
+        if other != name:
+            raise ValueError(f"columns {other!r} and {name!r} differ in case only; rename one of them")
+
+
 def clean_text(col: Column) -> Column:
     """Text without surrounding white space; null becomes the empty string."""
     return F.coalesce(F.trim(col.cast("string"), F.lit(WHITESPACE)), F.lit(""))

@@ -16,7 +16,7 @@ RESULTS = ["classify_category", "classify_reason", "classify_keywords", "shape_o
 
 def classify(
     df: DataFrame,
-    categories: DataFrame,
+    categories: DataFrame | str,
     text: Column,
     responder: Responder,
     mode: str = "single",
@@ -27,6 +27,7 @@ def classify(
 ) -> DataFrame:
     """``df`` with classify_category, classify_reason, classify_keywords.
 
+    ``categories`` has pos, name, definition; a text goes into the prompt as it is.
     The default template leaves the paper id out, so equal papers share a call;
     a template of the user's own may hold {{paper_id}}.
     """
@@ -34,7 +35,7 @@ def classify(
         raise ValueError(f"mode is single or multi, not {mode!r}")
     df = drop_results(df, RESULTS)
     refuse_clashes(df, RESULTS)
-    shown = schema_text(categories).head().schema_text  # the user's own list
+    shown = categories if isinstance(categories, str) else schema_text(categories).head().schema_text
     prompt = prompts.render(
         template,
         schema_text=shown,

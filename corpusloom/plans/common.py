@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.functions.text import check_names
 from corpusloom.operators.numbering import number_rows
 
 
@@ -36,8 +37,4 @@ def cap_papers(df: DataFrame, max_papers: int | None = None) -> DataFrame:
 
 def refuse_clashes(df: DataFrame, results: Iterable[str]) -> None:
     """Refuse input names that Spark, ignoring case, takes for a result or for each other."""
-    seen: dict[str, str] = {r.lower(): r for r in results}
-    for name in df.columns:
-        other = seen.setdefault(name.lower(), name)
-        if other is not name:
-            raise ValueError(f"columns {other!r} and {name!r} differ in case only; rename one of them")
+    check_names([*results, *df.columns])

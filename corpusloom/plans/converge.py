@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import CATEGORY_TYPE, is_answer, label_mapping, parsed, refined_categories
-from corpusloom.functions.text import clean_text, quoted, split_argument
+from corpusloom.functions.text import check_names, clean_text, quoted, split_argument
 from corpusloom.operators.ask import Responder, call_model, once
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
@@ -336,6 +336,7 @@ def label_pivot(final: DataFrame, dims: list[str]) -> DataFrame:
 
     One aggregation by paper; when a paper has a dimension twice the last wins.
     """
+    check_names(c for d in dims for c in label_columns(d))
     per_dim = [
         F.max(F.when(F.col("dim") == d, F.struct("pos", "category", "final", "reason"))).alias(f"_d{i}")
         for i, d in enumerate(dims)
@@ -359,6 +360,7 @@ def label_papers(papers: DataFrame, wide: DataFrame) -> DataFrame:
 def label_merge(base: DataFrame, wide: DataFrame, dims: list[str]) -> DataFrame:
     """Update the label columns of ``dims``: new values win, old ones stay, new columns start empty."""
     targets = [c for d in dims for c in label_columns(d)]
+    check_names([*base.columns, *targets])
     fresh = wide.select("paper_id", *[quoted(c).alias(f"_new{i}") for i, c in enumerate(targets)])
     joined = base.join(fresh, "paper_id", "left")
     kept = [quoted(c) for c in base.columns if c not in targets]

@@ -121,9 +121,13 @@ def _absent(error: AnalysisException) -> bool:
 
 
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy files of one JSON object each; no file gives an empty taxonomy."""
+    """Taxonomy files of one JSON object, or of one per line; no file gives an empty taxonomy."""
     try:
-        return parse_taxonomies(spark.read.text(path, wholetext=True).withColumnRenamed("value", "document"))
+        files = spark.read.text(path, wholetext=True)
+        # a first line that is JSON by itself means one object per line
+        lines = F.split(F.trim("value"), "\n")
+        pieces = F.when(F.try_parse_json(F.get(lines, F.lit(0))).isNotNull(), lines).otherwise(F.array("value"))
+        return parse_taxonomies(files.select(F.explode(pieces).alias("document")))
     except AnalysisException as e:
         if _absent(e):
             return empty(spark, TAXONOMY)
@@ -151,11 +155,12 @@ def categories_inline(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def read_categories(spark: SparkSession, schema: str) -> DataFrame:
+def read_categories(spark: SparkSession, schema: str) -> DataFrame | str:
     """categories(pos, name, definition) from a file or an inline comma list.
 
     A file may hold a JSON list, a JSON object of name to definition, or one
-    name per line; blank names are dropped.
+    name per line; blank names are dropped.  A JSON text is free wording for the
+    prompt and is returned as it is.
     """
     try:
         document = spark.read.text(schema, wholetext=True).select("value") if schema else None
@@ -170,6 +175,8 @@ def read_categories(spark: SparkSession, schema: str) -> DataFrame:
     one = spark.range(1).select(F.lit(text).alias("value"))
     v = F.try_parse_json(F.col("value"))
     kind = one.select(F.schema_of_variant(v)).head()[0] or ""
+    if kind == "STRING":
+        return one.select(F.try_variant_get(v, "$", "string")).head()[0]
     if kind.startswith("ARRAY<"):
         rows = F.posexplode(F.transform(F.try_variant_get(v, "$", "array<string>"), clean_text)).alias("pos", "name")
         named = one.select(rows).withColumn("definition", F.lit(None).cast("string"))
@@ -191,7 +198,7 @@ def schema_text(categories: DataFrame) -> DataFrame:
     return categories.agg(ordered.alias("c")).select(
         F.when(
             F.exists("c", lambda c: c["definition"].isNotNull()),
-            F.to_json(F.map_from_arrays(F.transform("c", lambda c: c["name"]), F.transform("c", lambda c: c["definition"]))),
+            F.to_json(F.map_from_arrays(F.transform("c", lambda c: c["name"]), F.transform("c", lambda c: c["definition"])), {"pretty": "true"}),
         )
         .otherwise(F.array_join(F.transform("c", lambda c: F.concat(F.lit("- "), c["name"])), "\n"))
         .alias("schema_text")

@@ -6,14 +6,14 @@ rows only, one array of names per file, with array expressions and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from corpusloom.functions.text import quoted
+from corpusloom.functions.text import check_names, quoted
 from corpusloom.operators.lookup import lookup
 from corpusloom.operators.scratch import settle
 
@@ -193,15 +193,6 @@ def headers_by_arrow(files: DataFrame) -> DataFrame:
     return files.mapInPandas(first_records, HEADERS)
 
 
-def check_names(names: Iterable[str]) -> None:
-    """Refuse names that differ in case only: Spark columns are case-insensitive."""
-    seen: dict[str, str] = {}
-    for name in names:
-        other = seen.setdefault(name.lower(), name)
-        if other != name:
-            raise ValueError(f"columns {other!r} and {name!r} differ in case only; rename one of them")
-
-
 def scan_delimited(
     spark: SparkSession, files: list[str], names: list[str], sep: str, line_end: str | None = None
 ) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.plans import converge as c
@@ -134,3 +135,12 @@ def test_unmapped_labels_counts_earlier_categories(spark):
         [("D", 0, True, [cat("A"), cat("B")], {"a": "A"}), ("D", 1, True, [cat("A")], {"c": "A", "A": "A"})], ROUNDS
     )
     assert {tuple(r) for r in quality.unmapped_labels(chunks, rounds).collect()} == {("D", 0, "b"), ("D", 1, "B")}
+
+
+def test_dimensions_that_differ_in_case_are_refused(spark):
+    df = spark.createDataFrame([("D", 1, 7, "a", "r1", "A")], "dim string, pos bigint, paper_id bigint, category string, reason string, final string")
+    with pytest.raises(ValueError, match="differ in case"):
+        c.label_pivot(df, ["D", "d"])
+    base = spark.createDataFrame([(7, "x")], "paper_id bigint, d_category string")
+    with pytest.raises(ValueError, match="differ in case"):
+        c.label_merge(base, c.label_pivot(df, ["D"]), ["D"])

@@ -138,6 +138,8 @@ def test_category_schemas(spark, tmp_path):
     defined = put(tmp_path, "d.json", '{"B": "first", "A": "second"}')
     assert names(defined) == [(0, "B", "first"), (1, "A", "second")]
     assert documents.schema_text(documents.read_categories(spark, "A,B")).head().schema_text == "- A\n- B"
+    assert names("") == []
+    assert documents.read_categories(spark, put(tmp_path, "e.json", '"by method, in your own words"')) == "by method, in your own words"
     text = documents.schema_text(documents.read_categories(spark, defined)).head().schema_text
     assert json.loads(text) == {"B": "first", "A": "second"} and text.index("B") < text.index("A")
 
@@ -151,6 +153,15 @@ def test_taxonomy_files(spark, tmp_path):
     ]
 
 
+def test_taxonomy_of_several_dimensions_through_json(spark, tmp_path):
+    rows = [(d, "Default", i, f"{d}{i}", "two\nlines", "", ["k"], ["c"]) for d in ("A", "B", "C") for i in range(2)]
+    taxonomy = spark.createDataFrame(rows, documents.TAXONOMY).coalesce(1)
+    out = str(tmp_path / "tax")
+    documents.taxonomy_documents(taxonomy).coalesce(1).select("document").write.text(out)
+    back = documents.read_taxonomy_json(spark, out)
+    assert sorted(map(tuple, back.collect())) == rows
+
+
 def test_whole_file_draft(spark, tmp_path):
     file = put(tmp_path, "d.json", json.dumps({"D": [{"paper_id": 2, "category": "x", "reason": "r"}, {"paper_id": 1, "category": "y", "reason": ""}], "E": []}, indent=2))
     got = {tuple(r) for r in documents.read_draft(spark, file, whole_file=True).collect()}
