@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import CATEGORY_TYPE, is_answer, label_mapping, parsed, refined_categories
 from corpusloom.functions.text import check_names, clean_text, quoted, split_argument
-from corpusloom.operators.ask import Responder, call_model, once
+from corpusloom.operators.ask import Responder, call_model, once, semantic_map
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import new_path, settle
@@ -24,6 +24,8 @@ CHUNK = 30
 LIMIT_CATS = 10
 CASES = 5
 GROUP = "Default"
+# rounds whose chunks share a folder: a round reads one folder
+QUEUE_FOLDER = 50
 
 
 # ---- popularity ------------------------------------------------------------
@@ -87,20 +89,22 @@ def converge_rounds(
     Round r sends chunk r of every dimension at once; chunks of one dimension
     follow each other, as each prompt holds the categories of the one before.
     A round is one small job over one row per dimension, written before the next
-    one reads it, so every request is sent once.  A Column responder may use
-    dim, round, labels, new_labels, categories and prompt.
+    one reads it, so every request is sent once; with a ``cache_path`` a run that
+    broke off finds its answers again.  A Column responder may use dim, round,
+    labels, new_labels, categories and prompt.
     """
     spark = chunks.sparkSession
     path = new_path(spark, "rounds")
-    # one folder per round: a round reads its own chunks, and no literal changes
-    # from round to round, so the generated code of the first one serves them all
     queue = new_path(spark, "chunks")
-    chunks.withColumn("_of", F.col("round")).repartition("_of").write.partitionBy("_of").parquet(queue)
-    queued = StructType([*chunks.schema.fields, StructField("_of", LongType())])
-    last = spark.read.schema(queued).parquet(queue).agg(F.max("_of")).head()[0]
-    schema = f"dim string, response_ok boolean, categories array<{CATEGORY_TYPE}>, mapping map<string,string>"
+    folder = F.call_function("div", F.col("round"), F.lit(QUEUE_FOLDER))
+    chunks.withColumn("folder", folder).repartition("folder").write.partitionBy("folder").parquet(queue)
+    queued = StructType([*chunks.schema.fields, StructField("folder", LongType())])
+    last = spark.read.schema(queued).parquet(queue).agg(F.max("round")).head()[0]
+    schema = (
+        f"dim string, response_ok boolean, categories array<{CATEGORY_TYPE}>, mapping map<string,string>, round bigint"
+    )
     if last is None:
-        return spark.createDataFrame([], schema + ", round bigint")
+        return spark.createDataFrame([], schema)
     none = F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>")
     existing = F.when(F.size("categories") > 0, F.to_json("categories")).otherwise(F.lit("None"))
     prompt = prompts.render(
@@ -120,22 +124,30 @@ def converge_rounds(
         # a failed call keeps the list; an answer replaces it, even by an empty one
         F.when(ok, refined_categories(v)).otherwise(F.col("categories")).alias("categories"),
         F.when(ok, label_mapping(v)).alias("mapping"),
+        F.col("round"),
     ]
     answer = parsed(once(responder)) if isinstance(responder, Column) else parsed(F.col("response"))
     for r in range(last + 1):
-        now = spark.read.schema(chunks.schema).parquet(f"{queue}/_of={r}")
+        now = spark.read.schema(chunks.schema).parquet(f"{queue}/folder={r // QUEUE_FOLDER}")
         if r:
-            before = spark.read.schema(schema).parquet(f"{path}/round={r - 1}")
-            now = now.join(before.select("dim", "categories"), "dim", "left")
+            # the round comes from the state, not from a literal, so that the generated
+            # code of the first rounds serves all others
+            before = spark.read.schema(schema).parquet(f"{path}/r={r - 1}")
+            state = before.select("dim", (F.col("round") + 1).alias("round"), "categories")
+            now = now.join(state, ["dim", "round"])
         else:
-            now = now.withColumn("categories", none)
+            now = now.where("round = 0").withColumn("categories", none)
         asked = now.withColumn("prompt", prompt)
         if not isinstance(responder, Column):
-            replies = call_model(asked.select("dim", "prompt"), "prompt", responder, **options)
-            asked = replies.join(now.select("dim", "categories"), "dim")
+            narrow = asked.select("dim", "prompt")
+            if "cache_path" in options:
+                replies = semantic_map(narrow, "prompt", responder, **options)
+            else:
+                replies = call_model(narrow, "prompt", responder, **options)
+            asked = replies.join(now.select("dim", "round", "categories"), "dim")
         read = asked.withColumn("_answer", answer).withColumn("response_ok", is_answer(v))
-        read.select(*result).write.parquet(f"{path}/round={r}")
-    return spark.read.schema(schema + ", round bigint").parquet(path)
+        read.select(*result).write.parquet(f"{path}/r={r}")
+    return spark.read.schema(schema).parquet(path).drop("r")
 
 
 def taxonomy_rows(rounds: DataFrame, limit_cats: int = LIMIT_CATS) -> DataFrame:

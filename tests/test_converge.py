@@ -106,6 +106,22 @@ def test_failed_round_keeps_the_list(spark):
     assert [r.name for r in c.taxonomy_rows(rounds).collect()] == ["A"]
 
 
+def test_rounds_that_broke_off_find_their_answers(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def answer(prompts):
+        calls.add(len(prompts))
+        return [json.dumps({"refined_categories": [{"name": "A"}], "mapping": {"l1": "A"}})] * len(prompts)
+
+    rows = [("D", i, f"l{i}", "") for i in range(1, 4)] + [("E", 1, "x", "")]
+    opts = {"chunk_size": 1, "qps": 0, "cache_path": str(tmp_path / "answers")}
+    first = c.converge(labels_frame(spark, rows), answer, **opts)
+    assert calls.value == 4
+    second = c.converge(labels_frame(spark, rows), answer, **opts)
+    assert calls.value == 4
+    assert [sorted(map(str, t.collect())) for t in first] == [sorted(map(str, t.collect())) for t in second]
+
+
 def test_nothing_to_converge(spark):
     labels = labels_frame(spark, [("D", 1, "x", "")])
     taxonomy, mapping = c.converge(labels, F.lit("{}"), dims="unknown")
