@@ -73,14 +73,18 @@ MET = "list_sort(list_intersect(list_distinct(regexp_extract_all(lower(abstract)
 
 def score_responder() -> Column:
     """Terms of the topic met in the abstract; the reason holds the prompt's hash."""
-    met = met_terms()
-    return F.to_json(
-        F.struct(
-            F.least(F.lit(5), F.size(met) + 1).alias("score"),
-            F.concat(F.lit("prompt "), F.md5("prompt")).alias("reason"),
-            met.alias("keywords"),
+
+    def answer(met: Column) -> Column:
+        return F.to_json(
+            F.struct(
+                F.least(F.lit(5), F.size(met) + 1).alias("score"),
+                F.concat(F.lit("prompt "), F.md5("prompt")).alias("reason"),
+                met.alias("keywords"),
+            )
         )
-    )
+
+    # a list of one binds the terms to a name, so that they are looked for once
+    return F.get(F.transform(F.array(met_terms()), answer), F.lit(0))
 
 
 SCORE = f"least(5, 1 + len({MET}))"
