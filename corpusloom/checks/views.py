@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import keyword_fallback, paper_text
+from corpusloom.operators.layout import spread
 
 TOPIC = "history of the printed book"
 # terms that make up the lexical stand-in score
@@ -29,7 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents")).select(
         (F.col("doc_id") + 1).alias("paper_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.text import check_names, quoted
+from corpusloom.operators.layout import spread
 from corpusloom.operators.lookup import lookup
 from corpusloom.operators.scratch import settle
 
@@ -252,6 +253,7 @@ def load_papers(
         }
         tables.append(frame.select(*[quoted(c) for c in frame.columns if c not in roles], *[c.alias(n) for n, c in roles.items()]))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    union = spread(union)
     if all("paper_id" in layout.names for layout in per_layout):
         return settle(union.withColumn("paper_id", F.col("paper_id").cast("long")).drop("_row"), "papers")
     return number_by_file(settle(union.drop("paper_id"), "papers"))

@@ -11,6 +11,7 @@ from corpusloom.checks import views as v
 from corpusloom.checks import converge as queries
 from corpusloom.functions import text
 from corpusloom.operators.ask import call_model
+from corpusloom.operators.layout import spread
 from corpusloom.operators.scratch import settle
 from corpusloom.plans import converge, relevance
 from corpusloom.plans.common import cap_papers
@@ -26,7 +27,7 @@ def plan(df) -> str:
 
 
 def test_scores_need_no_shuffle(spark):
-    p = v.papers(spark, DATA)
+    p = settle(v.papers(spark, DATA), "papers")
     scored = relevance.score_papers(p, "t", "c", v.text_column(p), v.score_responder())
     assert "Exchange" not in plan(scored.where("passed").select("paper_id", "score"))
 
@@ -83,3 +84,10 @@ def test_cap_is_a_filter_on_the_scan(spark):
     gaps = settle(p.where("paper_id % 3 = 0"), "papers")
     assert sorted(r.paper_id for r in cap_papers(gaps, 4).collect()) == [3, 6, 9, 12]
     assert cap_papers(gaps, 10_000).count() == gaps.count() and cap_papers(gaps, 0) is gaps
+
+
+def test_only_few_files_are_spread(spark, tmp_path):
+    spark.range(100).repartition(6).write.parquet(str(tmp_path / "many"))
+    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
+    assert "Exchange" not in plan(spread(spark.read.parquet(str(tmp_path / "many"))))
+    assert "RoundRobinPartitioning(4)" in plan(spread(spark.read.parquet(str(tmp_path / "one"))))
