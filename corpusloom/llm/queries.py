@@ -2,15 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import simhash
+from corpusloom.llm import language, mixing, packing, placement, rules, simhash, substrings, warc, winnow
 from corpusloom.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op2_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.repeats(table(spark, d, "documents"))
+
+
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages"))
+
+
+def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
+    placed = placement.place(table(spark, d, "documents"), placement.shard_names())
+    return placed.select("doc_id", "slot", "shard")
+
+
+def op6_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return winnow.edited_fingerprints(table(spark, d, "documents"))
+
+
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return rules.judge(table(spark, d, "documents"))
+
+
+def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"))
+
+
+def op10_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), TOKENIZER)
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_simhash, op2_substring_dedup, op3_warc, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
+        op9_mixing, op10_packing,
+    )
+}
+ORACLES = {
+    "op3_warc": warc.ORACLE,
+    "op5_sharding": placement.oracle(placement.shard_names()),
+    "op8_quality_rules": rules.oracle(),
+    "op9_mixing": mixing.oracle(),
+}

@@ -16,9 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import attach, batches, parts, rows_of, utf8
+from corpusloom.functions.text import quoted
+from corpusloom.llm.common import attach, batches, rows_of, utf8
 from corpusloom.llm.components import components
 from corpusloom.operators.scratch import settle
 
@@ -71,15 +72,24 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row; a text without words, null included, has fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, tag, fp long) for every row; a text without words, null included, has fingerprint zero.
+
+    The tag, a hash of the text, tells apart rows that repeat an id.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield from batches(((i, fingerprint(t, shingle)) for i, t in rows_of(batch, "doc_id", "text")), schema)
+            yield from batches(
+                ((i, g, fingerprint(t, shingle)) for i, g, t in rows_of(batch, "doc_id", "tag", "text")), schema
+            )
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag_of(F.col(text_col)), utf8(F.col(text_col)).alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, tag long, fp long")
+
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+def tag_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).alias("tag")
 
 
 def linked(fps: np.ndarray, triple: int, left: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -170,10 +180,15 @@ def near_duplicates(
     without words share fingerprint zero.  Repeated rows come back as often as given.  A row whose
     id is null has nothing to link by: it gets its fingerprint and a null component.
     """
+    return _classes(docs, shingle, distance, id_col, text_col).drop("tag")
+
+
+def _classes(docs: DataFrame, shingle: int, distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     each = settle(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     prints = settle(
         each.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "prints"
     )
+    # an id with several texts may stand for several prints: their links run through the id
     found = settle(links(prints.select("fp", "rep"), distance), "near")
     roots = components(found)
     classes = prints.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -182,6 +197,7 @@ def near_duplicates(
     out = attach(each, classes, "fp", prints.select("fp", "n"))
     return out.select(
         "doc_id",
+        "tag",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
@@ -193,15 +209,19 @@ def distinct_documents(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     Of rows that repeat this id, the first by text, then by the other columns, stays.  Rows
     without an id stay, as nothing tells them apart from others.
     """
-    classes = near_duplicates(docs, shingle, distance).where("doc_id IS NOT NULL")
     stays = settle(
-        classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "stays"
+        _classes(docs, shingle, distance).where("doc_id = component_id").groupBy("doc_id", "tag").agg(F.count("*").alias("_n")),
+        "stays",
+    )
+    again = settle(stays.groupBy("doc_id").agg(F.sum("_n").alias("_n")).where("_n > 1").select("doc_id"), "again")
+    named = docs.where("doc_id IS NOT NULL")
+    kept = named.join(
+        stays, (named["doc_id"] == stays["doc_id"]) & (tag_of(named["text"]) == stays["tag"]), "left_semi"
     )
-    again = stays.where("_n > 1")
-    kept = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi")
     nameless = docs.where("doc_id IS NULL")
     if again.isEmpty():
-        return kept.unionByName(nameless).select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in docs.columns])
-    first = kept.join(again, "doc_id", "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    return kept.join(again, "doc_id", "left_anti").unionByName(first).unionByName(nameless).select(*docs.columns)
+        return kept.unionByName(nameless)
+    order = Window.partitionBy("doc_id").orderBy(*[quoted(c).asc_nulls_first() for c in ("text", *docs.columns)])
+    place = "_place" + "_" * max(map(len, docs.columns))
+    first = kept.join(again, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+    return kept.join(again, "doc_id", "left_anti").unionByName(first).unionByName(nameless).select(*[quoted(c) for c in docs.columns])
