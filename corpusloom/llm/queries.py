@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, mixing, packing, placement, rules, simhash, substrings, warc, winnow
+from corpusloom.llm import language, mixing, packing, perplexity, placement, rules, simhash, substrings, warc, winnow
 from corpusloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(table(spark, d, "pages"))
 
 
+def op4_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    return perplexity.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op5_sharding(spark: SparkSession, d: str) -> DataFrame:
     placed = placement.place(table(spark, d, "documents"), placement.shard_names())
     return placed.select("doc_id", "slot", "shard")
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_simhash, op2_substring_dedup, op3_warc, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
+        op1_simhash, op2_substring_dedup, op3_warc, op4_kneser_ney, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
         op9_mixing, op10_packing,
     )
 }
