@@ -349,7 +349,7 @@ class WarcReader(DataSourceReader):
                 held = 0
             groups[-1].files.append(x.path)
             held += x.size
-        return groups
+        return groups or [FileGroup([])]
 
     def read(self, partition: FileGroup) -> Iterator[tuple]:
         store, _ = _store(self.path)

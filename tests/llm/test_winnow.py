@@ -50,10 +50,12 @@ def test_edited(spark, rows):
     found = winnow.edited_fingerprints(fixtures.frame(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == expected(rows)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
-    prints = {}
+    texts = {r[0]: r[1] or "" for r in rows if r[0] != 4}
+    prints: dict = {}
     for r in found:
-        prints.setdefault(r.fingerprint, set()).add(r.n_chars)
-    assert all(len(v) == 1 for v in prints.values())
+        if r.doc_id in texts:
+            prints.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
+    assert all(len(v) == 1 for t, v in prints.items() if t != texts.get(None))
 
 
 def test_rows(spark):
