@@ -12,11 +12,11 @@ from corpusloom.plans import classify as c
 from corpusloom.sources import documents, exports, sinks
 
 
-def _categories(spark: SparkSession, d: str) -> DataFrame:
-    """The sources met in the documents, as the user's categories; one is left out."""
+def _categories(spark: SparkSession, d: str, without: str = "src3") -> DataFrame:
+    """The sources met in the documents, as the user's categories; one may be left out."""
     names = v.table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
     pos = F.row_number().over(Window.orderBy("name")).cast("long") - 1
-    return names.where("name <> 'src3'").select(pos.alias("pos"), "name", F.lit(None).cast("string").alias("definition"))
+    return names.where(F.col("name") != without).select(pos.alias("pos"), "name", F.lit(None).cast("string").alias("definition"))
 
 
 CATEGORIES = """categories AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, source AS name
@@ -34,7 +34,7 @@ def schema_inline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_text(spark: SparkSession, d: str) -> DataFrame:
-    return documents.schema_text(_categories(spark, d))
+    return documents.schema_text(_categories(spark, d, without=""))
 
 
 def schema_defined(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,8 @@ ORACLES = {
         string_split(source || ',' || lang || ',' || title, ','), lambda x: trim(x, {v.BLANKS})), lambda x: x <> '') AS items
         FROM (SELECT doc_id + 1 AS paper_id, source, lang, split_part(text, chr(10), 1) AS title FROM documents))
       SELECT paper_id, unnest(range(len(items))) AS pos, unnest(items) AS name FROM l""",
-    "schema_text": f"WITH {CATEGORIES} SELECT string_agg('- ' || name, chr(10) ORDER BY pos) AS schema_text FROM categories",
+    "schema_text": f"""WITH categories AS (SELECT row_number() OVER (ORDER BY source) - 1 AS pos, source AS name
+      FROM (SELECT DISTINCT source FROM documents)) SELECT string_agg('- ' || name, chr(10) ORDER BY pos) AS schema_text FROM categories""",
     "schema_defined": """WITH s AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
       SELECT '{' || chr(10) || string_agg('  "' || lang || '" : "' || n || ' papers"', ',' || chr(10) ORDER BY lang)
         || chr(10) || '}' AS schema_text FROM s""",

@@ -9,7 +9,7 @@ from corpusloom.functions import prompts
 from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import converge as c
 from corpusloom.plans import explore as x
-from corpusloom.plans import quality
+from corpusloom.plans import flows, quality
 from corpusloom.sources import documents, exports, sinks
 
 # ---- explore ---------------------------------------------------------------
@@ -79,6 +79,35 @@ def _flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return labels, counts, mapping, v.letter_taxonomy(mapping)
 
 
+def draft_file(spark: SparkSession, d: str) -> DataFrame:
+    """Draft as one indented JSON object per file, a file for each dimension, read back."""
+    path = new_path(spark, "draft")
+    items = F.sort_array(F.collect_list(F.struct("paper_id", "category", "reason")))
+    whole = _explored(spark, d).groupBy("dim").agg(items.alias("items"))
+    whole.select("dim", F.to_json(F.create_map("dim", "items"), {"pretty": "true"}).alias("value")).write.partitionBy("dim").text(path)
+    return documents.read_draft(spark, path).select("dim", "pos", "paper_id", "category", "reason")
+
+
+def converge_flow(spark: SparkSession, d: str) -> DataFrame:
+    """From a draft that labels every paper twice to labelled papers, in two runs over one export.
+
+    The model fails throughout, so the last raw label of a paper is its final one.
+    """
+    path = new_path(spark, "flow")
+    early = F.struct("paper_id", F.concat(F.lit("zz "), "category").alias("category"), F.lit("first").alias("reason"))
+    late = F.struct("paper_id", "category", "reason")
+    lines = v.labels(spark, d).select(F.to_json(F.create_map("dim", F.array(early, late))).alias("value"))
+    lines.write.text(f"{path}/draft")
+    papers = v.papers(spark, d).select("paper_id", F.col("title").alias("paper_title"))
+    nothing = F.lit(None).cast("string")
+    for dims in ("Source", "Lead"):
+        flows.converge(
+            spark, f"{path}/draft", f"{path}/taxonomy.json", nothing, dims=dims, papers=papers, output_papers=f"{path}/labelled.csv"
+        )
+    out = flows.labelled_export(spark, f"{path}/labelled.csv")
+    return out.select("paper_id", *[n for dim in ("Source", "Lead") for n in c.label_columns(dim)])
+
+
 def select_dims(spark: SparkSession, d: str) -> DataFrame:
     chosen = c.select_dims(v.labels(spark, d), "Lead, Unknown ,Source")
     return chosen.groupBy("dim").agg(F.count("*").alias("n"))
@@ -163,8 +192,11 @@ def label_papers_bucketed(spark: SparkSession, d: str) -> DataFrame:
     wide = c.label_pivot(c.final_labels(_explored(spark, d), mapping), ["Source"])
     path = new_path(spark, "bucketed")
     rows = v.papers(spark, d).select("paper_id", "title")
-    papers = sinks.bucket_papers(rows, "papers_" + path[-32:], path, buckets=8)
-    return c.label_papers(papers, wide)
+    name = "papers_" + path[-32:]
+    papers = sinks.bucket_papers(rows, name, path, buckets=8)
+    labelled = settle(c.label_papers(papers, wide), "labelled")
+    spark.sql(f"DROP TABLE {name}")
+    return labelled
 
 
 def label_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +240,7 @@ def taxonomy_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 def taxonomy_scan(spark: SparkSession, d: str) -> DataFrame:
     """Taxonomy as JSON documents, read back."""
-    docs = c.cap_categories(_flat(spark, d)[3], 10).drop("typical_cases").withColumn("typical_cases", F.array("name"))
+    docs = _flat(spark, d)[3].drop("typical_cases").withColumn("typical_cases", F.array("name"))
     back = documents.parse_taxonomies(documents.taxonomy_documents(docs))
     return back.select(
         "dim", "grp", "pos", "name", "definition", F.array_join("keywords", "; ").alias("keywords"), F.array_join("typical_cases", "; ").alias("cases")
@@ -276,7 +308,7 @@ def contract_unique(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        explore_labels, explore_dims, max_papers, draft_export, draft_scan, select_dims, label_counts, label_rank,
+        explore_labels, explore_dims, max_papers, draft_export, draft_scan, draft_file, converge_flow, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
         taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers, label_papers_bucketed,
         label_merge, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
@@ -328,6 +360,12 @@ ORACLES = {
       docs AS (SELECT dim, block, '{{"' || dim || '":[' || body || ']}}' AS document FROM items)
       SELECT dim, block, length(document) AS chars, md5(document) AS digest FROM docs""",
     "draft_scan": f"WITH {EXPLORED} SELECT * FROM explored",
+    "draft_file": f"WITH {EXPLORED} SELECT * FROM explored",
+    "converge_flow": f"""WITH {v.LABELS}, finals AS (SELECT *, category AS final FROM labelled),
+      wide AS ({_pivot(['Source', 'Lead'])})
+      SELECT paper_id, nullif(Source_raw_category, '') AS Source_raw_category, nullif(Source_category, '') AS Source_category,
+        nullif(Source_reason, '') AS Source_reason, nullif(Lead_raw_category, '') AS Lead_raw_category,
+        nullif(Lead_category, '') AS Lead_category, nullif(Lead_reason, '') AS Lead_reason FROM wide""",
     "select_dims": f"WITH {v.LABELS} SELECT dim, count(*) AS n FROM labelled WHERE dim IN ('Lead', 'Source') GROUP BY dim",
     "label_counts": f"WITH {v.LABELS}, {v.COUNTS} SELECT * FROM counts",
     "label_rank": f"WITH {v.LABELS}, {v.COUNTS} SELECT * FROM ranked",
@@ -365,7 +403,7 @@ ORACLES = {
     "taxonomy_partitions": f"""WITH {v.FLAT} SELECT dim, pos, name, CASE dim WHEN 'Lead' THEN definition ELSE 'new' END AS definition
       FROM taxonomy""",
     "taxonomy_scan": f"""WITH {v.FLAT} SELECT dim, grp, pos, name, definition, name || '; initial' AS keywords, name AS cases
-      FROM taxonomy WHERE pos < 10""",
+      FROM taxonomy""",
     "mapping_cascade": f"""WITH {v.FLAT}, moved AS (SELECT dim, name AS label, name || '*' AS final FROM taxonomy WHERE pos % 2 = 0
         UNION ALL SELECT dim, category, 'rare' FROM counts WHERE n = 1),
       hopped AS (SELECT o.dim, o.label, coalesce(m.final, o.final) AS final FROM mapping o

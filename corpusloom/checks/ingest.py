@@ -59,7 +59,7 @@ def _write(df: DataFrame, path: str, sep: str = ",", suffix: str = "csv") -> Non
 
 
 def _export(spark: SparkSession, d: str, path: str) -> None:
-    """Documents by language in four layouts, ordered by id inside one file each."""
+    """Documents by language in four layouts, in files of ascending ids."""
     p = v.papers(spark, d)
     missing = F.when(F.col("paper_id") % 9 == 0, "NA").when(F.col("paper_id") % 9 == 1, "n/a")
     keywords = F.coalesce(missing, F.col("keywords"))
@@ -72,7 +72,9 @@ def _export(spark: SparkSession, d: str, path: str) -> None:
     for lang, (suffix, sep, names) in layouts.items():
         rows = p.where(F.col("lang") == lang) if lang != "rest" else p.where(~F.col("lang").isin([k for k in layouts if k != "rest"]))
         cells = [F.col("title"), F.col("abstract"), keywords, F.col("paper_id").cast("string")]
-        ordered = rows.orderBy("paper_id").coalesce(1).select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+        # a file per range of ids, in path order
+        ranged = rows.repartitionByRange("paper_id").sortWithinPartitions("paper_id")
+        ordered = ranged.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
         _write(ordered, f"{path}/{lang}", sep, suffix)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.checks import views as v
 from corpusloom.functions import prompts
 from corpusloom.operators.scratch import new_path, settle
-from corpusloom.plans import translate as t
-from corpusloom.sources import exports, sinks
+from corpusloom.plans import flows, translate as t
+from corpusloom.sources import documents, exports, sinks
 
 COLUMNS = "title, abstract, lang, missing"
 
@@ -116,11 +116,19 @@ def translate_draft(spark: SparkSession, d: str) -> DataFrame:
     return t.translate_draft(v.labels(spark, d), _leaf_responder()).select("dim", "paper_id", "category", "reason")
 
 
+def translate_draft_file(spark: SparkSession, d: str) -> DataFrame:
+    """A draft file through the translate flow, which tells it from a taxonomy by its shape."""
+    path = new_path(spark, "draft")
+    documents.write_draft(v.labels(spark, d), f"{path}/draft.json")
+    flows.translate_file(spark, f"{path}/draft.json", f"{path}/out", _leaf_responder())
+    return documents.read_draft(spark, f"{path}/out").select("dim", "paper_id", "category", "reason")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         distinct_texts, batch_size, batch_size_tables, translate_batches, translate_prompts, translate_map,
-        translate_apply, translate_apply_spread, translated_csv, translate_taxonomy, translate_draft,
+        translate_apply, translate_apply_spread, translated_csv, translate_taxonomy, translate_draft, translate_draft_file,
     )
 }
 
@@ -176,5 +184,6 @@ ORACLES = {
       md5('[en] ' || text) AS digest FROM conversations""",
     "translate_taxonomy": f"""WITH {v.FLAT} SELECT dim, grp, pos, {_LEAF.format('name')} AS name, {_LEAF.format('definition')} AS definition,
       'fr:same first letter' AS judgment_suggestions, {_LEAF.format('name')} || '; fr:initial' AS keywords FROM taxonomy""",
+    "translate_draft_file": f"WITH {v.LABELS} SELECT dim, paper_id, {_LEAF.format('category')} AS category, {_LEAF.format('reason')} AS reason FROM labelled",
     "translate_draft": f"WITH {v.LABELS} SELECT dim, paper_id, {_LEAF.format('category')} AS category, {_LEAF.format('reason')} AS reason FROM labelled",
 }

@@ -180,7 +180,7 @@ MAPPING = """mapping AS (SELECT dim, category AS label, substr(category, 1, 1) |
 
 
 def letter_taxonomy(mapping: DataFrame) -> DataFrame:
-    """Categories of first_letter_mapping in alphabetical order, ten at most per dimension."""
+    """Categories of first_letter_mapping in alphabetical order, numbered per dimension."""
     from pyspark.sql import Window
 
     pos = F.row_number().over(Window.partitionBy("dim").orderBy("name")).cast("long") - 1

@@ -11,7 +11,11 @@ a task would send them twice.
 
 from __future__ import annotations
 
+import json
+import math
+import time
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -19,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.responses import is_answer, parsed
 from corpusloom.operators.lookup import HOT_ROWS, lookup
+from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import new_path, settle
 
 Responder = Callable[[list[str]], list[str | None]] | Column
 
 RESULT = "response string, attempts int, error string"
-MAX_COMMITS = 1000
+#: Answers by the hash of a tag, so that flows that share a cache read their own only.
+CACHE = "request_hash string, response string, attempts int, error string, tag_hash string"
 
 
 def once(responder: Column) -> Column:
@@ -37,6 +43,20 @@ def once(responder: Column) -> Column:
     return F.coalesce(responder, never)
 
 
+def _plain_json(reply: str) -> str:
+    """The reply, written anew only where an object names something twice: the last value counts."""
+    twice = []
+
+    def pairs(items: list) -> dict:
+        out = dict(items)
+        if len(out) < len(items):
+            twice.append(True)
+        return out
+
+    value = json.loads(reply, object_pairs_hook=pairs)
+    return json.dumps(value, ensure_ascii=False) if twice else reply
+
+
 def call_model(
     df: DataFrame,
     prompt: str,
@@ -48,32 +68,39 @@ def call_model(
     max_attempts: int = 3,
     backoff_s: float = 1.0,
     batch: int = 1,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add response, attempts, error; one request per row, rows never get lost.
 
-    ``concurrency`` partitions pace themselves at ``qps / concurrency`` requests a
-    second each (``qps <= 0``: no pacing); retries wait ``backoff_s`` instead.  With
-    ``parse="json"`` a response that is no JSON counts as a failed attempt.  After
-    ``max_attempts`` the response is null and ``error`` says why.
+    Requests go out on a grid of ``qps`` a second that all tasks share: task i takes every
+    ``concurrency``-th place from its own on, and a place that passed unused is left out
+    (``qps <= 0``: no pacing).  Clocks of driver and executors have to agree.  Retries wait
+    ``backoff_s`` instead.  With ``parse="json"`` a response that is no JSON counts as a
+    failed attempt; names given twice in it keep their last value.  After ``max_attempts``
+    the response is null and ``error`` says why.
     """
-    pause = batch * concurrency / qps if qps > 0 else 0.0
+    tasks = max(1, min(concurrency, rows)) if rows is not None else concurrency
+    step = batch / qps if qps > 0 else 0.0
     want_json = parse == "json"
     prompt_col = prompt
+    # all requests of earlier calls lie before now
+    start = time.time() + step
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        import time
+        from pyspark import TaskContext
 
-        next_time = 0.0
+        place = TaskContext.get().partitionId()
         for frame in frames:
             prompts = frame[prompt_col].tolist()
             responses: list = [None] * len(prompts)
             attempts = [0] * len(prompts)
             errors: list = [None] * len(prompts)
             for first in range(0, len(prompts), batch):
-                if pause:
-                    time.sleep(max(0.0, next_time - time.monotonic()))
-                    next_time = max(next_time, time.monotonic()) + pause
+                if step:
+                    passed = math.ceil((time.time() - start) / step - place)
+                    place += max(0, -(-passed // tasks)) * tasks
+                    time.sleep(max(0.0, start + place * step - time.time()))
+                    place += tasks
                 open_rows = list(range(first, min(first + batch, len(prompts))))
                 for attempt in range(1, max_attempts + 1):
                     try:
@@ -90,7 +117,7 @@ def call_model(
                             reason = "no response"
                         if reply is not None and want_json:
                             try:
-                                json.loads(reply)
+                                reply = _plain_json(reply)
                             except ValueError as e:
                                 reason = f"not JSON: {e}"
                         errors[i] = reason
@@ -106,12 +133,13 @@ def call_model(
             yield frame.assign(response=responses, attempts=attempts, error=errors)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.repartition(concurrency).mapInPandas(answer, f"{fields}, {RESULT}")
+    return df.repartition(tasks).mapInPandas(answer, f"{fields}, {RESULT}")
 
 
-def _answered(spark: SparkSession, path: str) -> DataFrame | None:
+def _answered(spark: SparkSession, path: str, tag_hash: str) -> DataFrame | None:
+    """Cached answers of one tag: a single folder of the cache."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(CACHE).parquet(path).where(F.col("tag_hash") == tag_hash)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -134,8 +162,8 @@ def semantic_map(
     Equal prompts are sent once.  ``cache_path`` keeps the answers for later runs
     (``tag`` should name model and temperature); failures are sent again next time.
     Answers are committed every ``commit_every`` requests, so a lost driver costs at
-    most that many calls.  Pass a narrow frame (an id and the prompt): nothing can
-    be pushed down below a Python call.
+    most that many calls.  ``df`` is computed once.  Pass a narrow frame (an id and the
+    prompt): nothing can be pushed down below a Python call.
     """
     if isinstance(responder, Column):
         return df.withColumns(
@@ -143,32 +171,45 @@ def semantic_map(
         ).drop(prompt)
     spark = df.sparkSession
     path = cache_path or new_path(spark, "answers")
-    keyed = df.withColumn("request_hash", F.sha2(F.concat(F.lit(tag + "\x1f"), F.col(prompt)), 256))
-    # wide enough to bound the calls lost with a driver, few enough to stay listable
-    commits = min(MAX_COMMITS, max(1, -(-df.count() // commit_every)))
-    requests = settle(
-        keyed.groupBy("request_hash", F.col(prompt).alias("_prompt"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("_commit", F.pmod(F.xxhash64("request_hash"), F.lit(commits)).cast("int"))
-        # a commit then reads its own row groups; folders per commit would mean tiny files
-        .sortWithinPartitions("_commit"),
-        "requests",
+    tag_hash = md5(tag.encode()).hexdigest()
+    keyed = settle(
+        df.withColumn("request_hash", F.sha2(F.concat(F.lit(tag + "\x1f"), F.col(prompt)), 256)), "asked"
     )
-    known = _answered(spark, path)
-    pending = requests
+    # by the hash alone: prompts are carried, not compared
+    counted = keyed.groupBy("request_hash").agg(F.count("*").alias("n"), F.first(prompt).alias("_prompt"))
+    counted = settle(counted.where(F.col("request_hash").isNotNull()), "requests")
+    requests = counted.select("request_hash", "n")
+    known = _answered(spark, path, tag_hash)
+    pending = counted.select("request_hash", "_prompt")
     if known is not None:
-        pending = requests.join(known.where("response IS NOT NULL").select("request_hash"), "request_hash", "left_anti")
-    for commit in range(commits):
-        share = pending.where(F.col("_commit") == commit).select("request_hash", "_prompt")
-        call_model(share, "_prompt", responder, **options).drop("_prompt").write.mode("append").parquet(path)
+        pending = pending.join(known.where("response IS NOT NULL").select("request_hash"), "request_hash", "left_anti")
+    pending = settle(pending, "pending")
+    left = pending.count()
+    if left > commit_every:
+        # numbered once, so that every commit holds exactly its share
+        share = F.call_function("div", F.col("_at"), F.lit(commit_every))
+        pending = settle(
+            number_rows(pending, [F.col("request_hash")], name="_at", start=0).withColumn("_commit", share)
+            .sortWithinPartitions("_commit"),
+            "commits",
+        )
+    for commit in range(-(-left // commit_every)):
+        part = pending.where(F.col("_commit") == commit) if left > commit_every else pending
+        size = min(commit_every, left - commit * commit_every)
+        answers = call_model(part.select("request_hash", "_prompt"), "_prompt", responder, rows=size, **options).drop("_prompt")
+        answers.withColumn("tag_hash", F.lit(tag_hash)).write.mode("append").partitionBy("tag_hash").parquet(path)
     best = F.max(F.struct(F.col("response").isNotNull().alias("ok"), "response", "attempts", "error"))
+    found = _answered(spark, path, tag_hash)
+    if found is None:
+        found = spark.createDataFrame([], CACHE)
     answers = (
-        spark.read.parquet(path)
+        # of a cache that holds other runs' answers too, only those asked for are combined
+        found.join(requests.select("request_hash"), "request_hash", "left_semi")
         .groupBy("request_hash")
         .agg(best.alias("a"))
         .select("request_hash", "a.response", "a.attempts", "a.error")
     )
-    joined = lookup(keyed.drop(prompt), answers, ["request_hash"], requests.select("request_hash", "n"), hot_rows)
+    joined = lookup(keyed.drop(prompt), answers, ["request_hash"], requests, hot_rows)
     return joined.drop("request_hash")
 
 

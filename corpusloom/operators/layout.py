@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores when the input has fewer files than cores.
+    """Rows dealt out over all cores when the scan has fewer splits than cores.
 
-    A file that cannot be split (quoted CSV) or holds one row group is one task,
-    and so is everything after it.  Tables of many files are left as they are.
+    An unsplittable file (quoted CSV) or one small row group is one task, and so is
+    everything after it.  Scans of many splits are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

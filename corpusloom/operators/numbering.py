@@ -62,6 +62,21 @@ def number_rows(
     return ordered.join(firsts, same).select(*[quoted(c) for c in df.columns], number.alias(name))
 
 
+def running_sums(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before, by the unique column ``order``.
+
+    Sums run inside ranges of the order; one row per range is added up on top.
+    """
+    part = F.shiftright(F.monotonically_increasing_id(), ROW_BITS)
+    ordered = settle(df.repartitionByRange(quoted(order)).withColumn("_part", part), "ranged")
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    above = ordered.groupBy(F.col("_part").alias("_p")).agg(F.sum(amount).alias("_s")).withColumn("_b", F.sum("_s").over(earlier))
+    inside = Window.partitionBy("_part").orderBy(quoted(order)).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum(amount).over(inside), F.lit(0)) + F.coalesce("_b", F.lit(0))
+    joined = ordered.join(above, F.col("_part") == F.col("_p"))
+    return joined.select(*[quoted(c) for c in df.columns], total.cast("long").alias(name))
+
+
 def assign_paper_ids(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """1-based ``paper_id`` in the order of the named columns, to be written with the papers.
 

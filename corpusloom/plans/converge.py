@@ -99,7 +99,7 @@ def converge_rounds(
     folder = F.call_function("div", F.col("round"), F.lit(QUEUE_FOLDER))
     chunks.withColumn("folder", folder).repartition("folder").write.partitionBy("folder").parquet(queue)
     queued = StructType([*chunks.schema.fields, StructField("folder", LongType())])
-    last = spark.read.schema(queued).parquet(queue).agg(F.max("round")).head()[0]
+    last, dims = spark.read.schema(queued).parquet(queue).agg(F.max("round"), F.countDistinct("dim")).head()
     schema = (
         f"dim string, response_ok boolean, categories array<{CATEGORY_TYPE}>, mapping map<string,string>, round bigint"
     )
@@ -143,7 +143,7 @@ def converge_rounds(
             if "cache_path" in options:
                 replies = semantic_map(narrow, "prompt", responder, **options)
             else:
-                replies = call_model(narrow, "prompt", responder, **options)
+                replies = call_model(narrow, "prompt", responder, rows=dims, **options)
             asked = replies.join(now.select("dim", "round", "categories"), "dim")
         read = asked.withColumn("_answer", answer).withColumn("response_ok", is_answer(v))
         read.select(*result).write.parquet(f"{path}/r={r}")
@@ -346,11 +346,13 @@ def label_columns(dim: str) -> list[str]:
 def label_pivot(final: DataFrame, dims: list[str]) -> DataFrame:
     """One row per paper: raw label, final label and reason of each dimension.
 
-    One aggregation by paper; when a paper has a dimension twice the last wins.
+    One aggregation by paper; when a paper has a dimension twice the last wins: by ``pos``,
+    and where labels were read from a draft by ``seq``, their place in it.
     """
     check_names(c for d in dims for c in label_columns(d))
+    place = ["seq"] if "seq" in final.columns else []
     per_dim = [
-        F.max(F.when(F.col("dim") == d, F.struct("pos", "category", "final", "reason"))).alias(f"_d{i}")
+        F.max(F.when(F.col("dim") == d, F.struct("pos", *place, "category", "final", "reason"))).alias(f"_d{i}")
         for i, d in enumerate(dims)
     ]
     columns = []

@@ -9,19 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.text import keyword_fallback, paper_text, split_argument
 from corpusloom.operators.ask import Responder
-from corpusloom.operators.scratch import settle
+from corpusloom.operators.scratch import file_system, settle, swap
 from corpusloom.plans import classify as classes
 from corpusloom.plans import converge as conv
 from corpusloom.plans import explore as expl
 from corpusloom.plans import relevance, translate
 from corpusloom.sources import documents, sinks
-from corpusloom.sources.exports import load_papers
+from corpusloom.sources.exports import load_papers, read_table
 
 Papers = str | list[str] | DataFrame
 
@@ -143,11 +142,14 @@ def converge(
 ) -> DataFrame:
     """The updated taxonomy; other dimensions of ``output_taxonomy`` stay as they are.
 
-    ``output_papers`` is a parquet table with ``paper_id``: when it exists its label
-    columns are updated, otherwise it starts from ``papers``.  Without either of
-    them no papers are written.
+    ``draft`` is a path of JSON lines or of whole JSON files.  ``output_taxonomy`` is a parquet
+    table, or JSON, an object a line, where its name ends so.  ``output_papers``, a parquet table
+    or (``.csv``) an export, has a ``paper_id``: when it exists its label columns are updated,
+    otherwise it starts from ``papers``.  Without either of them no papers are written.
     """
     labels = documents.read_draft(spark, draft) if isinstance(draft, str) else draft
+    # parsed once; each dimension is a folder, so that unwanted ones are not read
+    labels = settle(labels, "labels", by="dim")
     present = [r.dim for r in labels.select("dim").distinct().collect()]  # names of dimensions
     wanted = split_argument(dims)
     processed = [d for d in wanted if d in present] if wanted else sorted(present)
@@ -167,24 +169,42 @@ def converge(
         output_lang=output_lang,
         **options,
     )
-    old = documents.read_table_or_empty(spark, output_taxonomy, documents.TAXONOMY)
     done = spark.createDataFrame([(d,) for d in processed], "dim string")
-    updated = sinks.replace_table(conv.taxonomy_upsert(old, taxonomy, done), output_taxonomy)
+    if output_taxonomy.lower().endswith(".json"):
+        old = documents.read_taxonomy_json(spark, output_taxonomy)
+        updated = settle(conv.taxonomy_upsert(old, taxonomy, done), "taxonomy")
+        lines = documents.taxonomy_documents(updated).select("document")
+        swap(lines, output_taxonomy, lambda d, path: d.write.text(path))
+    else:
+        old = documents.read_table_or_empty(spark, output_taxonomy, documents.TAXONOMY)
+        updated = sinks.replace_table(conv.taxonomy_upsert(old, taxonomy, done), output_taxonomy)
     if output_papers:
-        try:
-            base = spark.read.parquet(output_papers)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            base = papers
+        as_csv = output_papers.lower().endswith(".csv")
+        base = papers
+        store, at = file_system(spark, output_papers)
+        if store.exists(at):
+            base = labelled_export(spark, output_papers) if as_csv else spark.read.parquet(output_papers)
         if base is not None:
             chosen = conv.select_dims(labels, processed)
             counts = settle(conv.label_counts(chosen), "label_counts")
             wide = conv.label_pivot(conv.final_labels(chosen, mapping, counts), processed)
-            sinks.replace_table(conv.label_merge(base, wide, processed), output_papers)
+            merged = conv.label_merge(base, wide, processed)
+            if as_csv:
+                swap(merged, output_papers, sinks.write_csv)
+            else:
+                swap(merged, output_papers)
     return updated
 
 
+def labelled_export(spark: SparkSession, path: str) -> DataFrame:
+    """Papers of an earlier converge run: a CSV file or a folder of them, with their ids."""
+    store, at = file_system(spark, path)
+    table = read_table(spark, f"{path.rstrip('/')}/*.csv" if store.getFileStatus(at).isDirectory() else path)
+    if "paper_id" not in table.columns:
+        raise ValueError(f"no paper_id in {path}")
+    return table.withColumn("paper_id", F.col("paper_id").cast("long"))
+
+
 def translate_file(
     spark: SparkSession,
     papers: Papers,
@@ -195,13 +215,21 @@ def translate_file(
     as_csv: bool = True,
     **options: object,
 ) -> DataFrame:
-    """Translated columns of an export, or all texts of a taxonomy file (.json).
+    """Translated columns of an export, or all texts of a taxonomy or a draft (.json, told by shape).
 
-    Any other file type is refused.
+    Any other file type, JSON of another shape and a path that does not exist are refused.
     """
-    if isinstance(papers, str) and papers.lower().endswith(".json"):
-        taxonomy = documents.read_taxonomy_json(spark, papers)
-        done = settle(translate.translate_taxonomy(taxonomy, responder, target_lang=target_lang, **options), "translated")
+    if isinstance(papers, str) and papers.lower().rstrip("/").endswith(".json"):
+        given = settle(documents.json_documents(spark, papers), "documents")
+        kind = documents.document_kind(given)
+        options = {"target_lang": target_lang, **options}
+        if kind == "draft":
+            labels = settle(documents.draft_labels(given), "labels")
+            done = settle(translate.translate_draft(labels, responder, **options), "translated")
+            documents.write_draft(done, output)
+            return done
+        taxonomy = settle(documents.parse_taxonomies(given), "taxonomy")
+        done = settle(translate.translate_taxonomy(taxonomy, responder, **options), "translated")
         documents.taxonomy_documents(done).select("document").write.mode("overwrite").text(output)
         return done
     if not split_argument(columns):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import prompts
 from corpusloom.functions.responses import with_score
-from corpusloom.operators.ask import Responder, ask, call_model, once
+from corpusloom.operators.ask import Responder, ask, once, semantic_map
 from corpusloom.plans.common import cap_papers, drop_results, refuse_clashes
 
 # Fixed values of the flow.
@@ -83,14 +83,17 @@ def criteria_text(response: Column) -> Column:
 
 
 def discover_criteria(df: DataFrame, topic: str, text: Column, responder: Responder, **options: object) -> str:
-    """One call over the sample; the result enters the scoring prompt as a literal."""
+    """One call over the sample; the result enters the scoring prompt as a literal.
+
+    With a ``cache_path`` a later run finds the criteria again, and so all scores by them.
+    """
     wording = {k: options.pop(k) for k in ("template", "output_lang", "n", "seed") if k in options}
     one = criteria_prompt(df, topic, text, **wording)
     if isinstance(responder, Column):
         answered = one.withColumn("response", once(responder))
     else:
-        options = {k: v for k, v in options.items() if k in ("max_attempts", "backoff_s")}
-        answered = call_model(one.select("prompt"), "prompt", responder, concurrency=1, qps=0, **options)
+        options = {k: v for k, v in options.items() if k in ("max_attempts", "backoff_s", "cache_path", "tag", "qps")}
+        answered = semantic_map(one.select("prompt"), "prompt", responder, concurrency=1, **options)
     return answered.select(criteria_text(F.col("response"))).head()[0]
 
 

@@ -146,26 +146,33 @@ def translate_apply(
     translations: DataFrame,
     counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    row_id: str = "paper_id",
 ) -> DataFrame:
     """Replace texts by their translation; texts without one stay.
 
+    Keys of all columns are joined with the translations at once and brought back to one
+    narrow row per ``row_id``, which is unique, so full rows are moved once at most.
     ``counts`` (texts with n, written) lets very frequent texts be spread.
     """
-    out = df
-    for c in [c for c in split_argument(columns) if c in df.columns]:
-        table = translations.where(F.col("col") == c).select(F.col("key").alias("_key"), "translated")
-        per_key = None
-        if counts is not None:
-            per_key = counts.where(F.col("col") == c).select(text_key(F.col("text")).alias("_key"), "n")
-        keyed = out.withColumn("_key", text_key(quoted(c).cast("string")))
-        joined = lookup(keyed, table, ["_key"], per_key, hot_rows)
-        out = joined.select(
-            *[
-                F.coalesce("translated", quoted(c).cast("string")).alias(c) if name == c else quoted(name)
-                for name in out.columns
-            ]
-        )
-    return out
+    present = [c for c in split_argument(columns) if c in df.columns]
+    if not present:
+        return df
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), text_key(quoted(c).cast("string")).alias("key")) for c in present])
+    keyed = (
+        df.select(F.col(row_id).alias("_id"), F.explode(cells).alias("c"))
+        .select("_id", "c.col", "c.key")
+        .where(F.col("key").isNotNull())
+    )
+    per_key = counts.select("col", text_key(F.col("text")).alias("key"), "n") if counts is not None else None
+    found = lookup(keyed, translations.select("col", "key", "translated"), ["col", "key"], per_key, hot_rows)
+    by_row = (
+        found.where(F.col("translated").isNotNull())
+        .groupBy("_id")
+        .agg(*[F.max(F.when(F.col("col") == c, F.col("translated"))).alias(f"_t{i}") for i, c in enumerate(present)])
+    )
+    new = {c: F.coalesce(f"_t{i}", quoted(c).cast("string")).alias(c) for i, c in enumerate(present)}
+    joined = df.join(by_row, df[row_id] == by_row["_id"], "left")
+    return joined.select(*[new.get(c, df[f"`{c.replace('`', '``')}`"]) for c in df.columns])
 
 
 def translate_columns(
@@ -184,7 +191,7 @@ def translate_columns(
     if not isinstance(responder, Column):
         batches = settle(batches, "batches")
     translations = settle(translate_map(batches, responder, target_lang, **options), "translations", by="col")
-    return translate_apply(df, columns, translations, texts)
+    return translate_apply(df, columns, translations, texts, row_id=row_id)
 
 
 # ---- leaves of JSON documents ------------------------------------------------
@@ -264,5 +271,6 @@ def translate_taxonomy(taxonomy: DataFrame, responder: Responder, **options: obj
 
 
 def translate_draft(labels: DataFrame, responder: Responder, **options: object) -> DataFrame:
-    """The categories and reasons of a draft."""
-    return translate_leaves(labels, ["dim", "pos", "paper_id"], ["category", "reason"], [], responder, **options)
+    """The categories and reasons of a draft; several labels of a paper are told apart by ``seq``."""
+    keys = ["dim", "pos", "paper_id", *(["seq"] if "seq" in labels.columns else [])]
+    return translate_leaves(labels, keys, ["category", "reason"], [], responder, **options)

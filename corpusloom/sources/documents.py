@@ -26,7 +26,8 @@ def draft_documents(labels: DataFrame, block: int = BLOCK) -> DataFrame:
     A dimension may hold a label for every paper, so it is cut by position into
     blocks; every row is a whole draft document of its own.
     """
-    items = F.sort_array(F.collect_list(F.struct("pos", "paper_id", "category", "reason")))
+    place = ["seq"] if "seq" in labels.columns else []
+    items = F.sort_array(F.collect_list(F.struct("pos", *place, "paper_id", "category", "reason")))
     plain = F.transform(
         items, lambda i: F.struct(i["paper_id"].alias("paper_id"), i["category"].alias("category"), i["reason"].alias("reason"))
     )
@@ -37,16 +38,74 @@ def draft_documents(labels: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, document): JSON objects, one a line or one a file, of a path that must exist.
+
+    A file whose first line is no object by itself, as in indented files, is read whole.
+    What is no JSON object either way is refused, naming the file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("document")
+    )
+    lines = lines.where("document <> ''")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("document")).startswith("OBJECT"), F.lit(False))
+    starts = lines.withColumn("ok", is_object).groupBy("file").agg(F.min_by("ok", "line").alias("first"), F.bool_and("ok").alias("all"))
+    odd = starts.where("NOT all").collect()  # files of one object each, and broken ones
+    broken = [r.file for r in odd if r["first"]]
+    if broken:
+        raise ValueError(f"neither a JSON object nor one in every line: {broken[0]}")
+    if not odd:
+        return lines
+    whole_files = [r.file for r in odd]
+    whole = spark.read.text(whole_files, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line"), F.trim("value", F.lit("\r\n\t ")).alias("document")
+    )
+    refused = F.raise_error(F.concat(F.lit("neither a JSON object nor one in every line: "), F.col("file")))
+    checked = F.when(is_object & F.col("document").endswith("}"), F.col("document")).otherwise(refused.cast("string"))
+    return lines.where(~F.col("file").isin(whole_files)).unionByName(whole.withColumn("document", checked))
+
+
+def document_kind(documents: DataFrame) -> str | None:
+    """``taxonomy`` or ``draft`` by the values of the objects; None when they are empty.
+
+    Objects of another shape, or of both, are refused.
+    """
+    spark = documents.sparkSession
+    kinds = (
+        documents.select(F.try_parse_json("document").alias("v"))
+        .lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        .select(F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("kind"))
+        .where("kind <> 'VOID'")
+    )
+    found = {r.kind for r in kinds.distinct().collect()}  # kinds of JSON values
+    if not found:
+        return None
+    if found == {"OBJECT"}:
+        return "taxonomy"
+    if found == {"ARRAY"}:
+        return "draft"
+    raise ValueError(f"neither a taxonomy nor a draft: values of kind {', '.join(sorted(found))}")
+
+
 def parse_drafts(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Labels of draft documents; ``pos`` orders by document, then by place in its list."""
+    """Labels of draft documents; ``_doc`` (``line`` where given) and ``_at`` are their place.
+
+    Texts that hold no draft are refused.
+    """
+    line = F.col("line") if "line" in documents.columns else F.monotonically_increasing_id()
+    file = F.col("file") if "file" in documents.columns else F.lit("")
+    parsed = F.from_json(column, DRAFT_JSON)
+    refused = F.raise_error(F.concat(F.lit("no draft: "), file, F.lit(" "), F.left(column, F.lit(80))))
     return (
         documents.select(
-            F.monotonically_increasing_id().alias("_doc"),
-            F.explode(F.from_json(column, DRAFT_JSON)).alias("dim", "items"),
+            file.alias("_file"),
+            line.alias("_doc"),
+            F.explode(F.when(parsed.isNotNull(), parsed).otherwise(refused.cast(DRAFT_JSON))).alias("dim", "items"),
         )
-        .select("dim", "_doc", F.posexplode("items").alias("_at", "item"))
+        .select("dim", "_file", "_doc", F.posexplode("items").alias("_at", "item"))
         .select(
             "dim",
+            "_file",
             "_doc",
             "_at",
             F.col("item.paper_id").alias("paper_id"),
@@ -63,17 +122,24 @@ def write_draft(labels: DataFrame, path: str, block: int = BLOCK) -> None:
     ).text(path)
 
 
-def read_draft(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Labels from JSON lines, or (``whole_file``) from files holding one object each.
-
-    Rows come in paper order, the order every later step uses.
-    """
-    text = spark.read.text(path, wholetext=whole_file).select(F.col("value").alias("document"))
-    return parse_drafts(text).select(
-        "dim", F.col("paper_id").alias("pos"), "paper_id", "category", "reason"
+def draft_labels(documents: DataFrame) -> DataFrame:
+    """Labels of draft documents in paper order, the order every later step uses; ``seq`` is the
+    place in the draft, which tells the last of several labels of a paper."""
+    return parse_drafts(documents).select(
+        "dim",
+        F.col("paper_id").alias("pos"),
+        "paper_id",
+        "category",
+        "reason",
+        F.struct(F.col("_file").alias("file"), F.col("_doc").alias("line"), F.col("_at").alias("at")).alias("seq"),
     )
 
 
+def read_draft(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a draft: files of JSON lines, or of one JSON object each."""
+    return draft_labels(json_documents(spark, path))
+
+
 # ---- taxonomies: {dim: {"Default": [category]}} -----------------------------
 
 
@@ -123,11 +189,7 @@ def _absent(error: AnalysisException) -> bool:
 def read_taxonomy_json(spark: SparkSession, path: str) -> DataFrame:
     """Taxonomy files of one JSON object, or of one per line; no file gives an empty taxonomy."""
     try:
-        files = spark.read.text(path, wholetext=True)
-        # a first line that is JSON by itself means one object per line
-        lines = F.split(F.trim("value"), "\n")
-        pieces = F.when(F.try_parse_json(F.get(lines, F.lit(0))).isNotNull(), lines).otherwise(F.array("value"))
-        return parse_taxonomies(files.select(F.explode(pieces).alias("document")))
+        return parse_taxonomies(json_documents(spark, path))
     except AnalysisException as e:
         if _absent(e):
             return empty(spark, TAXONOMY)

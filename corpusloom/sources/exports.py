@@ -11,11 +11,12 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import check_names, quoted
 from corpusloom.operators.layout import spread
 from corpusloom.operators.lookup import lookup
+from corpusloom.operators.numbering import running_sums
 from corpusloom.operators.scratch import settle
 
 # Per dialect and role the column names looked for, in order.
@@ -48,7 +49,7 @@ SEPARATORS = {".csv": ",", ".txt": "\t", ".tsv": "\t"}
 
 ROLES = ["title", "abstract", "keywords"]
 HEADERS = "file string, names array<string>, line_end string"
-HEADER_BYTES, HEADER_LIMIT = 64 * 1024, 1024 * 1024
+HEADER_BYTES = 64 * 1024
 ARROW_STORES = {"file", "s3", "s3a", "s3n", "gs", "hdfs", "abfs", "abfss"}
 
 
@@ -56,13 +57,15 @@ ARROW_STORES = {"file", "s3", "s3a", "s3n", "gs", "hdfs", "abfs", "abfss"}
 
 
 def dedup_names(names: Column) -> Column:
-    """Header names made unique: the first keeps its name, later ones get .1, .2, …"""
+    """Header names made unique: the first keeps its name, later ones get the first free of .1, .2, …"""
+    numbers = F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(1)))
 
-    def renamed(name: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(names, F.lit(1), i), lambda other: other == name))
-        return F.when(earlier == 0, name).otherwise(F.concat(name, F.lit("."), earlier.cast("string")))
+    def renamed(done: Column, name: Column) -> Column:
+        tried = F.transform(numbers, lambda n: F.concat(name, F.lit("."), n.cast("string")))
+        free = F.filter(tried, lambda t: ~F.array_contains(done, t) & ~F.array_contains(names, t))
+        return F.array_append(done, F.when(F.array_contains(done, name), F.get(free, F.lit(0))).otherwise(name))
 
-    return F.transform(names, renamed)
+    return F.aggregate(names, F.array().cast("array<string>"), renamed)
 
 
 def detect_source(names: Column, source_type: str = "auto") -> Column:
@@ -181,9 +184,11 @@ def headers_by_arrow(files: DataFrame) -> DataFrame:
                 store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", file))
                 text, record = b"", None
                 with store.open_input_stream(path) as stream:
-                    while record is None and len(text) < HEADER_LIMIT and (block := stream.read(HEADER_BYTES)):
+                    size = HEADER_BYTES
+                    while record is None and (block := stream.read(size)):
                         text += block
                         record = whole.match(text)
+                        size = len(text)  # doubled, so that a long record is not matched over and over
                 # no such end: the file is its header, or a lone quote keeps it open
                 head, end = record.groups() if record else (text.split(b"\n", 1)[0].rstrip(b"\r"), b"\n")
                 sep = "," if file.lower().endswith(".csv") else "\t"
@@ -195,20 +200,28 @@ def headers_by_arrow(files: DataFrame) -> DataFrame:
 
 
 def scan_delimited(
-    spark: SparkSession, files: list[str], names: list[str], sep: str, line_end: str | None = None
+    spark: SparkSession,
+    files: list[str],
+    names: list[str],
+    sep: str,
+    line_end: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Files of one layout as text columns, missing markers as null, plus file and row order.
 
     ``line_end`` is the one after the header; left to itself Spark takes the first
-    line end it meets, which may stand inside a quoted cell.
+    line end it meets, which may stand inside a quoted cell.  ``multi_line=False`` lets large
+    files be split, where no quoted cell holds a line end.  Short rows are filled with nulls;
+    a row with more cells than the header is refused, naming its file.
     """
     check_names(names)
-    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    over = "_over" + "_" * max(map(len, names), default=0)  # no name is as long
+    schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in [*names, over])
     reader = spark.read.option("lineSep", line_end) if line_end else spark.read
     raw = (
         reader.schema(schema)
         .option("header", True)
-        .option("multiLine", True)  # quoted fields hold line ends; one task per file
+        .option("multiLine", multi_line)  # quoted fields hold line ends; one task per file
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
@@ -216,22 +229,30 @@ def scan_delimited(
         .csv(files)
     )
     cells = [F.when(~quoted(n).isin(MISSING), quoted(n)).alias(n) for n in names if n != "source_file"]
+    file = F.col("_metadata.file_path")
+    refused = F.raise_error(F.concat(F.lit("more cells than the header has: "), file))
     return raw.select(
         *cells,
-        F.col("_metadata.file_path").alias("source_file"),
+        F.when(F.col(over).isNull(), file).otherwise(refused.cast("string")).alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
 
 
 def load_papers(
-    spark: SparkSession, paths: str | list[str], source_type: str = "auto", headers_through: str = "auto"
+    spark: SparkSession,
+    paths: str | list[str],
+    source_type: str = "auto",
+    headers_through: str = "auto",
+    multi_line: bool = True,
 ) -> DataFrame:
     """One paper table from exports of differing layout.
 
     Keeps every original column and adds ``paper_title``, ``paper_abstract``,
     ``paper_keywords`` (null when unmapped), ``source_file`` and ``paper_id``:
     files in path order, rows in file order, counted from 1.  Exports of an earlier
-    result keep the ``paper_id`` they hold.
+    result keep the ``paper_id`` they hold.  ``multi_line=False`` splits large files, where no
+    quoted cell holds a line end.
     """
     files = list_files(spark, paths)
     headers = read_headers(files, headers_through).withColumn("names", dedup_names(F.col("names")))
@@ -247,35 +268,32 @@ def load_papers(
     tables = []
     for layout in per_layout:
         mapped = {r.role: r.column for r in layout.roles}
-        frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]), layout.line_end)
+        frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]), layout.line_end, multi_line)
         roles = {
             f"paper_{role}": quoted(mapped[role]) if mapped[role] else F.lit(None).cast("string") for role in ROLES
         }
         tables.append(frame.select(*[quoted(c) for c in frame.columns if c not in roles], *[c.alias(n) for n, c in roles.items()]))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    # the ids come from the scan, so rows are dealt out only after they have their place
     union = spread(union)
     if all("paper_id" in layout.names for layout in per_layout):
-        return settle(union.withColumn("paper_id", F.col("paper_id").cast("long")).drop("_row"), "papers")
+        return settle(union.withColumn("paper_id", F.col("paper_id").cast("long")).drop("_row", "_block"), "papers")
     return number_by_file(settle(union.drop("paper_id"), "papers"))
 
 
 def number_by_file(df: DataFrame) -> DataFrame:
-    """``paper_id`` from (source_file, _row) without moving the papers.
+    """``paper_id`` from (source_file, _block, _row) without moving the papers.
 
-    Rows of a file are numbered in the scan; only the row counts, one per file,
+    Rows of a split are numbered in the scan; only the row counts, one per split,
     are brought into file order.
     """
-    before = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = settle(
-        df.groupBy("source_file")
-        .agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
-        .withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))),
-        "firsts",
-    )
+    place = ["source_file", "_block"]
+    counts = df.groupBy(*place).agg(F.count("*").alias("n"), F.min("_row").alias("_first"))
+    firsts = settle(running_sums(counts.withColumn("_place", F.struct(*place)), "_place", "n", "_before"), "firsts")
     return (
-        lookup(df, firsts.drop("n"), ["source_file"], firsts.select("source_file", "n"))
+        lookup(df, firsts.drop("n", "_place"), place, firsts.select(*place, "n"))
         .withColumn("paper_id", F.col("_before") + F.col("_row") - F.col("_first") + 1)
-        .drop("_row", "_first", "_before")
+        .drop("_row", "_block", "_first", "_before")
     )
 
 
@@ -284,4 +302,4 @@ def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     headers = read_headers(list_files(spark, path)).withColumn("names", dedup_names(F.col("names")))
     layouts = headers.groupBy("names", "line_end").agg(F.collect_set("file").alias("files")).collect()
     frames = [scan_delimited(spark, sorted(x.files), x.names, sep, x.line_end) for x in layouts]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("source_file", "_row")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("source_file", "_row", "_block")

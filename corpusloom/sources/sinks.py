@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from corpusloom.functions.text import quoted
-from corpusloom.operators.scratch import settle
+from corpusloom.operators.scratch import settle, swap
 
 BOM = "﻿"
 
@@ -61,14 +61,9 @@ def bucket_papers(df: DataFrame, table: str, path: str, buckets: int) -> DataFra
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite a table that ``df`` may have been read from.
-
-    The new rows are written beside it first, so nothing is lost when the job
-    fails between the two writes.
-    """
-    once = settle(df, "replacement")
-    once.write.mode("overwrite").parquet(path)
-    return once
+    """Put a table in the place of one that it may have been read from: one write, then a rename."""
+    swap(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def replace_dims(df: DataFrame, path: str) -> None:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import time
 
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators.ask import ask, call_model, call_stats, semantic_map
 from corpusloom.operators.lookup import hot_keys, lookup
-from corpusloom.operators.numbering import assign_paper_ids, number_rows
+from corpusloom.operators.numbering import assign_paper_ids, number_rows, running_sums
+from corpusloom.plans import flows
 
 
 def test_number_rows_within_groups(spark):
@@ -35,10 +37,13 @@ def test_lookup_spreads_hot_keys_without_changing_the_result(spark):
     facts = spark.createDataFrame(rows, "i int, k string")
     table = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(40)]], "k string, v int")
     counts = facts.groupBy("k").agg(F.count("*").alias("n"))
-    assert [r.k for r in hot_keys(counts, 500).collect()] == ["hot"]
+    assert [(r.k, r["_fan"]) for r in hot_keys(counts, 500).collect()] == [("hot", 4)]
+    # every key by its own size
+    two = spark.createDataFrame([("a", 5000), ("b", 700), ("c", 10)], "k string, n long")
+    assert {r.k: r["_fan"] for r in hot_keys(two, 500).collect()} == {"a": 10, "b": 2}
     assert hot_keys(counts, 5000) is None
     plain = sorted(map(tuple, facts.join(table, "k", "left").select("i", "k", "v").collect()))
-    spread = lookup(facts, table, ["k"], counts, hot_rows=500, fan_out=8)
+    spread = lookup(facts, table, ["k"], counts, hot_rows=500)
     assert sorted(map(tuple, spread.select("i", "k", "v").collect())) == plain
     salts = [e for e in lookup(facts, table, ["k"], counts, hot_rows=500)._jdf.queryExecution().toString().splitlines() if "_salt" in e]
     assert salts
@@ -105,6 +110,97 @@ def test_semantic_map_asks_again_after_a_failure(spark, tmp_path):
     assert calls.value == 3
 
 
+def test_requests_keep_the_rate_over_tasks_and_commits(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def answer(prompts):
+        with open(log, "a") as f:
+            f.write("".join(f"{time.time()}\n" for _ in prompts))
+        return ["{}"] * len(prompts)
+
+    df = spark.range(24).select("id", F.col("id").cast("string").alias("prompt"))
+    began = time.time()
+    semantic_map(df, "prompt", answer, qps=8, concurrency=4, commit_every=10).collect()
+    took = time.time() - began
+    times = sorted(map(float, open(log)))
+    assert len(times) == 24
+    assert all(sum(t <= x < t + 1 for x in times) <= 9 for t in times)
+    assert took < 20  # three seconds of calls; the rest is Spark
+
+
+def test_input_of_a_call_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    df = spark.range(100).select("id", (F.col("id") % 7).cast("string").alias("prompt")).mapInPandas(count, "id long, prompt string")
+    assert semantic_map(df, "prompt", responder_with(spark.sparkContext.accumulator(0)), qps=0).count() == 100
+    assert seen.value == 100
+
+
+def test_cache_is_read_by_tag_and_by_request(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    df = spark.range(5).select("id", F.col("id").cast("string").alias("prompt"))
+    for tag in ("a", "b"):
+        done = semantic_map(df, "prompt", responder_with(spark.sparkContext.accumulator(0)), qps=0, cache_path=cache, tag=tag)
+    assert len([p for p in os.listdir(cache) if p.startswith("tag_hash=")]) == 2
+    plan = done._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(tag_hash" in plan and "LeftSemi" in plan
+
+
+def test_commits_hold_their_share(spark):
+    sizes = []
+
+    def sized(df, prompt, responder, *, rows, **options):
+        sizes.append((rows, df.count()))
+        return call_model(df, prompt, responder, rows=rows, **options)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("corpusloom.operators.ask.call_model", sized)
+        df = spark.range(23).select("id", F.col("id").cast("string").alias("prompt"))
+        done = semantic_map(df, "prompt", responder_with(spark.sparkContext.accumulator(0)), qps=0, commit_every=5)
+    assert sizes == [(5, 5)] * 4 + [(3, 3)]
+    assert done.where("response IS NULL").isEmpty()
+
+
+def test_names_given_twice_keep_the_last_value(spark):
+    df = spark.createDataFrame([("a",)], "prompt string")
+    row = call_model(df, "prompt", lambda ps: ['{"score": 4, "score": 5, "x": {"y": 1, "y": "é"}}'], qps=0).head()
+    assert row.response == '{"score": 5, "x": {"y": "é"}}'
+
+
+def test_a_resumed_filter_run_calls_nothing(spark, tmp_path):
+    calls, worded = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def criteria(prompts):
+        worded.add(1)
+        return [f'{{"criteria": {{"5": "wording {time.time_ns()}"}}}}' for _ in prompts]
+
+    def score(prompts):
+        calls.add(len(prompts))
+        return ['{"score": 4}' for _ in prompts]
+
+    papers = spark.createDataFrame([(i, f"t{i}", "a", "k") for i in range(1, 4)], "paper_id long, paper_title string, paper_abstract string, paper_keywords string")
+    for _ in range(2):
+        flows.filter_papers(
+            spark, papers, str(tmp_path / "out"), "x", score, criteria_responder=criteria, qps=0, cache_path=str(tmp_path / "cache")
+        )
+    assert (calls.value, worded.value) == (3, 1)
+
+
+def test_running_sums(spark):
+    rows = [(f"{i:05}", i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(5)
+    got = {r.k: r.b for r in running_sums(df, "k", "n", "b").collect()}
+    total = 0
+    for k, n in rows:
+        assert got[k] == total
+        total += n
+
+
 def test_ask_accepts_a_column(spark):
     df = spark.createDataFrame([(1, "t"), (2, "u")], "paper_id int, t string")
     got = ask(df, F.concat(F.lit("say "), F.col("t")), F.to_json(F.struct("prompt")), ["paper_id"])
@@ -112,7 +208,7 @@ def test_ask_accepts_a_column(spark):
     assert call_stats(got).head()[:] == (2, 2)
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+def test_scratch_needs_a_named_folder():
     from corpusloom.operators.scratch import scratch_folder
 
     class Conf:
@@ -120,7 +216,7 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
             return None
 
     class Context:
-        master = "spark://host"
+        master = "local[4]"
 
         def getCheckpointDir(self):
             return None

@@ -13,7 +13,7 @@ from corpusloom.functions import text
 from corpusloom.operators.ask import call_model
 from corpusloom.operators.layout import spread
 from corpusloom.operators.scratch import settle
-from corpusloom.plans import converge, relevance
+from corpusloom.plans import converge, relevance, translate
 from corpusloom.plans.common import cap_papers
 from corpusloom.sources import sinks
 from tests.conftest import DATA
@@ -86,8 +86,24 @@ def test_cap_is_a_filter_on_the_scan(spark):
     assert cap_papers(gaps, 10_000).count() == gaps.count() and cap_papers(gaps, 0) is gaps
 
 
-def test_only_few_files_are_spread(spark, tmp_path):
-    spark.range(100).repartition(6).write.parquet(str(tmp_path / "many"))
-    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
-    assert "Exchange" not in plan(spread(spark.read.parquet(str(tmp_path / "many"))))
-    assert "RoundRobinPartitioning(4)" in plan(spread(spark.read.parquet(str(tmp_path / "one"))))
+def test_only_scans_of_few_splits_are_spread(spark, tmp_path):
+    spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    assert "Exchange" in plan(spread(spark.read.parquet(str(tmp_path / "one"))))
+    spark.range(20_000).repartition(12).write.parquet(str(tmp_path / "many"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert "Exchange" not in plan(spread(spark.read.parquet(str(tmp_path / "many"))))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_translations_of_all_columns_move_the_rows_once(spark):
+    p = settle(v.papers(spark, DATA), "papers")
+    said = spark.createDataFrame([("title", "k", "t")], "col string, key string, translated string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(translate.translate_apply(p, "title,abstract,lang", said))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [part for part in shown.split("\n\n") if ") Exchange" in part and "abstract#" in part]
+    assert len(moved) == 1
