@@ -24,8 +24,8 @@ CHUNK = 30
 LIMIT_CATS = 10
 CASES = 5
 GROUP = "Default"
-# rounds whose chunks share a folder: a round reads one folder
-QUEUE_FOLDER = 50
+# dimensions that one task of a round takes
+DIMS_PER_TASK = 1000
 
 
 # ---- popularity ------------------------------------------------------------
@@ -88,16 +88,17 @@ def converge_rounds(
 
     Round r sends chunk r of every dimension at once; chunks of one dimension
     follow each other, as each prompt holds the categories of the one before.
-    A round is one small job over one row per dimension, written before the next
-    one reads it, so every request is sent once; with a ``cache_path`` a run that
+    A round is one small job over one row per dimension, without a shuffle up to
+    DIMS_PER_TASK of them, written before the next one reads it, so every request is sent once; with a ``cache_path`` a run that
     broke off finds its answers again.  A Column responder may use dim, round,
     labels, new_labels, categories and prompt.
     """
     spark = chunks.sparkSession
     path = new_path(spark, "rounds")
     queue = new_path(spark, "chunks")
-    folder = F.call_function("div", F.col("round"), F.lit(QUEUE_FOLDER))
-    chunks.withColumn("folder", folder).repartition("folder").write.partitionBy("folder").parquet(queue)
+    # a folder per round: which one is read stands in no expression, so that the generated
+    # code of the first rounds serves all others
+    chunks.withColumn("folder", F.col("round")).repartition("folder").write.partitionBy("folder").parquet(queue)
     queued = StructType([*chunks.schema.fields, StructField("folder", LongType())])
     last, dims = spark.read.schema(queued).parquet(queue).agg(F.max("round"), F.countDistinct("dim")).head()
     schema = (
@@ -128,15 +129,15 @@ def converge_rounds(
     ]
     answer = parsed(once(responder)) if isinstance(responder, Column) else parsed(F.col("response"))
     for r in range(last + 1):
-        now = spark.read.schema(chunks.schema).parquet(f"{queue}/folder={r // QUEUE_FOLDER}")
+        now = spark.read.schema(chunks.schema).parquet(f"{queue}/folder={r}")
         if r:
-            # the round comes from the state, not from a literal, so that the generated
-            # code of the first rounds serves all others
-            before = spark.read.schema(schema).parquet(f"{path}/r={r - 1}")
-            state = before.select("dim", (F.col("round") + 1).alias("round"), "categories")
-            now = now.join(state, ["dim", "round"])
+            before = spark.read.schema(schema).parquet(f"{path}/r={r - 1}").select("dim", "categories")
+            # chunk and state of a dimension meet in one task: one row of each
+            both = now.unionByName(before, allowMissingColumns=True).coalesce(1 + dims // DIMS_PER_TASK)
+            held = [F.first(c, ignorenulls=True).alias(c) for c in [*chunks.columns, "categories"] if c != "dim"]
+            now = both.groupBy("dim").agg(*held).where(F.col("round").isNotNull())
         else:
-            now = now.where("round = 0").withColumn("categories", none)
+            now = now.withColumn("categories", none)
         asked = now.withColumn("prompt", prompt)
         if not isinstance(responder, Column):
             narrow = asked.select("dim", "prompt")
