@@ -152,8 +152,10 @@ def train(docs: DataFrame) -> Model:
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     sums = np.zeros((len(langs), SLOTS))
-    found = table.toPandas()
-    sums[np.searchsorted(langs, found["lang"].to_numpy(str)) if langs else [], found["slot"].to_numpy()] = found["n"]
+    found = table.toArrow()
+    number = {x: i for i, x in enumerate(langs)}
+    rows = np.array([number[x] for x in found["lang"].to_pylist()], np.int64)
+    sums[rows, found["slot"].to_numpy()] = found["n"].to_numpy()
     return Model(langs, sums)
 
 
