@@ -3,6 +3,8 @@
 Rolling hashes of K characters; the smallest of every WINDOW hashes in a row is chosen, the
 rightmost of equal ones, and kept with its position.  Two texts that share K + WINDOW - 1
 characters in a row share a fingerprint hash there; shorter than K they share none by chance.
+Texts whose first two thirds are shorter than that keep all their hashes, which hold those any
+window would choose: two short texts that share K characters in a row share a hash.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions.text import quoted
 from corpusloom.llm.common import batches, parts
 
-K = 24
-WINDOW = 64
+K = 8
+WINDOW = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -84,6 +86,12 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def chosen(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a text; all of them where two thirds of it guarantee no shared window."""
+    short = len(text) - len(text) // 3 < k + window - 1
+    return winnow(_points(text), k, 1 if short else window)
+
+
 def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, hash long, position long): one row per chosen hash, for joins on shared passages."""
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("position", pa.int64())])
@@ -92,7 +100,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
         def rows():
             for batch in it:
                 for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    h, p = winnow(_points(text.as_py()), k, window)
+                    h, p = chosen(text.as_py(), k, window)
                     for pair in zip(h.tolist(), p.tolist(), strict=True):
                         yield (i, *pair)
 
@@ -157,7 +165,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
             n = len(text)
             third = n // 3
             edited = text[: n - third] + after[1][:third]
-            eh, ep = winnow(_points(edited), k, window)
+            eh, ep = chosen(edited, k, window)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             return doc_id, n, digest, written(h, p), written(eh, ep), likeness(h, eh), likeness(h, after[2][0])
 
@@ -174,7 +182,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
                     if done:  # more rows that repeat the guest's id
                         continue
                     text = text.as_py()
-                    now = (doc_id, text, winnow(_points(text), k, window))
+                    now = (doc_id, text, chosen(text, k, window))
                     if held is not None:
                         yield compared(held, now)
                     held, done = now, guest

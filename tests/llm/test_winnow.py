@@ -63,3 +63,11 @@ def test_rows(spark):
     assert winnow.fingerprints(docs).where("doc_id = 4").count() == 0 + len(
         [1 for r in fixtures.documents() if r[0] == 4 for _ in plain(r[1] or "", winnow.K, winnow.WINDOW)]
     )
+
+
+def test_short_texts_stay_near_their_edited_copies(spark):
+    """Two thirds of a text are unchanged: that shows from 11 characters up, where they hold K."""
+    rows = [(n, fixtures.prose(300 + n, 60)[:n], "en", "s", 1, 1, "x", 2, "y", "z") for n in range(11, 200)]
+    found = winnow.edited_fingerprints(fixtures.frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    assert [r.doc_id for r in found if r.near_edited <= r.near_next] == []
