@@ -79,12 +79,15 @@ def _flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return labels, counts, mapping, v.letter_taxonomy(mapping)
 
 
+#: Positions of a dimension that one file of ``draft_file`` holds.
+FILE_BLOCK = 1000
+
+
 def draft_file(spark: SparkSession, d: str) -> DataFrame:
-    """Draft as one indented JSON object per file, a file for each dimension, read back."""
+    """Draft as one indented JSON object per file, a file for each dimension and block, read back."""
     path = new_path(spark, "draft")
-    items = F.sort_array(F.collect_list(F.struct("paper_id", "category", "reason")))
-    whole = _explored(spark, d).groupBy("dim").agg(items.alias("items"))
-    whole.select("dim", F.to_json(F.create_map("dim", "items"), {"pretty": "true"}).alias("value")).write.partitionBy("dim").text(path)
+    whole = documents.draft_documents(_explored(spark, d), FILE_BLOCK, indented=True)
+    whole.select("dim", "block", F.col("document").alias("value")).write.partitionBy("dim", "block").text(path)
     return documents.read_draft(spark, path).select("dim", "pos", "paper_id", "category", "reason")
 
 

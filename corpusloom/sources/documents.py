@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.responses import list_at, text_at
 from corpusloom.functions.text import clean_text, split_list
+from corpusloom.operators.scratch import settle
 
 LABELS = "dim string, pos bigint, paper_id bigint, category string, reason string"
 TAXONOMY = (
@@ -20,11 +21,11 @@ BLOCK = 1000
 # ---- drafts: {dim: [{paper_id, category, reason}]} ---------------------------
 
 
-def draft_documents(labels: DataFrame, block: int = BLOCK) -> DataFrame:
+def draft_documents(labels: DataFrame, block: int = BLOCK, indented: bool = False) -> DataFrame:
     """Draft JSON in documents of bounded size, one JSON object per row.
 
     A dimension may hold a label for every paper, so it is cut by position into
-    blocks; every row is a whole draft document of its own.
+    blocks; every row is a whole draft document of its own, over several lines if ``indented``.
     """
     place = ["seq"] if "seq" in labels.columns else []
     items = F.sort_array(F.collect_list(F.struct("pos", *place, "paper_id", "category", "reason")))
@@ -34,7 +35,7 @@ def draft_documents(labels: DataFrame, block: int = BLOCK) -> DataFrame:
     return (
         labels.groupBy("dim", F.call_function("div", F.col("pos"), F.lit(block)).alias("block"))
         .agg(plain.alias("items"))
-        .select("dim", "block", F.to_json(F.create_map("dim", "items")).alias("document"))
+        .select("dim", "block", F.to_json(F.create_map("dim", "items"), {"pretty": str(indented).lower()}).alias("document"))
     )
 
 
@@ -44,25 +45,30 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     A file whose first line is no object by itself, as in indented files, is read whole.
     What is no JSON object either way is refused, naming the file.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("document")
+    placed = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+        F.trim("value").alias("document"),
     )
-    lines = lines.where("document <> ''")
+    placed = placed.where("document <> ''")
+    lines = placed.drop("start")
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("document")).startswith("OBJECT"), F.lit(False))
     starts = lines.withColumn("ok", is_object).groupBy("file").agg(F.min_by("ok", "line").alias("first"), F.bool_and("ok").alias("all"))
-    odd = starts.where("NOT all").collect()  # files of one object each, and broken ones
-    broken = [r.file for r in odd if r["first"]]
+    # (file, first): files of one object each, and broken ones; a table, as a folder may hold any number
+    odd = settle(starts.where("NOT all").select("file", "first"), "whole-files")
+    broken = odd.where("first").head()
     if broken:
-        raise ValueError(f"neither a JSON object nor one in every line: {broken[0]}")
-    if not odd:
+        raise ValueError(f"neither a JSON object nor one in every line: {broken.file}")
+    if odd.isEmpty():
         return lines
-    whole_files = [r.file for r in odd]
-    whole = spark.read.text(whole_files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line"), F.trim("value", F.lit("\r\n\t ")).alias("document")
-    )
+    # a file is put together from its lines, so its path never has to be known to the driver
+    at = F.sort_array(F.collect_list(F.struct("start", "line", "document")))
+    whole = placed.join(odd, "file", "left_semi").groupBy("file").agg(F.array_join(at["document"], "\n").alias("document"))
+    whole = whole.select("file", F.lit(0).cast("long").alias("line"), F.trim("document", F.lit("\r\n\t ")).alias("document"))
     refused = F.raise_error(F.concat(F.lit("neither a JSON object nor one in every line: "), F.col("file")))
     checked = F.when(is_object & F.col("document").endswith("}"), F.col("document")).otherwise(refused.cast("string"))
-    return lines.where(~F.col("file").isin(whole_files)).unionByName(whole.withColumn("document", checked))
+    return lines.join(odd, "file", "left_anti").unionByName(whole.withColumn("document", checked))
 
 
 def document_kind(documents: DataFrame) -> str | None:

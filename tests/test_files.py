@@ -176,6 +176,20 @@ def test_drafts_of_both_kinds_in_one_folder(spark, tmp_path):
     assert got == {("D", 1, "x"), ("D", 2, "y"), ("E", 3, "")}
 
 
+def test_whole_file_drafts_are_bounded(spark, tmp_path, monkeypatch):
+    """One object a file, but a file holds a block and not a whole dimension; paths stay in a table."""
+    from corpusloom.checks import converge as checks
+    from tests.conftest import DATA
+
+    monkeypatch.setattr(checks, "FILE_BLOCK", 10, raising=False)
+    monkeypatch.setattr(checks, "new_path", lambda spark, name: str(tmp_path / name))
+    back = checks.draft_file(spark, DATA)
+    files = list((tmp_path / "draft").rglob("*.txt"))
+    sizes = [sum(len(items) for items in json.loads(f.read_text()).values()) for f in files]
+    assert len(files) > 3 and max(sizes) <= 10 and sum(sizes) == back.count() > 100
+    assert "part-0" not in back._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("text", ['{"D": [', "D,E\n1,2", '[{"paper_id": 1}]', '{"D": [{"paper_id": 1}]}\n{"D": oops'])
 def test_broken_drafts_are_refused(spark, tmp_path, text):
     file = put(tmp_path, "d.json", text)
