@@ -13,9 +13,6 @@ from corpusloom.llm.common import table
 from corpusloom.llm.queries import TOKENIZER
 from corpusloom.operators.scratch import settle
 
-#: Share of the tokens that the mix keeps.
-MIX_BUDGET = 0.9
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity lies within the bounds of their language; all others go."""
@@ -33,8 +30,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics come near their target weights."""
-    return mixing.sampled(docs, budget=MIX_BUDGET)
+    """The largest sample whose expected shares of sources, languages and topics meet their targets within mixing.TOLERANCE."""
+    return mixing.sampled(docs, budget=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,14 @@ Token mass is added up per cell (source, language, topic).  Raking scales the ce
 sums over each of the three agree with the target shares.  A document's probability is its cell's
 raked share of the token budget over the cell's mass, one at most; what the bound takes away goes
 to the other cells.  A hash of seed and id draws the sample, so a rerun draws the same.
+
+With a given budget the bound follows the raking, so shares may miss their targets (``gaps`` tells
+by how much).  Without one the bound is part of the raking and the budget the largest that meets them.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +25,12 @@ TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 SWEEPS = 6
 CAP_ROUNDS = 10
 BUDGET = 0.7
+#: Without a budget: the largest gap of a share, as part of its target, that counts as met.
+TOLERANCE = 0.01
+#: Without a budget: sweeps at one budget, and how often it is lowered to LOWERED of itself.
+FIT_SWEEPS = 40
+LOWERINGS = 5
+LOWERED = 0.9
 SEED = 7
 #: The value that stands for null in a dimension.
 NONE = "(none)"
@@ -108,6 +118,77 @@ def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     )
 
 
+def _by_value(cells: DataFrame, amount: Column) -> DataFrame:
+    """(dimension, value, amount) summed per value of every dimension."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])
+    return cells.select(F.explode(pairs).alias("v"), amount.alias("amount")).groupBy("v").agg(F.sum("amount").alias("amount")).select("v.*", "amount")
+
+
+def _wanted(shares: Mapping[str, DataFrame]) -> DataFrame:
+    """(dimension, value, target) out of the target tables of all dimensions."""
+    out = None
+    for d, share in shares.items():
+        one = share.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"_t_{d}").alias("target"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _gaps(cells: DataFrame, amount: Column, wanted: DataFrame) -> DataFrame:
+    """(dimension, value, target, share, gap): the gap is a part of the target, null where none is wanted."""
+    found = _by_value(cells, amount)
+    total = found.where(F.col("dimension") == DIMENSIONS[0]).agg(F.sum("amount")).head()[0] or 0
+    share = F.col("amount") / F.lit(float(total)) if total else F.lit(0.0)
+    gap = F.when(F.col("target") > 0, F.abs(F.col("share") / F.col("target") - 1))
+    return wanted.join(found, ["dimension", "value"]).select("dimension", "value", "target", share.alias("share")).withColumn("gap", gap)
+
+
+def gaps(cells: DataFrame, chances: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, target, share, gap) of the shares that ``chances`` lead to, per value of every dimension."""
+    shares = {d: _targets(cells, d, (targets or {}).get(d)) for d in DIMENSIONS}
+    both = cells.join(chances, list(DIMENSIONS))
+    return _gaps(both, F.col("mass") * F.col("probability"), _wanted(shares))
+
+
+def fitted(
+    cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = TOLERANCE
+) -> tuple[DataFrame, float, float]:
+    """(source, lang, topic, probability), the budget, and the largest gap left.
+
+    A cell holds its weight, its mass at most; raking scales weights until the held sums meet the
+    targets.  No value can hold more than its mass, which bounds the budget; it is lowered from
+    there when the sweeps do not end below ``tolerance``.  Targets that contradict each other are
+    met by no budget: then the last gap is above ``tolerance``, and logged.
+    """
+    cells = settle(cells, "cells")
+    shares = {d: _targets(cells, d, (targets or {}).get(d)) for d in DIMENSIONS}
+    wanted = settle(_wanted(shares), "wanted")
+    total = cells.agg(F.sum("mass")).head()[0] or 0
+    room = _by_value(cells, F.col("mass")).join(wanted.where("target > 0"), ["dimension", "value"])
+    budget = min(1.0, float(room.agg(F.min(F.col("amount") / F.col("target"))).head()[0] or 0) / total) if total else 0.0
+    held, now, gap = F.least("weight", "mass"), cells.withColumn("weight", F.col("mass").cast("double")), 0.0
+    for lowering in range(LOWERINGS + 1 if budget else 0):
+        if lowering:
+            budget *= LOWERED
+        before = float("inf")
+        for _ in range(FIT_SWEEPS):
+            for d in DIMENSIONS:
+                goal = F.lit(budget * total) * F.col(f"_t_{d}")
+                factor = now.groupBy(d).agg(F.sum(held).alias("_s")).join(shares[d], d).select(
+                    d, F.when(F.col("_s") > 0, goal / F.col("_s")).otherwise(F.lit(0.0)).alias("_f")
+                )
+                now = settle(now.join(factor, d).select(*DIMENSIONS, "mass", (F.col("weight") * F.col("_f")).alias("weight")), "fitted")
+            gap = _gaps(now, held, wanted).agg(F.max("gap")).head()[0] or 0.0
+            if gap <= tolerance or gap > 0.99 * before:
+                break
+            before = gap
+        if gap <= tolerance:
+            break
+    log = logging.getLogger(__name__)
+    log.log(logging.WARNING if gap > tolerance else logging.INFO, "mix: budget %.4f, largest gap to a target share %.2f %%", budget, 100 * gap)
+    chance = F.round(held / F.col("mass"), 6) if budget else F.lit(0.0)
+    return now.select(*DIMENSIONS, chance.alias("probability")), budget, gap
+
+
 def draw(key: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on seed and key alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
@@ -115,12 +196,13 @@ def draw(key: Column, seed: int = SEED) -> Column:
 
 
 def mix(
-    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, seed: int = SEED
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float | None = BUDGET, seed: int = SEED
 ) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) for every row of ``docs``.
 
     ``targets`` gives shares per value of a dimension; values left out get none.  Rows that repeat
-    an id are drawn alike.  Empty and null texts have no mass and are not kept.
+    an id are drawn alike.  Empty and null texts have no mass and are not kept.  A ``budget`` of None is
+    the largest that meets the targets.
     """
     found = _with_chance(_labels(docs), targets, budget)
     p = F.coalesce(F.col("probability"), F.lit(0.0))
@@ -135,10 +217,11 @@ MAX_BROADCAST = 1_000_000
 SALTS = 64
 
 
-def _with_chance(each: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float) -> DataFrame:
+def _with_chance(each: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float | None) -> DataFrame:
     """Labelled documents with the probability of their cell; beyond MAX_BROADCAST cells by salted shuffle."""
     cells = each.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("mass")).where("mass > 0")
-    chances = settle(probabilities(rake(cells, targets), budget), "chances")
+    found = fitted(cells, targets)[0] if budget is None else probabilities(rake(cells, targets), budget)
+    chances = settle(found, "chances")
     if chances.count() <= MAX_BROADCAST:
         return each.join(F.broadcast(chances), list(DIMENSIONS), "left")
     # a cell may hold a third of all rows
@@ -148,7 +231,7 @@ def _with_chance(each: DataFrame, targets: Mapping[str, Mapping[str, float]] | N
 
 
 def sampled(
-    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET, seed: int = SEED
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float | None = BUDGET, seed: int = SEED
 ) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, with all their columns."""
     own = [quoted(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)]

@@ -58,3 +58,53 @@ def test_many_cells(spark, monkeypatch):
     wanted = sorted((str(r.doc_id), r.kept) for r in mixing.mix(fixtures.frame(spark)).collect())
     monkeypatch.setattr(mixing, "MAX_BROADCAST", 1)
     assert sorted((str(r.doc_id), r.kept) for r in mixing.mix(fixtures.frame(spark)).collect()) == wanted
+
+
+def skewed():
+    """One source with a third of the mass, a rare language and a rare topic, and cells of very different sizes."""
+    return [
+        (f"s{i}", f"l{j}", f"t{k}", (9000 if i == 0 else 1000 + 70 * i) // (1 + 5 * j) // (1 + 9 * k) + (i * j * k) % 7)
+        for i in range(12) for j in range(3) for k in range(2)
+    ]
+
+
+def test_bounded_raking_meets_its_targets(spark):
+    cells = spark.createDataFrame(skewed(), CELLS)
+    chances, budget, gap = mixing.fitted(cells)
+    mass = {r[:3]: r[3] for r in skewed()}
+    held = {(r.source, r.lang, r.topic): r.probability * mass[r.source, r.lang, r.topic] for r in chances.collect()}
+    assert sum(held.values()) / sum(mass.values()) == pytest.approx(budget, rel=0.01) and 0.3 < budget < 0.9
+    for i, d in enumerate(mixing.DIMENSIONS):
+        wanted = {v: sum(m for c, m in mass.items() if c[i] == v) ** mixing.TEMPERATURE[d] for v in {c[i] for c in mass}}
+        for v, w in wanted.items():
+            share = sum(h for c, h in held.items() if c[i] == v) / sum(held.values())
+            assert share == pytest.approx(w / sum(wanted.values()), rel=mixing.TOLERANCE * 1.01)
+    found = mixing.gaps(cells, chances).agg({"gap": "max"}).head()[0]
+    assert found == pytest.approx(gap, abs=1e-4) and gap <= mixing.TOLERANCE
+
+
+def test_contradicting_targets_leave_a_gap_that_is_told(spark):
+    rows = [("a", "x", "t", 100), ("b", "y", "t", 100)]
+    _, _, gap = mixing.fitted(spark.createDataFrame(rows, CELLS), {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 3}})
+    assert gap > mixing.TOLERANCE
+
+
+def test_stage_meets_its_targets(spark, tmp_path):
+    """The mix of the pipeline, on documents of equal size: drawn shares near the targets of their mass."""
+    import corpus_pipeline
+
+    rows = []
+    for s, l, n in [("s0", "en", 3000), ("s0", "fr", 200), ("s1", "en", 900), ("s1", "fr", 500), ("s2", "en", 400), ("s2", "fr", 100)]:
+        rows += [(len(rows) + i, "some plain words", l, s, 16, 1, "x", 2, "y", "z") for i in range(n)]
+    kept = corpus_pipeline.mix(spark, fixtures.frame(spark, rows), "").groupBy("source", "lang").count().collect()
+    total = sum(r["count"] for r in kept)
+    for i, d in ((3, "source"), (2, "lang")):
+        wanted = {v: sum(r[i] == v for r in rows) ** mixing.TEMPERATURE[d] for v in {r[i] for r in rows}}
+        for v, w in wanted.items():
+            share = sum(r["count"] for r in kept if r[d] == v) / total
+            assert share == pytest.approx(w / sum(wanted.values()), abs=0.015)
+
+
+def test_no_budget_on_empty_tables(spark):
+    assert mixing.sampled(fixtures.frame(spark, []), budget=None).collect() == []
+    assert [r.kept for r in mixing.mix(fixtures.frame(spark, fixtures.documents()[:2]), budget=None).collect()] == [False, False]
