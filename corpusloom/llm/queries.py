@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, mixing, packing, perplexity, placement, rules, simhash, substrings, warc, winnow
+from corpusloom.llm import language, lexical, mixing, packing, perplexity, placement, rules, simhash, substrings, warc, winnow
 from corpusloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,11 +52,15 @@ def op10_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), TOKENIZER)
 
 
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.rank(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_substring_dedup, op3_warc, op4_kneser_ney, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
-        op9_mixing, op10_packing,
+        op9_mixing, op10_packing, op11_lexical_search,
     )
 }
 ORACLES = {
@@ -64,4 +68,5 @@ ORACLES = {
     "op5_sharding": placement.oracle(placement.shard_names()),
     "op8_quality_rules": rules.oracle(),
     "op9_mixing": mixing.oracle(),
+    "op11_lexical_search": lexical.ORACLE,
 }
