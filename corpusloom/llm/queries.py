@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, lexical, mixing, packing, perplexity, placement, rules, simhash, substrings, warc, winnow
+from corpusloom.llm import language, lexical, mixing, packing, periodic, perplexity, placement, rules, simhash, substrings, warc, winnow
 from corpusloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,11 +56,15 @@ def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
     return lexical.rank(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return periodic.report(periodic.runs(table(spark, d, "documents"), periodic.repeated_tail))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_substring_dedup, op3_warc, op4_kneser_ney, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
-        op9_mixing, op10_packing, op11_lexical_search,
+        op9_mixing, op10_packing, op11_lexical_search, op12_periodic_runs,
     )
 }
 ORACLES = {
