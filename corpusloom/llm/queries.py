@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import language, lexical, mixing, packing, periodic, perplexity, placement, rules, simhash, substrings, warc, winnow
+from corpusloom.llm import frames, language, lexical, mixing, packing, periodic, perplexity, placement, rules, simhash, substrings, warc, winnow
 from corpusloom.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The id behind every document that op13 writes.
+WORD_END = 2
 
 
 def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
@@ -60,11 +63,15 @@ def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
     return periodic.report(periodic.runs(table(spark, d, "documents"), periodic.repeated_tail))
 
 
+def op13_token_frames(spark: SparkSession, d: str) -> DataFrame:
+    return frames.round_trip(table(spark, d, "documents"), WORD_TOKENIZER, WORD_END)
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_simhash, op2_substring_dedup, op3_warc, op4_kneser_ney, op5_sharding, op6_fingerprints, op7_language_id, op8_quality_rules,
-        op9_mixing, op10_packing, op11_lexical_search, op12_periodic_runs,
+        op9_mixing, op10_packing, op11_lexical_search, op12_periodic_runs, op13_token_frames,
     )
 }
 ORACLES = {

@@ -18,7 +18,7 @@ PLAIN = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "D
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     result = con.execute(queries.ORACLES[name])
@@ -31,7 +31,7 @@ def test_twin(spark, name):
 
 def test_names():
     assert importlib.util.find_spec("corpusloom.llm")
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
