@@ -35,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import quoted
+from corpusloom.llm.common import parts
 from corpusloom.llm.encoding import encoder
 from corpusloom.llm.warc import KNOWN, _holds, _store
 from corpusloom.operators.scratch import new_path
@@ -321,14 +322,15 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
         last = struct.pack("<I", end)
         for batch in it:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [encode(t.as_py()) + last for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+                some = batch.slice(at, 500)
+                ids = [encode(t.as_py()) + last for t in some.column("text")]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
 
     text = F.coalesce(quoted(text_col), F.lit(""))
     narrow = docs.select(quoted(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
     order = [F.asc_nulls_last("doc_id"), F.asc("_h")]
-    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    # a set number of ranges: put together by size, they would leave cores idle while texts are encoded
+    ranged = narrow.repartitionByRange(parts(docs), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     return ranged.mapInArrow(run, "doc_id long, ids binary")
 
 

@@ -88,14 +88,13 @@ def test_files_without_ids(nothing):
 
 
 def test_damage_is_noticed():
-    data = bytearray(written([(1, list(range(500))), (2, list(range(500, 1000)))], 1 << 12))
+    data = bytearray(written([(1, list(range(500))), (2, list(range(500, 1000)))], 2_000))
     whole = frames.FrameReader(io.BytesIO(data), len(data))
-    other = zstandard.ZstdCompressor(level=frames.LEVEL).compress(np.arange(1, 501, dtype="<u4").tobytes())
     table = len(data) - frames.FOOTER.size - len(whole.table) * frames.ENTRY.size
     data[table + 8] ^= 1  # the first frame's checksum
     with pytest.raises(ValueError, match="checksum"):
         frames.FrameReader(io.BytesIO(data), len(data)).ids(0)
-    assert len(other) and frames.FrameReader(io.BytesIO(data), len(data)).ids(1)[:4] == np.array([500], "<u4").tobytes()
+    assert frames.FrameReader(io.BytesIO(data), len(data)).ids(1)[:4] == np.array([500], "<u4").tobytes()
     with pytest.raises(ValueError, match="seek table"):
         frames.FrameReader(io.BytesIO(data[:-1]), len(data) - 1)
 
