@@ -1,10 +1,10 @@
 """Ids of whole texts for vocabulary files of the kind with word ends.
 
-Such a file lower-cases, drops white space and marks the last letter of a word.  As white space always
-parts words, the parts of a text at blanks are encoded apart, and the ids of short ones are remembered,
-by bytes.  A part of ASCII and accented Latin letters is cut into words here and merged by rank
-(``tiktoken``), which gives the ids of the file's own library several times faster: every merge of the file
-makes the token whose id is next, so ids are ranks.  All else goes to the library as it is.
+Such a file lower-cases, drops white space and marks the last letter of a word.  Texts of ASCII and accented
+Latin letters are cut into words here; words are merged by rank (``tiktoken``) and remembered, by bytes, which
+gives the ids of the file's own library several times faster: every merge of the file makes the token whose id
+is next, so ids are ranks.  As white space always parts words, other texts are cut at blanks, and the parts with
+other letters, or with the name of a special token, go to the library as they are.
 """
 
 from __future__ import annotations
@@ -14,43 +14,41 @@ import re
 import struct
 from collections.abc import Callable
 
-#: Bytes of remembered parts and their ids, about, and the longest part that is remembered.
+#: Bytes of remembered words and their ids, about, and the longest word that is remembered.
 REMEMBERED_BYTES = 128 << 20
 LONGEST = 64
 #: What one entry takes beside its content.
 OVERHEAD = 200
+#: Characters that are cut into words at a time.
+CHUNK = 1 << 20
 
-#: Parts that are cut here: on these letters composing and lower-casing have no surprises.
-PLAIN = re.compile("[!-~\t\n\rÀ-ÖØ-öø-ÿ]*")
+#: Texts of these letters are cut here, as composing and lower-casing have no surprises on them.
+PLAIN = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
 #: Fixed value: the word pattern of the public vocabulary, with the letters that PLAIN leaves.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The symbol of id i is written as the letter FIRST + i, two bytes of which neither can be the other's kind.
-FIRST = 0x100
 
 
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Parts(dict):
-    """Ids, as bytes, of the parts of texts; forgets all when it holds too many bytes."""
+class Words(dict):
+    """The ids, as bytes, of words; forgets all when they take too many bytes."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode, self.held = encode, 0
 
-    def __missing__(self, part: str) -> bytes:
-        found = packed(self.encode(part))
-        if len(part) <= LONGEST:
-            self.held += OVERHEAD + len(part) + len(found)
-            self[part] = found
-        return found
-
-    def trim(self) -> None:
-        if self.held > REMEMBERED_BYTES:
-            self.clear()
-            self.held = 0
+    def __missing__(self, word: str) -> bytes:
+        ids = packed(self.encode(word))
+        if len(word) <= LONGEST:
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += OVERHEAD + len(word) + len(ids)
+            self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -67,22 +65,33 @@ class WordEncoder:
             spec = json.load(f)
         # a name with a blank, or one that takes blanks beside it, could reach over two parts
         apart = _parts_words(spec) and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.fast = _by_rank(spec) if apart else None
-        self.parts = Parts(self._part) if apart else None
+        fast = _by_rank(spec) if apart else None
+        self.words = Words(fast) if fast else None
+
+    def _whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _part(self, part: str) -> list[int]:
-        if self.fast and PLAIN.fullmatch(part) and not any(s in part for s in self.special):
-            return self.fast(WORDS.findall(part.lower()))
-        return self._whole(part)
+    def _chunk(self, text: str) -> bytes:
+        if self._plain(text):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+        parts = [self._chunk(p) if self._plain(p) else self._whole(p) for p in text.split(" ")]
+        return b"".join(parts)
 
     def __call__(self, text: str) -> bytes:
-        if self.parts is None:
-            return packed(self._whole(text))
-        self.parts.trim()
-        return b"".join(map(self.parts.__getitem__, text.split(" ")))
+        if self.words is None:
+            return self._whole(text)
+        if len(text) <= CHUNK:
+            return self._chunk(text)
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + CHUNK)
+            end = len(text) if end < 0 else end
+            out.append(self._chunk(text[at:end]))
+            at = end
+        return b"".join(out)
 
 
 def _parts_words(spec: dict) -> bool:
@@ -98,39 +107,47 @@ def _parts_words(spec: dict) -> bool:
     )
 
 
-def _by_rank(spec: dict) -> Callable[[list[str]], list[int]] | None:
-    """An encoder of words by rank, or None where ids are no ranks."""
+def _by_rank(spec: dict) -> Callable[[str], list[int]] | None:
+    """An encoder of one word by rank, or None where ids are no ranks.
+
+    Each symbol that words of PLAIN letters hold, a byte or a byte that ends a word, is one byte here.
+    """
     import tiktoken
 
     from corpusloom.llm.packing import _byte_letters
 
     model, letters = spec["model"], _byte_letters()
     ending, vocab = model.get("end_of_word_suffix"), model["vocab"]
-    symbols = [*letters.values(), *(c + (ending or "") for c in letters.values())]
     if model.get("type") != "BPE" or not ending or model.get("dropout") or model.get("ignore_merges"):
         return None
-    if sorted(vocab.get(s, -1) for s in symbols) != list(range(512)):
+    if sorted(vocab.get(c + e, -1) for c in letters.values() for e in ("", ending)) != list(range(512)):
         return None
-    written = {s: chr(FIRST + vocab[s]) for s in symbols}
-    ranks = {w.encode(): vocab[s] for s, w in written.items()}
+    chars = [c for c in map(chr, range(0x100)) if PLAIN.fullmatch(c) and not c.isspace()]
+    heads = sorted({b for c in chars for b in c.lower().encode()})
+    tails = sorted({c.lower().encode()[-1] for c in chars})
+    symbols = [letters[b] for b in heads] + [letters[b] + ending for b in tails]
+    written = {s: bytes([i]) for i, s in enumerate(symbols)}
+    ranks = {w: vocab[s] for s, w in written.items()}
     for i, merge in enumerate(model["merges"]):
         a, b = merge.split(" ") if isinstance(merge, str) else merge
         if vocab.get(a + b) != 512 + i:
             return None
-        written[a + b] = written[a] + written[b]
-        ranks[written[a + b].encode()] = 512 + i
-    # bytes alone: never left over, as the two of a symbol are merged before all else
-    ranks |= {bytes([b]): len(vocab) + 1000 + b for b in range(256)}
-    merge = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    inner = {b: written[c] for b, c in letters.items()}
-    last = {b: written[c + ending] for b, c in letters.items()}
-
-    def encode(words: list[str]) -> list[int]:
-        out = []
-        for word in words:
-            raw = word.encode()
-            out.append("".join(map(inner.__getitem__, raw[:-1])) + last[raw[-1]])
-        return merge(" ".join(out))
+        if a in written and b in written:
+            written[a + b] = written[a] + written[b]
+            ranks[written[a + b]] = 512 + i
+    # bytes that stand for nothing never occur
+    ranks |= {bytes([b]): len(vocab) + 1000 + b for b in range(len(symbols), 256)}
+    merged = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    inner, last = bytearray(256), bytearray(256)
+    for i, b in enumerate(heads):
+        inner[b] = i
+    for i, b in enumerate(tails, len(heads)):
+        last[b] = i
+    inner, last = bytes(inner), bytes(last)
+
+    def encode(word: str) -> list[int]:
+        raw = word.encode()
+        return merged(raw[:-1].translate(inner) + raw[-1:].translate(last))
 
     return encode
 

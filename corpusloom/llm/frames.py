@@ -45,6 +45,8 @@ ID_BYTES = 4
 #: A frame is closed with the document that brings it to FRAME bytes; longer documents are cut at such sizes.
 FRAME = 1 << 18
 LEVEL = 3
+#: Bytes of ids that are passed on at a time.
+BATCH = 1 << 23
 #: Bytes of a file that one task reads at least, where files are larger.
 SLICE = 64 << 20
 MANIFEST = "_manifest.json"
@@ -321,10 +323,16 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
         encode = encoder(tokenizer)
         last = struct.pack("<I", end)
         for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                ids = [encode(t.as_py()) + last for t in some.column("text")]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], schema=schema)
+            names, ids, held = [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                names.append(doc_id)
+                ids.append(encode(text.as_py()) + last)
+                held += len(ids[-1])
+                if held >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+                    names, ids, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     text = F.coalesce(quoted(text_col), F.lit(""))
     narrow = docs.select(quoted(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))

@@ -38,19 +38,26 @@ def test_ids_equal_the_library(path):
 def test_every_word_of_the_vocabulary():
     """Merging by rank gives what the library gives also where a word is a token."""
     library, ours = Tokenizer.from_file(WORDS), encoding.encoder(WORDS)
-    assert ours.fast
+    assert ours.words is not None
     words = [t.removesuffix("</w>") for t in library.get_vocab() if t.endswith("</w>") and t.isascii()]
     for word, found in zip(words, library.encode_batch(words, add_special_tokens=False), strict=True):
         assert ours(word) == np.array(found.ids, "<u4").tobytes()
 
 
-def test_memory_of_parts_is_bounded(monkeypatch):
+def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 20_000)
     ours = encoding.WordEncoder(WORDS)
     for i in range(2_000):
-        ours(f"word{i} {'x' * 200}{i}")
-        assert ours.parts.held < 22_000 and len(ours.parts) < 100
-    assert not any(len(p) > encoding.LONGEST for p in ours.parts)
+        ours(f"word{'abcdefghij'[i % 10] * (i % 50)} {'x' * 200}{i}")
+        assert ours.words.held < 22_000 and len(ours.words) < 110
+    assert not any(len(p) > encoding.LONGEST for p in ours.words)
+
+
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    text = fixtures.prose(1, 300) + " 漢字 " + fixtures.prose(2, 300)
+    whole = encoding.encoder(WORDS)(text)
+    monkeypatch.setattr(encoding, "CHUNK", 40)
+    assert encoding.encoder(WORDS)(text) == whole
 
 
 def written(docs: list[tuple[int | None, list[int]]], frame: int = 64) -> bytes:
