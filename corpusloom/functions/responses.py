@@ -105,24 +105,60 @@ def label_fields(value: Column) -> dict[str, Column]:
     }
 
 
-CATEGORY_TYPE = "struct<name:string,definition:string,judgment_suggestions:string,keywords:array<string>>"
+#: ``extra`` holds the other fields of a category as the members of a JSON object, or null.
+CATEGORY_TYPE = "struct<name:string,definition:string,judgment_suggestions:string,keywords:array<string>,extra:string>"
+CATEGORY_FIELDS = ["name", "definition", "judgment_suggestions", "keywords"]
 
 
-def refined_categories(value: Column) -> Column:
-    """The category list of a convergence answer; a missing key gives an empty list."""
-    items = F.try_variant_get(value, "$.refined_categories", "array<variant>")
-    return F.coalesce(
-        F.transform(
-            items,
-            lambda c: F.struct(
-                F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("")).alias("name"),
-                text_at(c, "$.definition").alias("definition"),
-                text_at(c, "$.judgment_suggestions").alias("judgment_suggestions"),
-                list_at(c, "$.keywords").alias("keywords"),
-            ),
-        ),
-        F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>"),
-    )
+def json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def other_members(document: Column, known: list[str]) -> Column:
+    """The members of a JSON object apart from ``known`` as JSON text, in their order; null where there are none.
+
+    Objects and lists inside keep the order of their keys, numbers may be written in another way.
+    """
+    kinds = F.transform_values(F.from_json(document, "map<string,variant>"), lambda _, x: F.schema_of_variant(x))
+
+    def member(e: Column) -> Column:
+        value = F.when(kinds[e["key"]] == "STRING", json_text(e["value"])).otherwise(F.coalesce(e["value"], F.lit("null")))
+        return F.concat(json_text(e["key"]), F.lit(":"), value)
+
+    others = F.filter(F.map_entries(F.from_json(document, "map<string,string>")), lambda e: ~e["key"].isin(known))
+    return F.when(F.size(others) > 0, F.array_join(F.transform(others, member), ","))
+
+
+def category_json(category: Column) -> Column:
+    """A category as a JSON object, its other members behind the known ones."""
+    known = F.to_json(F.struct(*[category[f].alias(f) for f in CATEGORY_FIELDS]))
+    return with_members(known, category["extra"])
+
+
+def with_members(document: Column, members: Column) -> Column:
+    """A JSON object with further members; ``members`` may be null."""
+    comma = F.when(document == "{}", F.lit("")).otherwise(F.lit(","))
+    longer = F.concat(F.substring(document, F.lit(1), F.length(document) - 1), comma, members, F.lit("}"))
+    return F.when(members.isNull(), document).otherwise(longer)
+
+
+def refined_categories(response: Column) -> Column:
+    """The category list of a convergence answer with all fields of each; a missing key gives an empty list."""
+    items = F.from_json(response, "refined_categories array<string>")["refined_categories"]
+
+    def category(item: Column) -> Column:
+        c = F.try_parse_json(item)
+        return F.struct(
+            F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit("")).alias("name"),
+            text_at(c, "$.definition").alias("definition"),
+            text_at(c, "$.judgment_suggestions").alias("judgment_suggestions"),
+            list_at(c, "$.keywords").alias("keywords"),
+            other_members(item, CATEGORY_FIELDS).alias("extra"),
+        )
+
+    return F.coalesce(F.transform(items, category), F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>"))
 
 
 def label_mapping(value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import prompts
-from corpusloom.functions.responses import CATEGORY_TYPE, is_answer, label_mapping, parsed, refined_categories
+from corpusloom.functions.responses import CATEGORY_TYPE, category_json, is_answer, label_mapping, parsed, refined_categories
 from corpusloom.functions.text import check_names, clean_text, quoted, split_argument
 from corpusloom.operators.ask import Responder, call_model, once, semantic_map
 from corpusloom.operators.lookup import HOT_ROWS, lookup
@@ -75,6 +75,11 @@ def chunk_text(chunked: DataFrame) -> DataFrame:
 # ---- rounds ----------------------------------------------------------------
 
 
+def categories_json(categories: Column) -> Column:
+    """A list of categories as the prompt shows it, with every field the model gave them."""
+    return F.concat(F.lit("["), F.array_join(F.transform(categories, category_json), ","), F.lit("]"))
+
+
 def converge_rounds(
     chunks: DataFrame,
     responder: Responder,
@@ -107,7 +112,7 @@ def converge_rounds(
     if last is None:
         return spark.createDataFrame([], schema)
     none = F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>")
-    existing = F.when(F.size("categories") > 0, F.to_json("categories")).otherwise(F.lit("None"))
+    existing = F.when(F.size("categories") > 0, categories_json(F.col("categories"))).otherwise(F.lit("None"))
     prompt = prompts.render(
         template,
         dim_name=F.col("dim"),
@@ -123,11 +128,11 @@ def converge_rounds(
         F.col("dim"),
         ok,
         # a failed call keeps the list; an answer replaces it, even by an empty one
-        F.when(ok, refined_categories(v)).otherwise(F.col("categories")).alias("categories"),
+        F.when(ok, refined_categories(F.col("_response"))).otherwise(F.col("categories")).alias("categories"),
         F.when(ok, label_mapping(v)).alias("mapping"),
         F.col("round"),
     ]
-    answer = parsed(once(responder)) if isinstance(responder, Column) else parsed(F.col("response"))
+    response = once(responder) if isinstance(responder, Column) else F.col("response")
     for r in range(last + 1):
         now = spark.read.schema(chunks.schema).parquet(f"{queue}/folder={r}")
         if r:
@@ -146,7 +151,7 @@ def converge_rounds(
             else:
                 replies = call_model(narrow, "prompt", responder, rows=dims, **options)
             asked = replies.join(now.select("dim", "round", "categories"), "dim")
-        read = asked.withColumn("_answer", answer).withColumn("response_ok", is_answer(v))
+        read = asked.withColumn("_response", response).withColumn("_answer", parsed(F.col("_response"))).withColumn("response_ok", is_answer(v))
         read.select(*result).write.parquet(f"{path}/r={r}")
     return spark.read.schema(schema).parquet(path).drop("r")
 
@@ -164,6 +169,7 @@ def taxonomy_rows(rounds: DataFrame, limit_cats: int = LIMIT_CATS) -> DataFrame:
             "c.judgment_suggestions",
             "c.keywords",
             F.lit(None).cast("array<string>").alias("typical_cases"),
+            "c.extra",
         ),
         limit_cats,
     )
@@ -392,7 +398,7 @@ def taxonomy_upsert(old: DataFrame, new: DataFrame, dims: DataFrame | None = Non
     ``dims`` names them when some may have ended without any category.
     """
     replaced = (dims if dims is not None else new).select("dim").distinct()
-    return old.join(replaced, "dim", "left_anti").unionByName(new)
+    return old.join(replaced, "dim", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def converge(

@@ -215,23 +215,25 @@ def translate_file(
     as_csv: bool = True,
     **options: object,
 ) -> DataFrame:
-    """Translated columns of an export, or all texts of a taxonomy or a draft (.json, told by shape).
+    """Translated columns of an export, or all texts of a JSON document of any shape (.json).
 
-    Any other file type, JSON of another shape and a path that does not exist are refused.
+    A draft may be a file of any size and gives its labels, a taxonomy its rows; other documents
+    give (file, line, document).  Keys, their order and values that are no texts stay.  Any other file
+    type, what is no JSON and a path that does not exist are refused.
     """
     if isinstance(papers, str) and papers.lower().rstrip("/").endswith(".json"):
-        given = settle(documents.json_documents(spark, papers), "documents")
-        kind = documents.document_kind(given)
+        kind = documents.document_kind(spark, papers)
         options = {"target_lang": target_lang, **options}
         if kind == "draft":
-            labels = settle(documents.draft_labels(given), "labels")
-            done = settle(translate.translate_draft(labels, responder, **options), "translated")
-            documents.write_draft(done, output)
-            return done
-        taxonomy = settle(documents.parse_taxonomies(given), "taxonomy")
-        done = settle(translate.translate_taxonomy(taxonomy, responder, **options), "translated")
-        documents.taxonomy_documents(done).select("document").write.mode("overwrite").text(output)
-        return done
+            items = settle(documents.draft_ranges(spark, papers), "items")
+            done = settle(translate.translate_json(items, ["file", "start", "n"], responder, "item", **options), "translated")
+            lines = documents.item_documents(done).select("dim", F.col("document").alias("value"))
+            lines.write.partitionBy("dim").mode("overwrite").text(output)
+            return documents.item_labels(done)
+        given = settle(documents.json_documents(spark, papers), "documents")
+        done = settle(translate.translate_json(given, ["file", "line"], responder, **options), "translated")
+        done.select("document").write.mode("overwrite").text(output)
+        return documents.parse_taxonomies(done) if kind in (None, "taxonomy") else done
     if not split_argument(columns):
         raise ValueError("name the columns to translate")
     loaded = _papers(spark, papers, "auto")

@@ -12,6 +12,7 @@ from corpusloom.operators.ask import Responder, once, semantic_map
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import settle
+from corpusloom.sources.leaves import json_from_leaves, json_leaves
 
 # Fixed values of the flow: texts looked at, and batch size by their mean length.
 PROBE = 10
@@ -215,24 +216,20 @@ def text_leaves(df: DataFrame, keys: list[str], texts: list[str], lists: list[st
     return df.select(*keys, F.explode(leaves).alias("leaf")).select(*keys, "leaf.field", "leaf.at", "leaf.value")
 
 
-def translate_leaves(
-    df: DataFrame,
-    keys: list[str],
-    texts: list[str],
-    lists: list[str],
+def translate_values(
+    leaves: DataFrame,
     responder: Responder,
     target_lang: str = "English",
     template: str = prompts.TRANSLATE_TEXT,
     hot_rows: int = HOT_ROWS,
     **options: object,
 ) -> DataFrame:
-    """Translate all texts longer than one character inside the rows of ``df``.
+    """``leaves``, written, with (_key, value): every text longer than one character translated.
 
-    Equal texts are asked for once.  A failed text stays as it is.  A Column
-    responder may use value and prompt.
+    Equal texts are asked for once.  A failed text stays as it is, and so does one whose key is null.
+    A Column responder may use value and prompt.
     """
-    leaves = settle(text_leaves(df, keys, texts, lists).withColumn("_key", text_key(F.col("value"))), "leaves")
-    worth = leaves.where(F.length("value") > 1).groupBy("_key", "value").agg(F.count("*").alias("n"))
+    worth = leaves.where(F.col("_key").isNotNull() & (F.length("value") > 1)).groupBy("_key", "value").agg(F.count("*").alias("n"))
     counts = settle(worth, "leaf_texts")
     asked = counts.select("_key", "value", prompts.render(template, target_lang=target_lang, text=F.col("value")).alias("prompt"))
     if isinstance(responder, Column):
@@ -240,9 +237,16 @@ def translate_leaves(
     else:
         said = semantic_map(asked.select("_key", "prompt"), "prompt", responder, parse="text", **options)
     table = settle(said.where("response <> ''").select("_key", F.col("response").alias("translated")), "leaf_answers")
-    done = lookup(leaves, table, ["_key"], counts.select("_key", "n"), hot_rows).withColumn(
-        "value", F.coalesce("translated", "value")
-    )
+    found = lookup(leaves, table, ["_key"], counts.select("_key", "n"), hot_rows)
+    return found.withColumn("value", F.coalesce("translated", "value")).drop("translated", "_key")
+
+
+def translate_leaves(
+    df: DataFrame, keys: list[str], texts: list[str], lists: list[str], responder: Responder, **options: object
+) -> DataFrame:
+    """Translate all texts longer than one character inside the rows of ``df``, as translate_values does."""
+    leaves = settle(text_leaves(df, keys, texts, lists).withColumn("_key", text_key(F.col("value"))), "leaves")
+    done = translate_values(leaves, responder, **options)
     # back to one row per document row: its own few leaves
     picked = [
         F.max(F.when(F.col("field") == c, F.col("value"))).alias(f"_t{i}") for i, c in enumerate(texts)
@@ -258,8 +262,27 @@ def translate_leaves(
     return joined.select(*[values[c].alias(c) if c in values else quoted(c) for c in df.columns])
 
 
+def translate_json(
+    documents: DataFrame, keys: list[str], responder: Responder, column: str = "document", **options: object
+) -> DataFrame:
+    """``documents`` with all texts of the JSON in ``column`` translated, whatever its shape.
+
+    Keys, their order and values that are no texts stay; ``keys`` tell the documents apart.
+    """
+    leaves = json_leaves(documents, keys, column)
+    leaves = settle(leaves.withColumn("_key", F.when(F.col("kind") == "text", text_key(F.col("value")))), "leaves")
+    done = json_from_leaves(translate_values(leaves, responder, **options), keys, "_done")
+    joined = documents.join(done, keys, "left")
+    return joined.select(*[F.col("_done").alias(c) if c == column else quoted(c) for c in documents.columns])
+
+
 def translate_taxonomy(taxonomy: DataFrame, responder: Responder, **options: object) -> DataFrame:
-    """The texts of a taxonomy; dimension and group names are keys and stay."""
+    """The texts of a taxonomy, also those of further fields; dimension and group names are keys and stay."""
+    place = ["dim", "grp", "pos"]
+    if "extra" in taxonomy.columns:
+        whole = settle(taxonomy.withColumn("extra", F.concat(F.lit("{"), F.col("extra"), F.lit("}"))), "taxonomy")
+        said = translate_json(whole, place, responder, "extra", **options)
+        taxonomy = settle(said.withColumn("extra", F.expr("substring(extra, 2, length(extra) - 2)")), "taxonomy")
     return translate_leaves(
         taxonomy,
         ["dim", "grp", "pos"],

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from corpusloom.functions.responses import list_at, text_at
+from corpusloom.functions.responses import json_text, list_at, other_members, text_at, with_members
 from corpusloom.functions.text import clean_text, split_list
+from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_states, stitched
 from corpusloom.operators.scratch import settle
 
 LABELS = "dim string, pos bigint, paper_id bigint, category string, reason string"
 TAXONOMY = (
     "dim string, grp string, pos bigint, name string, definition string, "
-    "judgment_suggestions string, keywords array<string>, typical_cases array<string>"
+    "judgment_suggestions string, keywords array<string>, typical_cases array<string>, extra string"
 )
+TAXONOMY_FIELDS = ["name", "definition", "judgment_suggestions", "keywords", "typical_cases"]
 DRAFT_JSON = "map<string,array<struct<paper_id:bigint,category:string,reason:string>>>"
 BLOCK = 1000
 
@@ -39,11 +44,178 @@ def draft_documents(labels: DataFrame, block: int = BLOCK, indented: bool = Fals
     )
 
 
+#: Pieces of JSON files end here, so that the objects of a draft are pieces of their own also on one line.
+END = "}"
+TOKEN = re.compile(r'"[^"]*"|"[^"]*\Z|[{}\[\]]|[^\s",:{}\[\]]+')
+NO_TOKEN = re.compile(r"[\s\ufeff]*")
+
+
+def _hidden(text: str) -> str:
+    """The text with escaped characters, which no JSON text holds plainly, in their place."""
+    return text.replace("\\\\", "\x01\x01").replace('\\"', "\x02\x02") if "\\" in text else text
+
+
+def _deeper(parts: list[str]) -> int:
+    signs = "".join(parts)
+    return signs.count("{") + signs.count("[") - signs.count("}") - signs.count("]")
+
+
+def _summarise(texts: Iterable[str]) -> tuple[int, int, int, int]:
+    """What the pieces do to quotes and depth, whether they begin outside a string or inside one."""
+    inside, depth = [0, 1], [0, 0]
+    for text in texts:
+        parts = _hidden(text).split('"')
+        deeper = _deeper(parts[0::2]), _deeper(parts[1::2])
+        for h in (0, 1):
+            depth[h] += deeper[inside[h]]
+            inside[h] ^= (len(parts) - 1) & 1
+            depth[h] -= 1 - inside[h]  # the sign that ended the piece
+    return inside[0], inside[1], depth[0], depth[1]
+
+
+def _draft_units(texts: Iterable[str], state: int, depth: int, at: dict) -> Iterator[Unit]:
+    """The units of a split of a draft: ``head``, a key with the sign that opens its value; ``item``, an object
+    of a list; ``odd``, what no draft holds; ``end``, the depth behind the split.
+
+    ``group`` counts the heads of the split up to the unit.
+    """
+    inside, heads = bool(state), 0
+    unit = "item" if depth > 2 else "head" if inside and depth == 1 else None
+    opens, held = False, []
+    for text in texts:
+        whole = _hidden(text)
+        if depth == 0 and not inside and NO_TOKEN.fullmatch(whole):
+            continue  # behind the last sign
+        whole, text = whole + END, text + END
+        pos = start = 0  # start of the unit that is open, in this piece
+        while pos < len(whole):
+            if inside:
+                quote = whole.find('"', pos)
+                if quote < 0:
+                    break
+                inside, pos = False, quote + 1
+                continue
+            found = TOKEN.search(whole, pos)
+            if not found:
+                break
+            sign, pos = found[0][0], found.end()
+            inside = sign == '"' and (len(found[0]) == 1 or found[0][-1] != '"')
+            if unit is None and depth == 2 and sign == "{":
+                unit, opens, start, held = "item", True, found.start(), []
+            elif unit is None and depth == 1 and sign == '"':
+                unit, opens, start, held = "head", True, found.start(), []
+                continue
+            elif unit is None and sign not in "]}\ufeff" and (depth or sign != "{") or unit == "head" and sign in "]}":
+                yield "odd", heads, True, True, found[0]
+                unit = None
+            depth += (sign in "{[") - (sign in "}]")
+            if unit == "head":
+                heads += 1
+                yield unit, heads, opens, True, "".join(held) + text[start:pos]
+                unit = None
+            elif unit == "item" and depth == 2:
+                yield unit, heads, opens, True, "".join(held) + text[start:pos]
+                unit = None
+            if depth < 0:
+                yield "odd", heads, True, True, sign
+                depth = 0
+        if unit:
+            held.append(text[start:])
+    if unit:
+        yield unit, heads, opens, False, "".join(held)
+    yield "end", heads, True, True, str(depth + inside)
+
+
+def _units(spark: SparkSession, path: str) -> DataFrame:
+    """The units of all files of a path, written."""
+    pieces = read_pieces(spark, path, END)
+    return settle(stitched(scan_splits(pieces, split_states(pieces, _summarise), _draft_units)), "units")
+
+
+def _heads(units: DataFrame) -> DataFrame:
+    """(file, closed_in, grp, dim, opener) of the keys of the draft's objects; the opener is the first sign of the value."""
+    key = F.regexp_extract("text", r'(?s)^("(?:[^"\\]|\\.)*")\s*:', 1)
+    return units.where("kind = 'head'").select(
+        "file", "closed_in", "grp", F.from_json(F.concat(F.lit("["), key, F.lit("]")), "array<string>")[0].alias("dim"),
+        F.right("text", F.lit(1)).alias("opener"),
+    )
+
+
+def _faults(units: DataFrame) -> DataFrame:
+    """(file, fault): what keeps a file from being a draft or taxonomy of JSON objects."""
+    odd = units.where("kind = 'odd' OR (kind = 'head' AND right(text, 1) NOT IN ('[', '{') AND text NOT RLIKE ':\\\\s*null$') OR NOT closes")
+    ends = units.where("kind = 'end'").groupBy("file").agg(F.max_by("text", "start").alias("depth")).where("depth <> '0'")
+    return odd.select("file", F.left("text", F.lit(80)).alias("fault")).unionByName(ends.select("file", F.lit("it ends inside a value").alias("fault")))
+
+
+def document_kind(spark: SparkSession, path: str) -> str | None:
+    """``taxonomy`` or ``draft`` by the values of the objects in the files; None when they are empty, ``other`` for all else."""
+    units = _units(spark, path)
+    openers = {r.opener for r in _heads(units).select("opener").where("opener IN ('[', '{')").distinct().collect()}
+    if openers == {"{"}:
+        return "taxonomy"
+    if not _faults(units).isEmpty() or len(openers) > 1:
+        return "other"
+    return "draft" if openers else None
+
+
+def draft_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, n, dim, item): the label objects of draft files, each as JSON text.
+
+    Files of any size, on one line or many, are read in splits; an object of a list is a row.  ``start`` and
+    ``n`` are its place in the file.  What is no draft is refused, naming the file.
+    """
+    units = _units(spark, path)
+    heads = settle(_heads(units), "heads")
+    wrong = _faults(units).unionByName(heads.where("opener = '{'").select("file", F.lit("values that are no lists").alias("fault"))).head()
+    if wrong:
+        raise ValueError(f"no draft: {wrong.file}: {wrong.fault}")
+    # the key that was open before a split is the last of the splits before it; one row per split and key
+    splits = units.where("kind = 'end'").select("file", F.col("start").alias("closed_in"), F.lit(0).cast("long").alias("grp"))
+    before = Window.partitionBy("file").orderBy("closed_in", "grp").rowsBetween(Window.unboundedPreceding, 0)
+    keys = heads.select("file", "closed_in", "grp", "dim").unionByName(splits.withColumn("dim", F.lit(None).cast("string")))
+    keys = keys.withColumn("dim", F.last("dim", ignorenulls=True).over(before))
+    items = units.where("kind = 'item'").select("file", "start", "n", "closed_in", "grp", F.col("text").alias("item"))
+    return items.join(keys, ["file", "closed_in", "grp"]).select("file", "start", "n", "dim", "item")
+
+
+def item_labels(items: DataFrame) -> DataFrame:
+    """Labels of draft items in paper order, the order every later step uses; ``seq`` is the
+    place in the draft, which tells the last of several labels of a paper.  Texts that are no JSON are refused."""
+    parsed = F.from_json("item", "paper_id bigint, category string, reason string")
+    refused = F.raise_error(F.concat(F.lit("no draft: "), F.col("file"), F.lit(" "), F.left("item", F.lit(80))))
+    whole = F.when(F.try_parse_json("item").isNotNull(), parsed).otherwise(refused.cast("struct<paper_id:bigint,category:string,reason:string>"))
+    return items.withColumn("_i", whole).select(
+        "dim",
+        F.col("_i.paper_id").alias("pos"),
+        F.col("_i.paper_id").alias("paper_id"),
+        F.coalesce("_i.category", F.lit("")).alias("category"),
+        F.coalesce("_i.reason", F.lit("")).alias("reason"),
+        F.struct("file", F.col("start").alias("line"), F.col("n").alias("at")).alias("seq"),
+    )
+
+
+def item_documents(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(dim, document): draft JSON with the items as they are, in documents of bounded size."""
+    listed = F.sort_array(F.collect_list(F.struct("n", "item")))
+    body = F.array_join(F.transform(listed, lambda x: x["item"]), ",")
+    return (
+        items.groupBy("dim", "file", "start", F.call_function("div", F.col("n"), F.lit(block)).alias("block"))
+        .agg(body.alias("body"))
+        .select("dim", F.concat(F.lit("{"), json_text(F.col("dim")), F.lit(":["), F.col("body"), F.lit("]}")).alias("document"))
+    )
+
+
+def read_draft(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a draft: files of one JSON object each, or of JSON lines, of any size."""
+    return item_labels(draft_ranges(spark, path))
+
+
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, document): JSON objects, one a line or one a file, of a path that must exist.
+    """(file, line, document): JSON objects or lists, one a line or one a file, of a path that must exist.
 
-    A file whose first line is no object by itself, as in indented files, is read whole.
-    What is no JSON object either way is refused, naming the file.
+    A file whose first line is no document by itself, as in indented files, is read whole.
+    What is no JSON either way is refused, naming the file.
     """
     placed = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -53,9 +225,9 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     )
     placed = placed.where("document <> ''")
     lines = placed.drop("start")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("document")).startswith("OBJECT"), F.lit(False))
-    starts = lines.withColumn("ok", is_object).groupBy("file").agg(F.min_by("ok", "line").alias("first"), F.bool_and("ok").alias("all"))
-    # (file, first): files of one object each, and broken ones; a table, as a folder may hold any number
+    is_document = F.coalesce(F.schema_of_variant(F.try_parse_json("document")).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    starts = lines.withColumn("ok", is_document).groupBy("file").agg(F.min_by("ok", "line").alias("first"), F.bool_and("ok").alias("all"))
+    # (file, first): files of one document each, and broken ones; a table, as a folder may hold any number
     odd = settle(starts.where("NOT all").select("file", "first"), "whole-files")
     broken = odd.where("first").head()
     if broken:
@@ -67,60 +239,11 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     whole = placed.join(odd, "file", "left_semi").groupBy("file").agg(F.array_join(at["document"], "\n").alias("document"))
     whole = whole.select("file", F.lit(0).cast("long").alias("line"), F.trim("document", F.lit("\r\n\t ")).alias("document"))
     refused = F.raise_error(F.concat(F.lit("neither a JSON object nor one in every line: "), F.col("file")))
-    checked = F.when(is_object & F.col("document").endswith("}"), F.col("document")).otherwise(refused.cast("string"))
+    closed = F.col("document").endswith("}") | F.col("document").endswith("]")
+    checked = F.when(is_document & closed, F.col("document")).otherwise(refused.cast("string"))
     return lines.join(odd, "file", "left_anti").unionByName(whole.withColumn("document", checked))
 
 
-def document_kind(documents: DataFrame) -> str | None:
-    """``taxonomy`` or ``draft`` by the values of the objects; None when they are empty.
-
-    Objects of another shape, or of both, are refused.
-    """
-    spark = documents.sparkSession
-    kinds = (
-        documents.select(F.try_parse_json("document").alias("v"))
-        .lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        .select(F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0).alias("kind"))
-        .where("kind <> 'VOID'")
-    )
-    found = {r.kind for r in kinds.distinct().collect()}  # kinds of JSON values
-    if not found:
-        return None
-    if found == {"OBJECT"}:
-        return "taxonomy"
-    if found == {"ARRAY"}:
-        return "draft"
-    raise ValueError(f"neither a taxonomy nor a draft: values of kind {', '.join(sorted(found))}")
-
-
-def parse_drafts(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Labels of draft documents; ``_doc`` (``line`` where given) and ``_at`` are their place.
-
-    Texts that hold no draft are refused.
-    """
-    line = F.col("line") if "line" in documents.columns else F.monotonically_increasing_id()
-    file = F.col("file") if "file" in documents.columns else F.lit("")
-    parsed = F.from_json(column, DRAFT_JSON)
-    refused = F.raise_error(F.concat(F.lit("no draft: "), file, F.lit(" "), F.left(column, F.lit(80))))
-    return (
-        documents.select(
-            file.alias("_file"),
-            line.alias("_doc"),
-            F.explode(F.when(parsed.isNotNull(), parsed).otherwise(refused.cast(DRAFT_JSON))).alias("dim", "items"),
-        )
-        .select("dim", "_file", "_doc", F.posexplode("items").alias("_at", "item"))
-        .select(
-            "dim",
-            "_file",
-            "_doc",
-            "_at",
-            F.col("item.paper_id").alias("paper_id"),
-            F.coalesce("item.category", F.lit("")).alias("category"),
-            F.coalesce("item.reason", F.lit("")).alias("reason"),
-        )
-    )
-
-
 def write_draft(labels: DataFrame, path: str, block: int = BLOCK) -> None:
     """Draft as JSON lines, one folder per dimension."""
     draft_documents(labels, block).select("dim", F.col("document").alias("value")).write.partitionBy("dim").mode(
@@ -128,51 +251,33 @@ def write_draft(labels: DataFrame, path: str, block: int = BLOCK) -> None:
     ).text(path)
 
 
-def draft_labels(documents: DataFrame) -> DataFrame:
-    """Labels of draft documents in paper order, the order every later step uses; ``seq`` is the
-    place in the draft, which tells the last of several labels of a paper."""
-    return parse_drafts(documents).select(
-        "dim",
-        F.col("paper_id").alias("pos"),
-        "paper_id",
-        "category",
-        "reason",
-        F.struct(F.col("_file").alias("file"), F.col("_doc").alias("line"), F.col("_at").alias("at")).alias("seq"),
-    )
-
-
-def read_draft(spark: SparkSession, path: str) -> DataFrame:
-    """Labels of a draft: files of JSON lines, or of one JSON object each."""
-    return draft_labels(json_documents(spark, path))
-
-
 # ---- taxonomies: {dim: {"Default": [category]}} -----------------------------
 
 
 def taxonomy_documents(taxonomy: DataFrame) -> DataFrame:
     """One JSON object per dimension; a dimension holds at most ``limit_cats`` categories."""
-    fields = ["name", "definition", "judgment_suggestions", "keywords", "typical_cases"]
-    ordered = F.sort_array(F.collect_list(F.struct("pos", F.struct(*fields).alias("category"))))
+    extra = F.col("extra") if "extra" in taxonomy.columns else F.lit(None).cast("string")
+    category = with_members(F.to_json(F.struct(*TAXONOMY_FIELDS)), extra)
+    ordered = F.sort_array(F.collect_list(F.struct("pos", category.alias("category"))))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["category"]), ","), F.lit("]"))
+    groups = F.sort_array(F.collect_list(F.concat(json_text(F.col("grp")), F.lit(":"), F.col("categories"))))
     return (
         taxonomy.groupBy("dim", "grp")
-        .agg(F.transform(ordered, lambda x: x["category"]).alias("categories"))
+        .agg(listed.alias("categories"))
         .groupBy("dim")
-        .agg(F.map_from_entries(F.collect_list(F.struct("grp", "categories"))).alias("groups"))
-        .select("dim", F.to_json(F.create_map("dim", "groups")).alias("document"))
+        .agg(F.array_join(groups, ",").alias("groups"))
+        .select("dim", F.concat(F.lit("{"), json_text(F.col("dim")), F.lit(":{"), F.col("groups"), F.lit("}}")).alias("document"))
     )
 
 
 def parse_taxonomies(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Taxonomy rows of JSON documents; ``keywords`` may be a list or a text."""
-    spark = documents.sparkSession
-    dims = documents.select(F.try_parse_json(column).alias("_tax")).lateralJoin(
-        spark.tvf.variant_explode(F.col("_tax").outer())
-    ).select(F.col("key").alias("dim"), F.col("value").alias("_groups"))
-    groups = dims.lateralJoin(spark.tvf.variant_explode(F.col("_groups").outer())).select(
-        "dim", F.col("key").alias("grp"), F.try_variant_get("value", "$", "array<variant>").alias("_items")
-    )
+    """Taxonomy rows of JSON documents; ``keywords`` may be a list or a text, fields of other names go to ``extra``."""
+    texts = "map<string,string>"
+    dims = documents.select(F.explode(F.from_json(column, texts)).alias("dim", "_groups"))
+    groups = dims.select("dim", F.explode(F.from_json("_groups", texts)).alias("grp", "_items"))
     c = F.col("c")
-    return groups.select("dim", "grp", F.posexplode("_items").alias("pos", "c")).select(
+    listed = groups.select("dim", "grp", F.posexplode(F.from_json("_items", "array<string>")).alias("pos", "item"))
+    return listed.withColumn("c", F.try_parse_json("item")).select(
         "dim",
         "grp",
         F.col("pos").cast("long").alias("pos"),
@@ -181,6 +286,7 @@ def parse_taxonomies(documents: DataFrame, column: str = "document") -> DataFram
         text_at(c, "$.judgment_suggestions").alias("judgment_suggestions"),
         list_at(c, "$.keywords").alias("keywords"),
         list_at(c, "$.typical_cases").alias("typical_cases"),
+        other_members(F.col("item"), TAXONOMY_FIELDS).alias("extra"),
     )
 
 

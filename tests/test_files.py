@@ -155,7 +155,7 @@ def test_taxonomy_files(spark, tmp_path):
 
 
 def test_taxonomy_of_several_dimensions_through_json(spark, tmp_path):
-    rows = [(d, "Default", i, f"{d}{i}", "two\nlines", "", ["k"], ["c"]) for d in ("A", "B", "C") for i in range(2)]
+    rows = [(d, "Default", i, f"{d}{i}", "two\nlines", "", ["k"], ["c"], '"x":{"z":1,"a":[]}' if i else None) for d in ("A", "B", "C") for i in range(2)]
     taxonomy = spark.createDataFrame(rows, documents.TAXONOMY).coalesce(1)
     out = str(tmp_path / "tax")
     documents.taxonomy_documents(taxonomy).coalesce(1).select("document").write.text(out)
@@ -193,7 +193,7 @@ def test_whole_file_drafts_are_bounded(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("text", ['{"D": [', "D,E\n1,2", '[{"paper_id": 1}]', '{"D": [{"paper_id": 1}]}\n{"D": oops'])
 def test_broken_drafts_are_refused(spark, tmp_path, text):
     file = put(tmp_path, "d.json", text)
-    with pytest.raises(Exception, match="neither a JSON object|no draft"):
+    with pytest.raises(Exception, match="no draft"):
         documents.read_draft(spark, file).collect()
 
 
@@ -201,10 +201,59 @@ def test_translate_refuses_what_it_does_not_know(spark, tmp_path):
     said = F.concat(F.lit("fr:"), "value")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         flows.translate_file(spark, str(tmp_path / "none.json"), str(tmp_path / "o"), said)
-    for i, text in enumerate(['{"a": "b"}', '{"a": {"Default": []}, "b": [1]}', "[1]"]):
+    for i, text in enumerate(['"a"', "{'a': 1}", '{"a": [1}', ""]):
         file = put(tmp_path, f"x{i}.json", text)
-        with pytest.raises(Exception, match="neither a"):
-            flows.translate_file(spark, file, str(tmp_path / "o"), said)
+        if text:
+            with pytest.raises(Exception, match="neither a|no JSON"):
+                flows.translate_file(spark, file, str(tmp_path / "o"), said)
+        else:
+            assert flows.translate_file(spark, file, str(tmp_path / "o"), said).isEmpty()
+
+
+def test_translate_takes_json_of_any_shape(spark, tmp_path):
+    said = F.when(F.col("value") != "no", F.concat(F.lit("fr:"), "value"))
+    texts = {
+        '{"b": "bb", "a": {"x": [1.50, null, true, "c", "no", {"z": "zz", "y": {}}], "w": []}}':
+            '{"b":"fr:bb","a":{"x":[1.50,null,true,"c","no",{"z":"fr:zz","y":{}}],"w":[]}}',
+        '["one", ["two"], {"k\\"ey": "th}ree"}]': '["fr:one",["fr:two"],{"k\\"ey":"fr:th}ree"}]',
+        '{"a": {"Default": []}, "b": [1]}': '{"a":{"Default":[]},"b":[1]}',
+        '{\n "D": {"Default": [{"extra": {"n": 1, "m": ["qq"]}, "name": "nn", "keywords": "kk"}]}\n}':
+            '{"D":{"Default":[{"extra":{"n":1,"m":["fr:qq"]},"name":"fr:nn","keywords":"fr:kk"}]}}',
+    }
+    for i, (text, want) in enumerate(texts.items()):
+        out = str(tmp_path / f"o{i}")
+        flows.translate_file(spark, put(tmp_path, f"y{i}.json", text), out, said)
+        assert [r.value for r in spark.read.text(out).collect()] == [want]
+
+
+def test_translated_drafts_keep_further_fields(spark, tmp_path):
+    items = [{"note": {"z": "zz", "a": [2]}, "paper_id": 2, "category": "cc", "reason": "rr"}, {"paper_id": 3, "category": "}{", "reason": None}]
+    file = put(tmp_path, "d.json", json.dumps({"D }": items, "E": [], "F": None}, indent=1))
+    labels = flows.translate_file(spark, file, str(tmp_path / "out"), F.concat(F.lit("fr:"), "value"))
+    assert sorted((r.dim, r.paper_id, r.category) for r in labels.collect()) == [("D }", 2, "fr:cc"), ("D }", 3, "fr:}{")]
+    (line,) = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out")).collect()
+    assert json.loads(line.value) == {"D }": [{"note": {"z": "fr:zz", "a": [2]}, "paper_id": 2, "category": "fr:cc", "reason": "fr:rr"}, {"paper_id": 3, "category": "fr:}{", "reason": None}]}
+    assert line.value.index("note") < line.value.index("paper_id")
+
+
+def test_converge_keeps_further_fields_of_categories(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(prompts):
+        for p in prompts:
+            seen.add('"colour":{"z":1,"a":["é"]}' in p)
+        category = {"colour": {"z": 1, "a": ["é"]}, "name": "A", "keywords": "k", "size": 1.5, "note": None}
+        return [json.dumps({"refined_categories": [category, "odd"], "mapping": {}}, ensure_ascii=False)] * len(prompts)
+
+    labels = spark.createDataFrame([("D", i, i, f"l{i}", "r") for i in range(40)], documents.LABELS)
+    tax = str(tmp_path / "tax.json")
+    got = flows.converge(spark, labels, tax, model, qps=0)
+    extra = '"colour":{"z":1,"a":["é"]},"size":1.5,"note":null'
+    assert sorted((r.pos, r.name, r.extra) for r in got.collect()) == [(0, "A", extra), (1, "", None)]
+    assert seen.value == 1  # the second chunk's prompt
+    flows.converge(spark, labels.withColumn("dim", F.lit("E")), tax, F.lit(None).cast("string"))
+    kept = [json.loads(r.value) for r in spark.read.text(tax).collect()]
+    assert [k["D"]["Default"][0] for k in kept if "D" in k] == [{"name": "A", "keywords": ["k"], "colour": {"z": 1, "a": ["é"]}, "size": 1.5, "note": None}]
 
 
 def test_translate_draft_keeps_every_label(spark, tmp_path):
@@ -328,7 +377,7 @@ def test_explore_and_converge_flows_update_in_place(spark, tmp_path):
     papers = exports.load_papers(spark, file)
     tax, out = str(tmp_path / "tax"), str(tmp_path / "labelled")
     old = documents.empty(spark, documents.TAXONOMY).unionByName(
-        spark.createDataFrame([("Old", "Default", 0, "O", "", "", ["k"], ["c"]), ("App", "Default", 0, "gone", "", "", None, None)], documents.TAXONOMY)
+        spark.createDataFrame([("Old", "Default", 0, "O", "", "", ["k"], ["c"], None), ("App", "Default", 0, "gone", "", "", None, None, None)], documents.TAXONOMY)
     )
     old.write.parquet(tax)
     reply = F.lit(json.dumps({"refined_categories": [{"name": "AB"}], "mapping": {"a": "AB"}}))
@@ -378,13 +427,13 @@ def test_translate_with_a_python_responder(spark):
 
 
 def test_translate_keeps_structure(spark):
-    rows = [("D", "Default", 0, "name", "definition", None, ["k1", "x"], ["c1", "c2"]), ("D", "Default", 1, "n", "definition", "j", None, [])]
+    rows = [("D", "Default", 0, "name", "definition", None, ["k1", "x"], ["c1", "c2"], '"more":{"z":["ab",1]}'), ("D", "Default", 1, "n", "definition", "j", None, [], None)]
     taxonomy = spark.createDataFrame(rows, documents.TAXONOMY)
     reply = F.when(F.col("value") != "c2", F.upper("value"))
     got = translate.translate_taxonomy(taxonomy, reply).orderBy("pos").collect()
     assert [tuple(r) for r in got] == [
-        ("D", "Default", 0, "NAME", "DEFINITION", None, ["K1", "x"], ["C1", "c2"]),
-        ("D", "Default", 1, "n", "DEFINITION", "j", None, []),
+        ("D", "Default", 0, "NAME", "DEFINITION", None, ["K1", "x"], ["C1", "c2"], '"more":{"z":["AB",1]}'),
+        ("D", "Default", 1, "n", "DEFINITION", "j", None, [], None),
     ]
 
 
