@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.checks import views as v
 from corpusloom.functions import prompts
+from corpusloom.operators import ranges
 from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import converge as c
 from corpusloom.plans import explore as x
@@ -91,6 +92,28 @@ def draft_file(spark: SparkSession, d: str) -> DataFrame:
     return documents.read_draft(spark, path).select("dim", "pos", "paper_id", "category", "reason")
 
 
+#: Bytes of a split in ``draft_splits``, far below the size of its files.
+SPLIT = 32 << 10
+
+
+def draft_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Draft files that hold all dimensions, on one line or indented, read in splits of SPLIT bytes.
+
+    Every label has a further field with brackets, quotes and objects in it.
+    """
+    path = new_path(spark, "draft")
+    more = F.struct(F.concat(F.lit('}]"'), F.col("reason")).alias("}"), F.array(F.struct(F.col("category").alias("x"))).alias("list"))
+    item = F.struct("paper_id", more.alias("more"), "category", "reason")
+    block = F.call_function("div", F.col("pos"), F.lit(FILE_BLOCK))
+    listed = _explored(spark, d).groupBy(block.alias("block"), "dim").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    whole = listed.groupBy("block").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dim", "items")))).alias("m"))
+    text = F.when(F.col("block") % 2 == 0, F.to_json("m")).otherwise(F.to_json("m", {"pretty": "true"}))
+    whole.select("block", text.alias("value")).write.partitionBy("block").text(path)
+    with ranges.splits_of(spark, SPLIT):
+        items = documents.draft_ranges(spark, path)
+    return documents.item_labels(items).select("dim", "pos", "paper_id", "category", "reason")
+
+
 def converge_flow(spark: SparkSession, d: str) -> DataFrame:
     """From a draft that labels every paper twice to labelled papers, in two runs over one export.
 
@@ -311,7 +334,7 @@ def contract_unique(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        explore_labels, explore_dims, max_papers, draft_export, draft_scan, draft_file, converge_flow, select_dims, label_counts, label_rank,
+        explore_labels, explore_dims, max_papers, draft_export, draft_scan, draft_file, draft_splits, converge_flow, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
         taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers, label_papers_bucketed,
         label_merge, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
@@ -364,6 +387,7 @@ ORACLES = {
       SELECT dim, block, length(document) AS chars, md5(document) AS digest FROM docs""",
     "draft_scan": f"WITH {EXPLORED} SELECT * FROM explored",
     "draft_file": f"WITH {EXPLORED} SELECT * FROM explored",
+    "draft_splits": f"WITH {EXPLORED} SELECT * FROM explored",
     "converge_flow": f"""WITH {v.LABELS}, finals AS (SELECT *, category AS final FROM labelled),
       wide AS ({_pivot(['Source', 'Lead'])})
       SELECT paper_id, nullif(Source_raw_category, '') AS Source_raw_category, nullif(Source_category, '') AS Source_category,

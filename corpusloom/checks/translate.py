@@ -9,6 +9,7 @@ from corpusloom.functions import prompts
 from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import flows, translate as t
 from corpusloom.sources import documents, exports, sinks
+from corpusloom.sources.leaves import json_from_leaves, json_leaves
 
 COLUMNS = "title, abstract, lang, missing"
 
@@ -124,11 +125,44 @@ def translate_draft_file(spark: SparkSession, d: str) -> DataFrame:
     return documents.read_draft(spark, f"{path}/out").select("dim", "paper_id", "category", "reason")
 
 
+# ---- JSON of any shape ---------------------------------------------------------
+
+
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    """A nested JSON document for every given document: texts, numbers, truth values, nulls, empty lists and objects."""
+    nothing = F.lit(None).cast("string")
+    body = F.struct(
+        F.col("text"),
+        F.array("lang", "source", nothing).alias("tags"),
+        F.array(F.struct(F.col("n_chars").alias("size"), F.array().cast("array<string>").alias("none"))).alias("parts"),
+        F.create_map().cast("map<string,string>").alias("free"),
+    )
+    whole = F.struct("doc_id", (F.col("n_chars") > 1000).alias("long"), body.alias("body"), nothing.alias("alpha"))
+    return v.table(spark, d, "documents").select("doc_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("document"))
+
+
+def _leaves(documents_: DataFrame) -> DataFrame:
+    found = json_leaves(documents_, ["doc_id"])
+    return found.select("doc_id", "at", "path", "kind", F.when(F.col("kind") == "text", F.md5("value")).otherwise(F.col("value")).alias("value"))
+
+
+def json_table(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of JSON documents, which are rebuilt from the table and taken apart again."""
+    table = settle(json_leaves(_json(spark, d), ["doc_id"]), "leaves")
+    return _leaves(json_from_leaves(table, ["doc_id"]))
+
+
+def translate_json(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of nested documents translated; everything else stays as it is."""
+    return _leaves(t.translate_json(_json(spark, d), ["doc_id"], _leaf_responder()))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         distinct_texts, batch_size, batch_size_tables, translate_batches, translate_prompts, translate_map,
         translate_apply, translate_apply_spread, translated_csv, translate_taxonomy, translate_draft, translate_draft_file,
+        json_table, translate_json,
     )
 }
 
@@ -158,7 +192,24 @@ _LEAF = "CASE WHEN length({0}) > 1 AND {0} NOT LIKE 'h%' THEN 'fr:' || {0} ELSE
 
 _P = f"WITH {v.PAPERS}, cells AS (SELECT 'abstract' AS col, abstract AS text, paper_id FROM papers UNION ALL SELECT 'source', source, paper_id FROM papers), texts AS (SELECT col, text, min(paper_id) AS first_id FROM cells GROUP BY 1, 2), {SIZES}"
 
+
+
+def _json_leaves(text: str) -> str:
+    """DuckDB's own walk over the same documents, ``text`` being what a text has become."""
+    return f"""WITH j AS (SELECT doc_id, to_json({{'doc_id': doc_id, 'long': n_chars > 1000, 'body': {{'text': {text.format('text')},
+        'tags': [{text.format('lang')}, {text.format('source')}, NULL], 'parts': [{{'size': n_chars, 'none': []}}], 'free': MAP {{}}}}, 'alpha': NULL}}) AS j
+      FROM documents),
+    w AS (SELECT doc_id, t.fullkey, t.type, t.value, t.id FROM j, json_tree(j.j) t
+      WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{{}}', '[]'))
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1)::INTEGER AS at, fullkey AS path,
+      CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean'
+        WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+      CASE WHEN type = 'VARCHAR' THEN md5(value->>'$') WHEN type IN ('OBJECT', 'ARRAY') THEN '' ELSE value::VARCHAR END AS value FROM w"""
+
+
 ORACLES = {
+    "json_table": _json_leaves("{0}"),
+    "translate_json": _json_leaves("(" + _LEAF + ")"),
     "distinct_texts": f"WITH {TEXTS} SELECT col, md5(text) AS digest, first_id, n FROM texts",
     "batch_size": f"WITH {TEXTS}, {SIZES} SELECT * FROM sizes",
     "batch_size_tables": f"""WITH cells AS (

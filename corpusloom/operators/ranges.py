@@ -10,6 +10,7 @@ are put together from their parts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import pyarrow as pa
@@ -28,10 +29,24 @@ MAX_BROADCAST = 1_000_000
 UNITS = "file string, start long, n long, kind string, grp long, opens boolean, closes boolean, text string"
 
 
+@contextmanager
+def splits_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Files read in here are cut into splits of at most ``size`` bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size)}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, value in names.items():
+            spark.conf.set(k, value)
+        yield
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+
+
 def read_pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
     """(file, start, line, value): the text between ``end``s, in the order of ``line`` within a split, which is
     told by its ``start`` in the file."""
-    options = {"lineSep": end, "recursiveFileLookup": "true", "pathGlobFilter": "*"}
+    options = {"lineSep": end, "recursiveFileLookup": "true"}
     return spark.read.options(**options).text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
