@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.checks import views as v
 from corpusloom.functions.text import paper_text, keyword_fallback
+from corpusloom.operators.ranges import splits_of
 from corpusloom.operators.scratch import new_path
 from corpusloom.sources import exports, sinks
 
@@ -115,6 +116,21 @@ def scan_csv(spark: SparkSession, d: str) -> DataFrame:
     return back.select("page_id", "url", F.md5("html").alias("digest"))
 
 
+#: Bytes of a split in ``scan_csv_splits``, far below the size of its files.
+SPLIT = 32 << 10
+
+
+def scan_csv_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Pages through CSV and back, the files read in splits of SPLIT bytes: quoted cells of many lines span them."""
+    path = new_path(spark, "scan")
+    rows = v.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
+    lines = F.concat(F.col("html"), F.lit('\n"quoted", \n\n'), F.col("url"))
+    _write(rows.withColumn("html", lines), path)
+    with splits_of(spark, SPLIT):
+        back = exports.read_table(spark, path)
+    return back.select("page_id", "url", F.md5("html").alias("digest"))
+
+
 def scan_tsv(spark: SparkSession, d: str) -> DataFrame:
     back = _round_trip(spark, d, "\t", "tsv", "conversations", ["conv_id", "turn", "role", "text"])
     return back.select("conv_id", "turn", "role", F.md5("text").alias("digest"))
@@ -131,7 +147,8 @@ def csv_sink(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        detect_source, map_columns, map_columns_named, dedup_columns, load_papers, load_text, scan_csv, scan_tsv, csv_sink,
+        detect_source, map_columns, map_columns_named, dedup_columns, load_papers, load_text, scan_csv, scan_csv_splits, scan_tsv,
+        csv_sink,
     )
 }
 
@@ -185,6 +202,8 @@ ORACLES = {
         md5('Title: ' || trim(title, {v.BLANKS}) || chr(10) || 'Abstract: ' || trim(abstract, {v.BLANKS}) || chr(10) || 'Keywords: ' ||
         CASE WHEN folder <> 'rest' THEN coalesce(kept, '') ELSE '' END) AS digest FROM filed""",
     "scan_csv": "SELECT page_id::VARCHAR AS page_id, url, md5(html) AS digest FROM pages",
+    "scan_csv_splits": """SELECT page_id::VARCHAR AS page_id, url,
+      md5(html || chr(10) || '"quoted", ' || chr(10) || chr(10) || url) AS digest FROM pages""",
     "scan_tsv": "SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, md5(text) AS digest FROM conversations",
     "csv_sink": "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS digest, lang FROM documents",
 }

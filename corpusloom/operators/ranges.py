@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.operators.scratch import settle
 
@@ -67,11 +67,14 @@ def _by_split(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
         yield key, (value for _, value in some)
 
 
-def split_states(pieces: DataFrame, summarise: Callable[[Iterator[str]], Summary]) -> DataFrame:
-    """(file, start, state, count): the state (0 at the start of a file) and the count before every split."""
+def split_states(pieces: DataFrame, summarise: Callable[[Iterator[str], str], Summary]) -> DataFrame:
+    """(file, start, state, count): the state (0 at the start of a file) and the count before every split.
+
+    ``summarise(texts, file)`` tells what a split does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [(*key, *summarise(texts)) for key, texts in _by_split(batches, ["file", "start"])]
+        found = [(*key, *summarise(texts, key[0])) for key, texts in _by_split(batches, ["file", "start"])]
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*found, strict=True), [pa.string()] + [pa.int64()] * 5, strict=True)],
@@ -93,14 +96,14 @@ def split_states(pieces: DataFrame, summarise: Callable[[Iterator[str]], Summary
 
 
 def scan_splits(
-    pieces: DataFrame, states: DataFrame | None, scan: Callable[[Iterable[str], int, int, dict], Iterator[Unit]], extra: Column | None = None
+    pieces: DataFrame, states: DataFrame | None, scan: Callable[[Iterable[str], int, int, str, int], Iterator[Unit]]
 ) -> DataFrame:
-    """UNITS rows of every split: ``scan(texts, state, count, at)`` starts from the split's own state.
+    """UNITS rows of every split: ``scan(texts, state, count, file, start)`` begins in the split's own state.
 
-    Without ``states`` every split starts a file.  ``at`` holds file, start and ``extra``, which tells files apart.
+    Without ``states`` every split begins in state 0.
     """
-    names = ["file", "start", "state", "count", "extra"]
-    given = pieces.withColumn("extra", F.lit(None).cast("string") if extra is None else extra)
+    names = ["file", "start", "state", "count"]
+    given = pieces
     if states is None:
         given = given.withColumns({"state": F.lit(0).cast("long"), "count": F.lit(0).cast("long")})
     elif states.count() <= MAX_BROADCAST:
@@ -118,8 +121,8 @@ def scan_splits(
             columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
             return pa.RecordBatch.from_arrays(columns, names=["file", "start", "n", "kind", "grp", "opens", "closes", "text"])
 
-        for (file, start, state, count, more), texts in _by_split(batches, names):
-            for n, unit in enumerate(scan(texts, state, count, {"file": file, "start": start, "extra": more})):
+        for (file, start, state, count), texts in _by_split(batches, names):
+            for n, unit in enumerate(scan(texts, state, count, file, start)):
                 held.append((file, start, n, *unit))
                 size += len(unit[4])
                 if size >= 1 << 23 or len(held) >= 10_000:

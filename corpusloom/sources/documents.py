@@ -60,7 +60,7 @@ def _deeper(parts: list[str]) -> int:
     return signs.count("{") + signs.count("[") - signs.count("}") - signs.count("]")
 
 
-def _summarise(texts: Iterable[str]) -> tuple[int, int, int, int]:
+def _summarise(texts: Iterable[str], file: str) -> tuple[int, int, int, int]:
     """What the pieces do to quotes and depth, whether they begin outside a string or inside one."""
     inside, depth = [0, 1], [0, 0]
     for text in texts:
@@ -73,7 +73,7 @@ def _summarise(texts: Iterable[str]) -> tuple[int, int, int, int]:
     return inside[0], inside[1], depth[0], depth[1]
 
 
-def _draft_units(texts: Iterable[str], state: int, depth: int, at: dict) -> Iterator[Unit]:
+def _draft_units(texts: Iterable[str], state: int, depth: int, file: str, begin: int) -> Iterator[Unit]:
     """The units of a split of a draft: ``head``, a key with the sign that opens its value; ``item``, an object
     of a list; ``odd``, what no draft holds; ``end``, the depth behind the split.
 

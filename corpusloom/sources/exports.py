@@ -6,9 +6,9 @@ rows only, one array of names per file, with array expressions and no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,6 +17,7 @@ from corpusloom.functions.text import check_names, quoted
 from corpusloom.operators.layout import spread
 from corpusloom.operators.lookup import lookup
 from corpusloom.operators.numbering import running_sums
+from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_states, stitched
 from corpusloom.operators.scratch import settle
 
 # Per dialect and role the column names looked for, in order.
@@ -50,6 +51,8 @@ SEPARATORS = {".csv": ",", ".txt": "\t", ".tsv": "\t"}
 ROLES = ["title", "abstract", "keywords"]
 HEADERS = "file string, names array<string>, line_end string"
 HEADER_BYTES = 64 * 1024
+#: Names of columns in headers, up to which these are broadcast: some 10 MB.
+MAX_BROADCAST = 200_000
 ARROW_STORES = {"file", "s3", "s3a", "s3n", "gs", "hdfs", "abfs", "abfss"}
 
 
@@ -239,6 +242,154 @@ def scan_delimited(
     )
 
 
+# ---- reading in splits ---------------------------------------------------------
+
+
+def file_separator(file: str) -> str:
+    """The separator by the file's suffix."""
+    return SEPARATORS.get("." + file.lower().rsplit(".", 1)[-1], "\t")
+
+
+def _inside_after(line: str, inside: bool, sep: str) -> bool:
+    """Whether a quoted cell is open behind a line that begins inside one, or at the start of a cell."""
+    if '"' not in line:
+        return inside
+    at, opening = 0, sep + '"'
+    if not inside and line[0] == '"':
+        inside, at = True, 1
+    while True:
+        if not inside:
+            at = line.find(opening, at)
+            if at < 0:
+                return False
+            inside, at = True, at + len(opening)
+        quote = line.find('"', at)
+        if quote < 0:
+            return True
+        if line.startswith('"', quote + 1):
+            at = quote + 2
+        else:
+            inside, at = False, quote + 1
+
+
+def _summarise(lines: Iterable[str], file: str) -> tuple[int, int, int, int]:
+    """What the lines of a split do to quotes, whether it begins outside a cell or inside one."""
+    sep, first, second = file_separator(file), False, True
+    for line in lines:
+        if '"' in line:
+            first, second = _inside_after(line, first, sep), _inside_after(line, second, sep)
+    return int(first), int(second), 0, 0
+
+
+def _record_units(end: str, lines: Iterable[str], state: int, count: int, file: str, start: int) -> Iterator[Unit]:
+    """The records of a split, ``header`` the first of a file; blank lines between them are none."""
+    sep, inside, opens, held = file_separator(file), bool(state), not state, []
+    kind = "record" if start else "header"
+    for line in lines:
+        if not held and not inside and line in ("", "\r"):
+            continue
+        held.append(line)
+        inside = _inside_after(line, inside, sep)
+        if not inside:
+            yield kind, 0, opens, True, end.join(held)
+            kind, opens, held = "record", True, []
+    if held:
+        yield kind, 0, opens, False, end.join(held) + end
+
+
+def read_records(
+    spark: SparkSession, paths: str | list[str], headers: DataFrame, line_ends: Iterable[str], multi_line: bool = True
+) -> DataFrame:
+    """(file, start, n, text): the records of delimited files behind their headers, read in splits of any file.
+
+    ``headers`` (file, line_end) names the files to read, ``line_ends`` those that occur.  ``multi_line=False``
+    saves a pass where no quoted cell holds a line end; a pass is also saved where all files are too small to be split.
+    """
+    ends = {"\r" if e == "\r" else "\n" for e in line_ends}
+    split = multi_line and _may_split(spark, paths)
+    units = None
+    for end in sorted(ends):
+        pieces = read_pieces(spark, paths, end)
+        if len(ends) > 1:
+            mine = (F.col("line_end") == "\r") if end == "\r" else (F.col("line_end") != "\r")
+            pieces = pieces.join(headers.where(mine).select("file"), "file", "left_semi")
+        states = split_states(pieces, _summarise) if split else None
+        found = scan_splits(pieces, states, partial(_record_units, end))
+        if split:
+            found = stitched(settle(found, "records"))
+        units = found if units is None else units.unionByName(found, allowMissingColumns=True)
+    return units.where("kind = 'record'").select("file", "start", "n", "text")
+
+
+def _may_split(spark: SparkSession, paths: str | list[str]) -> bool:
+    """Whether some file is large enough for Spark to read it in splits."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    conf = spark._jsparkSession.sessionState().conf()
+    return (files.agg(F.max("length")).head()[0] or 0) > min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())
+
+
+def scan_records(spark: SparkSession, paths: str | list[str], headers: DataFrame, multi_line: bool = True) -> DataFrame:
+    """(source_file, _block, _row, cells) and further columns of ``headers``: the records of files of any layout, by one scan.
+
+    ``headers`` (file, names, line_end, …) holds every file's header.  ``cells`` are in the order of ``names``, missing
+    markers and cells that a short row lacks as null.  A row with more cells than the header is refused, naming its file.
+    """
+    files, widest, line_ends = headers.agg(F.count("*"), F.max(F.size("names")), F.collect_set("line_end")).head()
+    widest = widest or 0
+    records = read_records(spark, paths, headers, line_ends, multi_line).withColumnRenamed("n", "_row")
+    schema = ", ".join(f"c{i} string" for i in range(widest + 1))
+    if files * (widest + 1) <= MAX_BROADCAST:
+        placed = records.join(F.broadcast(headers), "file")
+    else:
+        placed = lookup(records, headers, ["file"], records.groupBy("file").agg(F.count("*").alias("n")))
+    # the line end behind a record goes with it
+    text = F.when(F.col("line_end") == "\r\n", F.regexp_replace("text", "\r$", "")).otherwise(F.col("text"))
+
+    def parsed(sep: str) -> Column:
+        return F.from_csv(text, schema, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"})
+
+    commas = F.lower(F.substring_index("file", ".", -1)) == "csv"
+    # inside a lambda a record is parsed once, not once per cell
+    record = F.array(F.when(commas, parsed(",")).otherwise(parsed("\t")))
+    split = placed.withColumn("_cells", F.transform(record, lambda r: F.array(*[r[f"c{i}"] for i in range(widest + 1)]))[0])
+    known = F.slice("_cells", F.lit(1), F.size("names"))
+    over = F.exists(F.slice("_cells", F.size("names") + 1, F.lit(widest + 1)), lambda c: c.isNotNull())
+    refused = F.raise_error(F.concat(F.lit("more cells than the header has: "), F.col("file")))
+    return split.select(
+        F.when(over, refused.cast("string")).otherwise(F.col("file")).alias("source_file"),
+        F.col("start").alias("_block"),
+        "_row",
+        *[c for c in headers.columns if c not in ("file", "line_end")],
+        F.transform(known, lambda c: F.when(~c.isin(MISSING), c)).alias("cells"),
+    )
+
+
+def _placed(headers: DataFrame, names: list[str]) -> DataFrame:
+    """``headers`` with ``_at``: the position in a file of each of ``names``, null where it has none."""
+    check_names(names)
+    place = F.transform(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.nullif(F.array_position("names", n), F.lit(0)) - 1)
+    return headers.withColumn("_at", place.cast("array<int>"))
+
+
+def _columns(names: list[str]) -> dict[str, Column]:
+    """The column of each name in what scan_records gives for _placed headers."""
+    return {n: F.get("cells", F.col("_at")[i]).alias(n) for i, n in enumerate(names)}
+
+
+def _names(headers: DataFrame) -> list[str]:
+    """All column names of all layouts, in the order of the first file that has each; as many as columns come out."""
+    each = headers.select("file", F.posexplode("names").alias("pos", "name"))
+    firsts = each.groupBy("name").agg(F.min(F.struct("file", "pos")).alias("first")).collect()
+    return [r.name for r in sorted(firsts, key=lambda r: tuple(r["first"]))]
+
+
+def _headers_of(spark: SparkSession, paths: str | list[str], through: str = "auto") -> DataFrame:
+    headers = read_headers(list_files(spark, paths), through).withColumn("names", dedup_names(F.col("names")))
+    suffix = F.lower(F.concat(F.lit("."), F.substring_index("file", ".", -1)))
+    refused = F.raise_error(F.concat(F.lit("unsupported file type "), suffix, F.lit(": "), F.col("file")))
+    return settle(headers.withColumn("file", F.when(suffix.isin(list(SEPARATORS)), F.col("file")).otherwise(refused.cast("string"))), "headers")
+
+
 def load_papers(
     spark: SparkSession,
     paths: str | list[str],
@@ -246,39 +397,31 @@ def load_papers(
     headers_through: str = "auto",
     multi_line: bool = True,
 ) -> DataFrame:
-    """One paper table from exports of differing layout.
+    """One paper table from exports of differing layout, by one scan whatever the number of layouts.
 
     Keeps every original column and adds ``paper_title``, ``paper_abstract``,
     ``paper_keywords`` (null when unmapped), ``source_file`` and ``paper_id``:
     files in path order, rows in file order, counted from 1.  Exports of an earlier
-    result keep the ``paper_id`` they hold.  ``multi_line=False`` splits large files, where no
-    quoted cell holds a line end.
+    result keep the ``paper_id`` they hold.  Large files are read in splits; ``multi_line=False``
+    saves a pass over them where no quoted cell holds a line end.
     """
-    files = list_files(spark, paths)
-    headers = read_headers(files, headers_through).withColumn("names", dedup_names(F.col("names")))
-    headers = settle(headers, "headers")
-    # one small row per distinct layout and role, whatever the number of files
-    layouts = headers.join(map_columns(headers, source_type), "file")
-    per_layout = (
-        layouts.withColumn("suffix", F.lower(F.substring_index("file", ".", -1)))
-        .groupBy("names", "suffix", "line_end")
-        .agg(F.collect_set("file").alias("files"), F.collect_set(F.struct("role", "column")).alias("roles"))
-        .collect()
-    )
-    tables = []
-    for layout in per_layout:
-        mapped = {r.role: r.column for r in layout.roles}
-        frame = scan_delimited(spark, sorted(layout.files), layout.names, _separator(layout.files[0]), layout.line_end, multi_line)
-        roles = {
-            f"paper_{role}": quoted(mapped[role]) if mapped[role] else F.lit(None).cast("string") for role in ROLES
-        }
-        tables.append(frame.select(*[quoted(c) for c in frame.columns if c not in roles], *[c.alias(n) for n, c in roles.items()]))
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    # the ids come from the scan, so rows are dealt out only after they have their place
-    union = spread(union)
-    if all("paper_id" in layout.names for layout in per_layout):
-        return settle(union.withColumn("paper_id", F.col("paper_id").cast("long")).drop("_row", "_block"), "papers")
-    return number_by_file(settle(union.drop("paper_id"), "papers"))
+    headers = _headers_of(spark, paths, headers_through)
+    names = _names(headers)
+    roles = F.map_from_entries(F.collect_list(F.struct("role", "column")))
+    found = map_columns(headers, source_type).where("column IS NOT NULL").groupBy("file").agg(roles.alias("roles"))
+    mapped = settle(_placed(headers, names).join(found, "file", "left"), "layouts")
+    place = {r: (F.array_position("names", F.col("roles")[r]) - 1).cast("int") for r in ROLES}
+    rows = scan_records(spark, paths, mapped.withColumns({f"_{r}": at for r, at in place.items()}), multi_line)
+    # a role's column is one of the file's own
+    added = {f"paper_{r}": F.get("cells", F.col(f"_{r}")).alias(f"paper_{r}") for r in ROLES}
+    columns = _columns(names)
+    own = [c for n, c in columns.items() if n not in added and n not in ("source_file", "paper_id")]
+    kept = "paper_id" in names and headers.where(~F.array_contains("names", "paper_id")).isEmpty()
+    given = [columns["paper_id"].cast("long").alias("paper_id")] if kept else []
+    papers = spread(rows.select(*own, "source_file", *given, *added.values(), "_block", "_row"))
+    if kept:
+        return settle(papers.drop("_row", "_block"), "papers")
+    return number_by_file(settle(papers, "papers"))
 
 
 def number_by_file(df: DataFrame) -> DataFrame:
@@ -297,9 +440,9 @@ def number_by_file(df: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """One already labelled export (one layout), as text columns in file order."""
-    headers = read_headers(list_files(spark, path)).withColumn("names", dedup_names(F.col("names")))
-    layouts = headers.groupBy("names", "line_end").agg(F.collect_set("file").alias("files")).collect()
-    frames = [scan_delimited(spark, sorted(x.files), x.names, sep, x.line_end) for x in layouts]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).drop("source_file", "_row", "_block")
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Already labelled exports as text columns."""
+    headers = _headers_of(spark, path)
+    names = _names(headers)
+    rows = scan_records(spark, path, settle(_placed(headers, names), "layouts"))
+    return rows.select(*[c for n, c in _columns(names).items() if n != "source_file"])

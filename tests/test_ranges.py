@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import random
 
@@ -9,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.sources import documents, leaves
+from corpusloom.sources import documents, exports, leaves
 
 VALUES = st.recursive(
     st.none() | st.booleans() | st.integers(-(10**20), 10**20) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6),
@@ -133,3 +135,66 @@ def test_one_file_with_all_dimensions_in_many_tasks(spark, tmp_path, small_split
     assert rows.agg(F.max(F.length("item"))).head()[0] < 200
     got = {(r.dim, r.paper_id) for r in documents.read_draft(spark, str(tmp_path / "d.json")).collect()}
     assert got == {(d, i["paper_id"]) for d, items in draft.items() for i in items}
+
+
+CELLS = ["", "plain", 'say ""x""', "two\nlines", "a,b", "\t", '"', '5"', "é漢", "\n\n", '""', "x" * 70, ",\n,", "NA"]
+
+
+def random_csv(seed: int, sep: str, end: str) -> tuple[str, list[list[str]]]:
+    r = random.Random(seed)
+    rows = [["id", f"Title{seed}", "Abstract"]] + [[f"r{i}", r.choice(CELLS), r.choice(CELLS) + r.choice(CELLS)] for i in range(40)]
+    out = io.StringIO(newline="")
+    csv.writer(out, delimiter=sep, lineterminator=end).writerows(rows)
+    return out.getvalue(), rows
+
+
+def plain_cells(rows: list[list[str]]) -> list[tuple]:
+    return [tuple(None if c in exports.MISSING else c for c in r) for r in rows[1:]]
+
+
+@pytest.mark.parametrize(("sep", "end", "suffix"), [(",", "\n", "csv"), ("\t", "\r\n", "tsv")])
+def test_quoted_cells_over_splits(spark, tmp_path, small_splits, sep, end, suffix):
+    files, want = [], {}
+    for seed in range(2):
+        text, rows = random_csv(seed, sep, end)
+        path = tmp_path / f"f{seed}.{suffix}"
+        path.write_bytes((b"\xef\xbb\xbf" if seed else b"") + text.encode())
+        assert list(csv.reader(io.StringIO(text, newline=""), delimiter=sep)) == rows
+        files.append(str(path))
+        want[seed] = plain_cells(rows)
+    headers = exports._headers_of(spark, str(tmp_path))
+    got = exports.scan_records(spark, str(tmp_path), headers).orderBy("source_file", "_block", "_row").collect()
+    for seed in range(2):
+        assert [tuple(r.cells) for r in got if r.source_file.endswith(f"f{seed}.{suffix}")] == want[seed]
+    assert len({r._block for r in got}) > 3
+    whole = [r for f in files for r in exports.scan_delimited(spark, [f], list(headers.where(F.col("file").endswith(f)).head().names), sep, end).collect()]
+    assert sorted(map(str, (tuple(r)[:3] for r in whole))) == sorted(str(tuple(r.cells)) for r in got)
+    papers = exports.load_papers(spark, str(tmp_path)).orderBy("paper_id").collect()
+    assert [(r.paper_id, r.id) for r in papers] == [(i + 1, f"r{i % 40}") for i in range(80)]
+
+
+def test_splits_inside_one_cell(spark, tmp_path, small_splits):
+    """A cell longer than several splits, with line ends and quotes all over it."""
+    cell = 'a ""b"" , "" \n' * 120
+    (tmp_path / "x.csv").write_text(f'Title,Abstract\nbefore,1\n"{cell}",2\nafter,"3\n"\n')
+    got = exports.load_papers(spark, str(tmp_path)).orderBy("paper_id").collect()
+    assert [(r.Title, r.Abstract) for r in got] == [("before", "1"), (cell.replace('""', '"'), "2"), ("after", "3\n")]
+
+
+def test_many_layouts_are_one_scan(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i:02}.csv").write_text(f"Title,Abstract,extra{i}\nt{i},a{i},e{i}\n")
+    papers = exports.load_papers(spark, str(tmp_path))
+    got = papers.orderBy("paper_id").collect()
+    assert [(r.paper_title, r[f"extra{i}"], r[f"extra{(i + 1) % 30}"]) for i, r in enumerate(got)] == [(f"t{i}", f"e{i}", None) for i in range(30)]
+    rows = exports.scan_records(spark, str(tmp_path), exports._headers_of(spark, str(tmp_path)))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4  # whole records, parts, layouts: not one per file
+
+
+@pytest.mark.parametrize("line", ['a,b', '"a","b', 'a","b', '""', '"""', '"a""', '","', 'x"y,"z', '"x"y,"z"', ',"', '"a"",b'])
+def test_open_cells(line):
+    """The state behind a line against the csv module: a record that goes on swallows the next line."""
+    for inside in (False, True):
+        text = ('"' if inside else "") + line + '\nEND"\n'
+        rows = list(csv.reader(io.StringIO(text, newline="")))
+        assert exports._inside_after(line, inside, ",") == ("\n" in "".join(rows[0]))
