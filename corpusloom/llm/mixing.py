@@ -1,12 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token mass is added up per cell (source, language, topic).  Raking scales the cells until their
-sums over each of the three agree with the target shares.  A document's probability is its cell's
-raked share of the token budget over the cell's mass, one at most; what the bound takes away goes
-to the other cells.  A hash of seed and id draws the sample, so a rerun draws the same.
+sums over each of the three agree with the target shares of the token budget.  A cell holds its weight,
+its mass at most: the bound is part of the raking, so what it takes from full cells is raked onto the
+others.  A document's probability is what its cell holds over the cell's mass.  A hash of seed and id draws
+the sample, so a rerun draws the same.
 
-With a given budget the bound follows the raking, so shares may miss their targets (``gaps`` tells
-by how much).  Without one the bound is part of the raking and the budget the largest that meets them.
+No value can hold more than its mass, which bounds the budget; it is lowered further only where that narrows
+the gap between shares and targets.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.text import quoted
 from corpusloom.operators.scratch import settle
@@ -22,15 +23,19 @@ from corpusloom.operators.scratch import settle
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets that are not given: the share of a value is its mass to this power, made to add up to one.
 TEMPERATURE = {"source": 0.7, "lang": 0.7, "topic": 0.9}
-SWEEPS = 6
-CAP_ROUNDS = 10
+#: The share of all tokens wanted; less where the targets cannot be met with as many.
 BUDGET = 0.7
-#: Without a budget: the largest gap of a share, as part of its target, that counts as met.
+#: The largest gap of a share, as part of its target, that counts as met.
 TOLERANCE = 0.01
-#: Without a budget: sweeps at one budget, and how often it is lowered to LOWERED of itself.
-FIT_SWEEPS = 40
+#: Sweeps between two looks at the gap, and such rounds at one budget.
+SWEEPS = 8
+ROUNDS = 6
+#: How often the budget is lowered to LOWERED of itself, and the part of a gap that counts as no progress.
 LOWERINGS = 5
 LOWERED = 0.9
+STUCK = 0.99
+#: Cells up to which sums are taken by windows, many in one job, and their probabilities broadcast: about 100 MB.
+MAX_BROADCAST = 1_000_000
 SEED = 7
 #: The value that stands for null in a dimension.
 NONE = "(none)"
@@ -80,44 +85,6 @@ def _targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None) -> D
     return wanted.select(dim, (F.col("_w") / F.lit(float(total))).alias(f"_t_{dim}"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (source, lang, topic, mass > 0) with ``weight``, the raked shares."""
-    cells = settle(cells, "cells")
-    shares = {d: _targets(cells, d, (targets or {}).get(d)) for d in DIMENSIONS}
-    now = cells.withColumn("weight", F.col("mass").cast("double"))
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            # one row per value of a dimension; Catalyst broadcasts it when its measured size allows
-            factor = now.groupBy(d).agg(F.sum("weight").alias("_s")).join(shares[d], d).select(
-                d, F.when(F.col("_s") > 0, F.col(f"_t_{d}") / F.col("_s")).otherwise(F.lit(0.0)).alias("_f")
-            )
-            # written each time: the next step uses it twice, which would double the plan
-            now = settle(now.join(factor, d).select(*DIMENSIONS, "mass", (F.col("weight") * F.col("_f")).alias("weight")), "raked")
-    return now
-
-
-def probabilities(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(source, lang, topic, probability): expected tokens are the budget's share of all, cells are never drawn twice."""
-    total = raked.agg(F.sum("mass")).head()[0] or 0
-    goal, scale = budget * total, 0.0
-    full = F.col("weight") * F.lit(scale) >= F.col("mass")
-    for _ in range(CAP_ROUNDS):
-        # two sums over the cells: the mass of cells taken whole, and the weight of the others
-        whole, open_ = raked.agg(
-            F.sum(F.when(full, F.col("mass"))), F.sum(F.when(~full, F.col("weight")))
-        ).head()
-        if not open_ or goal - (whole or 0) <= 0:
-            break
-        new = (goal - (whole or 0)) / open_
-        if new == scale:
-            break
-        scale = new
-        full = F.col("weight") * F.lit(scale) >= F.col("mass")
-    return raked.select(
-        *DIMENSIONS, F.round(F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("mass")), 6).alias("probability")
-    )
-
-
 def _by_value(cells: DataFrame, amount: Column) -> DataFrame:
     """(dimension, value, amount) summed per value of every dimension."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])
@@ -149,44 +116,68 @@ def gaps(cells: DataFrame, chances: DataFrame, targets: Mapping[str, Mapping[str
     return _gaps(both, F.col("mass") * F.col("probability"), _wanted(shares))
 
 
+def _swept(cells: DataFrame, goal: float, sweeps: int, few: bool) -> DataFrame:
+    """``cells`` with their weights after ``sweeps`` over all dimensions."""
+    held = F.least("weight", "mass")
+    for _ in range(sweeps):
+        for d in DIMENSIONS:
+            wanted = F.lit(goal) * F.col(f"_t_{d}")
+            if few:
+                total = F.sum(held).over(Window.partitionBy(d))
+                cells = cells.withColumn("weight", F.when(total > 0, F.col("weight") * (wanted / total)).otherwise(F.lit(0.0)))
+            else:
+                # a value may have most cells: they are added up before they meet
+                sums = settle(cells.groupBy(d).agg(F.sum(held).alias("_s")), "sums")
+                scaled = F.when(F.col("_s") > 0, F.col("weight") * (wanted / F.col("_s"))).otherwise(F.lit(0.0))
+                cells = settle(cells.join(sums, d).withColumn("weight", scaled).select(*cells.columns), "raked")
+    return cells
+
+
 def fitted(
-    cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = TOLERANCE
+    cells: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    budget: float | None = None,
+    tolerance: float = TOLERANCE,
 ) -> tuple[DataFrame, float, float]:
     """(source, lang, topic, probability), the budget, and the largest gap left.
 
-    A cell holds its weight, its mass at most; raking scales weights until the held sums meet the
-    targets.  No value can hold more than its mass, which bounds the budget; it is lowered from
-    there when the sweeps do not end below ``tolerance``.  Targets that contradict each other are
-    met by no budget: then the last gap is above ``tolerance``, and logged.
+    ``cells`` (source, lang, topic, mass > 0).  The budget is the given one (None: all tokens), at most what the
+    scarcest value allows.  While shares miss their targets by more than ``tolerance`` it is lowered, as long as
+    that narrows the gap; the try with the smallest gap is taken, the first of equals.  Targets that contradict
+    each other are met by no budget: then the gap is logged.
     """
     cells = settle(cells, "cells")
     shares = {d: _targets(cells, d, (targets or {}).get(d)) for d in DIMENSIONS}
     wanted = settle(_wanted(shares), "wanted")
-    total = cells.agg(F.sum("mass")).head()[0] or 0
+    count, total = cells.agg(F.count("*"), F.sum("mass")).head()
     room = _by_value(cells, F.col("mass")).join(wanted.where("target > 0"), ["dimension", "value"])
-    budget = min(1.0, float(room.agg(F.min(F.col("amount") / F.col("target"))).head()[0] or 0) / total) if total else 0.0
-    held, now, gap = F.least("weight", "mass"), cells.withColumn("weight", F.col("mass").cast("double")), 0.0
-    for lowering in range(LOWERINGS + 1 if budget else 0):
-        if lowering:
-            budget *= LOWERED
-        before = float("inf")
-        for _ in range(FIT_SWEEPS):
-            for d in DIMENSIONS:
-                goal = F.lit(budget * total) * F.col(f"_t_{d}")
-                factor = now.groupBy(d).agg(F.sum(held).alias("_s")).join(shares[d], d).select(
-                    d, F.when(F.col("_s") > 0, goal / F.col("_s")).otherwise(F.lit(0.0)).alias("_f")
-                )
-                now = settle(now.join(factor, d).select(*DIMENSIONS, "mass", (F.col("weight") * F.col("_f")).alias("weight")), "fitted")
-            gap = _gaps(now, held, wanted).agg(F.max("gap")).head()[0] or 0.0
-            if gap <= tolerance or gap > 0.99 * before:
+    most = float(room.agg(F.min(F.col("amount") / F.col("target"))).head()[0] or 0) / total if total else 0.0
+    share = min(1.0 if budget is None else budget, most)
+    if not share:
+        return cells.select(*DIMENSIONS, F.lit(0.0).alias("probability")), 0.0, 0.0
+    start = cells
+    for d in DIMENSIONS:
+        start = start.join(shares[d], d)
+    start = settle(start.withColumn("weight", F.col("mass").cast("double")), "start")
+    held = F.least("weight", "mass")
+    best: tuple[float, float, DataFrame] | None = None
+    for _ in range(LOWERINGS + 1):
+        now, gap = start, float("inf")
+        for _ in range(ROUNDS):
+            now = settle(_swept(now, share * total, SWEEPS, count <= MAX_BROADCAST), "raked")
+            before, gap = gap, _gaps(now, held, wanted).agg(F.max("gap")).head()[0] or 0.0
+            if gap <= tolerance or gap > STUCK * before:
                 break
-            before = gap
-        if gap <= tolerance:
+        narrower = best is None or gap < STUCK * best[0]
+        if narrower:
+            best = (gap, share, now)
+        if gap <= tolerance or not narrower:
             break
+        share *= LOWERED
+    gap, share, now = best
     log = logging.getLogger(__name__)
-    log.log(logging.WARNING if gap > tolerance else logging.INFO, "mix: budget %.4f, largest gap to a target share %.2f %%", budget, 100 * gap)
-    chance = F.round(held / F.col("mass"), 6) if budget else F.lit(0.0)
-    return now.select(*DIMENSIONS, chance.alias("probability")), budget, gap
+    log.log(logging.WARNING if gap > tolerance else logging.INFO, "mix: budget %.4f, largest gap to a target share %.2f %%", share, 100 * gap)
+    return now.select(*DIMENSIONS, F.round(held / F.col("mass"), 6).alias("probability")), share, gap
 
 
 def draw(key: Column, seed: int = SEED) -> Column:
@@ -201,10 +192,11 @@ def mix(
     """(doc_id, source, lang, topic, tokens, probability, kept) for every row of ``docs``.
 
     ``targets`` gives shares per value of a dimension; values left out get none.  Rows that repeat
-    an id are drawn alike.  Empty and null texts have no mass and are not kept.  A ``budget`` of None is
-    the largest that meets the targets.
+    an id are drawn alike.  Empty and null texts have no mass and are not kept.  ``budget`` is the share of all
+    tokens wanted, None for as many as the targets allow.
     """
-    found = _with_chance(_labels(docs), targets, budget)
+    # texts are looked through once
+    found = _with_chance(settle(_labels(docs), "labels"), targets, budget)
     p = F.coalesce(F.col("probability"), F.lit(0.0))
     return found.select(
         "doc_id", "source", "lang", "topic", "tokens", p.alias("probability"),
@@ -212,16 +204,13 @@ def mix(
     )
 
 
-#: Cells up to which their probabilities are broadcast: about 100 MB.
-MAX_BROADCAST = 1_000_000
 SALTS = 64
 
 
 def _with_chance(each: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, budget: float | None) -> DataFrame:
     """Labelled documents with the probability of their cell; beyond MAX_BROADCAST cells by salted shuffle."""
     cells = each.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("mass")).where("mass > 0")
-    found = fitted(cells, targets)[0] if budget is None else probabilities(rake(cells, targets), budget)
-    chances = settle(found, "chances")
+    chances = settle(fitted(cells, targets, budget)[0], "chances")
     if chances.count() <= MAX_BROADCAST:
         return each.join(F.broadcast(chances), list(DIMENSIONS), "left")
     # a cell may hold a third of all rows
@@ -240,34 +229,38 @@ def sampled(
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def oracle(budget: float = BUDGET, seed: int = SEED, sweeps: int = SWEEPS) -> str:
-    """DuckDB twin over ``documents`` with the default targets."""
+def oracle(budget: float = BUDGET, seed: int = SEED) -> str:
+    """DuckDB twin over ``documents`` with the default targets, for tables that need no lower budget than the scarcest value's."""
     topic = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in TOPICS) + " ELSE 'prose' END"
     ctes = [
         f"each AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {topic} AS topic, "
         f"ceil(strlen(coalesce(text, '')) / {BYTES})::BIGINT AS tokens FROM documents)",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS mass, sum(tokens)::DOUBLE AS weight FROM each GROUP BY ALL HAVING sum(tokens) > 0)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS mass FROM each GROUP BY ALL HAVING sum(tokens) > 0)",
     ]
     for d in DIMENSIONS:
         ctes.append(
-            f"t_{d} AS MATERIALIZED (SELECT {d}, w / sum(w) OVER () AS share FROM (SELECT {d}, sum(mass)::DOUBLE ** {TEMPERATURE[d]} AS w FROM c0 GROUP BY {d}))"
+            f"t_{d} AS MATERIALIZED (SELECT {d}, m, w / sum(w) OVER () AS t_{d} FROM (SELECT {d}, sum(mass)::DOUBLE AS m, sum(mass)::DOUBLE ** {TEMPERATURE[d]} AS w FROM cells GROUP BY {d}))"
         )
+    least = ", ".join(f"(SELECT min(m / t_{d}) FROM t_{d})" for d in DIMENSIONS)
+    ctes.append(f"goal AS MATERIALIZED (SELECT least({budget} * sum(mass), {least}) AS goal FROM cells)")
+    joined = " ".join(f"JOIN t_{d} USING ({d})" for d in DIMENSIONS)
+    ctes.append(
+        f"c0 AS MATERIALIZED (SELECT source, lang, topic, mass, {', '.join(f't_{d}' for d in DIMENSIONS)}, goal, mass::DOUBLE AS weight, false AS done FROM cells {joined}, goal)"
+    )
+    names = f"source, lang, topic, mass, {', '.join(f't_{d}' for d in DIMENSIONS)}, goal"
     last = "c0"
-    for i in range(sweeps * 3):
-        d = DIMENSIONS[i % 3]
-        ctes.append(
-            f"c{i + 1} AS MATERIALIZED (SELECT source, lang, topic, mass, weight * (share / sum(weight) OVER (PARTITION BY {d})) AS weight FROM {last} JOIN t_{d} USING ({d}))"
-        )
-        last = f"c{i + 1}"
-    ctes.append("k0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS scale)")
-    for i in range(CAP_ROUNDS):
-        ctes.append(
-            f"k{i + 1} AS MATERIALIZED (SELECT CASE WHEN o > 0 AND goal - whole > 0 THEN (goal - whole) / o ELSE scale END AS scale FROM (SELECT any_value(scale) AS scale, {budget} * sum(mass) AS goal, "
-            f"coalesce(sum(mass) FILTER (weight * scale >= mass), 0) AS whole, coalesce(sum(weight) FILTER (weight * scale < mass), 0) AS o FROM {last}, k{i}))"
-        )
+    for r in range(ROUNDS):
+        for i in range(SWEEPS * len(DIMENSIONS)):
+            d = DIMENSIONS[i % len(DIMENSIONS)]
+            step = f"weight * (goal * t_{d} / sum(least(weight, mass)) OVER (PARTITION BY {d}))"
+            ctes.append(f"c{r}_{i} AS MATERIALIZED (SELECT {names}, CASE WHEN done THEN weight ELSE {step} END AS weight, done FROM {last})")
+            last = f"c{r}_{i}"
+        gaps = ", ".join(f"abs(sum(least(weight, mass)) OVER (PARTITION BY {d}) / sum(least(weight, mass)) OVER () / t_{d} - 1)" for d in DIMENSIONS)
+        ctes.append(f"d{r} AS MATERIALIZED (SELECT {names}, weight, max(gap) OVER () <= {TOLERANCE} AS done FROM (SELECT *, greatest({gaps}) AS gap FROM {last}))")
+        last = f"d{r}"
     return f"""
 WITH {", ".join(ctes)},
-p AS (SELECT source, lang, topic, round(least(1.0, weight * scale / mass), 6) AS probability FROM {last}, k{CAP_ROUNDS})
+p AS (SELECT source, lang, topic, round(least(weight, mass) / mass, 6) AS probability FROM {last})
 SELECT doc_id, source, lang, topic, tokens, coalesce(probability, 0.0) AS probability,
   tokens > 0 AND ('0x' || substr(md5('{seed}/' || coalesce(doc_id::VARCHAR, '')), 1, {DIGITS}))::BIGINT / {float(16**DIGITS)} < coalesce(probability, 0.0) AS kept
 FROM each LEFT JOIN p USING (source, lang, topic)

@@ -10,22 +10,71 @@ from tests.llm import fixtures
 CELLS = "source string, lang string, topic string, mass long"
 
 
-def test_marginals_meet_their_targets(spark):
-    rows = [(f"s{i}", f"l{j}", f"t{k}", 10 + 97 * i * (j + 1) + 31 * k) for i in range(5) for j in range(3) for k in range(2)]
+def shares_of(cells: list[tuple], chances) -> dict[tuple[str, str], float]:
+    """Expected share of every value of every dimension."""
+    mass = {c[:3]: c[3] for c in cells}
+    held = {(r.source, r.lang, r.topic): r.probability * mass[r.source, r.lang, r.topic] for r in chances.collect()}
+    out: dict[tuple[str, str], float] = {}
+    for c, h in held.items():
+        for d, v in zip(mixing.DIMENSIONS, c, strict=True):
+            out[d, v] = out.get((d, v), 0) + h / sum(held.values())
+    return out
+
+
+@pytest.mark.parametrize("budget", [0.05, 0.3, 1.0, None])
+def test_marginals_meet_their_targets(spark, budget):
+    cells = [(f"s{i}", f"l{j}", f"t{k}", 1000 + 97 * i * (j + 1) + 31 * k) for i in range(5) for j in range(3) for k in range(2)]
     targets = {"source": {f"s{i}": i + 1 for i in range(5)}, "lang": {"l0": 1, "l1": 1, "l2": 2, "other": 9}}
-    raked = mixing.rake(spark.createDataFrame(rows, CELLS), targets).collect()
+    chances, got, gap = mixing.fitted(spark.createDataFrame(cells, CELLS), targets, budget)
+    found = shares_of(cells, chances)
+    assert gap <= mixing.TOLERANCE and got <= (budget or 1)
     for i in range(5):
-        assert sum(r.weight for r in raked if r.source == f"s{i}") == pytest.approx((i + 1) / 15, rel=1e-3)
+        assert found["source", f"s{i}"] == pytest.approx((i + 1) / 15, rel=0.011)
     for j, share in enumerate([0.25, 0.25, 0.5]):
-        assert sum(r.weight for r in raked if r.lang == f"l{j}") == pytest.approx(share, rel=1e-3)
-
-
-def test_probabilities_meet_the_budget(spark):
-    rows = [("a", "x", "t", 10, 0.5), ("b", "x", "t", 1000, 0.3), ("c", "x", "t", 500, 0.2)]
-    found = {r.source: r.probability for r in mixing.probabilities(spark.createDataFrame(rows, CELLS + ", weight double"), 0.5).collect()}
-    assert found["a"] == 1.0
-    assert 10 + 1000 * found["b"] + 500 * found["c"] == pytest.approx(0.5 * 1510, rel=1e-4)
-    assert found["b"] / found["c"] == pytest.approx(0.3 / 0.2 * 500 / 1000, rel=1e-3)
+        assert found["lang", f"l{j}"] == pytest.approx(share, rel=0.011)
+    kept = sum(r.probability * m for r in chances.collect() for *c, m in cells if tuple(c) == (r.source, r.lang, r.topic))
+    assert kept / sum(c[3] for c in cells) == pytest.approx(got, rel=0.01)
+    assert got == pytest.approx(min(budget or 1, got)) and (budget not in (0.05, 0.3) or got == budget)
+
+
+def plain_fit(cells: list[tuple], goal: float, sweeps: int) -> list[float]:
+    """Bounded raking in plain Python, with the default targets."""
+    weight = [float(c[3]) for c in cells]
+    for _ in range(sweeps):
+        for i, d in enumerate(mixing.DIMENSIONS):
+            values = {c[i] for c in cells}
+            w = {v: sum(c[3] for c in cells if c[i] == v) ** mixing.TEMPERATURE[d] for v in values}
+            held = {v: sum(min(x, c[3]) for c, x in zip(cells, weight) if c[i] == v) for v in values}
+            weight = [x * goal * w[c[i]] / sum(w.values()) / held[c[i]] for c, x in zip(cells, weight)]
+    return [min(x, c[3]) / c[3] for c, x in zip(cells, weight)]
+
+
+@pytest.mark.parametrize("few", [1_000_000, 1])
+def test_fit_equals_plain_raking(spark, monkeypatch, few):
+    """By windows, and by sums for more cells than fit them."""
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", few)
+    monkeypatch.setattr(mixing, "SWEEPS", 2)
+    cells = skewed()
+    chances, budget, _ = mixing.fitted(spark.createDataFrame(cells, CELLS), budget=0.2, tolerance=1.0)
+    want = plain_fit(cells, budget * sum(c[3] for c in cells), 2)
+    got = {(r.source, r.lang, r.topic): r.probability for r in chances.collect()}
+    assert budget == 0.2 and [got[c[:3]] for c in cells] == pytest.approx(want, abs=2e-6)
+
+
+def test_registered_query_meets_its_targets(spark):
+    """Expected shares of the query's own default call."""
+    from corpusloom.llm import queries
+    from tests.conftest import DATA
+
+    rows = queries.QUERIES["op9_mixing"](spark, DATA).collect()
+    cells: dict[tuple, int] = {}
+    for r in rows:
+        cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + r.tokens
+    for i, d in enumerate(mixing.DIMENSIONS):
+        w = {v: sum(m for c, m in cells.items() if c[i] == v) ** mixing.TEMPERATURE[d] for v in {c[i] for c in cells}}
+        held = {v: sum(r.tokens * r.probability for r in rows if r[d] == v) for v in w}
+        for v, x in w.items():
+            assert held[v] / sum(held.values()) == pytest.approx(x / sum(w.values()), rel=mixing.TOLERANCE * 1.01)
 
 
 def test_values_without_a_target_get_none(spark):
@@ -85,8 +134,10 @@ def test_bounded_raking_meets_its_targets(spark):
 
 def test_contradicting_targets_leave_a_gap_that_is_told(spark):
     rows = [("a", "x", "t", 100), ("b", "y", "t", 100)]
-    _, _, gap = mixing.fitted(spark.createDataFrame(rows, CELLS), {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 3}})
-    assert gap > mixing.TOLERANCE
+    targets = {"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 3}}
+    _, budget, gap = mixing.fitted(spark.createDataFrame(rows, CELLS), targets)
+    assert gap > mixing.TOLERANCE and budget == pytest.approx(2 / 3)  # none is lost for nothing
+    assert mixing.fitted(spark.createDataFrame(rows, CELLS), targets, 0.2)[1] == 0.2
 
 
 def test_stage_meets_its_targets(spark, tmp_path):
