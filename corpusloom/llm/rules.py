@@ -29,16 +29,18 @@ class Rule:
     high: float | None = None
     #: the rule holds only for texts with as many words
     from_words: int = 0
+    #: the rule holds only for texts in a language that STOP_WORDS has a list for
+    listed_only: bool = False
 
 
 RULES = (
-    Rule("n_words", 10, 200_000),
+    Rule("n_words", 10),
     Rule("mean_word_chars", 2, 12),
     Rule("symbol_ratio", high=0.1),
     Rule("shout_ratio", high=0.3),
     Rule("dup_line_ratio", high=0.5),
     Rule("table_line_ratio", high=0.5),
-    Rule("stop_word_ratio", 0.04, 0.7, from_words=50),
+    Rule("stop_word_ratio", 0.04, 0.7, from_words=50, listed_only=True),
 )
 
 
@@ -114,8 +116,9 @@ def _measure(name: str, m: Column) -> Column:
     }[name]
 
 
-def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Names of the rules that a text breaks."""
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> Column:
+    """Names of the rules that a text breaks; rules for listed languages need to know its ``lang``."""
+    listed = F.lit(False) if lang is None else F.coalesce(lang.isin(list(STOP_WORDS)), F.lit(False))
     broken = []
     for r in rules:
         x = _measure(r.measure, m)
@@ -124,17 +127,25 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             bad = bad | (x < r.low)
         if r.high is not None:
             bad = bad | (x > r.high)
-        broken.append(F.when(bad & (m["w"]["n_words"] >= r.from_words), F.lit(r.measure)))
+        holds = m["w"]["n_words"] >= r.from_words
+        if r.listed_only:
+            holds = holds & listed
+        broken.append(F.when(bad & holds, F.lit(r.measure)))
     return F.array_compact(F.array(*broken))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
     """One row per row of ``docs``: the counts, base_failed, kept and the names of broken rules.
 
     Base: fewer than ten words, or over a fifth of them in repeated five-word windows.  Null and
-    empty texts have no words and fail it.
+    empty texts have no words and fail it.  Stop words are asked only of texts whose language has a list;
+    without a column of languages, or with a null in it, of none.
     """
-    m = docs.select(quoted(id_col).alias("doc_id"), measures(quoted(text_col)).alias("m"))
+    lang = quoted(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
+    m = docs.select(quoted(id_col).alias("doc_id"), measures(quoted(text_col)).alias("m"), lang.alias("lang"))
+    broken = verdict(F.col("m"), rules, F.col("lang"))
     n, repeated = F.col("m.w.n_words"), F.col("m.w.n_repeat_words")
     failed = (n < 10) | (100 * repeated > 20 * n)
     return m.select(
@@ -145,8 +156,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
         F.col("m.l.n_dup_lines").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (F.size(verdict(F.col("m"), rules)) == 0)).alias("kept"),
-        F.array_join(verdict(F.col("m"), rules), ",").alias("broken"),
+        (~failed & (F.size(broken) == 0)).alias("kept"),
+        F.array_join(broken, ",").alias("broken"),
     )
 
 
@@ -161,16 +172,17 @@ def oracle(rules: tuple[Rule, ...] = RULES) -> str:
     cases = []
     for r in rules:
         bounds = [f"{sql[r.measure]} < {r.low}"] * (r.low is not None) + [f"{sql[r.measure]} > {r.high}"] * (r.high is not None)
-        cases.append(f"CASE WHEN ({' OR '.join(bounds)}) AND n_words >= {r.from_words} THEN '{r.measure}' END")
+        listed = f" AND coalesce(lang IN ({', '.join(repr(x) for x in STOP_WORDS)}), false)" * r.listed_only
+        cases.append(f"CASE WHEN ({' OR '.join(bounds)}) AND n_words >= {r.from_words}{listed} THEN '{r.measure}' END")
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{blank}', '', 'g') <> '') AS l FROM d),
 grams AS (SELECT r, i, list_aggregate(w[i:i + {WINDOW - 1}], 'string_agg', ' ') AS g
           FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range({WINDOW}) x(k) GROUP BY r),
-m AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{blank}', '', 'g'))::BIGINT AS word_chars,
+m AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{blank}', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_shouts,
   len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   len(list_filter(l, lambda x: contains(x, '|')))::BIGINT AS n_table_lines,

@@ -44,5 +44,29 @@ def test_broken_rules_are_named(spark):
     assert "table_line_ratio" in found[1]
 
 
+CLEAN = {
+    "it": "La mattina presto il vecchio pescatore scese alla spiaggia e guardava il mare calmo mentre i gabbiani volavano bassi "
+    "sopra le barche colorate legate al piccolo molo; sua figlia portava pane fresco e formaggio, perché sapeva che sarebbe tornato "
+    "soltanto verso sera, quando le luci del villaggio si accendono una dopo l'altra lungo tutta la costa silenziosa.",
+    "ru": "Рано утром старый рыбак вышел на берег и долго смотрел на спокойное море, пока чайки летали низко над лодками у причала; "
+    "его дочь принесла свежий хлеб и сыр, потому что знала, что он вернётся только к вечеру, когда огни деревни загораются один за "
+    "другим вдоль всего тихого берега, а дети бегут домой ужинать, смеясь и рассказывая друг другу длинные весёлые истории о море и ветре.",
+}
+
+
+def test_languages_without_a_list(spark):
+    """Clean prose in them is kept, whatever its stop words; so are texts of no known language."""
+    docs = spark.createDataFrame([(1, CLEAN["it"], "it"), (2, CLEAN["ru"], "ru"), (3, CLEAN["ru"], None), (4, CLEAN["ru"], "en")], "doc_id long, text string, lang string")
+    found = {r.doc_id: (r.kept, r.broken) for r in rules.judge(docs).collect()}
+    assert found == {1: (True, ""), 2: (True, ""), 3: (True, ""), 4: (False, "stop_word_ratio")}
+    assert all(r.kept for r in rules.judge(docs.drop("lang")).collect())
+
+
+def test_very_long_texts_are_kept(spark):
+    text = "\n".join(f"the man {i} went to town {i} and of his {i} ways" for i in range(17_500))
+    (found,) = rules.judge(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).collect()
+    assert found.n_words > 200_000 and found.kept
+
+
 def test_empty(spark):
     assert rules.judge(fixtures.frame(spark, [])).collect() == []
