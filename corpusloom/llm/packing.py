@@ -6,7 +6,8 @@ opens a window of its size, and the gap behind it is filled from remainders of s
 largest that fits first, the last one cut to fit.  Windows of every size are powers of two, so
 that full ones need no padding, and are put together in step groups of equally many tokens.
 
-Each task packs its own documents in blocks of bounded size; nothing is moved between tasks.
+Each task packs its own documents in blocks of bounded size; no ids are moved between tasks.  The windows
+of a size are then numbered over all tasks by the tasks' counts, and each so many make a step group.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from corpusloom.llm.common import batches, rows_of
+from corpusloom.llm.common import batches
+from corpusloom.operators.scratch import settle
 
 SIZES = (2048, 1024, 512, 256)
 END = 1
@@ -31,9 +33,11 @@ END = 1
 STEP = 32 * 2048
 #: Tokens held for packing at a time: bounds a task's memory.
 BLOCK = 4_000_000
-#: Pieces of text whose ids are remembered in a task.
-REMEMBERED = 500_000
-#: Sequence and step numbers: the task above these bits, the count within it below.
+#: Bytes of remembered parts of texts and their ids, about, the longest part that is remembered, and what one takes beside.
+REMEMBERED_BYTES = 96 << 20
+LONGEST = 64
+OVERHEAD = 200
+#: Sequence numbers: the task above these bits, the count within it below.
 BITS = 36
 
 #: Fixed value: the public pattern by which byte-level vocabularies cut texts.
@@ -66,8 +70,6 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if BEHIND_SPACE.search(text) or any(n in text for n in self.special):
             return np.array([*self._whole(text), END], "<u4")
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         first, *rest = text.split(" ")
         joined = b"".join(map(self.known.__getitem__, rest))
         return np.frombuffer(_bytes(self.known.encode(first)) + joined + _bytes([END]), "<u4")
@@ -78,14 +80,20 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Parts(dict):
-    """The ids, as bytes, of a part with the blank before it."""
+    """The ids, as bytes, of a part with the blank before it; forgets all when they take too many bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, part: str) -> bytes:
-        found = self[part] = _bytes(self.encode(" " + part))
+        found = _bytes(self.encode(" " + part))
+        if len(part) <= LONGEST:
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += OVERHEAD + len(part) + len(found)
+            self[part] = found
         return found
 
 
@@ -184,31 +192,23 @@ def packed(
     per block of BLOCK tokens, are padded to the longest size unless their tokens are a power of
     two by chance.  ``with_ids`` adds the ids of each piece.
     """
-    schema = pa.schema(
-        [("doc_id", pa.int64())]
-        + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group")]
-        + ([("ids", pa.list_(pa.int64()))] if with_ids else [])
-    )
+    numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "nth"]
+    schema = pa.schema([(n, pa.int64()) for n in ["doc_id", *numbers]] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        base = TaskContext.get().partitionId() << BITS
-        sequence, group, room = base, {s: base + i for i, s in enumerate(sizes)}, dict.fromkeys(sizes, 0)
-        steps = base + len(sizes)
+        sequence, nth = TaskContext.get().partitionId() << BITS, dict.fromkeys(sizes, 0)
 
         def flush(names: list, ids: list[np.ndarray]):
-            nonlocal sequence, steps
+            nonlocal sequence
             for size, window in pack([len(x) for x in ids], sizes):
-                if room[size] + size > step:
-                    group[size], room[size] = steps, 0
-                    steps += 1
-                room[size] += size
                 at = 0
                 for doc, start, n in window:
                     part = ids[doc][start : start + n]
-                    row = (names[doc], start, n, zlib.crc32(part.tobytes()), len(ids[doc]), sequence, at, size, group[size])
+                    row = (names[doc], start, n, zlib.crc32(part.tobytes()), len(ids[doc]), sequence, at, size, nth[size])
                     yield (*row, part.tolist()) if with_ids else row
                     at += n
+                nth[size] += 1
                 sequence += 1
 
         def rows():
@@ -230,4 +230,18 @@ def packed(
 
     columns = ", ".join(f"{f.name} {'array<bigint>' if f.name == 'ids' else 'bigint'}" for f in schema)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return narrow.mapInArrow(run, columns)
+    pieces = settle(narrow.mapInArrow(run, columns), "pieces")
+    return _grouped(pieces, sizes, step).select("doc_id", *numbers[:-1], "step_group", *["ids"] * with_ids)
+
+
+def _grouped(pieces: DataFrame, sizes: tuple[int, ...], step: int) -> DataFrame:
+    """``pieces`` with ``step_group``: windows of a size are numbered task after task, each step // size of them are a group."""
+    task = F.shiftright("sequence_id", BITS)
+    counts = pieces.groupBy("window", task.alias("task")).agg((F.max("nth") + 1).alias("n"))
+    # one row per task and size
+    before = Window.partitionBy("window").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = settle(counts.select("window", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
+    place = F.coalesce(*[F.when(F.col("window") == s, F.lit(i)) for i, s in enumerate(sizes)])
+    group = F.call_function("div", F.col("first") + F.col("nth"), F.call_function("div", F.lit(step), F.col("window")))
+    joined = pieces.withColumn("task", task).join(firsts, ["window", "task"])
+    return joined.withColumn("step_group", (group * len(sizes) + place).cast("long"))

@@ -73,8 +73,11 @@ def test_fixture(spark):
     assert packing.packed(fixtures.frame(spark, []), PATHS[0]).collect() == []
 
 
-def test_step_groups_are_balanced(spark):
-    docs = spark.createDataFrame([(i, fixtures.prose(i, 30 + 40 * (i % 40))) for i in range(400)], "doc_id long, text string").coalesce(1)
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_step_groups_are_balanced(spark, tasks):
+    """All groups but the last of each size are full, however many tasks the windows come from."""
+    docs = spark.createDataFrame([(i, fixtures.prose(i, 30 + 40 * (i % 40))) for i in range(400)], "doc_id long, text string")
+    docs = docs.coalesce(1) if tasks == 1 else docs.repartition(tasks)
     found = packing.packed(docs, PATHS[0], step=8192).collect()
     groups: dict = {}
     for r in found:
@@ -82,3 +85,23 @@ def test_step_groups_are_balanced(spark):
     assert len({g for g, _ in groups}) == len(groups)  # one window size a group
     sums = [sum(v.values()) for v in groups.values()]
     assert max(sums) <= 8192 and sum(s < 8192 for s in sums) <= len(packing.SIZES)
+
+
+@pytest.mark.parametrize("path", PATHS)
+def test_texts_without_blanks_are_not_remembered(path):
+    encoder = packing.Encoder(path)
+    r = random.Random(1)
+    for _ in range(200):
+        encoder("".join(r.choices("abcdefgh0123456789+/", k=5_000)))
+    assert len(encoder.known) == 0
+    for _ in range(50):
+        encoder("a " + "".join(r.choices("abcdefgh+/", k=5_000)))
+    assert len(encoder.known) == 0 and encoder.known.held == 0
+
+
+def test_remembered_parts_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 20_000)
+    encoder = packing.Encoder(PATHS[0])
+    for i in range(2_000):
+        encoder(f"one w{i} x{i}")
+        assert encoder.known.held < 22_000 and len(encoder.known) < 120
