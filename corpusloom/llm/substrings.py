@@ -32,8 +32,6 @@ GRAM = 4
 PIECE = 1 << 20
 #: Sorts rows without an id behind all others.
 LAST = 2**63 - 1
-#: Bits of v below the text's tag, for the place in it.
-PLACE_BITS = 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,9 +186,9 @@ def _cut(docs: DataFrame, window: int, with_text: bool, carried: Sequence[str])
     def seeds(tag64: int, text: bytes):
         grams, best = anchors(word_hashes(text), window)
         at = _distinct(best)
-        tag = np.uint64((tag64 << PLACE_BITS) & (2**64 - 1))
-        place = at.astype(np.uint64) & np.uint64((1 << PLACE_BITS) - 1)
-        return grams[at].view(np.int64), (tag | place).view(np.int64)
+        # different for any two places of a text, as mixing is one-to-one
+        place = _mixed(at.astype(np.uint64)) ^ np.uint64(tag64 & (2**64 - 1))
+        return grams[at].view(np.int64), place.view(np.int64)
 
     found = _columns(texts.select("tag64", "text"), seeds, _ddl(h_v), h_v)
     shared = settle(
