@@ -34,6 +34,8 @@ LEAD = 0.2
 SHARPNESS = 12.0
 UNKNOWN = "und"
 CHUNK = 1 << 20
+#: Weights gathered at a time when a text is judged, over all bits: 64 MB.
+GATHERED = 1 << 24
 
 
 def codewords(langs: Sequence[str]) -> np.ndarray:
@@ -127,8 +129,9 @@ class Model:
     def losses(self, text: str) -> np.ndarray:
         at = slots_of(text)
         margin = np.zeros(self.code.shape[1])
-        for i in range(0, len(at), CHUNK):
-            margin += self.weights[at[i : i + CHUNK]].sum(0, dtype=np.float64)
+        step = max(1, GATHERED // self.code.shape[1])
+        for i in range(0, len(at), step):
+            margin += self.weights[at[i : i + step]].sum(0, dtype=np.float64)
         margin /= len(at)
         # squared hinge: margins are 1 where a typical text of the language lies
         return ((np.maximum(0, 1 - self.code * np.clip(margin, -2, 2)) ** 2) * self.worth).sum(1)

@@ -71,3 +71,46 @@ def test_short_texts_stay_near_their_edited_copies(spark):
     found = winnow.edited_fingerprints(fixtures.frame(spark, rows)).collect()
     assert len(found) == len(rows)
     assert [r.doc_id for r in found if r.near_edited <= r.near_next] == []
+
+
+def plain_hashes(text: str, k: int) -> list[int]:
+    """32-bit hashes of all runs of k code points, one by one."""
+    mask = 2**64 - 1
+
+    def mixed(x: int) -> int:
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & mask
+        return x ^ (x >> 29)
+
+    x = [mixed(ord(c) + 0x1234567) for c in text]
+    k = min(k, len(x))
+    power = [1] + [pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(1, k)]
+    return [mixed(sum(x[s + i] * power[k - 1 - i] for i in range(k)) & mask) >> 32 for s in range(len(x) - k + 1)] if k else []
+
+
+def plain_print(text: str) -> list[tuple[int, int]]:
+    h = plain_hashes(text, winnow.K)
+    least = len(text) - len(text) // 3
+    w = 1 if least < winnow.K + winnow.WINDOW - 1 else min(winnow.WINDOW, len(h))
+    chosen = {max(i for i in range(s, s + w) if h[i] == min(h[s : s + w])) for s in range(len(h) - w + 1)}
+    return [(h[i], i) for i in sorted(chosen)]
+
+
+def plain_likeness(a: list, b: list) -> float:
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_prints_and_likeness(spark):
+    """Every column of the query against plain Python, with the production k and window."""
+    rows = [(i, t) for i, t in enumerate(t for t in fixtures.texts() if t is None or len(t) < 6_000)]
+    found = winnow.edited_fingerprints(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int")).collect()
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    shown = lambda p: " ".join(f"{h:08x}:{at:x}" for h, at in p)
+    want = {}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + after[:third]
+        own, other, new = plain_print(t), plain_print(after), plain_print(edited)
+        want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(new), plain_likeness(own, new), plain_likeness(own, other))
+    got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in found}
+    assert got == want
