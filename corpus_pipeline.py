@@ -15,27 +15,47 @@ from corpusloom.operators.scratch import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity lies within the bounds of their language; all others go."""
+    """Documents whose perplexity lies within the bounds of their language; all others go.
+
+    Null and empty texts go; a null language is one of its own; rows that repeat an id are judged by their own
+    text each; without any trusted document all other texts stay.  An empty table stays empty.
+    """
     return perplexity.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: that with the smallest doc_id."""
+    """One document of every group of near-duplicates: that with the smallest doc_id.
+
+    Null and empty texts are near-duplicates of each other; of rows that repeat an id and a text one stays, and
+    rows without an id come last.  An empty table stays empty.
+    """
     return simhash.distinct_documents(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that occur earlier; those left without words go."""
+    """Documents without the words of passages that occur earlier; those left without words go.
+
+    A text that had no words stays.  Rows that repeat an id and a text lose the same words each; rows without an id
+    come after all others.  An empty table stays empty.
+    """
     return substrings.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The largest sample whose expected shares of sources, languages and topics meet their targets within mixing.TOLERANCE."""
+    """The largest sample whose expected shares of sources, languages and topics meet their targets within mixing.TOLERANCE.
+
+    A null source or language is a value of its own.  Null and empty texts go.  Rows that repeat an id are drawn
+    alike.  Where no budget meets the targets, the nearest is taken and the gap logged.  An empty table stays empty.
+    """
     return mixing.sampled(docs, budget=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document in a sequence."""
+    """One row per piece of a document in a sequence.
+
+    A null text is its end id alone; a null id stays null; repeated rows are packed as often as they are given.
+    An empty table gives no sequences.
+    """
     return packing.packed(docs, TOKENIZER)
 
 
