@@ -106,16 +106,18 @@ Write in {{output_lang}} and answer with one JSON object:
 {"category": "..." or ["..."], "reason": "...", "keywords": ["..."]}
 """
 
-TRANSLATE_TEXT = """Translate this scholarly text into {{target_lang}}, keep the technical terms exact and return the translation only:
+TRANSLATE_TEXT = """Target language: {{target_lang}}
+Render the passage below in it. Terms of the trade have to come out as specialists write them. Send back nothing but the result.
 
 {{text}}"""
 
-TRANSLATE_LIST = """Translate these scholarly texts into {{target_lang}}, keep the technical terms exact and return one JSON object {"original": "translation"}:
+TRANSLATE_LIST = """Target language: {{target_lang}}
+Every entry of the JSON list below is to be rendered in it. Terms of the trade have to come out as specialists write them. Reply with a JSON object: its keys are the entries as they stand, its values what they become.
 
 {{texts}}"""
 
-FREE_DIMENSIONS = "No dimensions are set. Choose those that bring out most in this collection."
-GIVEN_DIMENSIONS = "These dimensions are set:\n"
+FREE_DIMENSIONS = "Which aspects to label is up to you; name the ones that tell these papers apart."
+GIVEN_DIMENSIONS = "Label each of these aspects:\n"
 
 DEFAULT_CRITERIA = (
     '{"5":"central to the topic","4":"clearly related","3":"partly related",'
