@@ -11,7 +11,7 @@ from corpusloom.operators.scratch import new_path, settle
 from corpusloom.plans import converge as c
 from corpusloom.plans import explore as x
 from corpusloom.plans import flows, quality
-from corpusloom.sources import documents, exports, sinks
+from corpusloom.sources import documents, exports, sinks, versions
 
 # ---- explore ---------------------------------------------------------------
 
@@ -80,6 +80,8 @@ def _flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     return labels, counts, mapping, v.letter_taxonomy(mapping)
 
 
+#: Buckets of the papers in ``label_merge_buckets``.
+PAPER_BUCKETS = 16
 #: Positions of a dimension that one file of ``draft_file`` holds.
 FILE_BLOCK = 1000
 
@@ -227,13 +229,43 @@ def label_papers_bucketed(spark: SparkSession, d: str) -> DataFrame:
 
 def label_merge(spark: SparkSession, d: str) -> DataFrame:
     """Papers of an earlier run (the graded documents) get new labels; failed papers keep theirs."""
+    base, wide = _graded(spark, d)
+    return c.label_merge(base, wide, ["Source", "Lead"])
+
+
+def _graded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Papers of an earlier run (the graded documents), and new labels of two dimensions."""
     _, _, mapping, _ = _flat(spark, d)
     wide = c.label_pivot(c.final_labels(_explored(spark, d), mapping), ["Source", "Lead"])
     graded = v.table(spark, d, "labels").select(
         (F.col("doc_id") + 1).alias("paper_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("Source_category")
     )
-    base = v.papers(spark, d).select("paper_id").join(graded, "paper_id", "left")
-    return c.label_merge(base, wide, ["Source", "Lead"])
+    return v.papers(spark, d).select("paper_id").join(graded, "paper_id", "left"), wide
+
+
+def label_merge_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge into papers kept in buckets, in two steps that each write the buckets they change."""
+    base, wide = _graded(spark, d)
+    path = new_path(spark, "papers")
+    versions.put_buckets(base, path, "paper_id", PAPER_BUCKETS)
+    low = versions.bucket_of(F.col("paper_id"), PAPER_BUCKETS) < PAPER_BUCKETS // 2
+    for part in (wide.where(low), wide.where(~low)):
+        versions.update_buckets(
+            spark, path, "paper_id", PAPER_BUCKETS, part, lambda rows, new: c.label_merge(rows, new, ["Source", "Lead"])
+        )
+    names = [n for dim in ("Source", "Lead") for n in c.label_columns(dim)]
+    return versions.read_buckets(spark, path).select("paper_id", *names)
+
+
+def snapshot_swap(spark: SparkSession, d: str) -> DataFrame:
+    """A taxonomy kept in versions: two runs replace dimensions, the second reading what the first left."""
+    path = new_path(spark, "taxonomy")
+    old = settle(_flat(spark, d)[3], "taxonomy")
+    versions.put(old, path)
+    for dim in ("Lead", "Source"):
+        new = old.where(F.col("dim") == dim).withColumn("definition", F.lit("new"))
+        versions.put(c.taxonomy_upsert(versions.read(spark, path), new), path)
+    return versions.read(spark, path).select("dim", "pos", "name", "definition")
 
 
 def labelled_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +369,7 @@ QUERIES = {
         explore_labels, explore_dims, max_papers, draft_export, draft_scan, draft_file, draft_splits, converge_flow, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
         taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers, label_papers_bucketed,
-        label_merge, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
+        label_merge, label_merge_buckets, snapshot_swap, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
         taxonomy_rows, contract_mapping, contract_cap, contract_names, contract_unique,
     )
 }
@@ -421,6 +453,8 @@ ORACLES = {
     "label_merge": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source', 'Lead'])})
       SELECT p.paper_id, {_merged('Source')}, {_merged('Lead')} FROM papers p
       LEFT JOIN wide USING (paper_id) LEFT JOIN labels g ON g.doc_id + 1 = p.paper_id""",
+    "snapshot_swap": f"""WITH {v.FLAT} SELECT dim, pos, name, CASE WHEN dim IN ('Lead', 'Source') THEN 'new' ELSE definition END AS definition
+      FROM taxonomy""",
     # an empty cell reads as missing
     "labelled_csv": f"""{EXPLORED_FINALS}, wide AS ({_pivot(['Source', 'Lead'])})
       SELECT p.paper_id, nullif(Source_raw_category, '') AS Source_raw_category, nullif(Source_category, '') AS Source_category,
@@ -448,3 +482,4 @@ ORACLES = {
     "contract_names": f"{RENAMED} SELECT dim, pos, name FROM renamed WHERE name IN ('Other', '综合')",
     "contract_unique": f"{RENAMED} SELECT dim, name, count(*) AS n FROM renamed GROUP BY dim, name HAVING count(*) > 1",
 }
+ORACLES["label_merge_buckets"] = ORACLES["label_merge"]

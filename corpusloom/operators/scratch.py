@@ -66,7 +66,8 @@ def cleared(spark: SparkSession) -> Iterator[None]:
 def swap(df: DataFrame, path: str, write=None) -> None:
     """Put ``df`` in the place of ``path``, which it may have been read from, by one write.
 
-    The new files are written beside it and renamed, so readers meet the old or the new rows.
+    The new files are written beside it and renamed.  Between the two renames the path does not exist, and a
+    store that copies on rename takes as long as a write: ``sources.versions`` has neither, but readers of its own.
     """
     spark = df.sparkSession
     mark = uuid.uuid4().hex

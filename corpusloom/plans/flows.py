@@ -19,7 +19,7 @@ from corpusloom.plans import classify as classes
 from corpusloom.plans import converge as conv
 from corpusloom.plans import explore as expl
 from corpusloom.plans import relevance, translate
-from corpusloom.sources import documents, sinks
+from corpusloom.sources import documents, sinks, versions
 from corpusloom.sources.exports import load_papers, read_table
 
 Papers = str | list[str] | DataFrame
@@ -138,6 +138,7 @@ def converge(
     source_type: str = "auto",
     output_lang: str = "English",
     prompt_dir: str | None = None,
+    in_versions: bool = False,
     **options: object,
 ) -> DataFrame:
     """The updated taxonomy; other dimensions of ``output_taxonomy`` stay as they are.
@@ -145,7 +146,9 @@ def converge(
     ``draft`` is a path of JSON lines or of whole JSON files.  ``output_taxonomy`` is a parquet
     table, or JSON, an object a line, where its name ends so.  ``output_papers``, a parquet table
     or (``.csv``) an export, has a ``paper_id``: when it exists its label columns are updated,
-    otherwise it starts from ``papers``.  Without either of them no papers are written.
+    otherwise it starts from ``papers``.  Without either of them no papers are written.  With ``in_versions``
+    the parquet tables are kept as ``sources.versions`` does, to be read by it: then a run that is lost at any
+    step leaves the old rows or the new ones.
     """
     labels = documents.read_draft(spark, draft) if isinstance(draft, str) else draft
     # parsed once; each dimension is a folder, so that unwanted ones are not read
@@ -175,21 +178,29 @@ def converge(
         updated = settle(conv.taxonomy_upsert(old, taxonomy, done), "taxonomy")
         lines = documents.taxonomy_documents(updated).select("document")
         swap(lines, output_taxonomy, lambda d, path: d.write.text(path))
+    elif in_versions:
+        versions.put(conv.taxonomy_upsert(versions.read(spark, output_taxonomy, documents.TAXONOMY), taxonomy, done), output_taxonomy)
+        updated = versions.read(spark, output_taxonomy, documents.TAXONOMY)
     else:
         old = documents.read_table_or_empty(spark, output_taxonomy, documents.TAXONOMY)
         updated = sinks.replace_table(conv.taxonomy_upsert(old, taxonomy, done), output_taxonomy)
     if output_papers:
         as_csv = output_papers.lower().endswith(".csv")
         base = papers
+        in_versions = in_versions and not as_csv
         store, at = file_system(spark, output_papers)
-        if store.exists(at):
+        if in_versions and versions.current(spark, output_papers):
+            base = versions.read(spark, output_papers)
+        elif not in_versions and store.exists(at):
             base = labelled_export(spark, output_papers) if as_csv else spark.read.parquet(output_papers)
         if base is not None:
             chosen = conv.select_dims(labels, processed)
             counts = settle(conv.label_counts(chosen), "label_counts")
             wide = conv.label_pivot(conv.final_labels(chosen, mapping, counts), processed)
             merged = conv.label_merge(base, wide, processed)
-            if as_csv:
+            if in_versions:
+                versions.put(merged, output_papers)
+            elif as_csv:
                 swap(merged, output_papers, sinks.write_csv)
             else:
                 swap(merged, output_papers)
