@@ -22,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.responses import is_answer, parsed
+from corpusloom.operators.journal import Journal
 from corpusloom.operators.lookup import HOT_ROWS, lookup
 from corpusloom.operators.numbering import number_rows
 from corpusloom.operators.scratch import new_path, settle
@@ -69,6 +70,7 @@ def call_model(
     backoff_s: float = 1.0,
     batch: int = 1,
     rows: int | None = None,
+    journal: str | None = None,
 ) -> DataFrame:
     """Add response, attempts, error; one request per row, rows never get lost.
 
@@ -77,7 +79,8 @@ def call_model(
     (``qps <= 0``: no pacing).  Clocks of driver and executors have to agree.  Retries wait
     ``backoff_s`` instead.  With ``parse="json"`` a response that is no JSON counts as a
     failed attempt; names given twice in it keep their last value.  After ``max_attempts``
-    the response is null and ``error`` says why.
+    the response is null and ``error`` says why.  With a ``journal`` folder a task that is run again
+    goes on from the answers that its lost attempts have left there.
     """
     tasks = max(1, min(concurrency, rows)) if rows is not None else concurrency
     step = batch / qps if qps > 0 else 0.0
@@ -90,18 +93,26 @@ def call_model(
         from pyspark import TaskContext
 
         place = TaskContext.get().partitionId()
+        kept = Journal(journal, place)
         for frame in frames:
             prompts = frame[prompt_col].tolist()
             responses: list = [None] * len(prompts)
             attempts = [0] * len(prompts)
             errors: list = [None] * len(prompts)
-            for first in range(0, len(prompts), batch):
+            asked = []
+            for i, p in enumerate(prompts):
+                earlier = kept.get(p)
+                if earlier is None:
+                    asked.append(i)
+                else:
+                    responses[i], attempts[i] = earlier
+            for first in range(0, len(asked), batch):
                 if step:
                     passed = math.ceil((time.time() - start) / step - place)
                     place += max(0, -(-passed // tasks)) * tasks
                     time.sleep(max(0.0, start + place * step - time.time()))
                     place += tasks
-                open_rows = list(range(first, min(first + batch, len(prompts))))
+                open_rows = asked[first : first + batch]
                 for attempt in range(1, max_attempts + 1):
                     try:
                         replies = responder([prompts[i] for i in open_rows])
@@ -123,6 +134,7 @@ def call_model(
                         errors[i] = reason
                         if reason is None:
                             responses[i] = reply
+                            kept.add(prompts[i], reply, attempt)
                         else:
                             still_open.append(i)
                     open_rows = still_open
@@ -131,6 +143,7 @@ def call_model(
                     if attempt < max_attempts and backoff_s:
                         time.sleep(backoff_s)
             yield frame.assign(response=responses, attempts=attempts, error=errors)
+        kept.flush()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.repartition(tasks).mapInPandas(answer, f"{fields}, {RESULT}")
@@ -162,7 +175,7 @@ def semantic_map(
     Equal prompts are sent once.  ``cache_path`` keeps the answers for later runs
     (``tag`` should name model and temperature); failures are sent again next time.
     Answers are committed every ``commit_every`` requests, so a lost driver costs at
-    most that many calls.  ``df`` is computed once.  Pass a narrow frame (an id and the
+    most that many calls; a lost task costs the few that its journal does not hold yet.  ``df`` is computed once.  Pass a narrow frame (an id and the
     prompt): nothing can be pushed down below a Python call.
     """
     if isinstance(responder, Column):
@@ -196,7 +209,8 @@ def semantic_map(
     for commit in range(-(-left // commit_every)):
         part = pending.where(F.col("_commit") == commit) if left > commit_every else pending
         size = min(commit_every, left - commit * commit_every)
-        answers = call_model(part.select("request_hash", "_prompt"), "_prompt", responder, rows=size, **options).drop("_prompt")
+        asked = part.select("request_hash", "_prompt")
+        answers = call_model(asked, "_prompt", responder, rows=size, journal=new_path(spark, "journal"), **options).drop("_prompt")
         answers.withColumn("tag_hash", F.lit(tag_hash)).write.mode("append").partitionBy("tag_hash").parquet(path)
     best = F.max(F.struct(F.col("response").isNotNull().alias("ok"), "response", "attempts", "error"))
     found = _answered(spark, path, tag_hash)
