@@ -26,6 +26,10 @@ def distinct_texts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("col", _digest("text"), "first_id", "n")
 
 
+def distinct_by_digest(spark: SparkSession, d: str) -> DataFrame:
+    return t.distinct_by_digest(v.papers(spark, d), COLUMNS).select("col", _digest("text"), "first_id", "n")
+
+
 def batch_size(spark: SparkSession, d: str) -> DataFrame:
     return t.batch_size(_texts(spark, d))
 
@@ -160,7 +164,7 @@ def translate_json(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        distinct_texts, batch_size, batch_size_tables, translate_batches, translate_prompts, translate_map,
+        distinct_texts, distinct_by_digest, batch_size, batch_size_tables, translate_batches, translate_prompts, translate_map,
         translate_apply, translate_apply_spread, translated_csv, translate_taxonomy, translate_draft, translate_draft_file,
         json_table, translate_json,
     )
@@ -211,6 +215,7 @@ ORACLES = {
     "json_table": _json_leaves("{0}"),
     "translate_json": _json_leaves("(" + _LEAF + ")"),
     "distinct_texts": f"WITH {TEXTS} SELECT col, md5(text) AS digest, first_id, n FROM texts",
+    "distinct_by_digest": f"WITH {TEXTS} SELECT col, md5(text) AS digest, first_id, n FROM texts",
     "batch_size": f"WITH {TEXTS}, {SIZES} SELECT * FROM sizes",
     "batch_size_tables": f"""WITH cells AS (
         SELECT 'role' AS col, role AS text, conv_id * 1000 + turn AS id FROM conversations

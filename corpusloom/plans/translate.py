@@ -45,6 +45,33 @@ def distinct_texts(df: DataFrame, columns: str | Iterable[str], row_id: str = "p
     )
 
 
+def distinct_by_digest(df: DataFrame, columns: str | Iterable[str], row_id: str = "paper_id") -> DataFrame:
+    """What distinct_texts gives, without moving texts to be grouped.
+
+    Equal texts are told by a digest of 128 bits, and only digests are shuffled.  Then the rows that have a
+    text first are read again: where their ids are few enough to be broadcast, by measured size, no text moves
+    at all, otherwise each row once, and not even that in a table bucketed by ``row_id``.
+    """
+    present = [c for c in split_argument(columns) if c in df.columns]
+    if not present:
+        return distinct_texts(df, [], row_id)
+    keys = [F.struct(F.lit(c).alias("col"), F.unhex(F.md5(quoted(c).cast("string"))).alias("key")) for c in present]
+    firsts = (
+        df.select(F.col(row_id).alias("_id"), F.explode(F.array(*keys)).alias("c"))
+        .where(F.col("c.key").isNotNull())
+        .groupBy("c.col", "c.key")
+        .agg(F.min("_id").alias("first_id"), F.count("*").alias("n"))
+    )
+    # one narrow row per row that has some text first
+    held = F.collect_list(F.struct("col", "n"))
+    rows = settle(firsts.groupBy("first_id").agg(held.alias("_of")), "firsts")
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), quoted(c).cast("string").alias("text")) for c in present])
+    found = df.select(F.col(row_id).alias("first_id"), cells.alias("_cells")).join(rows, "first_id")
+    each = found.select("first_id", "_cells", F.explode("_of").alias("_o"))
+    text = F.filter("_cells", lambda c: c["col"] == F.col("_o.col"))[0]["text"]
+    return each.select("_o.col", text.alias("text"), "first_id", "_o.n")
+
+
 def batch_size(texts: DataFrame) -> DataFrame:
     """(col, mean_length, batch_size) from the first ten distinct texts of a column.
 
@@ -187,7 +214,7 @@ def translate_columns(
     """``df`` with the given columns translated; missing columns are skipped."""
     if not [c for c in split_argument(columns) if c in df.columns]:
         return df
-    texts = settle(distinct_texts(df, columns, row_id), "texts", by="col")
+    texts = settle(distinct_by_digest(df, columns, row_id), "texts", by="col")
     batches = translate_batches(texts, batch_size(texts))
     if not isinstance(responder, Column):
         batches = settle(batches, "batches")

@@ -107,3 +107,28 @@ def test_translations_of_all_columns_move_the_rows_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = [part for part in shown.split("\n\n") if ") Exchange" in part and "abstract#" in part]
     assert len(moved) == 1
+
+
+def test_no_text_crosses_the_grouping_by_digest(spark, tmp_path, monkeypatch):
+    """What is shuffled to be grouped are digests and ids."""
+    from corpusloom.plans import translate
+
+    rows = [(i, f"text {i % 3}", None if i % 2 else "x") for i in range(20)]
+    spark.createDataFrame(rows, "paper_id long, a string, b string").write.parquet(str(tmp_path / "p"))
+    plans = []
+    settled = translate.settle
+
+    def seen(df, label, by=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settled(df, label, by)
+
+    monkeypatch.setattr(translate, "settle", seen)
+    df = spark.read.parquet(str(tmp_path / "p"))
+    found = translate.distinct_by_digest(df, "a,b,none")
+    assert sorted((r.col, r.text, r.first_id, r.n) for r in found.collect()) == [
+        ("a", "text 0", 0, 7), ("a", "text 1", 1, 7), ("a", "text 2", 2, 6), ("b", "x", 0, 10),
+    ]
+    (grouped,) = plans
+    aggregates = [line for line in grouped.splitlines() if "Aggregate" in line]
+    assert len(aggregates) == 2 and all("text" not in line and " a#" not in line and "[a#" not in line for line in aggregates)
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
