@@ -12,6 +12,7 @@ from corpusloom.plans import converge as c
 from corpusloom.plans import explore as x
 from corpusloom.plans import flows, quality
 from corpusloom.sources import documents, exports, sinks, versions
+from corpusloom.streaming import drafts
 
 # ---- explore ---------------------------------------------------------------
 
@@ -69,6 +70,23 @@ def draft_scan(spark: SparkSession, d: str) -> DataFrame:
     return documents.read_draft(spark, path).select("dim", "pos", "paper_id", "category", "reason")
 
 
+def explore_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that arrive in two parts: the second run continues the ids and the draft of the first."""
+    path = new_path(spark, "stream")
+    docs = v.table(spark, d, "documents")
+    half = docs.agg(F.expr("(min(doc_id) + max(doc_id)) div 2")).head()[0]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+
+    def label(papers: DataFrame) -> DataFrame:
+        p = v.as_papers(papers.withColumn("doc_id", F.col("paper_id") - 1))
+        return x.labels_of(x.ask_labels(p, v.text_column(p), v.explore_responder(), dims="Language,Source,Lead"))
+
+    for part in (docs.where(F.col("doc_id") <= half), docs.where(F.col("doc_id") > half)):
+        part.write.mode("append").parquet(f"{path}/in")
+        found = drafts.explore_stream(spark, f"{path}/in", schema, f"{path}/out", label, ["doc_id"])
+    return found.select("dim", "pos", "paper_id", "category", "reason")
+
+
 # ---- converge, without rounds -------------------------------------------------
 
 
@@ -366,7 +384,7 @@ def contract_unique(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        explore_labels, explore_dims, max_papers, draft_export, draft_scan, draft_file, draft_splits, converge_flow, select_dims, label_counts, label_rank,
+        explore_labels, explore_dims, explore_stream, max_papers, draft_export, draft_scan, draft_file, draft_splits, converge_flow, select_dims, label_counts, label_rank,
         label_chunks, chunk_text, cap_categories, title_backfill, category_members, typical_cases,
         taxonomy_with_cases, final_labels, final_labels_spread, orphan_labels, label_pivot, label_papers, label_papers_bucketed,
         label_merge, label_merge_buckets, snapshot_swap, labelled_csv, taxonomy_upsert, taxonomy_partitions, taxonomy_scan, mapping_cascade, converge_rounds,
@@ -409,6 +427,7 @@ def _merged(dim: str) -> str:
 
 ORACLES = {
     "explore_labels": f"WITH {EXPLORED} SELECT * FROM explored",
+    "explore_stream": f"WITH {EXPLORED} SELECT * FROM explored",
     "explore_dims": f"""WITH {EXPLORED}, n AS (SELECT dim, count(*) AS n_labels FROM explored GROUP BY dim)
       SELECT * FROM n UNION ALL SELECT 'Note', 0""",
     "max_papers": f"WITH {EXPLORED} SELECT * FROM explored WHERE paper_id <= 150",

@@ -30,7 +30,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents")).select(
+    return as_papers(spread(table(spark, folder, "documents")))
+
+
+def as_papers(documents: DataFrame) -> DataFrame:
+    return documents.select(
         (F.col("doc_id") + 1).alias("paper_id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"),
