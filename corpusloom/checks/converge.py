@@ -336,7 +336,7 @@ def mapping_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 def _rounds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = settle(c.chunk_text(c.label_chunks(label_rank(spark, d))), "chunks")
-    return chunks, c.converge_rounds(chunks, v.merge_responder())
+    return chunks, c.converge_rounds(chunks, c.Rule(v.merge_responder))
 
 
 ROUNDS = f"""{v.LABELS}, {v.COUNTS},

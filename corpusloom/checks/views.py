@@ -211,17 +211,17 @@ TAXONOMY = """taxonomy AS (SELECT dim, 'Default' AS grp, row_number() OVER (PART
 FLAT = f"{LABELS}, {COUNTS}, {MAPPING}, {TAXONOMY}"
 
 
-def merge_responder() -> Column:
+def merge_responder(chunk: dict[str, Column]) -> Column:
     """Round r files labels and earlier categories under their first letter, marked with r.
 
     Every fourth round from the third on fails.
     """
-    r = F.col("round").cast("string")
+    r = chunk["round"].cast("string")
 
     def renamed(name: Column) -> Column:
         return F.concat(F.substring(name, 1, 1), F.lit("#"), r)
 
-    asked = F.array_distinct(F.concat("labels", F.transform("categories", lambda c: c["name"])))
+    asked = F.array_distinct(F.concat(chunk["labels"], F.transform(chunk["categories"], lambda c: c["name"])))
     categories = F.transform(
         F.array_sort(F.array_distinct(F.transform(asked, renamed))),
         lambda name: F.struct(
@@ -230,7 +230,7 @@ def merge_responder() -> Column:
     )
     mapping = F.map_from_entries(F.transform(asked, lambda x: F.struct(x, renamed(x))))
     answer = F.to_json(F.struct(categories.alias("refined_categories"), mapping.alias("mapping")))
-    return F.when(F.col("round") % 4 != 2, answer)
+    return F.when(chunk["round"] % 4 != 2, answer)
 
 
 # ---- classification stand-in -------------------------------------------------

@@ -6,9 +6,10 @@ new_labels); taxonomy(dim, grp, pos, name, ...); mapping(dim, label, final).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusloom.functions import prompts
@@ -26,6 +27,8 @@ CASES = 5
 GROUP = "Default"
 # dimensions that one task of a round takes
 DIMS_PER_TASK = 1000
+# rounds of a dimension that one job takes where a Rule answers: so many chunks and answers are in one row
+STRETCH = 500
 
 
 # ---- popularity ------------------------------------------------------------
@@ -80,9 +83,88 @@ def categories_json(categories: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(categories, category_json), ","), F.lit("]"))
 
 
+class Rule:
+    """A responder made of Spark expressions: ``make`` gives the response of a chunk.
+
+    It gets the Columns dim, round, labels, new_labels, categories and prompt by name, so that it can be
+    asked again and again inside one expression.
+    """
+
+    def __init__(self, make: Callable[[dict[str, Column]], Column]):
+        self.make = make
+
+
+def _as_rule(spark: SparkSession, responder: Responder | Rule) -> Rule | None:
+    """The rule of a responder that is one, or a Column that looks at no field."""
+    if isinstance(responder, Rule) or not isinstance(responder, Column):
+        return responder if isinstance(responder, Rule) else None
+    try:
+        spark.range(0).select(F.lit(None).alias("_none")).select(responder)
+    except AnalysisException:
+        return None
+    return Rule(lambda _: responder)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is met."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _answer_of(response: Column, categories: Column, round_: Column) -> Column:
+    """The row of ROUND_TYPE that a response makes: a failed call keeps the list; an answer replaces it, even by an empty one."""
+
+    def row(said: Column, v: Column, ok: Column) -> Column:
+        return F.struct(
+            ok.alias("response_ok"),
+            F.when(ok, refined_categories(said)).otherwise(categories).alias("categories"),
+            F.when(ok, label_mapping(v)).alias("mapping"),
+            round_.alias("round"),
+        )
+
+    return _bound(response, lambda said: _bound(parsed(said), lambda v: _bound(is_answer(v), lambda ok: row(said, v, ok))))
+
+
+ROUND_TYPE = f"struct<response_ok:boolean,categories:array<{CATEGORY_TYPE}>,mapping:map<string,string>,round:bigint>"
+
+
+def _rounds_by_rule(chunks: DataFrame, rule: Rule, prompt: Callable[..., Column]) -> DataFrame:
+    """converge_rounds where a rule answers: a job per STRETCH rounds, in which each dimension runs through its chunks."""
+    spark = chunks.sparkSession
+    path = new_path(spark, "rounds")
+    queue = settle(chunks.withColumn("stretch", F.call_function("div", F.col("round"), F.lit(STRETCH))), "chunks", by="stretch")
+    last = queue.agg(F.max("stretch")).head()[0]
+    schema = "dim string, response_ok boolean, categories array<{}>, mapping map<string,string>, round bigint".format(CATEGORY_TYPE)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    none = F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>")
+    step = F.when(F.col("round").isNotNull(), F.struct("round", "labels", "new_labels"))
+
+    def ask(state: Column, chunk: Column) -> Column:
+        fields = {"dim": F.col("dim"), "categories": state["categories"], **{c: chunk[c] for c in ("round", "labels", "new_labels")}}
+        said = rule.make({**fields, "prompt": prompt(fields)})
+        return _bound(
+            _answer_of(said, state["categories"], chunk["round"]),
+            lambda r: F.struct(r["categories"].alias("categories"), F.concat(state["rounds"], F.array(r)).alias("rounds")),
+        )
+
+    for s in range(last + 1):
+        now = queue.where(F.col("stretch") == s).drop("stretch").withColumn("categories", F.lit(None).cast(f"array<{CATEGORY_TYPE}>"))
+        if s:
+            # a dimension's list as the last round of the stretch before left it
+            before = spark.read.schema(schema).parquet(f"{path}/r={s - 1}").where(F.col("round") == s * STRETCH - 1)
+            now = now.unionByName(before.select("dim", "categories"), allowMissingColumns=True)
+        each = now.groupBy("dim").agg(
+            F.sort_array(F.collect_list(step)).alias("steps"), F.first("categories", ignorenulls=True).alias("categories")
+        )
+        start = F.struct(F.coalesce("categories", none).alias("categories"), F.array().cast(f"array<{ROUND_TYPE}>").alias("rounds"))
+        found = each.select("dim", F.explode(F.aggregate("steps", start, ask)["rounds"]).alias("r"))
+        found.select("dim", "r.*").write.parquet(f"{path}/r={s}")
+    return spark.read.schema(schema).parquet(path).drop("r")
+
+
 def converge_rounds(
     chunks: DataFrame,
-    responder: Responder,
+    responder: Responder | Rule,
     limit_cats: int = LIMIT_CATS,
     guide: str | None = None,
     template: str = prompts.CONVERGE,
@@ -96,9 +178,26 @@ def converge_rounds(
     A round is one small job over one row per dimension, without a shuffle up to
     DIMS_PER_TASK of them, written before the next one reads it, so every request is sent once; with a ``cache_path`` a run that
     broke off finds its answers again.  A Column responder may use dim, round,
-    labels, new_labels, categories and prompt.
+    labels, new_labels, categories and prompt.  With a Rule, or a Column that uses none of them, a job takes
+    STRETCH rounds.
     """
     spark = chunks.sparkSession
+
+    def prompt_of(fields: dict[str, Column]) -> Column:
+        known = fields["categories"]
+        return prompts.render(
+            template,
+            dim_name=fields["dim"],
+            new_labels=fields["new_labels"],
+            existing_taxonomy=F.when(F.size(known) > 0, categories_json(known)).otherwise(F.lit("None")),
+            limit_cats=limit_cats,
+            researcher_guide=guide or prompts.NO_GUIDE,
+            output_lang=output_lang,
+        )
+
+    rule = _as_rule(spark, responder)
+    if rule is not None:
+        return _rounds_by_rule(chunks, rule, prompt_of)
     path = new_path(spark, "rounds")
     queue = new_path(spark, "chunks")
     # a folder per round: which one is read stands in no expression, so that the generated
@@ -112,16 +211,7 @@ def converge_rounds(
     if last is None:
         return spark.createDataFrame([], schema)
     none = F.from_json(F.lit("[]"), f"array<{CATEGORY_TYPE}>")
-    existing = F.when(F.size("categories") > 0, categories_json(F.col("categories"))).otherwise(F.lit("None"))
-    prompt = prompts.render(
-        template,
-        dim_name=F.col("dim"),
-        new_labels=F.col("new_labels"),
-        existing_taxonomy=existing,
-        limit_cats=limit_cats,
-        researcher_guide=guide or prompts.NO_GUIDE,
-        output_lang=output_lang,
-    )
+    prompt = prompt_of({c: F.col(c) for c in ("dim", "new_labels", "categories")})
     v = F.col("_answer")
     ok = F.col("response_ok")
     result = [
@@ -403,7 +493,7 @@ def taxonomy_upsert(old: DataFrame, new: DataFrame, dims: DataFrame | None = Non
 
 def converge(
     labels: DataFrame,
-    responder: Responder,
+    responder: Responder | Rule,
     limit_cats: int = LIMIT_CATS,
     dims: str | Iterable[str] | None = None,
     papers: DataFrame | None = None,

@@ -160,3 +160,33 @@ def test_dimensions_that_differ_in_case_are_refused(spark):
     base = spark.createDataFrame([(7, "x")], "paper_id bigint, d_category string")
     with pytest.raises(ValueError, match="differ in case"):
         c.label_merge(base, c.label_pivot(df, ["D"]), ["D"])
+
+
+@pytest.mark.parametrize("stretch", [2, 500])
+def test_a_rule_answers_many_rounds_in_one_job(spark, monkeypatch, stretch):
+    """The same rounds as from a Column asked round by round, also where they go on in the next job."""
+    monkeypatch.setattr(c, "STRETCH", stretch)
+    rows = [(dim, i, f"{dim}{i}", "") for dim, n in (("D", 9), ("E", 4), (None, 3)) for i in range(n)]
+    chunks = c.chunk_text(c.label_chunks(c.label_rank(c.label_counts(labels_frame(spark, rows))), 1)).localCheckpoint()
+
+    def rule(f):
+        name = F.concat(f["labels"][0], F.lit("#"), F.size(f["categories"]).cast("string"))
+        known = F.transform(f["categories"], lambda x: F.struct(x["name"].alias("name"), x["extra"].alias("definition")))
+        new = F.struct(name.alias("name"), F.md5(f["prompt"]).alias("definition"))
+        said = F.to_json(F.struct(F.concat(known, F.array(new)).alias("refined_categories"), F.create_map(f["labels"][0], name).alias("mapping")))
+        return F.when(f["round"] % 3 != 1, said)
+
+    each = {x: F.col(x) for x in ("dim", "round", "labels", "new_labels", "categories", "prompt")}
+    found = c.converge_rounds(chunks, c.Rule(rule))
+    assert sorted(map(str, found.collect())) == sorted(map(str, c.converge_rounds(chunks, rule(each)).select(found.columns).collect()))
+    assert found.count() == 16
+    jobs = spark.sparkContext.statusTracker()
+    if stretch == 500:
+        spark.sparkContext.setJobGroup("rules", "rules")
+        c.converge_rounds(chunks, c.Rule(rule))
+        some = len(jobs.getJobIdsForGroup("rules"))
+        spark.sparkContext.setJobGroup("none", "none")
+        c.converge_rounds(chunks, F.lit(None).cast("string"))
+        none = len(jobs.getJobIdsForGroup("none"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert 0 < some < 9 and 0 < none < 9
