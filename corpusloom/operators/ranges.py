@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import groupby
 
 import pyarrow as pa
@@ -24,6 +25,9 @@ Summary = tuple[int, int, int, int]
 #: goes on behind the split does not close.
 Unit = tuple[str, int, bool, bool, str]
 
+#: Bytes of small splits that one task takes.
+TASK_BYTES = 16 << 20
+_SIZE: ContextVar[int | None] = ContextVar("split_bytes", default=None)
 #: Splits up to which their states are broadcast: about 100 MB.
 MAX_BROADCAST = 1_000_000
 UNITS = "file string, start long, n long, kind string, grp long, opens boolean, closes boolean, text string"
@@ -31,8 +35,19 @@ UNITS = "file string, start long, n long, kind string, grp long, opens boolean,
 
 @contextmanager
 def splits_of(spark: SparkSession, size: int) -> Iterator[None]:
-    """Files read in here are cut into splits of at most ``size`` bytes."""
-    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size)}
+    """Files read in pieces in here are cut into splits of at most ``size`` bytes; other tables are read as ever."""
+    token = _SIZE.set(size)
+    try:
+        yield
+    finally:
+        _SIZE.reset(token)
+
+
+@contextmanager
+def split_settings(spark: SparkSession) -> Iterator[None]:
+    """Spark's settings for the size that splits_of names, for as long as pieces are read."""
+    size = _SIZE.get()
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": str(size)} if size else {}
     before = {k: spark.conf.get(k) for k in names}
     try:
         for k, value in names.items():
@@ -45,14 +60,23 @@ def splits_of(spark: SparkSession, size: int) -> Iterator[None]:
 
 def read_pieces(spark: SparkSession, paths: str | list[str], end: str) -> DataFrame:
     """(file, start, line, value): the text between ``end``s, in the order of ``line`` within a split, which is
-    told by its ``start`` in the file."""
+    told by its ``start`` in the file.
+
+    To be read within split_settings.  A task takes many small splits, whole and one after the other.
+    """
     options = {"lineSep": end, "recursiveFileLookup": "true"}
-    return spark.read.options(**options).text(paths).select(
+    pieces = spark.read.options(**options).text(paths).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
+    size = _SIZE.get()
+    if not size:
+        return pieces
+    splits = pieces.rdd.getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-splits * size // TASK_BYTES))
+    return pieces.coalesce(tasks) if tasks < splits else pieces
 
 
 def _by_split(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[str]]]:
@@ -135,7 +159,7 @@ def scan_splits(
 
 
 def stitched(units: DataFrame) -> DataFrame:
-    """UNITS rows with the parts of each unit put together, at the place where it opens, in the group of where it closes.
+    """UNITS rows, given as a written table, with the parts of each unit put together, at the place where it opens, in the group of where it closes.
 
     Only parts are moved, at most two of a split, those of a file in one window.
     """
@@ -157,4 +181,4 @@ def stitched(units: DataFrame) -> DataFrame:
         F.array_join(F.transform("_r", lambda r: r["text"]), "").alias("text"),
         last["start"].alias("closed_in"),
     )
-    return whole.withColumn("closed_in", F.col("start")).unionByName(joined)
+    return whole.withColumn("closed_in", F.col("start")).unionByName(settle(joined, "stitched"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusloom.functions.responses import json_text, list_at, other_members, text_at, with_members
 from corpusloom.functions.text import clean_text, split_list
-from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_states, stitched
+from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_settings, split_states, stitched
 from corpusloom.operators.scratch import settle
 
 LABELS = "dim string, pos bigint, paper_id bigint, category string, reason string"
@@ -127,9 +127,11 @@ def _draft_units(texts: Iterable[str], state: int, depth: int, file: str, begin:
 
 
 def _units(spark: SparkSession, path: str) -> DataFrame:
-    """The units of all files of a path, written."""
-    pieces = read_pieces(spark, path, END)
-    return settle(stitched(scan_splits(pieces, split_states(pieces, _summarise), _draft_units)), "units")
+    """The units of all files of a path, read from written tables."""
+    with split_settings(spark):
+        pieces = read_pieces(spark, path, END)
+        found = settle(scan_splits(pieces, split_states(pieces, _summarise), _draft_units), "units")
+    return stitched(found)
 
 
 def _heads(units: DataFrame) -> DataFrame:

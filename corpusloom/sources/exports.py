@@ -17,7 +17,7 @@ from corpusloom.functions.text import check_names, quoted
 from corpusloom.operators.layout import spread
 from corpusloom.operators.lookup import lookup
 from corpusloom.operators.numbering import running_sums
-from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_states, stitched
+from corpusloom.operators.ranges import Unit, read_pieces, scan_splits, split_settings, split_states, stitched
 from corpusloom.operators.scratch import settle
 
 # Per dialect and role the column names looked for, in order.
@@ -306,17 +306,20 @@ def read_records(
     saves a pass where no quoted cell holds a line end; a pass is also saved where all files are too small to be split.
     """
     ends = {"\r" if e == "\r" else "\n" for e in line_ends}
-    split = multi_line and _may_split(spark, paths)
+    with split_settings(spark):
+        split = multi_line and _may_split(spark, paths)
     units = None
     for end in sorted(ends):
-        pieces = read_pieces(spark, paths, end)
-        if len(ends) > 1:
-            mine = (F.col("line_end") == "\r") if end == "\r" else (F.col("line_end") != "\r")
-            pieces = pieces.join(headers.where(mine).select("file"), "file", "left_semi")
-        states = split_states(pieces, _summarise) if split else None
-        found = scan_splits(pieces, states, partial(_record_units, end))
+        with split_settings(spark):
+            pieces = read_pieces(spark, paths, end)
+            if len(ends) > 1:
+                mine = (F.col("line_end") == "\r") if end == "\r" else (F.col("line_end") != "\r")
+                pieces = pieces.join(headers.where(mine).select("file"), "file", "left_semi")
+            states = split_states(pieces, _summarise) if split else None
+            found = scan_splits(pieces, states, partial(_record_units, end))
+            found = settle(found, "records") if split else found
         if split:
-            found = stitched(settle(found, "records"))
+            found = stitched(found)
         units = found if units is None else units.unionByName(found, allowMissingColumns=True)
     return units.where("kind = 'record'").select("file", "start", "n", "text")
 

@@ -198,3 +198,21 @@ def test_open_cells(line):
         text = ('"' if inside else "") + line + '\nEND"\n'
         rows = list(csv.reader(io.StringIO(text, newline="")))
         assert exports._inside_after(line, inside, ",") == ("\n" in "".join(rows[0]))
+
+
+def test_small_splits_share_a_task(spark, tmp_path):
+    """Many splits to a task, each read whole; tables that are no text in pieces keep their own splits."""
+    from corpusloom.operators import ranges
+
+    lines = [f"line {i}" for i in range(5000)]
+    (tmp_path / "x.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with ranges.splits_of(spark, 512):
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+        with ranges.split_settings(spark):
+            pieces = ranges.read_pieces(spark, str(tmp_path), "\n")
+            assert pieces.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+            rows = pieces.collect()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert len({r.start for r in rows}) > 50
+    assert [r.value for r in sorted(rows, key=lambda r: (r.start, r.line))] == lines
