@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import math
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import md5
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusloom.functions.responses import is_answer, parsed
 from corpusloom.operators.journal import Journal
 from corpusloom.operators.lookup import HOT_ROWS, lookup
-from corpusloom.operators.numbering import number_rows
+from corpusloom.operators.numbering import ROW_BITS
 from corpusloom.operators.scratch import new_path, settle
 
 Responder = Callable[[list[str]], list[str | None]] | Column
 
 RESULT = "response string, attempts int, error string"
+#: Commits of a run without a cache.
+MAX_COMMITS = 100
 #: Answers by the hash of a tag, so that flows that share a cache read their own only.
 CACHE = "request_hash string, response string, attempts int, error string, tag_hash string"
 
@@ -159,6 +163,33 @@ def _answered(spark: SparkSession, path: str, tag_hash: str) -> DataFrame | None
         raise
 
 
+def _in_parts(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written in a folder per task with each row's place: _part, _row."""
+    place = F.monotonically_increasing_id()
+    row = place.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return settle(df.withColumns({"_row": row, "_part": F.shiftright(place, ROW_BITS)}), label, by="_part")
+
+
+def _commits(pending: DataFrame, every: int, most: int | None) -> Iterator[tuple[DataFrame, int]]:
+    """Shares of ``every`` rows of a table in parts, each with its size; larger ones where they would be more than ``most``.
+
+    A share is a stretch of rows along the parts, so only the folders that hold it are read, and no row is moved.
+    """
+    parts = sorted(pending.groupBy("_part").agg(F.count("*")).collect())  # one row per task
+    left = sum(n for _, n in parts)
+    every = max(every, -(-left // most)) if most else every
+    ends = list(accumulate(n for _, n in parts))
+    part, row = F.col("_part"), F.col("_row")
+    for low in range(0, left, every):
+        high = min(low + every, left)
+        # the parts of the first and the last row, and the rows' places in them
+        i, j = bisect_right(ends, low), bisect_right(ends, high - 1)
+        first, last = parts[i][0], parts[j][0]
+        begin, end = low - ends[i] + parts[i][1], high - ends[j] + parts[j][1]
+        share = part.between(first, last) & ((part > first) | (row >= begin)) & ((part < last) | (row < end))
+        yield pending.where(share), high - low
+
+
 def semantic_map(
     df: DataFrame,
     prompt: str,
@@ -175,7 +206,8 @@ def semantic_map(
     Equal prompts are sent once.  ``cache_path`` keeps the answers for later runs
     (``tag`` should name model and temperature); failures are sent again next time.
     Answers are committed every ``commit_every`` requests, so a lost driver costs at
-    most that many calls; a lost task costs the few that its journal does not hold yet.  ``df`` is computed once.  Pass a narrow frame (an id and the
+    most that many calls; without a cache, where nothing outlives the driver, in MAX_COMMITS larger
+    commits at most.  A lost task costs the few that its journal does not hold yet.  ``df`` is computed once.  Pass a narrow frame (an id and the
     prompt): nothing can be pushed down below a Python call.
     """
     if isinstance(responder, Column):
@@ -190,25 +222,17 @@ def semantic_map(
     )
     # by the hash alone: prompts are carried, not compared
     counted = keyed.groupBy("request_hash").agg(F.count("*").alias("n"), F.first(prompt).alias("_prompt"))
-    counted = settle(counted.where(F.col("request_hash").isNotNull()), "requests")
-    requests = counted.select("request_hash", "n")
+    counted = counted.where(F.col("request_hash").isNotNull())
     known = _answered(spark, path, tag_hash)
-    pending = counted.select("request_hash", "_prompt")
-    if known is not None:
-        pending = pending.join(known.where("response IS NOT NULL").select("request_hash"), "request_hash", "left_anti")
-    pending = settle(pending, "pending")
-    left = pending.count()
-    if left > commit_every:
-        # numbered once, so that every commit holds exactly its share
-        share = F.call_function("div", F.col("_at"), F.lit(commit_every))
-        pending = settle(
-            number_rows(pending, [F.col("request_hash")], name="_at", start=0).withColumn("_commit", share)
-            .sortWithinPartitions("_commit"),
-            "commits",
-        )
-    for commit in range(-(-left // commit_every)):
-        part = pending.where(F.col("_commit") == commit) if left > commit_every else pending
-        size = min(commit_every, left - commit * commit_every)
+    if known is None:
+        pending = counted = _in_parts(counted, "requests")
+    else:
+        answered = known.where("response IS NOT NULL").select("request_hash", F.lit(True).alias("_known")).distinct()
+        open_ = F.when(F.col("_known").isNull(), F.col("_prompt"))
+        counted = settle(counted.join(answered, "request_hash", "left").select("request_hash", "n", open_.alias("_prompt")), "requests")
+        pending = _in_parts(counted.where("_prompt IS NOT NULL"), "pending")
+    requests = counted.select("request_hash", "n")
+    for part, size in _commits(pending, commit_every, None if cache_path else MAX_COMMITS):
         asked = part.select("request_hash", "_prompt")
         answers = call_model(asked, "_prompt", responder, rows=size, journal=new_path(spark, "journal"), **options).drop("_prompt")
         answers.withColumn("tag_hash", F.lit(tag_hash)).write.mode("append").partitionBy("tag_hash").parquet(path)
