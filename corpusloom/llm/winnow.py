@@ -70,7 +70,23 @@ def winnow(points: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.nda
 
 def written(hashes: np.ndarray, positions: np.ndarray) -> str:
     """``hash:position`` items, both hexadecimal, joined by blanks."""
-    return " ".join(f"{h:08x}:{p:x}" for h, p in zip(hashes.tolist(), positions.tolist(), strict=True))
+    pairs = np.empty(2 * len(hashes), np.int64)
+    pairs[0::2], pairs[1::2] = hashes, positions
+    return (("%08x:%x " * len(hashes)) % tuple(pairs.tolist()))[:-1]
+
+
+def written_after(before: str, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> str:
+    """``written(*other)``, given that of ``one``: what both begin with is not written again."""
+    n = min(len(one[0]), len(other[0]))
+    differ = np.flatnonzero((one[0][:n] != other[0][:n]) | (one[1][:n] != other[1][:n]))
+    same = int(differ[0]) if len(differ) else n
+    # eight digits, a colon, the digits of the position and a blank each
+    size, least = 11 * same, 16
+    while same and least <= one[1][same - 1]:
+        size += same - int(np.searchsorted(one[1][:same], least))
+        least *= 16
+    rest = written(other[0][same:], other[1][same:])
+    return before[:size] + rest if rest else before[: max(size - 1, 0)]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -167,7 +183,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> Da
             edited = text[: n - third] + after[1][:third]
             eh, ep = chosen(edited, k, window)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            return doc_id, n, digest, written(h, p), written(eh, ep), likeness(h, eh), likeness(h, after[2][0])
+            print_ = written(h, p)
+            return doc_id, n, digest, print_, written_after(print_, (h, p), (eh, ep)), likeness(h, eh), likeness(h, after[2][0])
 
         def rows():
             held, at = None, None  # the document that waits for its follower, and its range

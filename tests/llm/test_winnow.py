@@ -114,3 +114,15 @@ def test_prints_and_likeness(spark):
         want[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(own), shown(new), plain_likeness(own, new), plain_likeness(own, other))
     got = {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in found}
     assert got == want
+
+
+def test_a_print_is_written_from_one_that_begins_alike():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 5, 40, 700, 9000):
+        text = "".join(map(chr, r.integers(97, 123, n)))
+        one = winnow.chosen(text)
+        plain = " ".join(f"{h:08x}:{p:x}" for h, p in zip(one[0].tolist(), one[1].tolist()))
+        assert winnow.written(*one) == plain
+        for other in (text, "", text[: n // 2], text[: n - n // 3] + "other words behind it", "x" + text):
+            two = winnow.chosen(other)
+            assert winnow.written_after(plain, one, two) == winnow.written(*two)
