@@ -264,8 +264,11 @@ def translate_values(
     else:
         said = semantic_map(asked.select("_key", "prompt"), "prompt", responder, parse="text", **options)
     table = settle(said.where("response <> ''").select("_key", F.col("response").alias("translated")), "leaf_answers")
-    found = lookup(leaves, table, ["_key"], counts.select("_key", "n"), hot_rows)
-    return found.withColumn("value", F.coalesce("translated", "value")).drop("translated", "_key")
+    # values that were not asked for, most of them without a key, stay where they are: a join would bring them to one task
+    was_asked = F.coalesce(F.col("_key").isNotNull() & (F.length("value") > 1), F.lit(False))
+    found = lookup(leaves.where(was_asked), table, ["_key"], counts.select("_key", "n"), hot_rows)
+    found = found.withColumn("value", F.coalesce("translated", "value")).drop("translated", "_key")
+    return found.unionByName(leaves.where(~was_asked).drop("_key"))
 
 
 def translate_leaves(

@@ -227,3 +227,22 @@ def test_scratch_needs_a_named_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch_folder(Session())
+
+
+def test_leaves_that_are_not_asked_for_are_not_joined(spark, monkeypatch):
+    """Numbers, nulls and empty values have no key: joined, all of them would come to one task."""
+    from corpusloom.plans import translate
+
+    joined = []
+
+    def seen(facts, *args):
+        joined.extend(r["value"] for r in facts.select("value").collect())
+        return lookup(facts, *args)
+
+    monkeypatch.setattr(translate, "lookup", seen)
+    rows = [(i, f'{{"a": {i}, "b": null, "c": "text {i % 2}", "d": "x", "e": [], "f": ""}}') for i in range(6)]
+    docs = spark.createDataFrame([*rows, (9, None)], "doc_id long, document string")
+    done = translate.translate_json(docs, ["doc_id"], F.concat(F.lit("fr:"), F.col("value")))
+    got = {r.doc_id: r.document for r in done.collect()}
+    assert got == {i: f'{{"a":{i},"b":null,"c":"fr:text {i % 2}","d":"x","e":[],"f":""}}' for i in range(6)} | {9: None}
+    assert sorted(joined) == ["text 0"] * 3 + ["text 1"] * 3
