@@ -23,6 +23,8 @@ STEPS = pa.list_(pa.struct([("key", pa.string()), ("index", pa.int32())]))
 BARE = ("number", "boolean", "null")
 SIMPLE_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 ROWS = 5_000
+#: Characters that a task holds before it passes them on.
+HELD = 1 << 23
 
 
 class Number(str):
@@ -113,7 +115,7 @@ def json_leaves(documents: DataFrame, keys: list[str], column: str = "document")
                     rows.append((at, [{"key": k, "index": i} for k, i in steps], path_of(steps), kind, value))
                     owners.append(n)
                     held += len(value)
-                    if len(rows) >= ROWS or held >= 1 << 23:
+                    if len(rows) >= ROWS or held >= HELD:
                         yield packed(batch, owners, rows)
                         rows, owners, held = [], [], 0
             if rows:
@@ -140,8 +142,14 @@ def json_from_leaves(leaves: DataFrame, keys: list[str], column: str = "document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [write([(x["steps"], x["kind"], x["value"]) for x in some.as_py()]) for some in batch.column("leaves")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(texts, pa.string())], names=[*names, "document"])
+            texts, first, held = [], 0, 0
+            for n, some in enumerate(batch.column("leaves"), 1):
+                texts.append(write([(x["steps"], x["kind"], x["value"]) for x in some.as_py()]))
+                held += len(texts[-1])
+                if held >= HELD or n == len(batch):
+                    own = [batch.column(k).slice(first, len(texts)) for k in names]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string())], names=[*names, "document"])
+                    texts, first, held = [], n, 0
 
     schema = ", ".join(f"k{i} {whole.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keys)))
     found = whole.mapInArrow(run, f"{schema}, document string")
