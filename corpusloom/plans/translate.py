@@ -215,9 +215,8 @@ def translate_columns(
     if not [c for c in split_argument(columns) if c in df.columns]:
         return df
     texts = settle(distinct_by_digest(df, columns, row_id), "texts", by="col")
+    # made of written tables, and written again as requests
     batches = translate_batches(texts, batch_size(texts))
-    if not isinstance(responder, Column):
-        batches = settle(batches, "batches")
     translations = settle(translate_map(batches, responder, target_lang, **options), "translations", by="col")
     return translate_apply(df, columns, translations, texts, row_id=row_id)
 
