@@ -170,3 +170,82 @@ def test_odd_cases(spark):
 def test_trusted(spark):
     rows = [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 0, 0), (5, None, 0), (None, 1, 0), (6, 1, 0), (6, 1, 0)]
     assert sorted(r.doc_id for r in px.trusted_ids(spark.createDataFrame(rows, LABELS)).collect()) == [1, 6]
+
+
+def plain_words(texts: list[tuple], spelled: dict[tuple, list[float]]) -> dict[tuple, float]:
+    """Losses by the definition of the model: of every (text, fold), by n-grams of the given ones in the other fold.
+
+    Discounts are made from texts that differ, of both folds.
+    """
+    tables: dict = {f: {px.WORDS: Counter(), "differ": Counter()} for f in (0, 1)}
+    for (t, f), m in Counter(texts).items():
+        x = ["<s>"] * (px.WORDS - 1) + t.split() + ["</s>"]
+        for i in range(len(x) - px.WORDS + 1):
+            tables[f][px.WORDS][tuple(x[i : i + px.WORDS])] += m
+            tables[f]["differ"][tuple(x[i : i + px.WORDS])] += 1
+    for t in tables.values():
+        for n in range(px.WORDS - 1, 0, -1):
+            t[n] = Counter(g[1:] for g in t[n + 1])
+    cuts, totals, left = {}, defaultdict(int), defaultdict(float)
+    for n in range(1, px.WORDS + 1):
+        c = Counter(k for t in tables.values() for k in t["differ" if n == px.WORDS else n].values())
+        y = c[1] / (c[1] + 2 * c[2])
+        d = [1 - 2 * y * c[2] / c[1], 2 - 3 * y * c[3] / c[2]]
+        cuts[n] = [min(max(v, 0.05), k) for v, k in zip([*d, 3 - 4 * y * c[4] / c[3] if c[3] else d[1]], (1.0, 2.0, 3.0))]
+        for f, t in tables.items():
+            for g, k in t[n].items():
+                totals[f, g[:-1]] += k
+                left[f, g[:-1]] += cuts[n][min(k, 3) - 1]
+
+    def p(f: int, g: tuple, unknown: float) -> float:
+        if not g:
+            return unknown
+        total, k = totals[f, g[:-1]], tables[f][len(g)][g]
+        # a known word has no share in what is left for unknown ones
+        lower = 0.0 if len(g) == 1 and k else p(f, g[1:], unknown)
+        return (k - cuts[len(g)][min(k, 3) - 1] if k else 0) / total + left[f, g[:-1]] / total * lower if total else lower
+
+    out = {}
+    for (t, f), costs in spelled.items():
+        x = ["<s>"] * (px.WORDS - 1) + t.split() + ["</s>"]
+        grams = [tuple(x[i : i + px.WORDS]) for i in range(len(x) - px.WORDS + 1)]
+        out[t, f] = -sum(math.log(p(1 - f, g, math.exp(c))) for g, c in zip(grams, [*costs, 0.0], strict=True))
+    return out
+
+
+def test_words_against_the_definition(spark):
+    """The loss of every text, by the words of the other fold's trusted texts; copies count, and lose as much as one."""
+    texts = [fixtures.prose(i, 40 + i % 7) + f" w{i % 5}" for i in range(60)] + [" of the  sea of\tthe", " \n", "of", "unmet xq#7 of the", "x" * 90]
+    given = [*texts, None, "", texts[3], texts[55]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(given)], "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 50 OR text = '" + texts[3] + "'").select("text")
+    found = {r.doc_id: r.loss for r in px.Scorer(docs, trusted).scores(docs).collect()}
+    fold = {r.text: r.f for r in docs.select("text", px._key(px.F.col("text")).bitwiseAND(px.F.lit(1)).alias("f")).collect()}
+    logs, spelled = px.train(trusted), {}
+    for t in texts:
+        costs, inside = [], False
+        for c, x in zip(t, logs[px.grams(t)].tolist()):
+            if c not in " \t\n":
+                costs += [] if inside else [0.0]
+                inside = True
+                costs[-1] += x
+            elif inside:
+                costs[-1] += x
+                inside = False
+        spelled[t, fold[t]] = costs
+    want = plain_words([(t, fold[t]) for t in [*texts[:50], texts[3]]], spelled)
+    assert {fold[t] for t in texts[:50]} == {0, 1} and len(found) == len(given)
+    assert all(math.isclose(found[i], want[t, fold[t]], rel_tol=1e-5) for i, t in enumerate(given) if t)
+    assert found[65] == found[66] == 0
+
+
+def test_order_of_words_tells(spark):
+    """A text whose words stand in another order costs much more, though its characters are nearly those of the same n-grams."""
+    lines = ["the old fisher mends his net", "the boat lies at the bank of the river", "children bring bread to the village", "gulls follow the boat home"]
+    r = np.random.default_rng(5)
+    text = lambda: " ".join(lines[i] for i in r.integers(0, 4, 12))
+    good = [text() for _ in range(60)]
+    mixed = [" ".join(r.permutation(t.split()).tolist()) for t in good[:10]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + mixed)], "doc_id long, text string, lang string")
+    rows = {x.doc_id: x.loss / x.n_points for x in px.Scorer(docs, docs.where("doc_id < 50").select("text")).scores(docs).collect()}
+    assert min(rows[60 + i] for i in range(10)) > 3 * max(rows[i] for i in range(60))
