@@ -297,6 +297,8 @@ def mapping_of(rounds: DataFrame) -> DataFrame:
     edges = settle(
         rounds.select("dim", "round", F.explode("mapping").alias("label", "final")), "edges"
     )
+    if edges.isEmpty():
+        return edges.select("dim", "label", "final")
     # nodes: value f as it stands after round r (r rows per value and dimension at most)
     values = edges.select("dim", "round", F.col("final").alias("value")).distinct()
     keys = edges.select("dim", "round", F.col("label").alias("value"), F.lit(True).alias("is_key"))
@@ -499,16 +501,21 @@ def converge(
     papers: DataFrame | None = None,
     title: Column | None = None,
     chunk_size: int = CHUNK,
+    counts: DataFrame | None = None,
     **options: object,
 ) -> tuple[DataFrame, DataFrame]:
-    """(taxonomy, mapping) of the chosen dimensions; typical cases when papers are given."""
+    """(taxonomy, mapping) of the chosen dimensions; typical cases when papers are given.
+
+    ``counts``, from label_counts of the chosen dimensions and written, spares counting them again.
+    """
     chosen = select_dims(labels, dims)
-    counts = settle(label_counts(chosen), "label_counts")
+    if counts is None:
+        counts = settle(label_counts(chosen), "label_counts")
     chunks = chunk_text(label_chunks(label_rank(counts), chunk_size))
     rounds = converge_rounds(chunks, responder, limit_cats, **options)
     mapping = settle(mapping_of(rounds), "mapping")
     taxonomy = settle(taxonomy_rows(rounds, limit_cats), "taxonomy")
-    if papers is not None:
+    if papers is not None and not taxonomy.isEmpty():
         cases = typical_cases(chosen, mapping, taxonomy, papers, title if title is not None else F.col("title"))
         taxonomy = settle(with_cases(taxonomy, cases), "taxonomy")
     return taxonomy, mapping

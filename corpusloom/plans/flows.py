@@ -160,6 +160,8 @@ def converge(
         return documents.empty(spark, documents.TAXONOMY)
     if papers is not None:
         papers = _papers(spark, papers, source_type)
+    chosen = conv.select_dims(labels, processed)
+    counts = settle(conv.label_counts(chosen), "label_counts")
     taxonomy, mapping = conv.converge(
         labels,
         responder,
@@ -167,6 +169,7 @@ def converge(
         processed,
         papers,
         F.col("paper_title"),
+        counts=counts,
         guide=guide,
         template=_template(spark, "converge", prompt_dir),
         output_lang=output_lang,
@@ -194,8 +197,6 @@ def converge(
         elif not in_versions and store.exists(at):
             base = labelled_export(spark, output_papers) if as_csv else spark.read.parquet(output_papers)
         if base is not None:
-            chosen = conv.select_dims(labels, processed)
-            counts = settle(conv.label_counts(chosen), "label_counts")
             wide = conv.label_pivot(conv.final_labels(chosen, mapping, counts), processed)
             merged = conv.label_merge(base, wide, processed)
             if in_versions:

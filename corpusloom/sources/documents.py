@@ -161,12 +161,12 @@ def document_kind(spark: SparkSession, path: str) -> str | None:
     return "draft" if openers else None
 
 
-def draft_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, n, dim, item): the label objects of draft files, each as JSON text.
+#: What tells the key of an item's list.
+PLACE = ["file", "closed_in", "grp"]
 
-    Files of any size, on one line or many, are read in splits; an object of a list is a row.  ``start`` and
-    ``n`` are its place in the file.  What is no draft is refused, naming the file.
-    """
+
+def _keyed_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, start, n, closed_in, grp, item) of draft files, and (file, closed_in, grp, dim); what is no draft is refused."""
     units = _units(spark, path)
     heads = settle(_heads(units), "heads")
     wrong = _faults(units).unionByName(heads.where("opener = '{'").select("file", F.lit("values that are no lists").alias("fault"))).head()
@@ -175,19 +175,31 @@ def draft_ranges(spark: SparkSession, path: str) -> DataFrame:
     # the key that was open before a split is the last of the splits before it; one row per split and key
     splits = units.where("kind = 'end'").select("file", F.col("start").alias("closed_in"), F.lit(0).cast("long").alias("grp"))
     before = Window.partitionBy("file").orderBy("closed_in", "grp").rowsBetween(Window.unboundedPreceding, 0)
-    keys = heads.select("file", "closed_in", "grp", "dim").unionByName(splits.withColumn("dim", F.lit(None).cast("string")))
+    keys = heads.select(*PLACE, "dim").unionByName(splits.withColumn("dim", F.lit(None).cast("string")))
     keys = keys.withColumn("dim", F.last("dim", ignorenulls=True).over(before))
-    items = units.where("kind = 'item'").select("file", "start", "n", "closed_in", "grp", F.col("text").alias("item"))
-    return items.join(keys, ["file", "closed_in", "grp"]).select("file", "start", "n", "dim", "item")
+    return units.where("kind = 'item'").select("file", "start", "n", "closed_in", "grp", F.col("text").alias("item")), keys
 
 
-def item_labels(items: DataFrame) -> DataFrame:
-    """Labels of draft items in paper order, the order every later step uses; ``seq`` is the
-    place in the draft, which tells the last of several labels of a paper.  Texts that are no JSON are refused."""
+def draft_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, n, dim, item): the label objects of draft files, each as JSON text.
+
+    Files of any size, on one line or many, are read in splits; an object of a list is a row.  ``start`` and
+    ``n`` are its place in the file.  What is no draft is refused, naming the file.
+    """
+    items, keys = _keyed_items(spark, path)
+    return items.join(keys, PLACE).select("file", "start", "n", "dim", "item")
+
+
+def _parsed_items(items: DataFrame) -> DataFrame:
+    """Items with the fields of each as ``_i``; texts that are no JSON are refused."""
     parsed = F.from_json("item", "paper_id bigint, category string, reason string")
     refused = F.raise_error(F.concat(F.lit("no draft: "), F.col("file"), F.lit(" "), F.left("item", F.lit(80))))
     whole = F.when(F.try_parse_json("item").isNotNull(), parsed).otherwise(refused.cast("struct<paper_id:bigint,category:string,reason:string>"))
-    return items.withColumn("_i", whole).select(
+    return items.withColumn("_i", whole)
+
+
+def _labels_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select(
         "dim",
         F.col("_i.paper_id").alias("pos"),
         F.col("_i.paper_id").alias("paper_id"),
@@ -197,6 +209,12 @@ def item_labels(items: DataFrame) -> DataFrame:
     )
 
 
+def item_labels(items: DataFrame) -> DataFrame:
+    """Labels of draft items in paper order, the order every later step uses; ``seq`` is the
+    place in the draft, which tells the last of several labels of a paper.  Texts that are no JSON are refused."""
+    return _labels_of(_parsed_items(items))
+
+
 def item_documents(items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(dim, document): draft JSON with the items as they are, in documents of bounded size."""
     listed = F.sort_array(F.collect_list(F.struct("n", "item")))
@@ -209,8 +227,14 @@ def item_documents(items: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def read_draft(spark: SparkSession, path: str) -> DataFrame:
-    """Labels of a draft: files of one JSON object each, or of JSON lines, of any size."""
-    return item_labels(draft_ranges(spark, path))
+    """Labels of a draft: files of one JSON object each, or of JSON lines, of any size.
+
+    Items are parsed where they were found, by all tasks, and their fields are joined with the keys.
+    """
+    items, keys = _keyed_items(spark, path)
+    # the value once: a projection above the join would parse in its few tasks
+    parsed = _parsed_items(items).select("file", "start", "n", "closed_in", "grp", "_i").join(keys, PLACE)
+    return _labels_of(parsed)
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -477,3 +477,27 @@ def test_converge_flow_reads_a_written_draft(spark, tmp_path):
     got = flows.converge(spark, str(tmp_path / "draft"), str(tmp_path / "tax"), reply)
     assert [(r.dim, r.name, r.typical_cases) for r in got.collect()] == [("D", "A", None)]
     assert flows.converge(spark, labels, str(tmp_path / "tax"), reply, dims="X").isEmpty()
+
+
+def test_converge_takes_no_steps_for_nothing(spark, tmp_path, monkeypatch):
+    """Labels are counted once; where no answer maps anything, no chains are followed and no cases looked up."""
+    labels = spark.createDataFrame([("D", 1, 1, "a", "r"), ("D", 2, 2, "b", "s")], documents.LABELS)
+    papers = spark.createDataFrame([(1, "t1"), (2, "t2")], "paper_id long, paper_title string")
+    written = []
+    for module in (flows, flows.conv):
+        monkeypatch.setattr(module, "settle", lambda df, label, by=None, settle=module.settle: written.append(label) or settle(df, label, by))
+    out = str(tmp_path / "labelled")
+    got = flows.converge(spark, labels, str(tmp_path / "tax"), F.lit(None).cast("string"), papers=papers, output_papers=out)
+    assert got.isEmpty() and written.count("label_counts") == 1 and not {"moves", "cases"} & set(written)
+    rows = {r.paper_id: (r.D_raw_category, r.D_category, r.D_reason) for r in spark.read.parquet(out).collect()}
+    assert rows == {1: ("a", "a", "r"), 2: ("b", "b", "s")}
+
+
+def test_drafts_are_parsed_below_the_join(spark, tmp_path):
+    """All tasks that hold items parse them, not the few that a join of small tables has."""
+    labels = spark.createDataFrame([("D", 1, 1, "a", "r"), ("E", 1, 1, "b", "s")], documents.LABELS)
+    documents.write_draft(labels, str(tmp_path / "draft"))
+    found = documents.read_draft(spark, str(tmp_path / "draft"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("from_json(")
+    assert sorted(tuple(r)[:5] for r in found.collect()) == sorted(map(tuple, labels.collect()))
