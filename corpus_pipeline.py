@@ -15,7 +15,7 @@ from corpusloom.operators.scratch import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity lies within the bounds of their language; all others go.
+    """Documents whose perplexity, by a model of words, lies within the bounds of their language; all others go.
 
     Null and empty texts go; a null language is one of its own; rows that repeat an id are judged by their own
     text each; without any trusted document all other texts stay.  An empty table stays empty.

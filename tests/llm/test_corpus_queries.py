@@ -80,3 +80,20 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
         docs = spark.read.parquet(str(tmp_path / str(i)))
         assert last or docs.dtypes == start.dtypes
     assert (docs.count() == 0) == (rows == "none")
+
+
+def test_pipeline_judges_by_words(spark, tmp_path):
+    """The first stage keeps texts whose words follow each other as in trusted ones, not those with the same words in another order."""
+    import random
+
+    r = random.Random(7)
+    # words that begin and end alike: whatever their order, the text has the same strings of four characters
+    words = [f"ba{a}{b}ab" for a in "cdfgh" for b in "klmnp"]
+    lines = [" ".join(words[i : i + 5]) for i in range(0, 25, 5)]
+    good = [" ".join(r.choice(lines) for _ in range(30)) for _ in range(150)]
+    mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in good[:10]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good + mixed)]
+    spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert len(kept & set(range(150))) >= 140 and not kept & set(range(150, 160))
