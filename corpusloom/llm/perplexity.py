@@ -16,15 +16,15 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import quoted
-from corpusloom.llm.common import attach, words
-from corpusloom.operators.scratch import settle
+from corpusloom.llm.common import attach, parts, utf8
+from corpusloom.operators.scratch import discard, settle, shuffles_removed
 
 #: Order of the model of words.
 WORDS = 3
@@ -32,8 +32,15 @@ WORDS = 3
 BEGIN, END = 0x3C6EF372FE94F82A, 0x510E527FADE682D0
 #: Bits by which the hashes of an n-gram's words are rotated against each other.
 TURN = 21
-#: Rows of one record batch of n-grams.
-ROWS = 200_000
+#: The hash of a word: its bytes as digits of a number to this base, and how that is mixed.
+BASE = 0x9E6C63D0676A9A99
+MIX = ((32, 0xD6E8FEB86659FD93), (29, 0xFF51AFD7ED558CCD))
+#: Bytes of text whose n-grams are held at a time.
+PART = 1 << 19
+#: Slices in which the model is joined and met by the texts, one after the other: one per so many
+#: characters of trusted texts, and at most so many.
+SLICE, SLICES = 5_000_000, 6
+LEAST_SHARDS = 6
 #: Order of the model of characters.
 ORDER = 4
 BITS = 5
@@ -169,11 +176,57 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def hashed(text: Column, fold: Column) -> Column:
-    """The words of a text as hashes that carry ``fold``, with its begin and end."""
-    mark = lambda x: x.bitwiseAND(F.lit(-2)).bitwiseOR(fold)
-    edge = lambda n, times: F.array(*[mark(F.lit(n))] * times)
-    return F.concat(edge(BEGIN, WORDS - 1), F.transform(words(text), lambda w: mark(F.xxhash64(w))), edge(END, 1))
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE modulo 2**64, and those of its inverse."""
+    found = np.full((2, n), [[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+    found[:, 0] = 1
+    return tuple(np.multiply.accumulate(found, axis=1))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in MIX:
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: Sequence[bytes], folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as hashes that carry the fold of each, with begins and end, and the places where texts begin."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    blank = (data == 32) | (data - np.uint8(9) <= 4)
+    edges = np.diff(blank.astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
+    power, inverse = _powers(1 << max(len(data) - 1, 1).bit_length())
+    sums = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * power[: len(data)]))
+    h = _mixed((sums[ends] - sums[starts]) * inverse[starts])
+    froms = np.cumsum([0] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(starts, froms)
+    begins = first + WORDS * np.arange(len(texts) + 1)
+    x = np.full(begins[-1], END, np.uint64)
+    for i in range(WORDS - 1):
+        x[begins[:-1] + i] = BEGIN
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    x[np.arange(len(h)) + WORDS * text + WORDS - 1] = h
+    return x & ~np.uint64(1) | np.repeat(folds.astype(np.uint64), np.diff(begins)), begins
+
+
+def _parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
+    """Texts, their keys and a third column, in parts of at most PART bytes or one text."""
+    for batch in it:
+        held, size = [], 0
+        for row in zip(*[batch.column(n).to_pylist() for n in batch.schema.names], strict=True):
+            if held and size + len(row[0]) > PART:
+                yield _columns(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[0])
+        if held:
+            yield _columns(held)
+
+
+def _columns(held: list[tuple]) -> tuple[list[bytes], np.ndarray, list]:
+    texts, keys, third = zip(*held, strict=True)
+    return list(texts), np.array(keys, np.int64), list(third)
 
 
 def _turned(x: Column, bits: int) -> Column:
@@ -202,10 +255,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
     ``u`` counts those in texts that differ: copies would spoil the counts of counts that discounts are made of.
     """
     each = texts.groupBy(_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("m"))
-    x = each.select("m", hashed(F.col("text"), F.col("key").bitwiseAND(F.lit(1))).alias("x"))
-    n = F.size("x") - (WORDS - 1)
-    zipped = F.arrays_zip(*[F.slice("x", i + 1, n).alias(f"x{i + 1}") for i in range(WORDS)])
-    placed = x.select("m", F.inline(zipped).alias(*_names(WORDS)))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, keys, copies in _parts(it):
+            x, begins = word_hashes(found, keys & 1)
+            text = np.repeat(np.arange(len(found)), np.diff(begins))
+            at = np.flatnonzero(text[WORDS - 1 :] == text[: 1 - WORDS])
+            columns = [x[at + i].view(np.int64) for i in range(WORDS)] + [np.array(copies, np.int64)[text[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_names(WORDS), "m"])
+
+    kinds = ", ".join(f"{n} long" for n in [*_names(WORDS), "m"])
+    placed = each.select(utf8(F.col("text")).alias("text"), "key", "m").mapInArrow(run, kinds)
     return placed.groupBy(*_names(WORDS)).agg(F.sum("m").alias("c"), F.count("*").alias("u"))
 
 
@@ -213,46 +273,66 @@ def _names(n: int, start: int = 1) -> list[str]:
     return [f"x{i}" for i in range(start, start + n)]
 
 
-def word_model(top: DataFrame) -> tuple[DataFrame, list[float]]:
-    """(h, v) for n-grams of all orders and folds, and what an unknown word costs besides its spelling, by fold.
+def _slice(word: str, of: int) -> Column:
+    """The slice of the model to which a hashed word belongs."""
+    return F.pmod(F.shiftrightunsigned(word, 8), F.lit(of))
+
+
+def word_model(top: DataFrame, slices: int) -> tuple[list[DataFrame], DataFrame, list[float]]:
+    """(h, v) for n-grams of all folds, those of two words and more in slices, and what an unknown word costs besides its
+    spelling, by fold.
 
     With p the probability of an n-gram's last word after the others, a seen n-gram has log p, less that of the next
     lower order and the weight which its context gives to that; an n-gram that is a context has the logarithm of
     that weight, as a row of its own.  The sum over all n-grams of a text, spellings of unknown words
     included, is its log likelihood.
+
+    An n-gram is in the slice of its last word but one, as are its context and its lower order, which it is joined
+    with: only a slice is on its way between tasks at a time.  ``top`` lies in folders by its slice, the column
+    ``part``, and is removed.
     """
     tables = {WORDS: top}
     for n in range(WORDS - 1, 0, -1):
         # continuation counts: the different words before
         shorter = [F.col(a).alias(b) for a, b in zip(_names(n, 2), _names(n))]
         tables[n] = settle(tables[n + 1].groupBy(*shorter).agg(F.count("*").alias("c")), f"word-continuations-{n}")
-    rows, below, unknown = [], None, [0.0, 0.0]
+    single, sliced, below, unknown = [], [[] for _ in range(slices)], [], [0.0, 0.0]
     for n in range(1, WORDS + 1):
         counted = tables[n]
         d = _discounts(counted.select(F.col("u").alias("c")) if "u" in counted.columns else counted)
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         sums = [F.sum("c").alias("total"), (F.sum(cut) / F.sum("c")).alias("gamma")]
         own = (F.col("c") - cut) / F.col("total")
+        h = _gram([F.col(c) for c in _names(n)]).alias("h")
         if n == 1:
             # one row per fold
             folds = counted.groupBy(F.col("x1").bitwiseAND(F.lit(1)).cast("int").alias("fold")).agg(*sums).collect()
             unknown = [math.log(next((r.gamma for r in folds if r.fold == f), 1.0)) for f in (0, 1)]
             total = {r.fold: r.total for r in folds}
             of = F.when(F.col("x1").bitwiseAND(F.lit(1)) == 0, total.get(0)).otherwise(total.get(1))
-            made = counted.withColumn("total", of).select("x1", own.alias("p"), F.log(own).alias("v"))
+            made = counted.withColumn("total", of).select(h, own.alias("p"), F.log(own).cast("float").alias("v"))
+            below = [settle(made, "word-probabilities-1")] * slices
+            single.append(below[0].select("h", "v"))
         else:
             contexts = settle(counted.groupBy(*_names(n - 1)).agg(*sums), f"word-contexts-{n}")
-            rows.append(contexts.select(_gram([F.col(c) for c in _names(n - 1)]).alias("h"), F.log("gamma").alias("v")))
-            lower = below.select(*[F.col(a).alias(b) for a, b in zip(_names(n - 1), _names(n - 1, 2))], F.col("p").alias("lower"))
+            weights = contexts.select(*_names(n - 1), _gram([F.col(c) for c in _names(n - 1)]).alias("h"), F.log("gamma").cast("float").alias("v"))
             p = own + F.col("gamma") * F.col("lower")
-            made = (
-                counted.join(contexts, _names(n - 1))
-                .join(lower, _names(n - 1, 2))
-                .select(*_names(n), p.alias("p"), (F.log(p) - F.log("lower") - F.log("gamma")).alias("v"))
-            )
-        below = settle(made, f"word-probabilities-{n}")
-        rows.append(below.select(_gram([F.col(c) for c in _names(n)]).alias("h"), "v"))
-    return reduce(DataFrame.unionByName, rows), unknown
+            v = (F.log(p) - F.log("lower") - F.log("gamma")).cast("float").alias("v")
+            made = []
+            for i in range(slices):
+                here = _slice(f"x{n - 1}", slices) == i
+                joined = counted.where(F.col("part") == i if n == WORDS else here).withColumn("y", _gram([F.col(c) for c in _names(n - 1, 2)]))
+                joined = joined.join(contexts.where(here), _names(n - 1)).join(below[i].select(F.col("h").alias("y"), F.col("p").alias("lower")), "y")
+                made.append(settle(joined.select(h, *[p.alias("p")] * (n < WORDS), v), f"word-probabilities-{n}-{i}"))
+                sliced[i].append(made[i].select("h", "v"))
+                if n > 2:
+                    sliced[i].append(weights.where(_slice(f"x{n - 2}", slices) == i).select("h", "v"))
+                if n == WORDS:
+                    discard(counted, part=f"part={i}")
+            single += [weights.select("h", "v")] * (n == 2)
+            below = made
+        discard(counted)
+    return [reduce(DataFrame.unionByName, r) for r in sliced], reduce(DataFrame.unionByName, single), unknown
 
 
 def spellings(text: str, table: np.ndarray) -> np.ndarray:
@@ -266,45 +346,93 @@ def spellings(text: str, table: np.ndarray) -> np.ndarray:
     return sums[np.minimum(ends + 1, len(points))] - sums[starts]
 
 
-def text_grams(docs: DataFrame, model: np.ndarray, unknown: list[float]) -> DataFrame:
-    """(key, h, k, s): the n-grams of every text, once each with how often they occur.
+def _shards(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(shards)
+
+
+def _lists(of: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The shards in ``of``, which stands in order, and for each a list of its values of every column."""
+    first = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1))
+    offsets = pa.array(np.append(first, len(of)).astype(np.int32))
+    return [pa.array(of[first].astype(np.int32))] + [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns]
+
+
+def text_grams(docs: DataFrame, at: int | None, slices: int, shards: int, model: np.ndarray, unknown: list[float]) -> DataFrame:
+    """(shard, key, h, k, s), lists of the n-grams of texts: once for each text, with how often they occur.
 
-    They are those of the fold that the text is not in.  ``s`` is what a word costs where it is not known.
+    They are those of the fold that the text is not in, of slice ``at`` or else single words.  ``s`` is what a word
+    costs where it is not known.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model, unknown))
-    kinds = {"key": pa.int64(), "h": pa.int64(), "k": pa.int32(), "s": pa.float32()}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, missing = shared.value
-        held: list[tuple] = []
-        size = 0
-
-        def packed() -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(c), kind) for c, kind in zip(zip(*held), kinds.values(), strict=True)]
-            return pa.RecordBatch.from_arrays(columns, names=list(kinds))
-
+        for texts, keys, _ in _parts(it):
+            x, begins = word_hashes(texts, 1 - (keys & 1))
+            text = np.repeat(np.arange(len(texts)), np.diff(begins))
+            slice_of = (x >> np.uint64(8)) % np.uint64(slices)
+            found = []
+            for n in [1] if at is None else range(2, WORDS + 1):
+                valid = text[n - 1 :] == text[: len(text) - n + 1]
+                if n == 1:
+                    # of the begins in front one is a context by itself
+                    valid[begins[:-1]] = False
+                else:
+                    valid &= slice_of[n - 2 : len(x) - 1] == at
+                h = gram_hashes(x, n)
+                cost = np.zeros(len(x), np.float32)
+                if n == 1:
+                    costs = [spellings(t.decode(), table) + missing[1 - (k & 1)] for t, k in zip(texts, keys.tolist(), strict=True)]
+                    cost[np.concatenate([np.arange(len(c)) + b + WORDS - 1 for c, b in zip(costs, begins)])] = np.concatenate(costs)
+                where = np.flatnonzero(valid)
+                found.append((h[where], text[where], cost[where]))
+            h, text, cost = (np.concatenate(c) for c in zip(*found, strict=True))
+            shard = _shards(h, shards)
+            order = np.argsort(h)
+            place = (shard * np.uint64(len(texts)) + text.astype(np.uint64))[order]
+            # few numbers are sorted much faster as short ones
+            order = order[np.argsort(place.astype(np.uint16) if shards * len(texts) <= 1 << 16 else place, kind="stable")]
+            h, text, cost, shard = h[order], text[order], cost[order], shard[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1]))))[: len(h)]
+            k = np.diff(np.append(first, len(h))).astype(np.int32)
+            s = np.add.reduceat(cost, first) if len(first) else cost
+            columns = _lists(shard[first], keys[text[first]], h[first].view(np.int64), k, s.astype(np.float32))
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "key", "h", "k", "s"])
+
+    given = docs.where("text <> ''").select(utf8(F.col("text")).alias("text"), _key(F.col("text")).alias("key"), F.lit(0).alias("m"))
+    return given.mapInArrow(run, "shard int, key array<long>, h array<long>, k array<int>, s array<float>")
+
+
+def sums_of(grams: DataFrame, model: DataFrame, shards: int) -> DataFrame:
+    """(key, sum): the values of the n-grams of every text, added up; the tables meet by shards."""
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            x = batch.column("x")
-            ends, values = x.offsets.to_numpy(), x.values.to_numpy().view(np.uint64)
-            for i, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-                own = values[ends[i] : ends[i + 1]]
-                # of the begins in front one is a context by itself
-                h = np.concatenate([gram_hashes(own[WORDS - 1 - n if n < WORDS else 0 :], n) for n in range(1, WORDS + 1)])
-                cost = np.zeros(len(h))
-                cost[1 : len(own) - WORDS + 1] = spellings(text, table) + missing[1 - (key & 1)]
-                found, place, k = np.unique(h, return_inverse=True, return_counts=True)
-                s = np.bincount(place, cost, len(found))
-                held.append((np.full(len(found), key), found.view(np.int64), k.astype(np.int32), s.astype(np.float32)))
-                size += len(found)
-                if size >= ROWS:
-                    yield packed()
-                    held, size = [], 0
-        if held:
-            yield packed()
-
-    other = F.lit(1) - _key(F.col("text")).bitwiseAND(F.lit(1))
-    given = docs.where("text <> ''").select(_key(F.col("text")).alias("key"), "text", hashed(F.col("text"), other).alias("x"))
-    return given.mapInArrow(run, "key long, h long, k int, s float")
+            h, v = batch.column("h").to_numpy(), batch.column("v").to_numpy()
+            shard = _shards(h.view(np.uint64), shards)
+            order = np.argsort(shard, kind="stable")
+            yield pa.RecordBatch.from_arrays(_lists(shard[order], h[order], v[order]), names=["shard", "h", "v"])
+
+    def met(texts: pa.Table, values: pa.Table) -> pa.Table:
+        flat = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(t) else np.zeros(0)
+        known, v = flat(values, "h").astype(np.int64), flat(values, "v").astype(np.float64)
+        order = np.argsort(known)
+        known, v = known[order], v[order]
+        # an n-gram that is a context as well has two rows
+        first = np.flatnonzero(np.concatenate(([True], known[1:] != known[:-1])))[: len(known)]
+        known, v = known[first], np.add.reduceat(v, first) if len(first) else v
+        keys, total = [], []
+        for i in range(len(texts)):
+            key, h, k, s = (texts.column(c)[i].values.to_numpy() for c in ("key", "h", "k", "s"))
+            place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            value = np.where(known[place] == h, k * v[place], s) if len(known) else s
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            keys.append(key[begin])
+            total.append(np.add.reduceat(value.astype(np.float64), begin))
+        return pa.table({"key": pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), "sum": pa.array(np.concatenate([np.zeros(0), *total]))})
+
+    values = model.mapInArrow(packed, "shard int, h array<long>, v array<float>")
+    return grams.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(met, "key long, sum double").groupBy("key").agg(F.sum("sum").alias("sum"))
 
 
 def keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -323,10 +451,19 @@ class Scorer:
 
     def __init__(self, docs: DataFrame, trusted: DataFrame):
         spelling = train(trusted)
-        model, unknown = word_model(settle(word_counts(trusted), "word-grams"))
-        met = text_grams(docs, spelling, unknown).join(model, "h", "left")
-        sums = met.groupBy("key").agg((-F.sum(F.coalesce(F.col("k") * F.col("v"), F.col("s")))).alias("sum"))
+        slices = min(1 + (trusted.agg(F.sum(F.length("text"))).head()[0] or 0) // SLICE, SLICES)
+        grams = settle(word_counts(trusted).withColumn("part", _slice(f"x{WORDS - 1}", slices)), "word-grams", by="part")
+        sliced, single, unknown = word_model(grams, slices)
+        shards = max(parts(docs) // 3, LEAST_SHARDS)
+        sums = []
+        for at, model in [*enumerate(sliced), (None, single)]:
+            found = text_grams(docs, at, slices, shards, spelling, unknown)
+            sums.append(settle(sums_of(found, model, shards), "word-sums"))
+            if at == slices - 1:
+                discard(*sliced)
+        sums = reduce(DataFrame.unionByName, sums).groupBy("key").agg((-F.sum("sum")).alias("sum"))
         self.rows = settle(keyed(docs).groupBy("key").agg(F.count("*").alias("n")), "texts")
+        discard(single)
         # the copies of a text have met the same n-grams each
         self.losses = settle(self.rows.join(sums, "key").select("key", (F.col("sum") / F.col("n")).alias("loss")), "losses")
 
@@ -351,11 +488,16 @@ class Bounds:
     """What decides: the models, and per language the typical loss and the bounds of the perplexity."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
+        with shuffles_removed(docs.sparkSession):
+            self._found(docs, labels)
+
+    def _found(self, docs: DataFrame, labels: DataFrame) -> None:
         ids = settle(trusted_ids(labels), "trusted")
         texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         # ids grow with the corpus, so they are never broadcast: the plan is the same at every size
         trusted = settle(texts.join(ids.hint("merge"), "doc_id", "left_semi").select("text"), "trusted-texts")
         self.scorer = Scorer(docs, trusted)
+        discard(trusted)
         self.each = settle(self.scorer.scores(docs), "scores")
         self.rows = settle(self.each.groupBy("lang").agg(F.count("*").alias("n")), "languages")
         known = settle(self.each.join(ids, "doc_id", "left_semi").where("n_points > 0"), "known")

@@ -54,6 +54,30 @@ def clear(spark: SparkSession) -> None:
     store.delete(folder, True)
 
 
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Remove the files of settled tables that nothing reads any more, or those in their folder ``part``."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = own_folder(spark)
+        mark = f"/{folder.rsplit('/', 1)[1]}/"
+        names = {f.split(mark, 1)[1].split("/", 1)[0] for f in table.inputFiles() if mark in f}
+        for name in names:
+            store, at = file_system(spark, f"{folder}/{name}/{part}".rstrip("/"))
+            store.delete(at, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run within leave no shuffle files behind, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Run flows that write their results, and remove what they left behind."""

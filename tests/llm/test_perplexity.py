@@ -249,3 +249,34 @@ def test_order_of_words_tells(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + mixed)], "doc_id long, text string, lang string")
     rows = {x.doc_id: x.loss / x.n_points for x in px.Scorer(docs, docs.where("doc_id < 50").select("text")).scores(docs).collect()}
     assert min(rows[60 + i] for i in range(10)) > 3 * max(rows[i] for i in range(60))
+
+
+def test_slices_give_the_same_and_leave_little(spark, monkeypatch):
+    """Losses do not depend on the slices in which model and texts meet; finished slices and shuffles are gone."""
+    from corpusloom.operators import scratch
+
+    texts = [fixtures.prose(i, 40 + i % 7) + f" w{i % 5}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    losses = []
+    for slice_ in (px.SLICE, 200):
+        monkeypatch.setattr(px, "SLICE", slice_)
+        monkeypatch.setattr(px, "SLICES", 3)
+        marks = spark.createDataFrame([(i, 1, 0) for i in range(50)], LABELS)
+        store, at = scratch.file_system(spark, scratch.own_folder(spark))
+        before = {f.getPath().getName() for f in store.listStatus(at)} if store.exists(at) else set()
+        losses.append({r.doc_id: r.loss for r in px.Bounds(docs, marks).each.collect()})
+        left = {f.getPath().getName() for f in store.listStatus(at)} - before
+        assert not [n for n in left if n.startswith(("word-grams", "word-contexts", "word-probabilities", "word-continuations", "trusted-texts"))]
+    assert len(losses[0]) == 60 and all(math.isclose(losses[0][i], losses[1][i], rel_tol=1e-6) for i in losses[0])
+
+
+def test_word_hashes():
+    """Equal words have equal hashes, whatever stands around them; others differ; begins, ends and folds are in their places."""
+    texts = ["été of  the\tsea", "", " \n", "the sea of", "x", "of\u00a0the"]
+    x, begins = px.word_hashes([t.encode() for t in texts], np.array([0, 1, 0, 0, 0, 0]))
+    found = [x[a:b].tolist() for a, b in zip(begins, begins[1:])]
+    assert [len(f) for f in found] == [7, 3, 3, 6, 4, 4]
+    assert found[0][3:6] == [found[3][4], found[3][2], found[3][3]]
+    assert len({h for f in found if not f[0] & 1 for h in f[2:-1]}) == 6
+    assert all(h & 1 == (i == 1) for i, f in enumerate(found) for h in f)
+    assert all(f[:2] == [(px.BEGIN & ~1) | (i == 1)] * 2 and f[-1] == (px.END & ~1) | (i == 1) for i, f in enumerate(found))
