@@ -17,6 +17,7 @@ import math
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ SHARED_LOSS, SHARED = 5, 100
 #: Characters of a typical text of its language that are added to every text, which steadies short ones.
 PRIOR = 100
 ACCURACY = 20_000
+#: How much a bound may differ by rounding.
+ROUNDING = 1e-12
 CHUNK = 1 << 20
 NONE = "(none)"
 
@@ -278,9 +281,9 @@ def _slice(word: str, of: int) -> Column:
     return F.pmod(F.shiftrightunsigned(word, 8), F.lit(of))
 
 
-def word_model(top: DataFrame, slices: int) -> tuple[list[DataFrame], DataFrame, list[float]]:
-    """(h, v) for n-grams of all folds, those of two words and more in slices, and what an unknown word costs besides its
-    spelling, by fold.
+def word_model(top: DataFrame, slices: int) -> tuple[DataFrame, list[float], Iterator[DataFrame]]:
+    """(h, v) for single words of both folds, what an unknown one costs besides its spelling, by fold, and (h, v) for longer
+    n-grams, slice by slice: one is removed when the next is taken.
 
     With p the probability of an n-gram's last word after the others, a seen n-gram has log p, less that of the next
     lower order and the weight which its context gives to that; an n-gram that is a context has the logarithm of
@@ -310,29 +313,42 @@ def word_model(top: DataFrame, slices: int) -> tuple[list[DataFrame], DataFrame,
             unknown = [math.log(next((r.gamma for r in folds if r.fold == f), 1.0)) for f in (0, 1)]
             total = {r.fold: r.total for r in folds}
             of = F.when(F.col("x1").bitwiseAND(F.lit(1)) == 0, total.get(0)).otherwise(total.get(1))
-            made = counted.withColumn("total", of).select(h, own.alias("p"), F.log(own).cast("float").alias("v"))
+            made = counted.withColumn("total", of).select(h, own.alias("p"), F.log(own).alias("v"))
             below = [settle(made, "word-probabilities-1")] * slices
             single.append(below[0].select("h", "v"))
         else:
             contexts = settle(counted.groupBy(*_names(n - 1)).agg(*sums), f"word-contexts-{n}")
-            weights = contexts.select(*_names(n - 1), _gram([F.col(c) for c in _names(n - 1)]).alias("h"), F.log("gamma").cast("float").alias("v"))
+            weights = contexts.select(*_names(n - 1), _gram([F.col(c) for c in _names(n - 1)]).alias("h"), F.log("gamma").alias("v"))
             p = own + F.col("gamma") * F.col("lower")
-            v = (F.log(p) - F.log("lower") - F.log("gamma")).cast("float").alias("v")
-            made = []
-            for i in range(slices):
-                here = _slice(f"x{n - 1}", slices) == i
-                joined = counted.where(F.col("part") == i if n == WORDS else here).withColumn("y", _gram([F.col(c) for c in _names(n - 1, 2)]))
-                joined = joined.join(contexts.where(here), _names(n - 1)).join(below[i].select(F.col("h").alias("y"), F.col("p").alias("lower")), "y")
-                made.append(settle(joined.select(h, *[p.alias("p")] * (n < WORDS), v), f"word-probabilities-{n}-{i}"))
-                sliced[i].append(made[i].select("h", "v"))
-                if n > 2:
+            v = (F.log(p) - F.log("lower") - F.log("gamma")).alias("v")
+            if n > 2:
+                for i in range(slices):
                     sliced[i].append(weights.where(_slice(f"x{n - 2}", slices) == i).select("h", "v"))
-                if n == WORDS:
-                    discard(counted, part=f"part={i}")
             single += [weights.select("h", "v")] * (n == 2)
-            below = made
-        discard(counted)
-    return [reduce(DataFrame.unionByName, r) for r in sliced], reduce(DataFrame.unionByName, single), unknown
+
+            def made(i: int, n=n, counted=counted, contexts=contexts, below=below, columns=(h, *[p.alias("p")] * (n < WORDS), v)) -> DataFrame:
+                here = _slice(f"x{n - 1}", slices) == i
+                joined = counted.where(F.col("part") == i if n == WORDS else here)
+                joined = joined.withColumn("y", _gram([F.col(c) for c in _names(n - 1, 2)])).join(contexts.where(here), _names(n - 1))
+                joined = joined.join(below[i].select(F.col("h").alias("y"), F.col("p").alias("lower")), "y")
+                return settle(joined.select(*columns), f"word-probabilities-{n}-{i}")
+
+            if n < WORDS:
+                below = [made(i) for i in range(slices)]
+                for i, found in enumerate(below):
+                    sliced[i].append(found.select("h", "v"))
+        if n < WORDS:
+            discard(counted)
+
+    def rest() -> Iterator[DataFrame]:
+        for i, shorter in enumerate(sliced):
+            longest = made(i)
+            discard(top, part=f"part={i}")
+            yield reduce(DataFrame.unionByName, [longest.select("h", "v"), *shorter])
+            discard(longest)
+        discard(top, *[t for shorter in sliced for t in shorter])
+
+    return reduce(DataFrame.unionByName, single), unknown, rest()
 
 
 def spellings(text: str, table: np.ndarray) -> np.ndarray:
@@ -380,7 +396,7 @@ def text_grams(docs: DataFrame, at: int | None, slices: int, shards: int, model:
                 else:
                     valid &= slice_of[n - 2 : len(x) - 1] == at
                 h = gram_hashes(x, n)
-                cost = np.zeros(len(x), np.float32)
+                cost = np.zeros(len(x))
                 if n == 1:
                     costs = [spellings(t.decode(), table) + missing[1 - (k & 1)] for t, k in zip(texts, keys.tolist(), strict=True)]
                     cost[np.concatenate([np.arange(len(c)) + b + WORDS - 1 for c, b in zip(costs, begins)])] = np.concatenate(costs)
@@ -431,7 +447,7 @@ def sums_of(grams: DataFrame, model: DataFrame, shards: int) -> DataFrame:
             total.append(np.add.reduceat(value.astype(np.float64), begin))
         return pa.table({"key": pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), "sum": pa.array(np.concatenate([np.zeros(0), *total]))})
 
-    values = model.mapInArrow(packed, "shard int, h array<long>, v array<float>")
+    values = model.mapInArrow(packed, "shard int, h array<long>, v array<double>")
     return grams.groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(met, "key long, sum double").groupBy("key").agg(F.sum("sum").alias("sum"))
 
 
@@ -449,18 +465,19 @@ def keyed(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 class Scorer:
     """The losses of the texts of ``docs`` by a model of the trusted ones among them, a row per text."""
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame):
+    def __init__(self, docs: DataFrame, trusted: DataFrame, settled: bool = False):
+        """``settled`` trusted texts are removed."""
         spelling = train(trusted)
         slices = min(1 + (trusted.agg(F.sum(F.length("text"))).head()[0] or 0) // SLICE, SLICES)
         grams = settle(word_counts(trusted).withColumn("part", _slice(f"x{WORDS - 1}", slices)), "word-grams", by="part")
-        sliced, single, unknown = word_model(grams, slices)
+        if settled:
+            discard(trusted)
+        single, unknown, rest = word_model(grams, slices)
         shards = max(parts(docs) // 3, LEAST_SHARDS)
         sums = []
-        for at, model in [*enumerate(sliced), (None, single)]:
+        for at, model in chain(enumerate(rest), [(None, single)]):
             found = text_grams(docs, at, slices, shards, spelling, unknown)
             sums.append(settle(sums_of(found, model, shards), "word-sums"))
-            if at == slices - 1:
-                discard(*sliced)
         sums = reduce(DataFrame.unionByName, sums).groupBy("key").agg((-F.sum("sum")).alias("sum"))
         self.rows = settle(keyed(docs).groupBy("key").agg(F.count("*").alias("n")), "texts")
         discard(single)
@@ -496,8 +513,7 @@ class Bounds:
         texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         # ids grow with the corpus, so they are never broadcast: the plan is the same at every size
         trusted = settle(texts.join(ids.hint("merge"), "doc_id", "left_semi").select("text"), "trusted-texts")
-        self.scorer = Scorer(docs, trusted)
-        discard(trusted)
+        self.scorer = Scorer(docs, trusted, settled=True)
         self.each = settle(self.scorer.scores(docs), "scores")
         self.rows = settle(self.each.groupBy("lang").agg(F.count("*").alias("n")), "languages")
         known = settle(self.each.join(ids, "doc_id", "left_semi").where("n_points > 0"), "known")
@@ -534,7 +550,9 @@ class Bounds:
         """Scored rows with perplexity, low, high and kept."""
         low, high = (F.coalesce(F.col("q")[i], F.lit(self.overall[i]).cast("double")) for i in (0, 1))
         out = self.steady(scored, self.table).withColumns({"low": low, "high": high})
-        inside = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+        # the documents that the quantiles are taken from are inside, whatever order their sums were rounded in
+        inside = F.col("perplexity").between(F.col("low") * F.lit(1 - ROUNDING), F.col("high") * F.lit(1 + ROUNDING))
+        inside = F.coalesce(inside, F.lit(True))
         return out.withColumn("kept", F.col("perplexity").isNotNull() & inside)
 
 
