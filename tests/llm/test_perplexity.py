@@ -270,6 +270,60 @@ def test_slices_give_the_same_and_leave_little(spark, monkeypatch):
     assert len(losses[0]) == 60 and all(math.isclose(losses[0][i], losses[1][i], rel_tol=1e-6) for i in losses[0])
 
 
+def test_hot_words_are_dealt_over_shards(spark, monkeypatch):
+    """Losses do not depend on which middle words are dealt over several shards, nor on how many rows are put in order at a time."""
+    texts = [fixtures.prose(i, 40 + i % 7) + f" w{i % 5}" for i in range(60)] + ["of the sea " * 30, "sea", " "]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, texts[3]])], "doc_id long, text string, lang string")
+    found = []
+    for hot in (px.HOT, 20):
+        monkeypatch.setattr(px, "HOT", hot)
+        if hot == 20:
+            monkeypatch.setattr(px, "SLICE", 200)
+            monkeypatch.setattr(px, "SLICES", 2)
+            monkeypatch.setattr(px, "PLACES", 64)
+            words, fans = px.frequent_words(px._once(docs.where("doc_id < 50")), 20, 6)
+            assert len(words) > 10 and min(fans) >= 2 and max(fans) == 6
+        rows = px.Scorer(docs, docs.where("doc_id < 50").select("text")).scores(docs).collect()
+        found.append({r.doc_id: r.loss for r in rows})
+    assert len(found[0]) == 64 and found[0][3] == found[0][63]
+    print(max(abs(found[0][i] / found[1][i] - 1) for i in found[0] if found[0][i]))
+    assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-6) for i in found[0])
+
+
+def test_rows_between_tasks_are_parts_of_texts(spark):
+    """N-grams go to the model, and sums come back, as a row per part of the texts and shard, not per text or n-gram."""
+    docs = spark.createDataFrame([(fixtures.prose(i, 60),) for i in range(300)], "text string").coalesce(1)
+    once = px._of_fold(px._once(docs), 0)
+    hot = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    n, parts = once.count(), once.rdd.getNumPartitions()
+    assert n > 5 * parts
+    counted = px.settle(px.word_counts(once, 1, 6, hot), "counted", by="kind")
+    numbers = px.Numbers([counted, counted.where("false")])
+    grams = px.word_grams(once, 1, 0, 6, hot, False)
+    sums = px.sums_of_grams(grams, px.word_grams(once, 1, 0, 6, hot, True), counted.where("kind = 1"), numbers, 0, 6, hot)
+    assert 6 <= grams.count() <= 6 * parts and sums.count() == grams.count()
+    assert px.by_text(sums, 3).count() == n
+
+
+def test_places_of_many_texts():
+    """Texts of several parts are told apart also where they are more than 16 bits can number."""
+    cells = [np.arange(40_000, dtype=np.uint16).tobytes()] * 3 + [np.array([0, 69_999], np.uint32).tobytes()]
+    n = np.array([40_000] * 3 + [70_000], np.int32)
+    found = px._numbered(px.pa.table({"of": cells}), "of", n, np.cumsum(np.append(0, n[:-1])))
+    assert found.tolist() == [*range(120_000), 120_000, 189_999]
+
+
+def test_places_are_found():
+    """Hashes are found among those given, and only they: none, one, neighbours and the largest."""
+    r = np.random.default_rng(2)
+    top = np.uint64((1 << 64) - 1)
+    for known in (r.integers(0, 1 << 63, 500, np.uint64), np.arange(9, dtype=np.uint64), top - np.arange(9, dtype=np.uint64), np.zeros(0, np.uint64)):
+        known = np.unique(known)
+        asked = np.concatenate((known, known + np.uint64(1), [np.uint64(0), top], r.integers(0, 1 << 63, 50, np.uint64)))
+        found, place = px.Places(known).of(asked)
+        assert sorted(found) == np.flatnonzero(np.isin(asked, known)).tolist() and (known[place] == asked[found]).all()
+
+
 def test_word_hashes():
     """Equal words have equal hashes, whatever stands around them; others differ; begins, ends and folds are in their places."""
     texts = ["été of  the\tsea", "", " \n", "the sea of", "x", "of\u00a0the"]
