@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -42,9 +42,11 @@ MIX = ((32, 0xD6E8FEB86659FD93), (29, 0xFF51AFD7ED558CCD))
 PART = 1 << 20
 #: Rows that are put in order at a time.
 PLACES = 1 << 20
+#: Bytes of a column that are held against the model at a time.
+PIECE = 1 << 21
 #: Slices in which a fold's model is made and met by the texts, one after the other: one per so many
 #: characters of trusted texts, and at most so many.
-SLICE, SLICES = 5_000_000, 4
+SLICE, SLICES = 5_000_000, 3
 LEAST_SHARDS = 6
 #: A middle word that occurs so often in trusted texts is dealt over several shards; of a part of the texts, words
 #: that are less than one in RARE are not counted for that.
@@ -92,20 +94,38 @@ KNOWN, FAR_LETTERS = 0x10000, 0x20000
 FOLD = np.array([_class(chr(i)) for i in range(KNOWN)] + [SYMBOL], np.int32)
 
 
-def grams(text: str, order: int = ORDER) -> np.ndarray:
-    """Numbers of all n-grams that end in a character of the text; blanks stand before it."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = np.zeros(len(points) + order - 1, np.int32)
+#: Classes of the characters that one byte holds, and which of them stand between words, for bytes.translate.
+FOLDED, BETWEEN = (bytes(x) for x in (FOLD[:256].tolist(), [c == 32 or 9 <= c <= 13 for c in range(256)]))
+
+
+def _classes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all characters, and which of them stand between words."""
+    try:
+        data = text.encode("latin-1")
+        return np.frombuffer(data.translate(FOLDED), np.uint8), np.frombuffer(data.translate(BETWEEN), bool)
+    except UnicodeEncodeError:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     folded = FOLD[np.minimum(points, KNOWN)]
-    if len(points) and points.max() >= FAR_LETTERS:
+    if points.max() >= FAR_LETTERS:
         folded = np.where(points >= FAR_LETTERS, 1 + points % LETTERS, folded)
-    x[order - 1 :] = folded
-    out = np.zeros(len(points), np.int32)
-    for i in range(order):
-        out = (out << BITS) | x[i : i + len(points)]
+    return folded, (points == 32) | (points >= 9) & (points <= 13)
+
+
+def _numbers(classes: np.ndarray, order: int) -> np.ndarray:
+    x = np.zeros(len(classes) + order - 1, np.int32)
+    x[order - 1 :] = classes
+    out = x[: len(classes)].copy()
+    for i in range(1, order):
+        out <<= BITS
+        out |= x[i : i + len(classes)]
     return out
 
 
+def grams(text: str, order: int = ORDER) -> np.ndarray:
+    """Numbers of all n-grams that end in a character of the text; blanks stand before it."""
+    return _numbers(_classes(text)[0], order)
+
+
 def counts(texts: DataFrame) -> DataFrame:
     """(g, c): occurrences of every n-gram in the column ``text``, by dense sums per task."""
 
@@ -210,7 +230,10 @@ def word_hashes(texts: Sequence[bytes], folds: np.ndarray) -> tuple[np.ndarray,
     edges = np.diff(blank.astype(np.int8))
     starts, ends = np.flatnonzero(edges == -1) + 1, np.flatnonzero(edges == 1) + 1
     power, inverse = _powers(1 << max(len(data) - 1, 1).bit_length())
-    sums = np.append(np.uint64(0), np.cumsum((data + np.uint64(1)) * power[: len(data)]))
+    digits = data + np.uint64(1)
+    digits *= power[: len(data)]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(digits, out=sums[1:])
     h = _mixed((sums[ends] - sums[starts]) * inverse[starts])
     froms = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(starts, froms)
@@ -639,13 +662,14 @@ class WordModel:
 
 def spellings(text: str, table: np.ndarray) -> np.ndarray:
     """The log likelihood of the characters of every word and of the one behind it."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = np.ones(len(points) + 2, bool)
-    blank[1:-1] = (points == 32) | (points >= 9) & (points <= 13)
-    sums = np.concatenate(([0.0], np.cumsum(table[grams(text)], dtype=np.float64)))
-    edges = np.diff(blank.astype(np.int8))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    return sums[np.minimum(ends + 1, len(points))] - sums[starts]
+    classes, between = _classes(text)
+    blank = np.ones(len(classes) + 2, bool)
+    blank[1:-1] = between
+    sums = np.zeros(len(classes) + 1)
+    np.cumsum(np.take(table, _numbers(classes, ORDER)), dtype=np.float64, out=sums[1:])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    return sums[np.minimum(ends + 1, len(classes))] - sums[starts]
 
 
 #: Words of a part of the texts, in runs: for each text that has one its place, how often it has it, and what that costs where the word is not known.
@@ -705,10 +729,20 @@ def _numbered(rows: pa.Table, name: str, n: np.ndarray, base: np.ndarray) -> np.
     return np.concatenate([np.frombuffer(c, _kind(m)).astype(np.int64) + b for c, m, b in cells])
 
 
+def _pieces(rows: pa.Table, name: str) -> Iterator[pa.Table]:
+    """Rows in pieces whose cells of a column hold about PIECE bytes each."""
+    held = np.cumsum(pc.binary_length(rows.column(name)).to_numpy())
+    bounds = np.append(_changes(held // PIECE), len(rows)).tolist()
+    for begin, end in zip(bounds, bounds[1:]):
+        yield rows.slice(begin, end - begin)
+
+
+def _sums(rows: pa.Table, name: str, values: Callable[[pa.Table], np.ndarray]) -> pa.Table:
+    """SUMS of the values of all rows of GRAMS or SINGLES, found piece by piece, which bounds what is held beside them."""
+    return pa.concat_tables([_tables([], SUMS), *(_added(piece, values(piece)) for piece in _pieces(rows, name))])
+
+
 def _added(rows: pa.Table, values: np.ndarray) -> pa.Table:
-    """SUMS of the values of all rows of GRAMS or SINGLES."""
-    if not len(rows):
-        return _tables([], SUMS)
     n = rows.column("n").to_numpy()
     base = np.cumsum(np.append(0, n))
     of = _numbered(rows, "of", n, base)
@@ -726,15 +760,16 @@ def sums_of_words(words: DataFrame, counted: DataFrame, numbers: Numbers, fold:
     """SUMS of the values of single words: log p, or what an unknown one costs; the tables meet by shards."""
 
     def met(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words, c = _values(known, "x3", np.uint64), _values(known, "c", np.int32)
-        x, run = _long(_values(texts, "x2", np.uint8)), _values(texts, "run", np.int32)
-        value, places = np.zeros(len(x)), Places(words)
-        found, place = places.of(x)
-        value[found] = np.log(numbers.p(fold, c))[place]
-        seen = np.zeros(len(x), bool)
-        seen[found] = True
-        each = np.where(np.repeat(seen, run), _values(texts, "k", np.int32) * np.repeat(value, run), _values(texts, "s", np.float32))
-        return _added(texts, each)
+        words, costs = Places(_values(known, "x3", np.uint64)), np.log(numbers.p(fold, _values(known, "c", np.int32)))
+
+        def values(piece: pa.Table) -> np.ndarray:
+            x, run = _long(_values(piece, "x2", np.uint8)), _values(piece, "run", np.int32)
+            value, seen = np.zeros(len(x)), np.zeros(len(x), bool)
+            found, place = words.of(x)
+            value[found], seen[found] = costs[place], True
+            return np.where(np.repeat(seen, run), _values(piece, "k", np.int32) * np.repeat(value, run), _values(piece, "s", np.float32))
+
+        return _sums(texts, "k", values)
 
     known = counted.where("kind = 0").select("shard", "x3", "c")
     return words.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(met, SUMS)
@@ -744,13 +779,9 @@ def sums_of_grams(grams: DataFrame, trusted: DataFrame, counted: DataFrame, numb
     """SUMS of the values of the n-grams of texts, by the model of trusted ones; the tables meet by shards."""
 
     def met(texts: pa.Table, model: pa.Table) -> pa.Table:
-        if not len(texts):
-            return _tables([], SUMS)
-        words, of = _words_of(texts), Types(model.filter(pc.is_valid(model["x1"])), hot)
-        answers = model.filter(pc.is_valid(model["c"]))
-        if len(of.h) or len(answers):
-            return _added(texts, WordModel(of, answers, numbers, fold, shards).values(*words))
-        return _added(texts, np.zeros(len(words[0])))
+        found, answers = Types(model.filter(pc.is_valid(model["x1"])), hot), model.filter(pc.is_valid(model["c"]))
+        known = WordModel(found, answers, numbers, fold, shards)
+        return _sums(texts, "x1", lambda piece: known.values(*_words_of(piece)))
 
     rows = trusted.select("shard", "x1", "x2", "run", "x3", "of").unionByName(counted.select("shard", "asked", "x2", "x3", "c", "d"), allowMissingColumns=True)
     return grams.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(met, SUMS)
@@ -796,7 +827,7 @@ class Scorer:
         once = settle(_once(trusted), "trusted-once")
         if settled:
             discard(trusted)
-        shards = max(parts(docs) // 8, LEAST_SHARDS)
+        shards = max(parts(docs) // 5, LEAST_SHARDS)
         hot = frequent_words(once, HOT, shards) if slices == SLICES else (np.zeros(0, np.uint64),) * 2
         given = docs.where("text <> ''").select(utf8(F.col("text")).alias("text"), _key(F.col("text")).alias("key"), F.lit(1).alias("m"))
         counted = [settle(word_counts(_of_fold(once, f), slices, shards, hot), "word-counts", by="kind") for f in (0, 1)]

@@ -286,7 +286,6 @@ def test_hot_words_are_dealt_over_shards(spark, monkeypatch):
         rows = px.Scorer(docs, docs.where("doc_id < 50").select("text")).scores(docs).collect()
         found.append({r.doc_id: r.loss for r in rows})
     assert len(found[0]) == 64 and found[0][3] == found[0][63]
-    print(max(abs(found[0][i] / found[1][i] - 1) for i in found[0] if found[0][i]))
     assert all(math.isclose(found[0][i], found[1][i], rel_tol=1e-6) for i in found[0])
 
 
@@ -305,6 +304,17 @@ def test_rows_between_tasks_are_parts_of_texts(spark):
     assert px.by_text(sums, 3).count() == n
 
 
+def test_pieces_hold_all_rows(monkeypatch):
+    """Rows are taken in pieces of bounded size, each once and in order; no row makes no piece."""
+    monkeypatch.setattr(px, "PIECE", 100)
+    cells = [b"x" * n for n in (10, 0, 250, 5, 40, 60, 60, 0)]
+    rows = px.pa.table({"i": list(range(8)), "x1": cells})
+    pieces = list(px._pieces(rows, "x1"))
+    assert len(pieces) > 2 and px.pa.concat_tables(pieces).equals(rows)
+    assert max(sum(map(len, p["x1"].to_pylist()[1:])) for p in pieces) <= 100
+    assert list(px._pieces(rows.slice(0, 0), "x1")) == []
+
+
 def test_places_of_many_texts():
     """Texts of several parts are told apart also where they are more than 16 bits can number."""
     cells = [np.arange(40_000, dtype=np.uint16).tobytes()] * 3 + [np.array([0, 69_999], np.uint32).tobytes()]
